@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .queries_02 import op2_byte_bpe
 from .queries_10 import ORACLE_10, op10_chat_format
 
 QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
     "op10_chat_format": op10_chat_format,
 }
 ORACLES = {
