@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .queries_02 import op2_byte_bpe
+from .queries_04 import op4_simhash
 from .queries_10 import ORACLE_10, op10_chat_format
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_simhash": op4_simhash,
     "op10_chat_format": op10_chat_format,
 }
 ORACLES = {
