@@ -19,16 +19,18 @@ Rows: null text is empty, with no ids; repeated rows stay; other columns pass th
 from __future__ import annotations
 
 import base64
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
 #: Bounds of the piece cache of a Python worker: entries, and characters of a piece that is kept.
-CACHE_PIECES, CACHE_CHARS = 400_000, 64
+CACHE_PIECES, CACHE_CHARS = 120_000, 64
 #: Finds characters outside the blocks (Latin, Greek, Cyrillic) whose classes all Unicode versions share.
 BEYOND = re.compile("[^\x00-\u024f\u0370-\u0377\u0391-\u03a1\u03a3-\u0481\u2010-\u2027\u2030-\u205e]").search
 
@@ -45,20 +47,30 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> list[bytes]:
+    """Id -> bytes: each token's stand-in characters, as the vocabulary writes them, through the reversed byte table."""
+    back = {c: b for b, c in byte_alphabet().items()}
+    stand = byte_alphabet()
+    ranks = read_ranks(path)
+    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        out[rank] = bytes(back[c] for c in (stand[b] for b in token))
+    return out
+
+
 class Codec:
-    """Encoder and decoder of one vocabulary; one per Python worker."""
+    """Encoder of one vocabulary; one per Python worker."""
 
     def __init__(self, path: str, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         import regex
         import tiktoken
         from tokenizers import Tokenizer, models
 
         ranks = read_ranks(path)
-        stand = byte_alphabet()
-        self.table = str.maketrans({chr(b): c for b, c in stand.items()})
-        self.bytes_of = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.bytes_of[rank] = token
+        self.table = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
+        self.bytes_of = token_bytes(path)
         wide = {token: token.decode("latin-1").translate(self.table) for token in ranks}
         merges = []
         for token in sorted(ranks, key=ranks.get):
@@ -82,8 +94,14 @@ class Codec:
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of new pieces, as little-endian unsigned 32-bit integers."""
         order = sorted(pieces)
-        wide = [p.encode("utf-8").decode("latin-1").translate(self.table) for p in order]
         got = {}
+        for i in range(0, len(order), 4_000):
+            got |= self._learn(order[i : i + 4_000])
+        return got
+
+    def _learn(self, order: list[str]) -> dict[str, bytes]:
+        wide = [p.encode("utf-8").decode("latin-1").translate(self.table) for p in order]
+        got: dict[str, bytes] = {}
         for piece, enc in zip(order, self.model.encode_batch_fast(wide, add_special_tokens=False)):
             ids = enc.ids
             if len(ids) > 1 and ids != (check := self.exact._core_bpe.encode_single_piece(piece.encode("utf-8"))):
@@ -95,21 +113,16 @@ class Codec:
         odd = {i for i, t in enumerate(texts) if not self.alike(t)}
         cut = [[] if i in odd else self.cut(t) for i, t in enumerate(texts)]
         new = set().union(*cut) - self.cache.keys()
-        fresh = self.learn(new) if new else {}
-        if len(self.cache) + len(fresh) > CACHE_PIECES:
-            self.cache = {}
-            known = set().union(*cut) - fresh.keys()
-            fresh |= self.learn(known)
-        look = {**self.cache, **fresh} if not self.cache else None
-        if look is None:
-            self.cache.update(fresh)
-            look = self.cache
-        out = [b"".join(map(look.__getitem__, pieces)) for pieces in cut]
+        if len(self.cache) + len(new) > CACHE_PIECES:
+            self.cache.clear()
+            new = set().union(*cut)
+        self.cache.update(self.learn(new))
+        out = [b"".join(map(self.cache.__getitem__, pieces)) for pieces in cut]
         for i in odd:
             out[i] = np.asarray(self.exact.encode_ordinary(texts[i]), "<u4").tobytes()
-        if look is not self.cache:
-            self.cache = dict(list(look.items())[:CACHE_PIECES])
-        for p in [p for p in fresh if len(p) > CACHE_CHARS]:
+        if len(self.cache) > CACHE_PIECES:
+            self.cache.clear()
+        for p in [p for p in new if len(p) > CACHE_CHARS]:
             self.cache.pop(p, None)
         return out
 
@@ -121,18 +134,15 @@ class Codec:
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         return [(int(char_of[a]), int(char_of[b - 1]) + 1) for a, b in zip(starts, ends)]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def blocks(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def blocks(batch: pa.RecordBatch, chars: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about so many bytes, so that one slice's pieces fit in memory."""
-    lengths = np.asarray(batch.column("text").to_pandas().map(len, na_action="ignore").fillna(0), dtype=np.int64)
+    lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = np.cumsum(lengths) // chars
     start = 0
     for end in [*(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]:
@@ -165,15 +175,19 @@ def encode(df: DataFrame, path: str, pattern: str, offsets: bool = False) -> Dat
     return df.mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode_ids(ids: bytes, table: list[bytes]) -> bytes:
+    return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def decode(df: DataFrame, path: str) -> DataFrame:
     """Add ``decoded`` (binary: the bytes) to a frame with ``ids``; null ids decode to no bytes."""
     keep = [f.name for f in df.schema if f.name != "decoded"]
     schema = T.StructType([*(f for f in df.schema if f.name != "decoded"), T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        table = token_bytes(path)
         for batch in batches:
-            got = [c.decode(i.as_py() or b"") for i in batch.column("ids")]
+            got = [decode_ids(i.as_py() or b"", table) for i in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(got, pa.binary())], names=[*keep, "decoded"])
 
     return df.mapInArrow(run, schema)

@@ -13,7 +13,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
     docs = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, P.PATTERN)
-    docs = bpe.decode(docs.select("doc_id", "ids"), path, P.PATTERN)
+    docs = bpe.decode(docs.select("doc_id", "ids"), path)
     return docs.select(
         "doc_id",
         F.expr("octet_length(ids) div 4").alias("n_tokens"),
