@@ -26,9 +26,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
+from .common import blocks
+
 #: Bounds of the piece cache of a Python worker: entries, and characters of a piece that is kept.
 CACHE_PIECES, CACHE_CHARS = 120_000, 64
 #: Finds characters outside the blocks (Latin, Greek, Cyrillic) whose classes all Unicode versions share.
@@ -140,17 +141,6 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def blocks(batch: pa.RecordBatch, chars: int = 500_000) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts have about so many bytes, so that one slice's pieces fit in memory."""
-    lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    group = np.cumsum(lengths) // chars
-    start = 0
-    for end in [*(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]:
-        if end > start:
-            yield batch.slice(start, end - start)
-        start = end
-
-
 def encode(df: DataFrame, path: str, pattern: str, offsets: bool = False) -> DataFrame:
     """Add ``ids`` (binary: little-endian unsigned 32-bit) and, if asked for, ``spans`` to a frame with ``text``."""
     schema = T.StructType([*(f for f in df.schema if f.name not in ("ids", "spans")), T.StructField("ids", T.BinaryType())])

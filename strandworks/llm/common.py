@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -93,3 +97,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = cur.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+
+
+def blocks(batch: pa.RecordBatch, chars: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have about so many bytes, so that what is made of one slice fits in memory."""
+    lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    group = np.cumsum(lengths) // chars
+    start = 0
+    for end in [*(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]:
+        if end > start:
+            yield batch.slice(start, end - start)
+        start = end

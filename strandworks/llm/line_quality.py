@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import blocks, cut
 
 MIN_DOCS, SHARE, MIN_WORDS, MIN_LEFT = 20, 0.1, 20, 0.3
 BROADCAST_LINES = 100_000
@@ -126,7 +126,7 @@ def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share
         rows = rows.join(found, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in blocks(whole)):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids = batch.column("doc_id").to_pylist()
             drops = [look.value.get(h, {}) for h in batch.column("host").to_pylist()] if look else [{x["line"]: x["first_id"] for x in f or ()} for f in batch.column("found").to_pylist()]
