@@ -6,6 +6,7 @@ from .queries_01 import ORACLE_1, op1_quality_rules
 from .queries_02 import op2_byte_bpe
 from .queries_04 import op4_simhash
 from .queries_06 import op6_bin_completion
+from .queries_08 import op8_toxicity
 from .queries_10 import ORACLE_10, op10_chat_format
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_simhash": op4_simhash,
     "op6_bin_completion": op6_bin_completion,
+    "op8_toxicity": op8_toxicity,
     "op10_chat_format": op10_chat_format,
 }
 ORACLES = {
