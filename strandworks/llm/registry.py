@@ -7,6 +7,7 @@ from .queries_02 import op2_byte_bpe
 from .queries_04 import op4_simhash
 from .queries_06 import op6_bin_completion
 from .queries_08 import op8_toxicity
+from .queries_09 import op9_pii
 from .queries_10 import ORACLE_10, op10_chat_format
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op6_bin_completion": op6_bin_completion,
     "op8_toxicity": op8_toxicity,
+    "op9_pii": op9_pii,
     "op10_chat_format": op10_chat_format,
 }
 ORACLES = {
