@@ -6,6 +6,7 @@ from .queries_01 import ORACLE_1, op1_quality_rules
 from .queries_02 import op2_byte_bpe
 from .queries_04 import op4_simhash
 from .queries_06 import op6_bin_completion
+from .queries_07 import ORACLE_7, op7_rp_forest
 from .queries_08 import op8_toxicity
 from .queries_09 import op9_pii
 from .queries_10 import ORACLE_10, op10_chat_format
@@ -15,11 +16,13 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_simhash": op4_simhash,
     "op6_bin_completion": op6_bin_completion,
+    "op7_rp_forest": op7_rp_forest,
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_chat_format": op10_chat_format,
 }
 ORACLES = {
     "op1_quality_rules": ORACLE_1,
+    "op7_rp_forest": ORACLE_7,
     "op10_chat_format": ORACLE_10,
 }
