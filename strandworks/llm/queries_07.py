@@ -21,8 +21,8 @@ WITH v AS (
 ), n AS (
   SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a
 ), c AS (
-  WITH RECURSIVE r(vec_id, at) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.at = l.a)
-  SELECT vec_id, min(at) AS component_id FROM r GROUP BY vec_id
+  WITH RECURSIVE r(vec_id, seen) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.seen = l.a)
+  SELECT vec_id, min(seen) AS component_id FROM r GROUP BY vec_id
 )
 SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, e.vec_id) AS component_id, e.vec_id = coalesce(component_id, e.vec_id) AS kept
 FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
