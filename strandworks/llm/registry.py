@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .queries_01 import ORACLE_1, op1_quality_rules
 from .queries_02 import op2_byte_bpe
+from .queries_03 import op3_html_text
 from .queries_04 import op4_simhash
 from .queries_06 import op6_bin_completion
 from .queries_07 import ORACLE_7, op7_rp_forest
@@ -14,6 +15,7 @@ from .queries_10 import ORACLE_10, op10_chat_format
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_html_text": op3_html_text,
     "op4_simhash": op4_simhash,
     "op6_bin_completion": op6_bin_completion,
     "op7_rp_forest": op7_rp_forest,
