@@ -88,7 +88,7 @@ class Codec:
         """Whether both regex engines give each character the same class; their Unicode versions differ."""
         if not BEYOND(text):
             return True
-        for c in set(text) - self.agree.keys():
+        for c in [c for c in set(text) if c not in self.agree]:
             self.agree[c] = all(bool(here(c)) == bool(there.encode_ordinary(c)) for here, there in self.classes)
         return all(map(self.agree.__getitem__, set(text)))
 
@@ -113,7 +113,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = {i for i, t in enumerate(texts) if not self.alike(t)}
         cut = [[] if i in odd else self.cut(t) for i, t in enumerate(texts)]
-        new = set().union(*cut) - self.cache.keys()
+        new = {p for p in set().union(*cut) if p not in self.cache}
         if len(self.cache) + len(new) > CACHE_PIECES:
             self.cache.clear()
             new = set().union(*cut)

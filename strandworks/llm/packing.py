@@ -23,10 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .bpe import byte_alphabet
 from .common import cut
 
 CAPACITY, END_TOKEN, NODES, WIDTH = 4096, 1, 2000, 8
-CACHE_WORDS, CACHE_BYTES = 120_000, 64
+CACHE_WORDS, CACHE_BYTES = 200_000, 64
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -209,32 +210,60 @@ def slots(plan: Plan) -> tuple[np.ndarray, ...]:
 class Words:
     """Token ids of texts, through a bounded cache of white-space-separated words.
 
-    The vocabulary's pattern drops white space and no token crosses it, so words are encoded apart.
+    The vocabulary's pattern drops white space and no token crosses it, so words are encoded apart. Words
+    of Latin letters, which normalisation only lower-cases, are cut by the vocabulary's own pattern and
+    go to the library's model by the piece; other words go through its whole pipeline.
     """
 
     def __init__(self, path: str):
+        import json
         import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import regex
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, models
+
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model = spec["model"]
+        self.model = models.BPE(vocab=model["vocab"], merges=[tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], end_of_word_suffix=model["end_of_word_suffix"])
+        self.cut = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.latin = regex.compile("[\x00-\u012f\u0131-\u024f]*").fullmatch
+        self.table = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
         self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            got = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.table)))
+            if len(piece) <= CACHE_BYTES:
+                if len(self.pieces) >= CACHE_WORDS:
+                    self.pieces.clear()
+                self.pieces[piece] = got
+        return got
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8")
+        if text.isascii() or self.latin(text):
+            return b"".join(map(self._piece, self.cut(text.lower())))
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         words = text.encode("utf-8").split()
-        new = sorted(set(words) - self.cache.keys())
-        for i in range(0, len(new), 4000):
-            part = new[i : i + 4000]
-            for w, e in zip(part, self.model.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        out = b"".join(map(self.cache.__getitem__, words))
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        for w in new:
-            if len(w) > CACHE_BYTES:
-                self.cache.pop(w, None)
+        cache, old = self.cache, self.old
+        for w in words:
+            if w not in cache:
+                cache[w] = old[w] if w in old else self._word(w)
+        out = b"".join(map(cache.__getitem__, words))
+        for w in [w for w in words if len(w) > CACHE_BYTES]:
+            cache.pop(w, None)
+        if len(cache) > CACHE_WORDS:  # what is used again moves on to the new one
+            self.cache, self.old = {}, cache
         return out
 
 

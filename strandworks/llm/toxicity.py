@@ -261,7 +261,7 @@ class Scorer:
         if not isinstance(self.net, Net):
             return np.full(len(texts), float(self.net))
         docs = [tokens(t) for t in texts]
-        new = set().union(*docs) - self.names.keys()
+        new = {w for w in set().union(*docs) if w not in self.names}
         if len(self.names) + len(new) > CACHE_WORDS:
             self.names, self.rows, new = {}, self.rows[:0], set().union(*docs)
         fresh = sorted(new)
