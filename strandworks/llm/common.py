@@ -108,3 +108,11 @@ def blocks(batch: pa.RecordBatch, chars: int = 500_000) -> Iterator[pa.RecordBat
         if end > start:
             yield batch.slice(start, end - start)
         start = end
+
+
+def carried(df: DataFrame, names: list[str] | None) -> tuple[list, str]:
+    """A struct column ``row`` of the named columns, to go through a Python stage untouched, and its part of a schema."""
+    if not names:
+        return [], ""
+    kinds = ", ".join(f"`{n}`: {df.schema[n].dataType.simpleString()}" for n in names)
+    return [F.struct(*names).alias("row")], f", row struct<{kinds}>"

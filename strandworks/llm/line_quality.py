@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks, cut
+from .common import blocks, carried, cut
 
 MIN_DOCS, SHARE, MIN_WORDS, MIN_LEFT = 20, 0.1, 20, 0.3
 BROADCAST_LINES = 100_000
@@ -110,10 +110,12 @@ def found_lines(docs: DataFrame, host: str, common: DataFrame) -> DataFrame:
     return hit.groupBy("doc_id").agg(F.collect_set(F.struct("line", "first_id")).alias("found"))
 
 
-def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
-    """docs -> doc_id, the base counts, base_failed, kept, n_removed_lines, n_words_left, cleaned text."""
+def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT, broadcast_lines: int = BROADCAST_LINES, carry: list[str] | None = None) -> DataFrame:
+    """docs -> doc_id, the base counts, base_failed, kept, n_removed_lines, n_words_left, cleaned text, row of carried columns."""
+    extra, extra_schema = carried(docs, carry)
+    more = bool(extra)
     common = cut(common_lines(docs, host, min_docs, share), "lines")
-    rows = docs.select("doc_id", "text", F.col(host).cast("string").alias("host"))
+    rows = docs.select("doc_id", "text", F.col(host).cast("string").alias("host"), *extra)
     look = None
     if common.limit(broadcast_lines + 1).count() <= broadcast_lines:
         got = common.toPandas()
@@ -152,6 +154,6 @@ def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share
                     ("cleaned", "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text),
                 ):
                     cols[k].append(v)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, pa.bool_() if k in ("base_failed", "kept") else pa.string() if k == "cleaned" else pa.int64()) for k, v in cols.items())], names=["doc_id", *cols])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, pa.bool_() if k in ("base_failed", "kept") else pa.string() if k == "cleaned" else pa.int64()) for k, v in cols.items()), *([batch.column("row")] if more else [])], names=["doc_id", *cols, *(["row"] if more else [])])
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_removed_lines long, n_words_left long, cleaned string")
+    return rows.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_removed_lines long, n_words_left long, cleaned string" + extra_schema)

@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import carried
+
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 16
 
@@ -300,10 +302,12 @@ def redact(text: str, found: list[Span]) -> str:
     return "".join(out) + text[at:]
 
 
-def find(docs: DataFrame, clean: bool = False) -> DataFrame:
-    """docs -> doc_id, base counts, base_spans, spans and, if asked for, the redacted text as ``cleaned``."""
+def find(docs: DataFrame, clean: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """docs -> doc_id, base counts, base_spans, spans and, if asked for, the redacted text as ``cleaned``; row of carried columns."""
+    extra, extra_schema = carried(docs, carry)
+    more = bool(extra)
     shared = docs.sparkSession.sparkContext.broadcast(fitted())
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_spans", "spans", *(["cleaned"] if clean else [])]
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_spans", "spans", *(["cleaned"] if clean else []), *(["row"] if more else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,7 +316,7 @@ def find(docs: DataFrame, clean: bool = False) -> DataFrame:
             cols = [batch.column("doc_id"), *(pa.array([sum(s[2] == k for s in own) for own, _ in got], pa.int64()) for k in KINDS), pa.array([say(o) for o, _ in got], pa.string()), pa.array([say(s) for _, s in got], pa.string())]
             if clean:
                 cols.append(pa.array([t if t is None else redact(t, s) for t, (_, s) in zip(texts, got)], pa.string()))
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            yield pa.RecordBatch.from_arrays([*cols, *([batch.column("row")] if more else [])], names=names)
 
     schema = ", ".join(["doc_id long", *(f"n_{k} long" for k in KINDS), "base_spans string", "spans string", *(["cleaned string"] if clean else [])])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", *extra).mapInArrow(run, schema + extra_schema)

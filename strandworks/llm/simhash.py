@@ -218,3 +218,10 @@ def near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3, hot_rows
     for done in (edges, fps):
         drop_cut(done)
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, budget: int = 2, shingle: int = 3) -> DataFrame:
+    """The documents of the smallest id of each component, once each; documents of a null id all stay."""
+    found = near_duplicates(docs, budget, shingle)
+    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))

@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import carried
+
 TOXIC_DOCS, CLEAN_DOCS, TRAIN_BYTES = 500, 1000, 50_000
 WINDOW, STRIDE, HIDDEN, DIM, BUCKETS, WORDS, MIN_DF = 64, 32, 8, 8, 4096, 4096, 3
 EPOCHS, STEPS, BATCH, RATE = 5, 60, 256, 0.02
@@ -304,8 +306,10 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[i
     return [r.text for r in rows], [int(r.toxic) for r in rows]
 
 
-def score(docs: DataFrame, net: Net | float) -> DataFrame:
-    """docs -> doc_id, score."""
+def score(docs: DataFrame, net: Net | float, carry: list[str] | None = None) -> DataFrame:
+    """docs -> doc_id, score, row of carried columns."""
+    extra, extra_schema = carried(docs, carry)
+    more = bool(extra)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,9 +317,9 @@ def score(docs: DataFrame, net: Net | float) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scorer(part.column("text").to_pylist()).astype(np.float64))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scorer(part.column("text").to_pylist()).astype(np.float64)), *([part.column("row")] if more else [])], names=["doc_id", "score", *(["row"] if more else [])])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text", *extra).mapInArrow(run, "doc_id long, score double" + extra_schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Net | float:
