@@ -6,6 +6,7 @@ from .queries_01 import ORACLE_1, op1_quality_rules
 from .queries_02 import op2_byte_bpe
 from .queries_03 import op3_html_text
 from .queries_04 import op4_simhash
+from .queries_05 import ORACLE_5, op5_warc
 from .queries_06 import op6_bin_completion
 from .queries_07 import ORACLE_7, op7_rp_forest
 from .queries_08 import op8_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_html_text": op3_html_text,
     "op4_simhash": op4_simhash,
+    "op5_warc": op5_warc,
     "op6_bin_completion": op6_bin_completion,
     "op7_rp_forest": op7_rp_forest,
     "op8_toxicity": op8_toxicity,
@@ -25,6 +27,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_quality_rules": ORACLE_1,
+    "op5_warc": ORACLE_5,
     "op7_rp_forest": ORACLE_7,
     "op10_chat_format": ORACLE_10,
 }
