@@ -103,11 +103,11 @@ def common_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS
 
 
 def found_lines(docs: DataFrame, host: str, common: DataFrame) -> DataFrame:
-    """(doc_id, found): the common lines of each document, joined by a shuffle on (host, line)."""
+    """(h, d, found): the common lines of each document, joined by a shuffle on (host, line)."""
     c = common.select(F.col("host").alias("h"), F.col("line").alias("l"), "first_id")
     lines = host_lines(docs, host)
     hit = lines.join(c, (lines.line == c.l) & lines.host.eqNullSafe(c.h))
-    return hit.groupBy("doc_id").agg(F.collect_set(F.struct("line", "first_id")).alias("found"))
+    return hit.groupBy(F.col("host").alias("h"), F.col("doc_id").alias("d")).agg(F.collect_set(F.struct("line", "first_id")).alias("found"))
 
 
 def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT, broadcast_lines: int = BROADCAST_LINES, carry: list[str] | None = None) -> DataFrame:
@@ -125,7 +125,7 @@ def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share
         look = docs.sparkSession.sparkContext.broadcast(look)
     else:
         found = found_lines(docs, host, common)
-        rows = rows.join(found, "doc_id", "left")
+        rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("host").eqNullSafe(F.col("h")), "left").drop("h", "d")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in blocks(whole)):
