@@ -47,23 +47,42 @@ def in_order_of(df: DataFrame, key: str, order: DataFrame, position: str = "posi
     return df.join(order, key).orderBy(position)
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, text: str, least: float, itself: bool = False, id_: str = "id", bucket: int = 4) -> DataFrame:
-    """Pairs (id_a, id_b, ratio) of short texts with 2 LCS / (len a + len b) >= least.
+def similar_pairs(left: DataFrame, right: DataFrame, text: str, least: float, itself: bool = False, id_: str = "id") -> DataFrame:
+    """Pairs (id_a, id_b, ratio) of short texts with 2 LCS / (len a + len b) >= least; self-joins give a pair once, the smaller id first.
 
-    No cross join: the ratio is at most 2 min / (a + b), so lengths of a pair differ by a bounded factor;
-    a text goes to the length bands in reach, and pairs of a band that share a rare enough letter count
-    bound are aligned. Self-joins give each pair once, the smaller id first.
+    Candidates come from an equi-join, not a product. A pair with that ratio is at most D insertions and
+    deletions apart, D following from the shorter length n; so of D + 1 segments of the shorter text one
+    stands unchanged in the longer, at most D places off. Shorter texts give their segments, longer ones
+    the substrings in reach, keyed by (n, segment, characters); hits are cut by letter counts, then aligned.
     """
+    rows = lambda df: df.select(F.col(id_).alias("id"), F.col(text).alias("s"), F.length(text).alias("m")).where("s IS NOT NULL")
+    a, b = rows(left), rows(right)
     wide = 2.0 / least - 1.0  # longer <= wide * shorter
-    band = lambda n: F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.log(F.lit(max(wide, 1.0001))))
-    a = left.select(F.col(id_).alias("id_a"), F.col(text).alias("a"), band(F.length(text)).alias("band"))
-    b = right.select(F.col(id_).alias("id_b"), F.col(text).alias("b"), F.explode(F.array(band(F.length(text)) - 1, band(F.length(text)), band(F.length(text)) + 1)).alias("band"))
-    pairs = a.join(b, "band")
+    reach = lambda n: F.floor(F.lit((1.0 - least) * (1.0 + wide)) * n + 1e-9).cast("int")
+    place = lambda n, k, i: F.floor(i * n / k).cast("int")  # noqa: E731  where segment i of k begins, from 0
+    key = lambda n, i, c: F.xxhash64(n, i, c).alias("key")
+
+    def short_side(df: DataFrame) -> DataFrame:
+        seg = df.withColumn("k", reach(F.col("m")) + 1).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        at, end = place(F.col("m"), F.col("k"), F.col("i")), place(F.col("m"), F.col("k"), F.col("i") + 1)
+        return seg.select("id", "s", key(F.col("m"), F.col("i"), F.substring(F.col("s"), at + 1, end - at)))
+
+    def long_side(df: DataFrame) -> DataFrame:
+        n = df.withColumn("n", F.explode(F.sequence(F.ceil(F.col("m") / F.lit(wide) - 1e-9).cast("int"), F.col("m")))).withColumn("k", reach(F.col("n")) + 1)
+        seg = n.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        seg = seg.withColumn("at", place(F.col("n"), F.col("k"), F.col("i"))).withColumn("len", place(F.col("n"), F.col("k"), F.col("i") + 1) - F.col("at"))
+        low, high = F.greatest(F.col("at") - F.col("k") + 1, F.lit(0)), F.least(F.col("at") + F.col("k") - 1, F.col("m") - F.col("len"))
+        seg = seg.where(high >= low).withColumn("p", F.explode(F.sequence(low, high)))
+        return seg.select(F.col("id").alias("id2"), F.col("s").alias("s2"), key(F.col("n"), F.col("i"), F.substring(F.col("s"), F.col("p") + 1, F.col("len")))).distinct()
+
+    hit = short_side(a).join(long_side(b), "key")
     if itself:
-        pairs = pairs.where("id_a < id_b")
-    la, lb = F.length("a"), F.length("b")
-    pairs = pairs.where(F.when(la + lb == 0, True).otherwise(2 * F.least(la, lb) >= least * (la + lb)))
-    pairs = pairs.where(2 * letter_bound(F.col("a"), F.col("b")) >= F.lit(least) * (la + lb))
+        pairs = hit.where("id <> id2").select(F.least("id", "id2").alias("id_a"), F.greatest("id", "id2").alias("id_b"), F.when(F.col("id") < F.col("id2"), F.col("s")).otherwise(F.col("s2")).alias("a"), F.when(F.col("id") < F.col("id2"), F.col("s2")).otherwise(F.col("s")).alias("b"))
+    else:
+        other = short_side(b).join(long_side(a), "key")
+        pairs = hit.select(F.col("id").alias("id_a"), F.col("id2").alias("id_b"), F.col("s").alias("a"), F.col("s2").alias("b")).unionByName(other.select(F.col("id2").alias("id_a"), F.col("id").alias("id_b"), F.col("s2").alias("a"), F.col("s").alias("b")))
+    total = F.length("a") + F.length("b")
+    pairs = pairs.distinct().where(2 * letter_bound(F.col("a"), F.col("b")) >= F.lit(least) * total - 1e-9)
     return pairs.withColumn("ratio", kernels.ratio(F.col("a"), F.col("b"))).where(F.col("ratio") >= least).select("id_a", "id_b", "ratio")
 
 
