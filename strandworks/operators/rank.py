@@ -2,21 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+
+
+BUCKETS = 256
+
+
+def _before(counts: DataFrame, value: str, by: list[str], ascending: bool) -> DataFrame:
+    """Add ``_before``: how many rows have a value ahead. counts: one row (by, value, _n) for each value.
+
+    Numbers without groups are cut at approximate quantiles into BUCKETS ranges, which are summed apart
+    and offset by the sums of the ranges ahead, so that no task orders the whole table.
+    """
+    order = F.col(value).asc() if ascending else F.col(value).desc()
+    own = lambda *keys: F.sum("_n").over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
+    kind = counts.schema[value].dataType
+    if by or not isinstance(kind, T.NumericType) or isinstance(kind, T.DecimalType):
+        return counts.withColumn("_before", own(*by))
+    cuts = counts.agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 10_000)).first()[0] or []
+    cuts = sorted(set(cuts))
+    if not cuts:
+        return counts.withColumn("_before", own())
+    edges = F.lit(cuts).cast(T.ArrayType(kind))
+    ranged = counts.withColumn("_range", F.size(F.filter(edges, lambda c: c < F.col(value))))
+    sums = ranged.groupBy("_range").agg(F.sum("_n").alias("_sum"))  # at most BUCKETS rows
+    along = W.partitionBy().orderBy(F.col("_range").asc() if ascending else F.col("_range").desc()).rowsBetween(W.unboundedPreceding, 0)
+    sums = sums.select(F.col("_range").alias("_r"), (F.sum("_sum").over(along) - F.col("_sum")).alias("_ahead"))
+    ranged = ranged.withColumn("_own", own("_range")).join(F.broadcast(sums), F.col("_range") == F.col("_r"))
+    return ranged.withColumn("_before", F.col("_own") + F.col("_ahead")).drop("_range", "_r", "_own", "_ahead")
 
 
 def with_average_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None, ascending: bool = True) -> DataFrame:
     """Average rank of each row by value, within groups; null and NaN values get none.
 
-    Without groups the order is global: counts a value are ranked, not rows, so what meets in one task
-    is the distinct values; each row then gets its value's rank by a join.
+    Counts a value are ranked, not rows, so a common value is one row; each row then gets its value's
+    rank by a join.
     """
     by = by or []
     ok = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     counts = df.where(ok).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    order = W.partitionBy(*by).orderBy(F.col(value).asc() if ascending else F.col(value).desc())
-    before = F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
-    ranks = counts.withColumn(out, before + (F.col("_n") + 1) / 2).drop("_n")
+    ranks = _before(counts, value, by, ascending).withColumn(out, F.col("_before") + (F.col("_n") + 1) / 2)
     ranks = ranks.select(*[F.col(c).alias(f"_{c}") for c in [*by, value]], out)
     cond = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*by, value]]
     return df.join(ranks, cond, "left").drop(*[f"_{c}" for c in [*by, value]])

@@ -337,7 +337,7 @@ def regression_metrics(t):
 
 @query("SELECT p_partkey, p_size, p_retailprice FROM part p WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.p_size >= p.p_size AND q.p_retailprice <= p.p_retailprice AND (q.p_size > p.p_size OR q.p_retailprice < p.p_retailprice))")
 def pareto_front(t):
-    return select.pareto_front(t("part"), "p_partkey", {"p_size": True, "p_retailprice": False}).select("p_partkey", "p_size", "p_retailprice")
+    return select.pareto_front(t("part"), {"p_size": True, "p_retailprice": False}).select("p_partkey", "p_size", "p_retailprice")
 
 
 @query("""

@@ -136,3 +136,22 @@ def test_fasta_round_trip(spark, tmp_path):
             fasta.read_fasta(spark, str(p))
     p.write_text("ACD\n>x\nAAA\n>y\n")
     assert [r.sequence for r in fasta.read_fasta(spark, str(p), strict=False).collect()] == ["AAA"]
+
+
+def test_pareto_matches_brute_force(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, *map(float, r.integers(0, 12, 3))) for i in range(200)] + [(900, None, 1.0, 1.0)]
+    got = {x.i for x in select.pareto_front(spark.createDataFrame(rows, "i int, a double, b double, c double"), {"a": True, "b": False, "c": True}).collect()}
+    pts = {i: (a, -b, c) for i, a, b, c in rows if a is not None}
+    beat = lambda x, y: all(p >= q for p, q in zip(x, y)) and x != y
+    assert got == {i for i, x in pts.items() if not any(beat(y, x) for y in pts.values())}
+
+
+def test_average_rank_over_many_values(spark):
+    r = np.random.default_rng(9)
+    vals = [float(v) for v in r.integers(0, 700, 1500)]
+    df = spark.createDataFrame(list(enumerate(vals)), "i int, v double")
+    for up in (True, False):
+        got = dict(one(rank.with_average_rank(df, "v", "r", ascending=up).select("i", "r")))
+        s = sorted(vals, reverse=not up)
+        assert all(got[i] == s.index(v) + (s.count(v) + 1) / 2 for i, v in enumerate(vals))
