@@ -99,3 +99,22 @@ def hash_bucket(s: Column) -> Column:
 def hash_split(s: Column) -> Column:
     b = hash_bucket(s)
     return F.when(b < 0.70, "train").when(b < 0.85, "development").otherwise("holdout")
+
+
+def clamp_score(x: Column, low: float, high: float, falling: bool = False) -> Column:
+    """0..100 along a straight line from low to high; falling: from high to low."""
+    part = (F.lit(high) - x) / (high - low) if falling else (x - F.lit(low)) / (high - low)
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * part))
+
+
+def range_score(x: Column, low: float, high: float, slack: float) -> Column:
+    """100 inside [low, high], falling to 0 at ``slack`` outside."""
+    away = F.greatest(F.lit(low) - x, x - F.lit(high), F.lit(0.0))
+    return F.greatest(F.lit(0.0), 100.0 * (1.0 - away / slack))
+
+
+def linear_head(vector: Column, mean: list[float], scale: list[float], weights: list[float], bias: float) -> Column:
+    """((x - mean) / scale) . weights + bias of an array column; null for other lengths."""
+    table = F.array(*[F.struct(F.lit(float(m)).alias("m"), F.lit(float(s)).alias("s"), F.lit(float(w)).alias("w")) for m, s, w in zip(mean, scale, weights)])
+    terms = F.zip_with(vector, table, lambda x, t: (x - t["m"]) / t["s"] * t["w"])
+    return F.when(F.size(vector) == len(weights), F.aggregate(terms, F.lit(float(bias)), lambda a, x: a + x))

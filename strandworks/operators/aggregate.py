@@ -65,3 +65,43 @@ def standardised(df: DataFrame, run: str, stratum: str, value: str, reference: D
     common = cells.groupBy(stratum).agg(F.countDistinct(run).alias("_k")).crossJoin(F.broadcast(runs)).where("_k = _runs").select(stratum)  # one row
     weights = reference.groupBy(stratum).agg(F.count("*").alias("_w")).join(common, stratum, "left_semi")
     return cells.join(weights, stratum).groupBy(run).agg((F.sum(F.col("_m") * F.col("_w")) / F.sum("_w")).alias(value))
+
+
+def ground_truth(df: DataFrame, key: str, value: str, threshold: float) -> DataFrame:
+    """A key's success rate, median and 90th percentile of log2 values, and the share of successes that are halved too."""
+    low = (F.col(value) <= threshold).cast("double")
+    strict = (F.col(value) <= threshold / 2).cast("double")
+    return df.groupBy(key).agg(F.avg(low).alias("success"), F.percentile(F.log2(value), 0.5).alias("q50"), F.percentile(F.log2(value), 0.9).alias("q90"), F.avg(strict).alias("conservative"))
+
+
+def inverse_size_weights(df: DataFrame, group: str, out: str = "weight") -> DataFrame:
+    """One over the group's size, over the sum of all: groups count alike. Sizes are counted before the join."""
+    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+    groups = sizes.agg(F.count("*").alias("_k"))
+    return df.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).crossJoin(F.broadcast(groups)).withColumn(out, 1.0 / (F.col("_n") * F.col("_k"))).drop("_g", "_n", "_k")  # one row
+
+
+def exceedance(df: DataFrame, reference: DataFrame, features: list[str], out: str = "exceeds") -> DataFrame:
+    """Share of a row's features outside the reference's range."""
+    ends = reference.agg(*[F.min(c).alias(f"_lo_{c}") for c in features], *[F.max(c).alias(f"_hi_{c}") for c in features])
+    outside = sum(((F.col(c) < F.col(f"_lo_{c}")) | (F.col(c) > F.col(f"_hi_{c}"))).cast("int") for c in features)
+    return df.crossJoin(F.broadcast(ends)).withColumn(out, outside / F.lit(len(features))).select(*df.columns, out)  # one row
+
+
+def error_slices(df: DataFrame, slices: list[str], error: str) -> DataFrame:
+    """(slice, value, n, mae) over several grouping columns in one pass."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("slice"), F.col(c).cast("string").alias("value")) for c in slices])).alias("s"), error)
+    return long.groupBy("s.slice", "s.value").agg(F.count("*").alias("n"), F.avg(F.abs(error)).alias("mae"))
+
+
+def rule_ablation(df: DataFrame, reasons: str, rules: list[str], positive: str) -> DataFrame:
+    """(removed, kept, positives_kept): how many rows pass, and how many of the positives, when one rule is left out."""
+    grid = df.withColumn("removed", F.explode(F.array(*[F.lit(r) for r in rules])))
+    passes = F.size(F.array_except(reasons, F.array("removed"))) == 0
+    return grid.groupBy("removed").agg(F.sum(passes.cast("long")).alias("kept"), F.sum((passes & F.col(positive)).cast("long")).alias("positives_kept"))
+
+
+def deduplicated_total(df: DataFrame, key: str, cost: str) -> DataFrame:
+    """Sum of costs with each key once; ``conflicts`` counts keys of several costs."""
+    once = df.groupBy(key).agg(F.min(cost).alias("_lo"), F.max(cost).alias("_hi"))
+    return once.agg(F.sum("_lo").alias("total"), F.sum((~F.col("_lo").eqNullSafe(F.col("_hi"))).cast("long")).alias("conflicts"))

@@ -44,3 +44,38 @@ def regression(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 def brier(df: DataFrame, p: str, label: str) -> DataFrame:
     q = F.least(F.greatest(F.col(p), F.lit(1e-15)), F.lit(1 - 1e-15))
     return df.agg(F.avg((F.col(p) - F.col(label)) ** 2).alias("brier"), F.avg(-(F.col(label) * F.ln(q) + (1 - F.col(label)) * F.ln(1 - q))).alias("log_loss"))
+
+
+def kendall(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
+    """Kendall's tau-a in each group by a self-join of pairs within it; for groups of bounded size."""
+    rows = df.select(group, F.monotonically_increasing_id().alias("_i"), F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
+    other = rows.select(F.col(group).alias("_g"), F.col("_i").alias("_j"), F.col("_a").alias("_a2"), F.col("_b").alias("_b2"))
+    pairs = rows.join(other, (F.col(group) == F.col("_g")) & (F.col("_i") < F.col("_j")))
+    return pairs.groupBy(group).agg(F.avg(F.signum(F.col("_a") - F.col("_a2")) * F.signum(F.col("_b") - F.col("_b2"))).alias("tau"))
+
+
+def ridge(df: DataFrame, features: list[str], target: str, penalty: float) -> list[float]:
+    """Weights, then intercept, of a ridge fit: the Gram matrix is summed in Spark, (d + 1)^2 numbers are solved on the driver."""
+    import numpy as np
+
+    cols = [F.col(c).cast("double") for c in features] + [F.lit(1.0), F.col(target).cast("double")]
+    d = len(cols)
+    got = df.dropna(subset=[*features, target]).agg(*[F.sum(cols[i] * cols[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d)]).first()
+    g = np.zeros((d, d))
+    for i in range(d):
+        for j in range(i, d):
+            g[i, j] = g[j, i] = got[f"g{i}_{j}"]
+    reg = penalty * np.eye(d - 1)
+    reg[-1, -1] = 0.0  # the intercept is free
+    return np.linalg.solve(g[:-1, :-1] + reg, g[:-1, -1]).tolist()
+
+
+def calibrate(df: DataFrame, features: list[str], label: str, out: str = "probability") -> DataFrame:
+    """Logistic calibration fitted by Spark ML."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    data = VectorAssembler(inputCols=features, outputCol="_x").transform(df)
+    model = LogisticRegression(featuresCol="_x", labelCol=label, probabilityCol="_p", predictionCol="_y", rawPredictionCol="_r").fit(data)
+    return model.transform(data).withColumn(out, F.get(vector_to_array("_p"), F.lit(1))).drop("_x", "_p", "_y", "_r")

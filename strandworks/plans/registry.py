@@ -450,3 +450,75 @@ def select_library_top(t):
     rows = rank.percentile_score(rank.percentile_score(rows, "entropy", "a"), "share", "b", reverse=True)
     rows = rows.select("doc_id", "n", F.round((F.col("a") + F.col("b")) / 2, 9).alias("score"))
     return select.top_per_group(rows, "n", [F.col("score").desc(), F.col("doc_id")], 5)
+
+
+@query("""
+SELECT l_partkey, round(avg(CASE WHEN l_quantity <= 16 THEN 1.0 ELSE 0.0 END), 6) AS success, round(quantile_cont(log2(l_quantity), 0.5), 6) AS q50, round(quantile_cont(log2(l_quantity), 0.9), 6) AS q90,
+round(avg(CASE WHEN l_quantity <= 8 THEN 1.0 ELSE 0.0 END), 6) AS conservative FROM lineitem GROUP BY l_partkey
+""")
+def ground_truth(t):
+    g = aggregate.ground_truth(t("lineitem"), "l_partkey", "l_quantity", 16.0)
+    return g.select("l_partkey", *[r6(c).alias(c) for c in g.columns[1:]])
+
+
+@query("SELECT p_partkey, round(1.0 / (count(*) OVER (PARTITION BY p_brand) * (SELECT count(DISTINCT p_brand) FROM part)), 9) AS weight FROM part")
+def inverse_size_weights(t):
+    return aggregate.inverse_size_weights(t("part").select("p_partkey", "p_brand"), "p_brand").select("p_partkey", F.round("weight", 9).alias("weight"))
+
+
+@query("""
+WITH r AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_extendedprice) AS c, max(l_extendedprice) AS d FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1)
+SELECT l_orderkey, l_linenumber, ((l_quantity < a OR l_quantity > b)::INT + (l_extendedprice < c OR l_extendedprice > d)::INT) / 2.0 AS exceeds FROM lineitem, r
+""")
+def range_exceedance(t):
+    l = t("lineitem")
+    return aggregate.exceedance(l.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"), l.where("l_returnflag = 'R' AND l_linenumber = 1"), ["l_quantity", "l_extendedprice"]).select("l_orderkey", "l_linenumber", "exceeds")
+
+
+@query("""
+SELECT 'l_returnflag' AS slice, l_returnflag AS value, count(*) AS n, round(avg(abs(l_discount - l_tax)), 6) AS mae FROM lineitem GROUP BY l_returnflag
+UNION ALL SELECT 'l_linestatus', l_linestatus, count(*), round(avg(abs(l_discount - l_tax)), 6) FROM lineitem GROUP BY l_linestatus
+""")
+def error_slices(t):
+    l = t("lineitem").withColumn("e", F.col("l_discount") - F.col("l_tax"))
+    return aggregate.error_slices(l, ["l_returnflag", "l_linestatus"], "e").select("slice", "value", "n", r6("mae").alias("mae"))
+
+
+@query("""
+WITH f AS (SELECT p_size > 40 AS big, p_retailprice > 1000 AS dear, p_size % 2 = 0 AS pos FROM part)
+SELECT 'big' AS removed, sum((NOT dear)::INT)::BIGINT AS kept, sum((NOT dear AND pos)::INT)::BIGINT AS positives_kept FROM f
+UNION ALL SELECT 'dear', sum((NOT big)::INT)::BIGINT, sum((NOT big AND pos)::INT)::BIGINT FROM f
+""")
+def rule_ablation(t):
+    reasons = F.array_compact(F.array(F.when(F.col("p_size") > 40, "big"), F.when(F.col("p_retailprice") > 1000, "dear")))
+    p = t("part").select(reasons.alias("reasons"), (F.col("p_size") % 2 == 0).alias("pos"))
+    return aggregate.rule_ablation(p, "reasons", ["big", "dear"], "pos")
+
+
+@query("WITH o AS (SELECT l_partkey, min(l_tax) AS a, max(l_tax) AS b FROM lineitem GROUP BY 1) SELECT round(sum(a), 6) AS total, sum((a <> b)::INT)::BIGINT AS conflicts FROM o")
+def deduplicated_total(t):
+    return aggregate.deduplicated_total(t("lineitem"), "l_partkey", "l_tax").select(r6("total").alias("total"), "conflicts")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size >= 5 AND p_brand <> 'Brand#11' THEN round(p_retailprice - 0.15 * (p_size % 3), 6) END AS score FROM part")
+def masked_scores(t):
+    s = select.masked_score(F.col("p_retailprice"), [F.col("p_size") >= 5, F.col("p_brand") != "Brand#11"], [((F.col("p_size") % 3).cast("double"), 0.15)])
+    return t("part").select("p_partkey", r6(s).alias("score"))
+
+
+@query("""
+SELECT p_partkey, round(greatest(0, least(100, 100 * (50 - p_size) / 40.0)), 6) AS falling, round(greatest(0, 100 * (1 - greatest(20 - p_size, p_size - 30, 0) / 15.0)), 6) AS in_range,
+round((p_size - 25) / 10.0 * 0.5 + (p_retailprice - 1000) / 200.0 * -0.25 + 0.1, 6) AS head FROM part
+""")
+def piecewise_scores_and_head(t):
+    size = F.col("p_size").cast("double")
+    head = seq.linear_head(F.array(size, F.col("p_retailprice")), [25, 1000], [10, 200], [0.5, -0.25], 0.1)
+    return t("part").select("p_partkey", r6(seq.clamp_score(size, 10.0, 50.0, falling=True)).alias("falling"), r6(seq.range_score(size, 20.0, 30.0, 15.0)).alias("in_range"), r6(head).alias("head"))
+
+
+@query("""
+WITH r AS (SELECT l_orderkey, l_quantity AS a, l_extendedprice AS b, row_number() OVER () AS i FROM lineitem)
+SELECT x.l_orderkey, round(avg(sign(x.a - y.a) * sign(x.b - y.b)), 6) AS tau FROM r x JOIN r y ON x.l_orderkey = y.l_orderkey AND x.i < y.i GROUP BY x.l_orderkey
+""")
+def kendall_within_orders(t):
+    return metrics.kendall(t("lineitem"), "l_orderkey", "l_quantity", "l_extendedprice").select("l_orderkey", r6("tau").alias("tau"))
