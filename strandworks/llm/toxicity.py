@@ -192,7 +192,14 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Net | float:
         grams[y, np.unique(trigrams(sorted(words))[0])] += 1
     vocab = {w: i for i, w in enumerate(sorted((w for w, c in df.items() if sum(c) >= MIN_DF), key=lambda w: (-sum(df[w]), w))[:WORDS])}
     n = np.array([(labels == 0).sum(), (labels == 1).sum()])
-    odds = lambda c: np.clip(np.log((c[1] + 0.5) / (n[1] + 1)) - np.log((c[0] + 0.5) / (n[0] + 1)), -3, 3)
+
+    def odds(c: np.ndarray) -> np.ndarray:
+        """Log odds of texts of the two kinds, shrunk where the shares lie within few standard errors."""
+        p = (c.sum(axis=0) + 0.5) / (n.sum() + 1)
+        z = np.abs(c[1] / n[1] - c[0] / n[0]) / np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]))
+        raw = np.log((c[1] + 0.5) / (n[1] + 1)) - np.log((c[0] + 0.5) / (n[0] + 1))
+        return np.clip(raw, -3, 3) * np.clip((z - 3) / 4, 0, 1)
+
     net = Net(vocab, odds(np.array([df[w] for w in vocab]).T.reshape(2, -1)), odds(grams), seed)
     names: dict[str, int] = {}
     ids = [np.array([names.setdefault(w, len(names)) for w in d], np.int64) for d in docs]
