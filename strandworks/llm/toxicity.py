@@ -201,10 +201,12 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Net | float:
         return np.clip(raw, -3, 3) * np.clip((z - 3) / 4, 0, 1)
 
     net = Net(vocab, odds(np.array([df[w] for w in vocab]).T.reshape(2, -1)), odds(grams), seed)
+    del bares, df  # the driver's memory is small
     names: dict[str, int] = {}
     ids = [np.array([names.setdefault(w, len(names)) for w in d], np.int64) for d in docs]
     look = net.lookup(list(names))
-    spans = [(i, a, b) for i, d in enumerate(docs) for a, b in windows(len(d))]
+    del docs, names
+    spans = [(i, a, b) for i, d in enumerate(ids) for a, b in windows(len(d))]
     of = np.array([s[0] for s in spans])
     first = net.inputs(look)[0]
     hint = first[:, [0, 2 * DIM]].max(axis=1) if len(first) else np.zeros(0)
@@ -212,7 +214,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Net | float:
     lead = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
     mom: dict[str, list[np.ndarray]] = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
-    picks = len(docs) + int((labels == 0).sum())
+    picks = len(ids) + int((labels == 0).sum())
     epochs = max(EPOCHS, -(-STEPS // -(-picks // BATCH)))  # small samples take more rounds
     for epoch in range(epochs + 1):
         order = np.lexsort((-scores, of))
