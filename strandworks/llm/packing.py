@@ -231,7 +231,7 @@ class Words:
         model = spec["model"]
         self.model = models.BPE(vocab=model["vocab"], merges=[tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], end_of_word_suffix=model["end_of_word_suffix"])
         self.cut = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.latin = regex.compile("[\x00-\u012f\u0131-\u024f]*").fullmatch
+        self.little = [i.to_bytes(4, "little") for i in range(max(model["vocab"].values(), default=0) + 1)]
         self.table = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
         self.cache: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -240,7 +240,8 @@ class Words:
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            got = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.table)))
+            wide = piece if piece.isascii() and piece.isprintable() else piece.encode("utf-8").decode("latin-1").translate(self.table)
+            got = b"".join([self.little[t.id] for t in self.model.tokenize(wide)])
             if len(piece) <= CACHE_BYTES:
                 if len(self.pieces) >= CACHE_WORDS:
                     self.pieces.clear()
@@ -249,8 +250,13 @@ class Words:
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8")
-        if text.isascii() or self.latin(text):
-            return b"".join(map(self._piece, self.cut(text.lower())))
+        if text.isascii() or max(text) < "\u0250" and "\u0130" not in text:
+            low = text.lower()
+            if low.isalpha():  # a letter run is one match of the pattern, and so is a mark behind it
+                return self._piece(low)
+            if low[-1] in ".,;:!?" and low[:-1].isalpha():
+                return self._piece(low[:-1]) + self._piece(low[-1])
+            return b"".join(map(self._piece, self.cut(low)))
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
