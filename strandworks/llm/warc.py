@@ -133,14 +133,14 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
     shift = lambda *names: [(F.col(n) + F.col("base")).alias(n) for n in names]
     placed = cut(placed.select("file", "split", *shift("start", "exit", "last_start", "last_payload"), "last_length"), "placed")
     most = splits.groupBy("file").count().agg(F.max("count")).first()[0] or 0
-    jump = placed.select("file", "start", "exit")
+    jump = placed.select("file", "start", "exit")  # small as Parquet, large in memory: its joins are kept from broadcasting it
     reached = splits.select("file").distinct().select("file", F.lit(0).cast("long").alias("start"))
     for _ in range(max(0, int(most) - 1).bit_length()):  # a chain enters a split at most once
-        step = reached.join(jump, ["file", "start"]).select("file", F.col("exit").alias("start"))
+        step = reached.join(jump.hint("merge"), ["file", "start"]).select("file", F.col("exit").alias("start"))
         before, reached = reached, cut(reached.union(step).distinct(), "reached")
         drop_cut(before)
         far = jump.select("file", F.col("start").alias("exit"), F.col("exit").alias("far"))
-        before, jump = jump, cut(jump.join(far, ["file", "exit"]).select("file", "start", F.col("far").alias("exit")), "jump")
+        before, jump = jump, cut(jump.join(far.hint("merge"), ["file", "exit"]).select("file", "start", F.col("far").alias("exit")), "jump")
         drop_cut(before)
     entry = placed.join(reached, ["file", "start"], "left_semi")
     rows = splits.join(entry.drop("base", "exit"), ["file", "split"], "left")
