@@ -59,3 +59,19 @@ def test_a_copied_text_keeps_one_whole_bearer(spark):
     rows = [(i, text, "h") for i in range(40)] + [(100 + i, " ".join(word() for _ in range(30)), "h") for i in range(40)]
     got = {g.doc_id: g.kept for g in L.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got[0] and not any(got[i] for i in range(1, 40)) and all(got[100 + i] for i in range(40))
+
+
+def test_a_line_in_a_small_share_of_a_large_host(spark):
+    import corpus_pipeline as C
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    line, rare = (" ".join(word() for _ in range(8)) for _ in range(2))
+    body = lambda i: " ".join(word() for _ in range(30)) + (f"\n{line}" if i < 30 else "") + (f"\n{rare}" if 100 <= i < 120 else "")
+    rows = [(i, body(i), "en", "large", 1) for i in range(2000)] + [(5000, " ".join(word() for _ in range(15)) + "\n" + line, "en", "large", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for limit in (L.BROADCAST_LINES, 0):
+        judged = L.judge(docs, share=None, broadcast_lines=limit).collect()
+        assert {g.doc_id for g in judged if g.n_removed_lines} == {*range(1, 30), 5000}
+    got = {g.doc_id: g.text for g in C.quality(spark, docs, "").collect()}
+    assert [i for i in range(2000) if line in got[i]] == [0] and all(rare in got[i] for i in range(100, 120)) and 5000 not in got
