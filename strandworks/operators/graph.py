@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -17,6 +18,18 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def over_blocks(state: DataFrame, reference: DataFrame, size: int, merged) -> DataFrame:
+    """``merged(state, block)`` for each block of ``size`` values of a one-column table in turn; one block is on the driver at a time."""
+    values = (r[0] for r in reference.toLocalIterator())
+    block = list(itertools.islice(values, size))
+    while block:
+        state = merged(state, block)
+        block = list(itertools.islice(values, size))
+        if block:
+            state = _cut(state)
+    return state
+
+
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, root) for nodes (id) and undirected edges (a, b): the smallest id reachable.
 

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import kernels
+from .graph import over_blocks
 
 
 class ContractError(ValueError):
@@ -98,24 +99,26 @@ def letter_bound(a: Column, b: Column) -> Column:
 
 
 def max_similarity(left: DataFrame, reference: DataFrame, text: str, id_: str, most_rows: int = 50_000) -> DataFrame:
-    """(id, max_ratio) of each left text over all reference texts; the reference is broadcast and its size is checked."""
-    ref = reference.select(F.col(text).alias("_r")).where("_r IS NOT NULL").distinct()
-    if ref.limit(most_rows + 1).count() > most_rows:
-        raise ContractError(f"more than {most_rows} reference texts; use similar_pairs with a threshold")
-    items = ref.agg(F.collect_list("_r").alias("_refs"))  # at most most_rows short texts
-
-    @F.pandas_udf("double")
-    def best(texts: pd.Series, refs: pd.Series) -> pd.Series:
-        out = []
-        for t, rs in zip(texts, refs):
-            top = 0.0
-            for r in rs if t is not None else ():
-                n = len(t) + len(r)
-                if n and 2 * min(len(t), len(r)) / n > top:
-                    top = max(top, 2 * kernels.lcs_length(t, r) / n)
-                elif not n:
-                    top = 1.0
-            out.append(None if t is None else top)
-        return pd.Series(out, dtype="float64")
-
-    return left.select(id_, text).crossJoin(F.broadcast(items)).select(id_, best(F.col(text), F.col("_refs")).alias("max_ratio"))  # one row
+    """(id, max_ratio) of each left text over all reference texts; the reference is broadcast in blocks of ``most_rows``."""
+    ref = reference.select(text).where(F.col(text).isNotNull()).distinct()
+
+    def merged(state: DataFrame, block: list) -> DataFrame:
+        shared = left.sparkSession.sparkContext.broadcast(block)
+
+        @F.pandas_udf("double")
+        def best(texts: pd.Series, tops: pd.Series) -> pd.Series:
+            out = []
+            for t, top in zip(texts, tops):
+                for r in shared.value if t is not None else ():
+                    n = len(t) + len(r)
+                    if n and 2 * min(len(t), len(r)) / n > top:
+                        top = max(top, 2 * kernels.lcs_length(*sorted((t, r), key=len)) / n)
+                    elif not n:
+                        top = 1.0
+                out.append(None if t is None else top)
+            return pd.Series(out, dtype="float64")
+
+        return state.withColumn("max_ratio", best(F.col(text), F.col("max_ratio")))
+
+    state = left.select(id_, text, F.when(F.col(text).isNotNull(), F.lit(0.0)).alias("max_ratio"))
+    return over_blocks(state, ref, most_rows, merged).select(id_, "max_ratio")

@@ -4,29 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .graph import over_blocks
+
 
 def knn_median(df: DataFrame, reference: DataFrame, key: str, vector: str, k: int = 5, most_rows: int = 200_000) -> DataFrame:
-    """Median Euclidean distance to the k nearest reference vectors, by blocks of rows against a broadcast matrix of checked size."""
+    """Median Euclidean distance to the k nearest reference vectors; exact at any size of the reference.
+
+    The reference is broadcast in blocks of ``most_rows``; each block is merged into a row's k smallest distances.
+    """
     import numpy as np
     import pyarrow as pa
 
-    rows = reference.select(vector).where(F.col(vector).isNotNull()).limit(most_rows + 1).toArrow().column(0).to_pylist()
-    if len(rows) > most_rows:
-        raise ValueError(f"more than {most_rows} reference vectors; take a sample of a stated size")
-    shared = df.sparkSession.sparkContext.broadcast(np.array(rows, float))
-
-    def run(batches):
-        ref = shared.value
-        norm = (ref * ref).sum(axis=1)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                x = np.array(part.column(1).to_pylist(), float)
-                d = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + norm - 2 * x @ ref.T, 0))
-                near = np.sort(np.partition(d, min(k, len(ref)) - 1, axis=1)[:, :k], axis=1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.median(near, axis=1))], names=[key, "distance"])
-
-    return df.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, distance double")
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, {vector} {df.schema[vector].dataType.simpleString()}, _near array<double>"
+
+    def merged(state: DataFrame, block: list) -> DataFrame:
+        shared = df.sparkSession.sparkContext.broadcast(np.array(block, float))
+
+        def run(batches):
+            ref = shared.value
+            norm = (ref * ref).sum(axis=1)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    x = np.array(part.column(1).to_pylist(), float)
+                    d = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + norm - 2 * x @ ref.T, 0))
+                    d = np.partition(d, min(k, len(ref)) - 1, axis=1)[:, :k]
+                    d = np.sort(np.concatenate([np.array(part.column(2).to_pylist(), float), d], axis=1), axis=1)[:, :k]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(d.tolist(), pa.list_(pa.float64()))], names=[key, vector, "_near"])
+
+        return state.mapInArrow(run, schema)
+
+    state = df.select(key, vector, F.array().cast("array<double>").alias("_near")).where(F.col(vector).isNotNull())
+    state = over_blocks(state, reference.select(vector).where(F.col(vector).isNotNull()), most_rows, merged)
+    n = F.size("_near")
+    at = lambda i: F.get("_near", F.floor(i).cast("int"))
+    return state.select(key, ((at((n - 1) / 2) + at(n / 2)) / 2).alias("distance"))
 
 
 def pca(df: DataFrame, vector: str, k: int, out: str = "projected") -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandworks.functions import censor, kernels, seq
-from strandworks.operators import aggregate, graph, joins, rank, resample, select
+from strandworks.operators import aggregate, graph, joins, rank, resample, select, vectors
 from strandworks.sources import fasta, tables
 
 
@@ -155,3 +155,20 @@ def test_average_rank_over_many_values(spark):
         got = dict(one(rank.with_average_rank(df, "v", "r", ascending=up).select("i", "r")))
         s = sorted(vals, reverse=not up)
         assert all(got[i] == s.index(v) + (s.count(v) + 1) / 2 for i, v in enumerate(vals))
+
+
+def test_references_beyond_one_block(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in r.normal(size=4)]) for i in range(60)] + [(90, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    ref = np.array([v for i, v in rows if v and i < 37])
+    for k, most in ((5, 10), (4, 3)):
+        got = {x.id: x.distance for x in vectors.knn_median(df, df.where("id < 37 OR id = 90"), "id", "v", k, most).collect()}
+        want = {i: np.median(np.sort(np.linalg.norm(ref - np.array(v), axis=1))[:k]) for i, v in rows if v}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    texts = [(i, "".join(r.choice(list("abcd"), r.integers(1, 20)))) for i in range(40)] + [(90, None)]
+    t = spark.createDataFrame(texts, "id long, s string")
+    whole = {x.id: x.max_ratio for x in joins.max_similarity(t, t.where("id >= 15"), "s", "id").collect()}
+    parts = {x.id: x.max_ratio for x in joins.max_similarity(t, t.where("id >= 15"), "s", "id", most_rows=4).collect()}
+    assert whole == parts and parts[90] is None and all(parts[i] == 1.0 for i in range(15, 40))
+    assert all(abs(parts[i] - max(2 * kernels.lcs_length(s, o) / (len(s) + len(o)) for j, o in texts if j >= 15 and o)) < 1e-12 for i, s in texts if s)
