@@ -172,3 +172,16 @@ def test_references_beyond_one_block(spark):
     parts = {x.id: x.max_ratio for x in joins.max_similarity(t, t.where("id >= 15"), "s", "id", most_rows=4).collect()}
     assert whole == parts and parts[90] is None and all(parts[i] == 1.0 for i in range(15, 40))
     assert all(abs(parts[i] - max(2 * kernels.lcs_length(s, o) / (len(s) + len(o)) for j, o in texts if j >= 15 and o)) < 1e-12 for i, s in texts if s)
+
+
+def test_similarity_to_reference_reads_whole_texts(spark, tmp_path):
+    from strandworks.plans.registry import QUERIES
+
+    start = "the same beginning of forty characters.. "
+    docs = [(1, start + "abcabcabc" * 10), (2, "zzz " * 20 + start), (3, None)]
+    refs = [(7, start + "xyxyxyxy" * 12), (8, "unlike " * 9)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(refs, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.id: r.max_ratio for r in QUERIES["max_similarity_to_reference"](spark, str(tmp_path)).collect()}
+    want = {i: max(2 * kernels.lcs_length(d, r) / (len(d) + len(r)) for _, r in refs) for i, d in docs if d}
+    assert got == want | {3: None} and got[1] < 0.5
