@@ -20,8 +20,8 @@ def over_draws(df: DataFrame, position: str, index: DataFrame, value: str) -> Da
 def cluster_bootstrap(df: DataFrame, cluster: str, value: str, rounds: int = 100, seed: int = 42) -> DataFrame:
     """Interval of the mean when whole clusters are drawn again: sums a cluster first, then draws of them.
 
-    The sums are ordered by cluster, which gives each a position; how often a cluster is drawn in a
-    round comes from one multinomial draw a round, made for blocks of positions by a seeded Poisson.
+    How often a cluster counts in a round is a Poisson(1) weight from a seeded hash of cluster and round,
+    cut at 6; it stands for a multinomial draw, so a round's number of clusters varies about their number.
     """
     sums = df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     u = lambda r: F.pmod(F.xxhash64(F.col(cluster), r, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
