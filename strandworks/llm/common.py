@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,20 +21,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset (tests, one machine) is a
-    local folder made and set.
+    The cluster names it in spark.checkpoint.dir. Only where that is unset and all runs on one machine is a
+    local folder made and set; on a cluster an unset folder is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="strandworks-")
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+_runs: dict[str, SparkSession] = {}
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder below the shared one: it holds every cut and goes when the program ends."""
+    path = f"{shared_dir(spark)}/strandworks/{spark.sparkContext.applicationId}-{os.getpid()}"
+    if path not in _runs:
+        if not _runs:
+            atexit.register(clear)
+        _runs[path] = spark
+    return path
+
+
+def clear() -> None:
+    """Delete what the cuts of this program left; nothing that reads them may be in use."""
+    for path, spark in list(_runs.items()):
+        try:
+            remove(spark, path)
+        except Exception:  # noqa: BLE001  Spark has stopped: the folder stays for the cluster's own clean-up
+            pass
+        _runs.pop(path, None)
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: the lineage ends there, whatever executors are lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandworks/{tag}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._strandworks_path = path
@@ -99,15 +126,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
 
-def blocks(batch: pa.RecordBatch, chars: int = 500_000) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts have about so many bytes, so that what is made of one slice fits in memory."""
-    lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    group = np.cumsum(lengths) // chars
-    start = 0
-    for end in [*(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]:
-        if end > start:
-            yield batch.slice(start, end - start)
-        start = end
+def blocks(batch: pa.RecordBatch, size: int = 500_000, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose values have about so many bytes, so that what is made of one slice fits in memory.
+
+    A value above the size is a slice of its own.
+    """
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start, held = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > start and held + n > size:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
 
 
 def carried(df: DataFrame, names: list[str] | None) -> tuple[list, str]:

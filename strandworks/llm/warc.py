@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import cut, drop_cut, shared_dir
+from .common import cut, drop_cut, run_dir
 
 END = "\r\n\r\n"
 REVISIT_BYTES = 100
@@ -268,4 +268,4 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def new_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/strandworks/warc-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/warc-{uuid.uuid4().hex}"
