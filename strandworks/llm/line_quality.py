@@ -1,19 +1,17 @@
 """Quality rules: per-document base rules and cross-document line frequency.
 
 Lines (``\\n``-split, with a word) are normalised (A-Z lower-cased, digits made 0, white space made one
-space, trimmed) and hashed. For each host the distinct documents of a line are counted. A line in more
-than ``min_docs`` documents is boilerplate, at any size of the host, if ``share`` is None; with a share
-(op1's SQL has one) it must be in more than that share of the host's documents too. Boilerplate is
+space, trimmed) and hashed. For each host the distinct documents (ids) of a line are counted. A line in
+more than ``min_docs`` documents of a host is boilerplate, at any size of the host. Boilerplate is
 removed from every document of that host but the one with the smallest id that holds it, so that a
 text that was copied often keeps one whole bearer. A document with fewer than ``min_words`` words left,
 or fewer than ``min_left`` of its words, is depleted and rejected; so is one that fails a base rule.
 
-A host with D documents of m lines on average has at most m D / min_docs boilerplate lines (and with a
-share at most m / share, whatever D is); their set is broadcast when at most ``BROADCAST_LINES``, a
-counted bound, and joined by a shuffle beyond it.
+A host with D documents of m lines on average has at most m D / min_docs boilerplate lines; their set is
+broadcast when at most ``BROADCAST_LINES``, a counted bound, and joined by a shuffle beyond it.
 
-Rows: null text has no words and fails; null host is a host of its own; a null id counts as one
-document and never as first holder; a repeated row counts once for each line; an empty table gives no
+Rows: null text has no words and fails; null host is a host of its own; rows of a null id count as one
+document and never as first holder; rows that repeat an id count as one document; an empty table gives no
 rows. Input columns other than doc_id, text and the host column aren't returned.
 """
 
@@ -27,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import blocks, carried, cut
 
-MIN_DOCS, SHARE, MIN_WORDS, MIN_LEFT = 20, 0.1, 20, 0.3
+MIN_DOCS, MIN_WORDS, MIN_LEFT = 20, 20, 0.3
 BROADCAST_LINES = 100_000
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -85,7 +83,7 @@ def host_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("line", T.LongType()), T.StructField("doc_id", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in blocks(whole)):
             found = [np.fromiter({h for line in (t.as_py() or "").split("\n") if (h := line_hash(line)) is not None}, np.int64) for t in batch.column("text")]
             row = np.repeat(np.arange(batch.num_rows), [len(f) for f in found])
             yield pa.RecordBatch.from_arrays(
@@ -96,13 +94,12 @@ def host_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     return docs.select(F.col(host).cast("string").alias("host"), "doc_id", "text").mapInArrow(run, schema)
 
 
-def common_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float | None = SHARE) -> DataFrame:
-    """(host, line, first_id): the lines above the limits. Counts are summed before the shuffle."""
-    sizes = docs.groupBy(F.col(host).cast("string").alias("host")).agg(F.count("*").alias("host_docs"))
-    counts = host_lines(docs, host).groupBy("host", "line").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_id")).where(F.col("docs") > min_docs)
-    if share is None:
-        return counts.select("host", "line", "first_id")
-    return counts.join(sizes, counts.host.eqNullSafe(sizes.host)).where(F.col("docs") > F.lit(share) * F.col("host_docs")).select(counts.host, "line", "first_id")
+def common_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
+    """(host, line, first_id): the lines in more than ``min_docs`` distinct documents of a host."""
+    counts = host_lines(docs, host).groupBy("host", "line").agg(
+        (F.countDistinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))).alias("docs"), F.min("doc_id").alias("first_id")
+    )
+    return counts.where(F.col("docs") > min_docs).select("host", "line", "first_id")
 
 
 def found_lines(docs: DataFrame, host: str, common: DataFrame) -> DataFrame:
@@ -113,11 +110,11 @@ def found_lines(docs: DataFrame, host: str, common: DataFrame) -> DataFrame:
     return hit.groupBy(F.col("host").alias("h"), F.col("doc_id").alias("d")).agg(F.collect_set(F.struct("line", "first_id")).alias("found"))
 
 
-def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float | None = SHARE, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT, broadcast_lines: int = BROADCAST_LINES, carry: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT, broadcast_lines: int = BROADCAST_LINES, carry: list[str] | None = None) -> DataFrame:
     """docs -> doc_id, the base counts, base_failed, kept, n_removed_lines, n_words_left, cleaned text, row of carried columns."""
     extra, extra_schema = carried(docs, carry)
     more = bool(extra)
-    common = cut(common_lines(docs, host, min_docs, share), "lines")
+    common = cut(common_lines(docs, host, min_docs), "lines")
     rows = docs.select("doc_id", "text", F.col(host).cast("string").alias("host"), *extra)
     look = None
     if common.limit(broadcast_lines + 1).count() <= broadcast_lines:

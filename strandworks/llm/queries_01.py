@@ -28,10 +28,9 @@ WITH d AS (
     trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm
   FROM (SELECT r, doc_id, host, unnest(lines) AS line FROM s)
 ), c AS (
-  SELECT host, norm, count(DISTINCT r) AS docs, min(doc_id) AS first_id FROM l WHERE n > 0 GROUP BY host, norm
+  SELECT host, norm, count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) AS docs, min(doc_id) AS first_id FROM l WHERE n > 0 GROUP BY host, norm
 ), common AS (
-  SELECT c.* FROM c JOIN (SELECT host, count(*) AS host_docs FROM d GROUP BY host) h ON c.host IS NOT DISTINCT FROM h.host
-  WHERE docs > {L.MIN_DOCS} AND docs > {L.SHARE}::DOUBLE * host_docs
+  SELECT * FROM c WHERE docs > {L.MIN_DOCS}
 ), gone AS (
   SELECT l.r, count(*) AS lines, sum(l.n) AS gone_words FROM l JOIN common c ON l.host IS NOT DISTINCT FROM c.host AND l.norm = c.norm
   WHERE l.n > 0 AND l.doc_id IS DISTINCT FROM c.first_id GROUP BY l.r

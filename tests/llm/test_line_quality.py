@@ -15,18 +15,17 @@ def test_repeats_match_brute_force():
     assert L.repeats([[]]).tolist() == [0]
 
 
-def brute(rows, min_docs, share):
+def brute(rows, min_docs):
     docs = [(d, t or "", h) for d, t, h in rows]
     holders, first = {}, {}
     for d, t, h in docs:
         for k in {L.line_hash(x) for x in t.split("\n")} - {None}:
-            holders[h, k] = holders.get((h, k), 0) + 1
+            holders.setdefault((h, k), set()).add(d)
             if d is not None:
                 first[h, k] = min(first.get((h, k), d), d)
-    sizes = {h: sum(x[2] == h for x in docs) for _, _, h in docs}
     out = []
     for d, t, h in docs:
-        left = [x for x in t.split("\n") if (k := L.line_hash(x)) is None or not (holders[h, k] > min_docs and holders[h, k] > share * sizes[h]) or d is not None and first.get((h, k)) == d]
+        left = [x for x in t.split("\n") if (k := L.line_hash(x)) is None or len(holders[h, k]) <= min_docs or d is not None and first.get((h, k)) == d]
         n, m = len(t.encode().split()), len("\n".join(left).encode().split())
         failed = n < L.MIN_WORDS or 100 * brute_repeats(t.encode().split()) > 30 * n
         out.append((str(d), failed, not failed and m >= L.MIN_WORDS and m >= L.MIN_LEFT * n, "\n".join(left)))
@@ -44,9 +43,9 @@ def test_judge_matches_brute_force_both_ways(spark):
         rows.append((i, "\n".join(lines), r.choice(["h1", "h1", "h2", None])))
     rows += [(100, None, "h1"), (101, "", None), (102, "\n".join(common), "h1"), (None, "\n".join(common * 3), "h1"), (7, rows[7][1], rows[7][2]), (104, "w" * 50_000, "h2"), (105, common[0].upper() + "\n" + "v " * 5, "h1")]
     df = spark.createDataFrame([(*x, True) for x in rows], "doc_id long, text string, source string, kept boolean")
-    want = brute(rows, 3, 0.1)
+    want = brute(rows, 3)
     for limit in (L.BROADCAST_LINES, 0):
-        got = L.judge(df, min_docs=3, share=0.1, broadcast_lines=limit).collect()
+        got = L.judge(df, min_docs=3, broadcast_lines=limit).collect()
         assert len(got) == len(rows)
         assert sorted((str(g.doc_id), g.base_failed, g.kept, g.cleaned) for g in got) == want
     assert L.judge(df.limit(0)).count() == 0
@@ -71,7 +70,16 @@ def test_a_line_in_a_small_share_of_a_large_host(spark):
     rows = [(i, body(i), "en", "large", 1) for i in range(2000)] + [(5000, " ".join(word() for _ in range(15)) + "\n" + line, "en", "large", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for limit in (L.BROADCAST_LINES, 0):
-        judged = L.judge(docs, share=None, broadcast_lines=limit).collect()
+        judged = L.judge(docs, broadcast_lines=limit).collect()
         assert {g.doc_id for g in judged if g.n_removed_lines} == {*range(1, 30), 5000}
     got = {g.doc_id: g.text for g in C.quality(spark, docs, "").collect()}
     assert [i for i in range(2000) if line in got[i]] == [0] and all(rare in got[i] for i in range(100, 120)) and 5000 not in got
+
+
+def test_rows_of_one_document_count_once(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    line = " ".join(word() for _ in range(8))
+    rows = [(7, " ".join(word() for _ in range(30)) + "\n" + line, "h") for _ in range(25)] + [(None, " ".join(word() for _ in range(30)) + "\n" + line, "h") for _ in range(25)]
+    got = L.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 50 and all(g.kept and g.n_removed_lines == 0 for g in got)
