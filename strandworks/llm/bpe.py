@@ -1,17 +1,22 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
 Ranks of a public tiktoken file become a tokenizers BPE model over the byte-to-character alphabet:
-each token's bytes are written in stand-in characters, and every split of a token into two tokens is
-a merge, ordered by the rank of what it makes. Texts are cut by the pattern; the distinct pieces of
-an Arrow batch go through the library once, and texts take their ids from a bounded piece cache.
-Offsets come back as character spans: a byte-to-character map of the text widens a token that holds
-part of a character to the whole character. Decoding joins the tokens' bytes over the whole id list
-before any UTF-8 is read, so characters split over tokens come back whole.
-
-Where one string can be made by two overlapping merges (runs such as "aaaa"), the library's fixed
-merge order and leftmost-first differ. Each distinct new piece that is longer than one token is
-therefore compared with the tiktoken library's ids, and takes these where they differ. Texts with a
-character that the two regex engines class differently (newer Unicode) take their ids from it as well.
+each token's bytes are written in stand-in characters, and each token has one merge, ordered by its
+rank. Texts are cut by the pattern; the distinct pieces of an Arrow batch go through the library once,
+and texts take their ids from a bounded piece cache. Offsets come back as character spans: a
+byte-to-character map of the text widens a token that holds part of a character to the whole character.
+Decoding joins the tokens' bytes over the whole id list before any UTF-8 is read, so characters split
+over tokens come back whole.
+
+One merge a token is enough for the ids of the ranks themselves (lowest rank first, then leftmost). Until
+a merge crosses its ends, a stretch of bytes merges within a text as it does alone; once one has, no
+token spans just that stretch. So a token is only ever made of the two parts that are left before the
+last merge of its own bytes (``last_parts``), and with one pair a rank the library's order is that order.
+A token whose bytes alone don't merge into it has no merge and stands for whole pieces only.
+
+The pattern is run by the regex library, whose Unicode version differs from that of the Rust engine. A
+text with a character that the two class differently is cut in a copy where such a character is replaced
+by one of the Rust engine's class; the pieces, and so the ids, are those of the text.
 
 Rows: null text is empty, with no ids; repeated rows stay; other columns pass through untouched.
 """
@@ -19,8 +24,10 @@ Rows: null text is empty, with no ids; repeated rows stay; other columns pass th
 from __future__ import annotations
 
 import base64
+import math
 import os
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -60,9 +67,24 @@ def token_bytes(path: str) -> list[bytes]:
     return out
 
 
+def last_parts(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
+    """The two parts that merging the token's bytes, lowest rank first and leftmost, leaves before the last merge."""
+    parts = [token[i : i + 1] for i in range(len(token))]
+    while len(parts) > 2:
+        best = min(((ranks.get(a + b, math.inf), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))))
+        if best[0] == math.inf:
+            return None
+        i = best[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return (parts[0], parts[1]) if len(parts) == 2 else None
+
+
 class Codec:
     """Encoder of one vocabulary; one per Python worker."""
 
+    #: A character of each class of the pattern: letter, number, white space, the rest.
+    STAND = ("\u02bb", "\u00b2", "\u2003", "\u00a7")
+
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         import regex
@@ -73,54 +95,46 @@ class Codec:
         self.table = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
         self.bytes_of = token_bytes(path)
         wide = {token: token.decode("latin-1").translate(self.table) for token in ranks}
-        merges = []
-        for token in sorted(ranks, key=ranks.get):
-            merges += [(wide[token[:i]], wide[token[i:]]) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
+        merges = [(wide[p[0]], wide[p[1]]) for token in sorted(ranks, key=ranks.get) if (p := last_parts(token, ranks))]
         self.model = Tokenizer(models.BPE(vocab={wide[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
-        self.exact = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.cut = regex.compile(pattern).findall
+        self.cut = regex.compile(pattern)
         self.cache: dict[str, bytes] = {}
-        single = {bytes([i]): i for i in range(256)}
+        single = {bytes([i]): i for i in range(256)}  # tells whether the Rust engine puts a character into a class; gives no ids
         self.classes = [(regex.compile(p).fullmatch, tiktoken.Encoding(p, pat_str=p, mergeable_ranks=single, special_tokens={})) for p in (r"\p{L}", r"\p{N}", r"\s")]
-        self.agree: dict[str, bool] = {}
+        self.stand: dict[str, str] = {}
+
+    def stand_in(self, c: str) -> str:
+        """The character itself, or one of its Rust class where the engines class it differently."""
+        got = self.stand.get(c)
+        if got is None:
+            there = [bool(rust.encode_ordinary(c)) for _, rust in self.classes]
+            same = [bool(here(c)) for here, _ in self.classes] == there
+            got = self.stand[c] = c if same else next((s for s, t in zip(self.STAND, there) if t), self.STAND[3])
+        return got
 
-    def alike(self, text: str) -> bool:
-        """Whether both regex engines give each character the same class; their Unicode versions differ."""
-        if not BEYOND(text):
-            return True
-        for c in [c for c in set(text) if c not in self.agree]:
-            self.agree[c] = all(bool(here(c)) == bool(there.encode_ordinary(c)) for here, there in self.classes)
-        return all(map(self.agree.__getitem__, set(text)))
+    def pieces(self, text: str) -> list[str]:
+        if BEYOND(text) and any(self.stand_in(c) != c for c in set(text)):
+            return [text[m.start() : m.end()] for m in self.cut.finditer("".join(map(self.stand_in, text)))]
+        return self.cut.findall(text)
 
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of new pieces, as little-endian unsigned 32-bit integers."""
         order = sorted(pieces)
         got = {}
         for i in range(0, len(order), 4_000):
-            got |= self._learn(order[i : i + 4_000])
-        return got
-
-    def _learn(self, order: list[str]) -> dict[str, bytes]:
-        wide = [p.encode("utf-8").decode("latin-1").translate(self.table) for p in order]
-        got: dict[str, bytes] = {}
-        for piece, enc in zip(order, self.model.encode_batch_fast(wide, add_special_tokens=False)):
-            ids = enc.ids
-            if len(ids) > 1 and ids != (check := self.exact._core_bpe.encode_single_piece(piece.encode("utf-8"))):
-                ids = check
-            got[piece] = np.asarray(ids, "<u4").tobytes()
+            part = order[i : i + 4_000]
+            wide = [p.encode("utf-8").decode("latin-1").translate(self.table) for p in part]
+            got |= {p: struct.pack(f"<{len(e.ids)}I", *e.ids) for p, e in zip(part, self.model.encode_batch_fast(wide, add_special_tokens=False))}
         return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = {i for i, t in enumerate(texts) if not self.alike(t)}
-        cut = [[] if i in odd else self.cut(t) for i, t in enumerate(texts)]
+        cut = [self.pieces(t) for t in texts]
         new = {p for p in set().union(*cut) if p not in self.cache}
         if len(self.cache) + len(new) > CACHE_PIECES:
             self.cache.clear()
             new = set().union(*cut)
         self.cache.update(self.learn(new))
         out = [b"".join(map(self.cache.__getitem__, pieces)) for pieces in cut]
-        for i in odd:
-            out[i] = np.asarray(self.exact.encode_ordinary(texts[i]), "<u4").tobytes()
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
         for p in [p for p in new if len(p) > CACHE_CHARS]:
@@ -176,7 +190,7 @@ def decode(df: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in blocks(whole, column="ids")):
             got = [decode_ids(i.as_py() or b"", table) for i in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(got, pa.binary())], names=[*keep, "decoded"])
 
