@@ -4,10 +4,13 @@ Only the histogram of piece lengths decides a packing, and it has at most ``capa
 the corpus holds; so it is solved on the driver and the pieces are placed by rank, in parallel.
 
 Solver: best fit decreasing gives the incumbent. Bin completion then takes the largest length left and
-enumerates fillings of the space around it, undominated ones first (few large pieces before many small
-ones; exact sums before any waste). A branch is cut when the waste so far shows that it can't beat the
-incumbent; it ends when the lower bound (Martello and Toth's) is met, or after ``NODES`` fillings tried beyond
-the first descent, with the incumbent. A filling is used as often at once as its lengths last.
+enumerates the undominated fillings of the space around it: no part of such a filling (nor nothing) can
+be exchanged for one larger or equal piece that is left, which is Martello and Toth's dominance. They come
+one by one, exact sums first, then by waste, large pieces before small ones, and none is left out. A
+branch is cut when the waste so far shows that it can't beat the incumbent. The search ends when the
+lower bound (Martello and Toth's) is met or after ``nodes`` fillings tried beyond the first descent, with
+the incumbent; that is its only limit, and None searches to the end. A filling is tried as often at once
+as its lengths last, then fewer times.
 
 Rows: null text is empty (one piece, the end token alone); repeated rows are packed as often as they
 come; null ids are kept; columns other than doc_id and text aren't used; no rows give no rows.
@@ -15,6 +18,7 @@ come; null ids are kept; columns other than doc_id and text aren't used; no rows
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .bpe import byte_alphabet
-from .common import cut
+from .common import blocks, cut
 
-CAPACITY, END_TOKEN, NODES, WIDTH = 4096, 1, 2000, 8
+CAPACITY, END_TOKEN, NODES = 4096, 1, 2000
+#: Steps of an enumeration that found nothing which count as one filling tried.
+FRUITLESS = 500
 CACHE_WORDS, CACHE_BYTES = 200_000, 64
 
 Plan = list[tuple[tuple[int, ...], int]]
@@ -79,59 +85,111 @@ def best_fit(counts: np.ndarray, cap: int) -> Plan:
     return [b for bins in open_bins.values() for b in bins]
 
 
-def fillings(counts: np.ndarray, room: int, width: int = WIDTH) -> Iterator[tuple[tuple[int, ...], int]]:
-    """(lengths, waste) for the space ``room``, undominated first; counts are what is left."""
-    if room == 0:
-        yield (), 0
+def spread(sums: int, width: int) -> int:
+    """The bit set of s + k for the members s and 0 <= k <= width."""
+    done = 0
+    while done < width:
+        step = min(done + 1, width - done)
+        sums |= sums << step
+        done += step
+    return sums
+
+
+def times_more(sums: int, x: int, m: int) -> int:
+    """Subset sums after m more pieces of length x."""
+    chunk = 1
+    while m:
+        take = min(chunk, m)
+        sums |= sums << (x * take)
+        m, chunk = m - take, 2 * chunk
+    return sums
+
+
+def dominated(filling: tuple[int, ...], waste: int, left: dict[int, int], free: int) -> bool:
+    """Whether some part of the filling, or nothing, can be exchanged for one piece of those left that is as large or larger.
+
+    A piece x can take the place of a part of sum s if s <= x <= s + waste; x for x itself doesn't count.
+    ``left``: how many pieces there are of each length, the filling's own among them; ``free``: these lengths as bits.
+    """
+    own: dict[int, int] = {}
+    for x in filling:
+        own[x] = own.get(x, 0) + 1
+    sums = 1
+    for x, m in own.items():
+        sums = times_more(sums, x, m)
+        free &= ~(1 << x)
+    if spread(sums, waste) & free:
+        return True
+    more = [x for x, m in own.items() if left[x] > m]
+    high = spread(sums << 1, waste - 1) if waste and more else 0
+    for x in more:
+        rest = 1
+        for y, m in own.items():
+            if y < x:
+                rest = times_more(rest, y, m)
+        if (high | rest) >> x & 1:
+            return True
+    return False
+
+
+def undominated(counts: np.ndarray, top: int, room: int, most: int) -> Iterator[tuple[tuple[int, ...] | None, int]]:
+    """(lengths, waste) of every undominated filling of ``room`` with at most ``most`` waste, beside one piece ``top``.
+
+    counts are what is left, ``top`` itself still among it; they are read when the next filling is asked for.
+    (None, 0) stands for FRUITLESS steps without a filling.
+    """
+    have = lambda x: int(counts[x]) - int(x == top)
+    if room and have(room) > 0:
+        yield (room,), 0  # dominates all others
         return
-    given = 0
-    if counts[room]:
-        yield (room,), 0
-        given += 1
-    have = np.flatnonzero(counts[: room + 1])[::-1]
-    have = have[have > 0]
-
-    def pairs(space: int) -> np.ndarray:
-        a = have[(have < space) & (2 * have >= space)]
-        b = space - a
-        return a[(counts[b] > 0) & ((a != b) | (counts[b] > 1))]
-
-    for a in pairs(room)[: width // 2].tolist():
-        yield (a, room - a), 0
-        given += 1
-    for a in have[have < room][:64].tolist():
-        if given >= width - 1:
-            break
-        p = pairs(room - a)
-        p = p[p <= a]
-        for b in p[:1].tolist():
-            c = room - a - b
-            need = [a, b, c]
-            if all(counts[x] >= need.count(x) for x in need):
-                yield (a, b, c), 0
-                given += 1
-    # the largest sum that can be made at all, by bit sets over the lengths from small to large
-    low = sorted(have.tolist())
-    sums, steps = 1, []
-    limit = (1 << (room + 1)) - 1
+    for a in range(room - 1, (room - 1) // 2, -1):
+        b = room - a
+        if have(a) > 0 and have(b) > (a == b):
+            yield (a, b), 0
+    low = np.flatnonzero(counts[: room + 1]).tolist()
+    left = dict(zip(low, counts[low].tolist()))
+    if top in left:
+        left[top] -= 1
+    low = [x for x in low if left[x]]
+    full, free = (1 << (room + 1)) - 1, sum(1 << x for x in low)
+    reach = [1]  # sums that the so many smallest lengths make
     for x in low:
-        left, chunk = min(int(counts[x]), room // x), 1
-        while left:
-            take = min(chunk, left)
-            steps.append((x, take, sums))
-            sums |= sums << (x * take) & limit
-            left, chunk = left - take, chunk * 2
-    at = sums.bit_length() - 1
-    waste, got = room - at, []
-    for x, take, before in reversed(steps):
-        if at >= x * take and before >> (at - x * take) & 1:
-            got += [x] * take
-            at -= x * take
-    if given == 0 or waste:
-        yield tuple(got), waste
-
-
-def solve(counts: np.ndarray, cap: int = CAPACITY, nodes: int = NODES) -> Plan:
+        reach.append(times_more(reach[-1], x, min(left[x], room // x)) & full)
+    steps = 0
+
+    def of_sum(j: int, rest: int, taken: tuple[int, ...], sums: int, waste: int) -> Iterator[tuple[int, ...] | None]:
+        """Fillings that add ``rest`` from the j smallest lengths to ``taken``, whose subset sums are ``sums``."""
+        nonlocal steps
+        if not rest:
+            yield taken
+            return
+        while j and reach[j] >> rest & 1:
+            j -= 1
+            x = low[j]
+            for m in range(min(left[x], rest // x), 0, -1):
+                if not reach[j] >> (rest - m * x) & 1:
+                    continue
+                steps += 1
+                if steps % FRUITLESS == 0:
+                    yield None
+                new = times_more(sums, x, m)
+                # parts of two or more pieces that make a longer piece left over: every filling below is dominated
+                made = (new & ~sums & free) >> (x + 1) << (x + 1)
+                if made and made & ~sum(1 << y for y in set(taken) if left[y] == taken.count(y)):
+                    continue
+                yield from of_sum(j, rest - m * x, (*taken, *(x,) * m), new, waste)
+
+    for waste in range(min(most, room) + 1):
+        if not reach[-1] >> (room - waste) & 1:
+            continue
+        for found in of_sum(len(low), room - waste, (), 1, waste):
+            if found is None:
+                yield None, 0
+            elif not (waste == 0 and len(found) == 2) and not dominated(found, waste, left, free):
+                yield found, waste
+
+
+def solve(counts: np.ndarray, cap: int = CAPACITY, nodes: int | None = NODES) -> Plan:
     """Patterns of lengths and how often each is used; together they hold counts exactly."""
     counts = np.asarray(counts, np.int64).copy()
     full = int(counts[cap])
@@ -141,54 +199,56 @@ def solve(counts: np.ndarray, cap: int = CAPACITY, nodes: int = NODES) -> Plan:
     n_best, bound = sum(m for _, m in best), lower_bound(counts, cap)
     total = int((counts * np.arange(cap + 1)).sum())
     spare, tried, descended = (n_best - 1) * cap - total, 0, False
-    path: list[tuple[tuple[int, ...], int, int]] = []  # pattern, times, waste
+    path: list[tuple[np.ndarray, np.ndarray, tuple[int, ...], int, int]] = []  # kinds, of each, pattern, times, waste
     stack: list[Iterator] = []
     work = counts.copy()
     spent = 0
 
-    def options() -> Iterator[tuple[tuple[int, ...], int]]:
+    def choices() -> Iterator[tuple | None]:
         top = int(np.flatnonzero(work)[-1])
-        work[top] -= 1
-        found = list(fillings(work, cap - top))
-        work[top] += 1
-        return iter([((top, *f), w) for f, w in found])
+        for filling, waste in undominated(work, top, cap - top, spare - spent):
+            if filling is None:
+                yield None
+                continue
+            kinds, need = np.unique((top, *filling), return_counts=True)
+            for times in range(int((work[kinds] // need).min()), 0, -1):
+                yield kinds, need, (top, *filling), times, waste
+
+    def undo() -> None:
+        nonlocal spent
+        kinds, need, _, times, waste = path.pop()
+        work[kinds] += need * times
+        spent -= waste * times
 
     if n_best > bound:
-        stack.append(options())
-    while stack and n_best > bound and tried <= nodes:
-        step = next(stack[-1], None)
-        if step is None:
+        stack.append(choices())
+    while stack and n_best > bound and (nodes is None or tried <= nodes):
+        step = next(stack[-1], ())
+        if step == ():
             stack.pop()
             if path:
-                pattern, times, waste = path.pop()
-                np.add.at(work, list(pattern), times)
-                spent -= waste * times
+                undo()
             descended = True
             continue
         tried += descended
-        pattern, waste = step
-        kinds, need = np.unique(pattern, return_counts=True)
-        times = int((work[kinds] // need).min())
-        last = times * sum(pattern) == int((work * np.arange(cap + 1)).sum())
-        if waste:
-            times = 1
-            last = sum(pattern) == int((work * np.arange(cap + 1)).sum())
-        if spent + waste * times > spare and not (last and spent <= spare):
+        if step is None:
+            tried += not descended
+            continue
+        kinds, need, _, times, waste = step
+        if spent + waste * times > spare:
             continue
         work[kinds] -= need * times
-        path.append((pattern, times, waste))
+        path.append(step)
         spent += waste * times
         if work.any():
-            stack.append(options())
+            stack.append(choices())
             continue
         descended = True
-        used = sum(m for _, m, _ in path)
+        used = sum(p[3] for p in path)
         if used < n_best:
-            best, n_best = [(p, m) for p, m, _ in path], used
+            best, n_best = [(p[2], p[3]) for p in path], used
             spare = (n_best - 1) * cap - total
-        pattern, times, waste = path.pop()
-        np.add.at(work, list(pattern), times)
-        spent -= waste * times
+        undo()
     return whole + [(tuple(sorted(p, reverse=True)), m) for p, m in best]
 
 
@@ -225,11 +285,13 @@ class Words:
         from tokenizers import Tokenizer, models
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         self.model = models.BPE(vocab=model["vocab"], merges=[tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], end_of_word_suffix=model["end_of_word_suffix"])
+        marks = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
+        self.marks = {m: i.to_bytes(4, "little") for m, i in marks.items()}
+        self.at_marks = re.compile("(" + "|".join(map(re.escape, sorted(marks, key=len, reverse=True))) + ")").split if marks else None
         self.cut = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.little = [i.to_bytes(4, "little") for i in range(max(model["vocab"].values(), default=0) + 1)]
         self.table = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
@@ -260,6 +322,11 @@ class Words:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
+        if self.at_marks and any(m in text for m in self.marks):  # the library cuts these out first
+            return b"".join([self.marks[part] if k % 2 else self._ids(part) for k, part in enumerate(self.at_marks(text))])
+        return self._ids(text)
+
+    def _ids(self, text: str) -> bytes:
         words = text.encode("utf-8").split()
         cache, old = self.cache, self.old
         for w in words:
@@ -285,7 +352,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = words(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in blocks(whole)):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 ids = w.ids(text.as_py() or "") + end
@@ -315,7 +382,7 @@ def place(parts: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> Dat
         hist[length] = n
     plan = spark.sparkContext.broadcast(slots(solve(hist, capacity, nodes)))
     own = F.row_number().over(W.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32"))
-    ranked = salted.withColumn("_own", own.cast("long")).join(counts.select(F.col("length").alias("_l"), F.col("_salt").alias("_s"), "_base"), (F.col("length") == F.col("_l")) & (F.col("_salt") == F.col("_s")))
+    ranked = salted.withColumn("_own", own.cast("long")).join(counts.select(F.col("length").alias("_l"), F.col("_salt").alias("_s"), "_base").hint("merge"), (F.col("length") == F.col("_l")) & (F.col("_salt") == F.col("_s")))
     ranked = ranked.select(*parts.columns, (F.col("_base") + F.col("_own") - 1).alias("_rank"))
     names = parts.columns
 

@@ -47,6 +47,38 @@ def test_solver_matches_exhaustive_search(seed):
     assert check_plan(P.solve(counts, cap), counts, cap) == want
 
 
+def test_search_to_the_end_matches_exhaustive_search():
+    items = [19, 19, 20, 22, 22, 28, 31, 32, 32, 36, 40]  # one filling a space, however good, is not enough here
+    counts = np.bincount(items, minlength=80)
+    assert check_plan(P.solve(counts, 79, None), counts, 79) == 4
+    r = np.random.default_rng(5)
+    for _ in range(400):
+        cap, n = int(r.integers(8, 90)), int(r.integers(1, 13))
+        low = int(r.integers(1, max(2, cap // 4)))
+        items = sorted(r.integers(low, max(low + 1, cap * 2 // 3), n).tolist(), reverse=True)
+        counts = np.bincount(items, minlength=cap + 1)
+        assert check_plan(P.solve(counts, cap, None), counts, cap) == brute(items, cap)
+
+
+def test_every_undominated_filling_is_enumerated():
+    def subsets(items, room):
+        return {s for k in range(len(items) + 1) for s in itertools.combinations(items, k) if sum(s) <= room}
+
+    def packs(small, large):  # whether the pieces of small fit into pieces of large, as into bins
+        if not small:
+            return True
+        return any(x >= small[0] and packs(small[1:], tuple(sorted([*large[:i], x - small[0], *large[i + 1 :]], reverse=True))) for i, x in enumerate(large) if i == 0 or large[i - 1] != x)
+
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        room, items = int(r.integers(4, 24)), sorted(r.integers(1, 14, 7).tolist(), reverse=True)
+        every = subsets(items, room)
+        want = {s for s in every if not any(o != s and packs(s, o) for o in every)}
+        counts = np.bincount([*items, 40], minlength=41)
+        got = [tuple(sorted(f, reverse=True)) for f, _ in P.undominated(counts, 40, room, room) if f is not None]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_solver_beats_best_fit_where_it_is_not_optimal():
     items = [7, 6, 5, 4, 4, 2, 2] * 30  # 30 x (7+... ) sums to 3 full bins of 10
     counts = np.bincount(items, minlength=11)
@@ -66,8 +98,7 @@ def test_pack_whole(spark):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = [None, "", " \n", "Hello  WORLD it's 42!", "É́ ΣΑΣ x\xa0y\x1cz <|endoftext|>", "word " * 9000, "a" * 20000, "Hello  WORLD it's 42!"]
+    texts = [None, "", " \n", "Hello  WORLD it's 42!", "É́ ΣΑΣ x\xa0y\x1cz <|endoftext|>", "word " * 9000, "a" * 20000, "Hello  WORLD it's 42!", "a<|startoftext|>b <|ENDOFTEXT|><|endoftext|>\u0301c<|endoftext|"]
     docs = spark.createDataFrame([(i, x, 1) for i, x in enumerate(texts)] + [(3, texts[3], 1), (None, "n", 1)], "doc_id long, text string, offset int")
     rows = P.pack(docs, path, keep_ids=True).collect()
     by = {}
