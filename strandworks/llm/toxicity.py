@@ -12,7 +12,8 @@ highest and a clean one on its highest and a random one. The first coordinates o
 log odds of the training texts. Gradients are written out by hand and applied by Adam.
 
 Rows: null and wordless texts score the empty window; repeated rows each get the same score; a null id
-is not held out and never trains; several labels of one document count as toxic if one is; without
+is not held out and never trains; several labels of one document count as toxic if one is, and of several
+texts of one id the smallest trains; of windows that tie for highest the first trains; without
 labels of both kinds every score is 0 (or 1 if all are toxic). No rows give no rows; other columns are
 ignored.
 """
@@ -26,12 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import carried
+from .common import blocks, carried
 
 TOXIC_DOCS, CLEAN_DOCS, TRAIN_BYTES = 500, 1000, 50_000
 WINDOW, STRIDE, HIDDEN, DIM, BUCKETS, WORDS, MIN_DF = 64, 32, 8, 8, 4096, 4096, 3
 EPOCHS, STEPS, BATCH, RATE = 5, 60, 256, 0.02
-CACHE_WORDS, SCORE_BATCH = 60_000, 1024
+CACHE_WORDS, CACHE_CHARS, SCORE_BATCH = 60_000, 2_000_000, 1024
 THRESHOLD = 0.7
 
 
@@ -266,7 +267,7 @@ class Scorer:
     """Scores texts with a bounded table of the inputs of words."""
 
     def __init__(self, net: Net | float):
-        self.net, self.names, self.rows = net, {}, np.zeros((0, 6 * HIDDEN), np.float32)
+        self.net, self.names, self.rows, self.chars = net, {}, np.zeros((0, 6 * HIDDEN), np.float32), 0
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         if not isinstance(self.net, Net):
@@ -296,8 +297,9 @@ class Scorer:
                 if len(spans) == SCORE_BATCH:
                     flush()
         flush()
-        if len(self.names) > CACHE_WORDS:
-            self.names, self.rows = {}, self.rows[:0]
+        self.chars += sum(map(len, fresh))
+        if len(self.names) > CACHE_WORDS or self.chars > CACHE_CHARS:
+            self.names, self.rows, self.chars = {}, self.rows[:0], 0
         slope, shift = self.net.scale
         return _sigmoid(best * slope + shift)
 
@@ -310,7 +312,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[i
         part = known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         pick = part if pick is None else pick.union(part)
     short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
-    rows = short.join(F.broadcast(pick), "doc_id").dropDuplicates(["doc_id"]).collect()  # at most TOXIC_DOCS + CLEAN_DOCS
+    rows = short.join(F.broadcast(pick), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()  # at most TOXIC_DOCS + CLEAN_DOCS
     rows.sort(key=lambda r: r.doc_id)
     return [r.text for r in rows], [int(r.toxic) for r in rows]
 
@@ -323,9 +325,8 @@ def score(docs: DataFrame, net: Net | float, carry: list[str] | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
+        for whole in batches:
+            for part in blocks(whole):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scorer(part.column("text").to_pylist()).astype(np.float64)), *([part.column("row")] if more else [])], names=["doc_id", "score", *(["row"] if more else [])])
 
     return docs.select("doc_id", "text", *extra).mapInArrow(run, "doc_id long, score double" + extra_schema)
