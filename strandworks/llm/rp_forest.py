@@ -2,10 +2,14 @@
 
 Equal vectors are one class. Each tree splits the unit vectors again and again: every level has a random
 direction, every node its own threshold, the median of a bounded sample's projections there (below the
-sample's depth: the projection of its last mean). A vector within ``SPILL`` of a threshold goes to both
-sides, unless most of the node would, when the node is split no further. Trees are as deep as the
-number of classes asks for (``LEAF`` a leaf). Every class is in a leaf of every tree; pairs are compared
-within leaves, in double precision. Leaves above ``BLOCK`` rows are compared by pairs of blocks.
+sample's depth: the projection of its last mean). A vector within ``SPILL`` standard deviations of a
+random unit vector's projection of a threshold goes to both sides, unless most of the node would, when
+the node is split no further. Trees are as deep as the number of classes asks for (``LEAF`` a leaf), and
+as many as recall asks for: pairs at exactly the least cosine are planted beside sampled vectors, and
+trees are added until ``RECALL`` of these meet in a leaf (at most ``TREES``), so recall doesn't fall as
+tables grow. Every class is in a leaf of every tree; pairs are compared within leaves: in single precision
+first, and in double precision all that are within its error of the threshold. Leaves above ``BLOCK``
+rows are compared by pairs of blocks.
 
 A pair that meets in several leaves counts only in the first tree and leaf that hold both, which each
 leaf works out from the trees; so links are counted without listing pairs, and a leaf returns a sum and
@@ -27,38 +31,53 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import connected_components, cut, drop_cut
 from .simhash import merge
 
-TREES, LEAF, BLOCK, SAMPLE, SPILL, MIN_COS = 8, 256, 1024, 8192, 0.02, 0.9
+TREES, LEAF, BLOCK, SAMPLE, SPILL, RECALL, MIN_COS = 32, 1024, 2048, 8192, 0.16, 0.999, 0.9
 
 
 class Forest:
     """Directions and thresholds of all trees; unit vectors in, leaves out."""
 
-    def __init__(self, sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = 1):
+    def __init__(self, sample: np.ndarray, rows: int, min_cos: float = MIN_COS, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, recall: float = RECALL, seed: int = 1):
         self.depth = max(0, math.ceil(math.log2(max(1, rows) / leaf)))
-        self.spill, r = spill, np.random.default_rng(seed)
         d = sample.shape[1]
-        self.ways = [x / np.linalg.norm(x, axis=0) for x in r.normal(size=(trees, d, max(1, self.depth)))]
+        self.spill, r = spill / math.sqrt(max(1, d)), np.random.default_rng(seed)
+        self.ways: list[np.ndarray] = []
         self.cuts: list[dict[int, float]] = []
         self.means: list[dict[int, np.ndarray]] = []
-        for way in self.ways:
-            cuts, means = {}, {1: sample.mean(axis=0) if len(sample) else np.zeros(d)}
-            nodes = {1: np.arange(len(sample))}
-            for level in range(self.depth):
-                below = {}
-                for node, at in nodes.items():
-                    p = sample[at] @ way[:, level]
-                    if len(at) < 4:
-                        continue
-                    c = float(np.median(p))
-                    if (np.abs(p - c) <= spill).mean() > 0.5:
-                        c = math.inf  # too dense to part: all stay left
-                    cuts[node] = c
-                    for child, take in ((2 * node, at[p <= c]), (2 * node + 1, at[p > c])):
-                        if len(take):
-                            below[child], means[child] = take, sample[take].mean(axis=0)
-                nodes = below
-            self.cuts.append(cuts)
-            self.means.append(means)
+        a = sample[:2048]
+        w = r.normal(size=a.shape)
+        w -= (w * a).sum(axis=1, keepdims=True) * a
+        b = min_cos * a + math.sqrt(max(0.0, 1 - min_cos**2)) * w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
+        met = np.zeros(len(a), bool)
+        while not self.ways or len(self.ways) < trees and met.size and met.mean() < recall and d > 1:
+            self._grow(sample, r)
+            (at, la), (bt, lb) = (self.leaves(x, len(self.ways) - 1) for x in (a, b))
+            met[np.intersect1d(at * (1 << self.depth) + (la - (1 << self.depth)), bt * (1 << self.depth) + (lb - (1 << self.depth))) >> self.depth] = True
+
+    def _grow(self, sample: np.ndarray, r: np.random.Generator) -> None:
+        """One more tree."""
+        d = sample.shape[1]
+        way = r.normal(size=(d, max(1, self.depth)))
+        way /= np.linalg.norm(way, axis=0)
+        cuts, means = {}, {1: sample.mean(axis=0) if len(sample) else np.zeros(d)}
+        nodes = {1: np.arange(len(sample))}
+        for level in range(self.depth):
+            below = {}
+            for node, at in nodes.items():
+                p = sample[at] @ way[:, level]
+                if len(at) < 4:
+                    continue
+                c = float(np.median(p))
+                if (np.abs(p - c) <= self.spill).mean() > 0.5:
+                    c = math.inf  # too dense to part: all stay left
+                cuts[node] = c
+                for child, take in ((2 * node, at[p <= c]), (2 * node + 1, at[p > c])):
+                    if len(take):
+                        below[child], means[child] = take, sample[take].mean(axis=0)
+            nodes = below
+        self.ways.append(way)
+        self.cuts.append(cuts)
+        self.means.append(means)
 
     def leaves(self, x: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of each leaf that holds a row of x."""
@@ -80,11 +99,19 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors in double precision, padded to one width, and their lengths."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+def packed(column: pa.Array) -> pa.Array:
+    """Lists of numbers as the bytes of these numbers, which move through Spark as one value each."""
+    flat = np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False))
     size = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32) * flat.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(flat)])
+
+
+def matrix(column: pa.Array, width: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Packed vectors in double precision, padded to one width, and their lengths."""
+    values = [np.frombuffer(v.as_buffer(), kind) for v in column]
+    size = np.fromiter(map(len, values), np.int64, len(values))
+    flat = np.concatenate([*values, np.zeros(0, kind)]).astype(np.float64)
     out = np.zeros((len(size), width))
     out[np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
     return out, size
@@ -106,7 +133,17 @@ def shared_before(row: np.ndarray, leaf: np.ndarray, n: int) -> np.ndarray:
 def compare(x: np.ndarray, size: np.ndarray, block: np.ndarray, tree: int, leaf: int, forest: Forest, min_cos: float) -> np.ndarray:
     """Which pairs of a leaf's rows are links that count here."""
     norm = np.linalg.norm(x, axis=1)
-    link = (x @ x.T) / np.outer(norm, norm) >= min_cos
+    u32 = (x / norm[:, None]).astype(np.float32)
+    doubt = 1e-6 + 2e-7 * x.shape[1]  # beyond the error of single precision
+    link = np.zeros((len(x), len(x)), bool)
+    for at in range(0, len(x), 512):
+        near = u32[at : at + 512] @ u32.T
+        link[at : at + 512] = near >= min_cos + doubt
+        i, j = np.nonzero(np.abs(near - min_cos) < doubt)
+        for k in range(0, len(i), 100_000):
+            p, q = i[k : k + 100_000] + at, j[k : k + 100_000]
+            link[p, q] = np.einsum("nd,nd->n", x[p], x[q]) / (norm[p] * norm[q]) >= min_cos
+    link |= link.T
     link &= size[:, None] == size[None, :]
     np.fill_diagonal(link, False)
     if len(set(block.tolist())) > 1:
@@ -124,9 +161,12 @@ def compare(x: np.ndarray, size: np.ndarray, block: np.ndarray, tree: int, leaf:
     return link
 
 
-def near_duplicates(vectors: DataFrame, min_cos: float = MIN_COS, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK, sample: int = SAMPLE, spill: float = SPILL) -> DataFrame:
+def near_duplicates(vectors: DataFrame, min_cos: float = MIN_COS, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK, sample: int = SAMPLE, spill: float = SPILL, recall: float = RECALL) -> DataFrame:
     """(vec_id, embedding) -> vec_id, n_links, component_id."""
     vectors = vectors.select("vec_id", "embedding")
+    kind = np.dtype("float32" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "float64")
+    if kind == np.float64:
+        vectors = vectors.withColumn("embedding", F.col("embedding").cast("array<double>"))
     good = vectors.where(F.col("vec_id").isNotNull() & sound(F.col("embedding")))
     classes = cut(good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "vectors")
     count, width = classes.agg(F.count("*"), F.max(F.size("embedding"))).first()
@@ -135,25 +175,32 @@ def near_duplicates(vectors: DataFrame, min_cos: float = MIN_COS, trees: int = T
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     share = max(1, count // sample)
     picked = classes.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(share)) == 0).select("embedding").limit(2 * sample).toArrow()  # about `sample` rows
-    forest = Forest(unit(matrix(picked.column("embedding"), width)[0]), count, trees, leaf, spill)
+    start = packed(picked.column("embedding").combine_chunks()) if picked.num_rows else pa.array([], pa.binary())
+    forest = Forest(unit(matrix(start, width, kind)[0]), count, min_cos, trees, leaf, spill, recall)
     shared = vectors.sparkSession.sparkContext.broadcast(forest)
 
-    def planted(batches):
-        for batch in batches:
-            x = unit(matrix(batch.column("embedding"), width)[0])
-            for t in range(trees):
-                row, leaf = shared.value.leaves(x, t)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, np.int32)), pa.array(leaf), *(batch.column(c).take(take) for c in ("id", "n", "embedding"))], names=["tree", "leaf", "id", "n", "embedding"])
-
-    rows = classes.select("id", "n", "embedding").mapInArrow(planted, "tree int, leaf long, id long, n long, embedding array<float>")
-    hot = cut(rows.groupBy("tree", "leaf").count().where(F.col("count") > block).select("tree", "leaf", F.ceil(F.col("count") / block).cast("int").alias("k")), "hot")
-    rows = rows.join(hot, ["tree", "leaf"], "left").withColumn("b", F.pmod(F.xxhash64("id"), F.coalesce("k", F.lit(1))).cast("int"))
+    def planted(whole: bool):
+        """Where the classes stand: (tree, leaf), and the vectors with it if ``whole``."""
+        names = ["tree", "leaf", *(["id", "n", "vector"] if whole else [])]
+
+        def run(batches):
+            for batch in batches:
+                vector = packed(batch.column("embedding"))
+                x = unit(matrix(vector, width, kind)[0])
+                for t in range(len(shared.value.ways)):
+                    row, at = shared.value.leaves(x, t)
+                    more = [c.take(pa.array(row)) for c in (batch.column("id"), batch.column("n"), vector)] if whole else []
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, np.int32)), pa.array(at), *more], names=names)
+
+        return classes.select("id", "n", "embedding").mapInArrow(run, "tree int, leaf long" + (", id long, n long, vector binary" if whole else ""))
+
+    hot = cut(planted(False).groupBy("tree", "leaf").count().where(F.col("count") > block).select("tree", "leaf", F.ceil(F.col("count") / block).cast("int").alias("k")), "hot")
+    rows = planted(True).join(hot, ["tree", "leaf"], "left").withColumn("b", F.pmod(F.xxhash64("id"), F.coalesce("k", F.lit(1))).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)))
-    rows = rows.withColumn("p", F.least("b", "other")).withColumn("q", F.greatest("b", "other")).select("tree", "leaf", "p", "q", "b", "id", "n", "embedding")
+    rows = rows.withColumn("p", F.least("b", "other")).withColumn("q", F.greatest("b", "other")).select("tree", "leaf", "p", "q", "b", "id", "n", "vector")
 
     def within(group: pa.Table) -> pa.Table:
-        x, size = matrix(group.column("embedding"), width)
+        x, size = matrix(group.column("vector").combine_chunks(), width, kind)
         ids, n, b = (group.column(c).to_numpy() for c in ("id", "n", "b"))
         first = lambda c: group.column(c)[0].as_py()
         if first("p") != first("q") and len(set(b.tolist())) < 2:

@@ -34,3 +34,24 @@ def test_odd_rows(spark):
     got = sorted((g.vec_id or -1, g.n_links, g.component_id or -1) for g in R.near_duplicates(df).collect())
     assert got == [(-1, 0, -1), (1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 0, 4), (5, 0, 5), (6, 0, 6), (7, 0, 7), (8, 0, 8), (9, 0, 9), (10, 1, 10), (11, 1, 10)]
     assert R.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_doubles_and_trees_by_depth(spark):
+    r = np.random.default_rng(7)
+    base = r.normal(size=(60, 48))
+    x = np.concatenate([base, base[:20] + r.normal(size=(20, 48)) * 0.1])
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = brute(x, 0.9).sum(axis=1)
+    got = {g.vec_id: g.n_links for g in R.near_duplicates(df, leaf=8).collect()}
+    assert [got[i] for i in range(len(x))] == want.tolist()
+    sample = R.unit(r.normal(size=(3000, 32)))
+    few, many = (R.Forest(sample, rows) for rows in (3000, 3_000_000))
+    assert few.depth < many.depth and len(few.ways) < len(many.ways) <= R.TREES
+
+
+def test_long_vectors(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(6, 20_000))
+    x[3] = x[0] + r.normal(size=20_000) * 0.01
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert {g.vec_id: g.component_id for g in R.near_duplicates(df).collect()} == {0: 0, 1: 1, 2: 2, 3: 0, 4: 4, 5: 5}
