@@ -4,7 +4,8 @@ Base spans of each kind are leftmost and non-overlapping, and all stay. The fiel
 patterns miss (telephone numbers without a plus sign, cards in other groupings, spaced-out addresses):
 runs of words with digits or ``@`` are cut into tokens; every span of at most ``MAX_TOKENS`` tokens that
 could be of a kind is scored by features of the whole span and its surroundings; a dynamic program over
-span ends picks boundaries and kinds jointly. A span that touches a base span isn't added. Weights are
+span ends picks boundaries and kinds jointly; of segmentations that score alike it takes the one whose
+spans come first in the candidates' order. A span that touches a base span isn't added. Weights are
 fitted by conditional likelihood (gradients by forward-backward over segmentations) on sentences that
 ``examples`` makes from a seed, with look-alikes (dates, prices, order numbers, versions) unlabelled.
 
@@ -24,10 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import carried
+from .common import blocks, carried
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 16
+#: Candidates whose features are held at once.
+ROWS = 20_000
 
 # The base patterns. A digit run is entered at its first digit, which changes no match.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -46,7 +49,7 @@ CUES = {
     "card": {"card", "visa", "mastercard", "credit", "cc", "pay"},
     "phone": {"tel", "phone", "call", "mobile", "fax", "ring", "telephone"},
 }
-N_FEATURES = 16
+N_FEATURES = 25
 
 Span = tuple[int, int, str]
 
@@ -120,6 +123,8 @@ def features(text: str, a: int, b: int, kind: str) -> np.ndarray:
         1, luhn(d), s[:1] == "+", s.count("(") == 1 == s.count(")"), len(seps) <= 1, sizes[-3:] == [3, 3, 4], len(d) in (10, 11), 14 <= len(d) <= 16,
         len(groups) == 1, bool(CUES[kind] & set(before[-2:])), a > 0 and near(text[a - 1]), b < len(text) and near(text[b]) and not (text[b] == "." and not text[b + 1 : b + 2].isalnum()),
         all(int(g[-4:]) <= 255 and len(g) <= 3 for g in groups), sizes == [4, 4, 4, 4], "." in s, len(d) < 10,
+        d[:1] == "0" and s[:1] != "+", len(sizes) >= 4 and set(sizes[-4:]) == {2}, len(groups) > 1 and min(sizes) >= 2 and max(sizes) <= 7, sizes[:1] == [1], not seps & set(" -"),
+        len(groups) == 2 and seps == {"."}, sizes[:3] == [4, 2, 2], len(groups) == 5 and set(sizes) == {2}, min(sizes, default=9) == 1,
     ], float)
 
 
@@ -148,7 +153,7 @@ def candidates(text: str, start: int, end: int) -> tuple[list[int], list[tuple[i
                 found.append((i, j, "phone"))
             if 13 <= nd <= 19 and t[0].isdigit():
                 found.append((i, j, "card"))
-            if dot[j] - dot[i] == 3 and j - i == 7 and 4 <= nd <= 12:
+            if dot[j] - dot[i] == 3 and j - i == 7 and 4 <= nd <= 12 and all(x.isdigit() and int(x) <= 255 for x in toks[i:j:2]):
                 found.append((i, j, "ip"))
     return edges, found
 
@@ -198,7 +203,7 @@ def expected(n: int, found: list[tuple[int, int, str]], score: np.ndarray) -> tu
     return float(f[n]), p
 
 
-def examples(n: int = 240, seed: int = 11) -> list[tuple[str, list[Span]]]:
+def examples(n: int = 340, seed: int = 11) -> list[tuple[str, list[Span]]]:
     """Sentences with labelled spans and unlabelled look-alikes."""
     r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
@@ -218,6 +223,12 @@ def examples(n: int = 240, seed: int = 11) -> list[tuple[str, list[Span]]]:
             lambda: (f"{r.randint(2, 9)}{d(2)}-{d(3)}-{d(4)}", "phone"),
             lambda: (f"+{r.randint(1, 9)} ({d(3)}) {d(3)}-{d(4)}", "phone"),
             lambda: (f"{r.randint(2, 9)}{d(2)}.{d(3)}.{d(4)}", "phone"),
+            lambda: (f"1{(s := r.choice('- .'))}{r.randint(2, 9)}{d(2)}{s}{d(3)}{s}{d(4)}", "phone"),
+            lambda: (f"0{d(2)} {d(4)}{r.choice(' -')}{d(4)}", "phone"),
+            lambda: (f"0{d(r.choice((2, 3, 4)))} {d(r.choice((6, 7)))}", "phone"),
+            lambda: (f"(0{d(r.choice((2, 3)))}) {d(r.choice((3, 4)))} {d(4)}", "phone"),
+            lambda: ((s := r.choice(" -")).join([f"0{d(1)}", d(2), d(2), d(2), d(2)]), "phone"),
+            lambda: (f"00{r.randint(1, 9)}{d(1)} {d(2)} {d(4)} {d(4)}", "phone"),
             lambda: (card(True), "card"),
             lambda: (four(card(True), r.choice(" -.")), "card"),
             lambda: (".".join(str(r.randint(0, 255)) for _ in range(4)), "ip"),
@@ -231,9 +242,13 @@ def examples(n: int = 240, seed: int = 11) -> list[tuple[str, list[Span]]]:
             lambda: (f"97{r.choice('89')}-{d(1)}-{d(4)}-{d(4)}-{d(1)}", None),
             lambda: (f"{d(5)}-{d(6)}-{d(2)}", None),
             lambda: (f"{r.randint(256, 999)}.{d(3)}.{d(2)}.{d(3)}", None),
-            lambda: (f"{d(1)}.{d(8)}", None),
+            lambda: (f"{d(r.randint(1, 3))}.{d(r.randint(8, 16))}", None),
             lambda: (f"{word()}@{d(2)}", None),
-            lambda: (f"{d(4)} {d(3)} {d(4)}", None),
+            lambda: (f"{r.randint(1, 9)}{d(3)} {d(3)} {d(4)}", None),
+            lambda: (f"{r.randint(1, 9)}{d(1)} {d(2)} {d(2)} {d(2)}", None),
+            lambda: (f"{r.randint(1, 9)}{d(2)} {d(4)} {d(2)} {d(3)}", None),
+            lambda: (f"{d(1)} {d(2)} {d(1)} {d(2)} {d(1)} {d(2)}", None),
+            lambda: (f"{r.randint(1, 9)}{d(2)} {d(3)} {d(3)}", None),
         ])()
 
     out = []
@@ -251,7 +266,7 @@ def examples(n: int = 240, seed: int = 11) -> list[tuple[str, list[Span]]]:
 
 
 @lru_cache(maxsize=1)
-def fitted(rounds: int = 60, rate: float = 0.3, decay: float = 0.002) -> np.ndarray:
+def fitted(rounds: int = 80, rate: float = 0.4, decay: float = 0.002) -> np.ndarray:
     """Weights by AdaGrad on the conditional likelihood of the examples' segmentations."""
     data = []
     for text, spans in examples():
@@ -270,6 +285,19 @@ def fitted(rounds: int = 60, rate: float = 0.3, decay: float = 0.002) -> np.ndar
     return w
 
 
+def free_of(found: list[tuple[int, int, str]], edges: list[int], held: list[Span]) -> list[tuple[int, int, str]]:
+    """The candidates that touch no held span; held is sorted by start."""
+    if not held or not found:
+        return found
+    starts = np.array([s[0] for s in held])
+    furthest = np.maximum.accumulate([s[1] for s in held])
+    at = np.array(edges)
+    i, j = (at[[f[k] for f in found]] for k in (0, 1))
+    before = np.searchsorted(starts, j)  # so many begin ahead of the candidate's end
+    hit = (before > 0) & (furthest[np.maximum(before - 1, 0)] > i)
+    return [f for f, h in zip(found, hit.tolist()) if not h]
+
+
 def spans(text: str | None, weights: np.ndarray) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans."""
     text = text or ""
@@ -277,13 +305,18 @@ def spans(text: str | None, weights: np.ndarray) -> tuple[list[Span], list[Span]
         return [], []
     own = base(text)
     more = []
-    marks = np.array([s[:2] for s in own], np.int64).reshape(-1, 2)
+    low = high = 0
+    furthest = np.maximum.accumulate([s[1] for s in own]).tolist() if own else []
     for a, b in regions(text):
+        while low < len(own) and furthest[low] <= a:
+            low += 1
+        high = max(high, low)
+        while high < len(own) and own[high][0] < b:
+            high += 1
         edges, found = candidates(text, a, b)
-        held = marks[(marks[:, 0] < b) & (marks[:, 1] > a)]
-        found = [f for f in found if not ((held[:, 0] < edges[f[1]]) & (held[:, 1] > edges[f[0]])).any()] if len(held) else found
+        found = free_of(found, edges, own[low:high])
         if found:
-            score = rows_of(text, edges, found) @ weights
+            score = np.concatenate([rows_of(text, edges, found[k : k + ROWS]) @ weights for k in range(0, len(found), ROWS)])
             more += [(edges[found[r][0]], edges[found[r][1]], found[r][2]) for r in decode(len(edges) - 1, found, score)]
     return own, sorted(own + more, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
@@ -310,7 +343,7 @@ def find(docs: DataFrame, clean: bool = False, carry: list[str] | None = None) -
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_spans", "spans", *(["cleaned"] if clean else []), *(["row"] if more else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in blocks(whole)):
             texts = [t.as_py() for t in batch.column("text")]
             got = [spans(t, shared.value) for t in texts]
             cols = [batch.column("doc_id"), *(pa.array([sum(s[2] == k for s in own) for own, _ in got], pa.int64()) for k in KINDS), pa.array([say(o) for o, _ in got], pa.string()), pa.array([say(s) for _, s in got], pa.string())]

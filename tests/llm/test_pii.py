@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 
@@ -39,6 +40,39 @@ def test_long_texts_in_linear_time():
         P.base(t)
 
 
+def test_all_spans_in_linear_time():
+    w = P.fitted()
+    part = "a.b@c.de 10.1.2.3 555 0187 12-34 4111 1111 1111 1111 and 10.0.0.300 +1 212 555 0187 x9 "
+    took = []
+    for n in (500, 2000):
+        began = time.time()
+        P.spans(part * n, w)
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0] + 1
+
+
+# written by hand: text, spans that must be found beyond the base patterns, and texts that hold none
+FOUND = [
+    ("Ring the shop on 020 7946 0958 before noon.", ["020 7946 0958"]), ("my mobile: 07700 900123", ["07700 900123"]),
+    ("Tel. 01 23 45 67 89, ask for Anne", ["01 23 45 67 89"]), ("call (212) 555-0187 or 212.555.0143", ["(212) 555-0187", "212.555.0143"]),
+    ("Our office (0161) 496 0000 is open", ["(0161) 496 0000"]), ("fax 1-800-555-0199.", ["1-800-555-0199"]),
+    ("write to jane.doe @ example.org please", ["jane.doe @ example.org"]), ("dial 0044 20 7946 0991 from abroad", ["0044 20 7946 0991"]),
+    ("paid with 4111.1111.1111.1111 today", ["4111.1111.1111.1111"]),
+]
+CLEAN = [
+    "version 10.0.0.300 of the tool", "from 2021-03-04 12:30 to 2021-03-05", "it cost 1,250,000.00 in 1999", "ISBN 978-3-16-148410-0", "order 12345-678901-22",
+    "pi is 3.14159265358979", "between 1914 and 1918, and 1939 to 1945", "a score of 21-19, 15-21, 22-20", "room 12 on floor 3 of 45", "the 7 of 9 and 3 of 5",
+]
+
+
+def test_hand_written_texts():
+    w = P.fitted()
+    for text, want in FOUND:
+        assert [text[a:b] for a, b, _ in P.spans(text, w)[1]] == want, text
+    for text in CLEAN:
+        assert P.spans(text, w)[1] == [], text
+
+
 def segmentations(n, found):
     for k in range(len(found) + 1):
         for pick in itertools.combinations(range(len(found)), k):
