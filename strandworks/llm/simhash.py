@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import connected_components, cut, drop_cut
+from .common import blocks, connected_components, cut, drop_cut
 
 HOT_ROWS = 4096
 #: Rows walked at once, and node pairs of the walk held at once, in a Python worker.
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     """(doc_id, text) -> (doc_id, fp), fp being the fingerprint's bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in blocks(whole)):
             got = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column("text")], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
 
@@ -221,7 +221,11 @@ def near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3, hot_rows
 
 
 def representatives(docs: DataFrame, budget: int = 2, shingle: int = 3) -> DataFrame:
-    """The documents of the smallest id of each component, once each; documents of a null id all stay."""
+    """The documents of the smallest id of each component; documents of a null id all stay.
+
+    Rows that repeat an id and its text stay once; other texts of that id stay beside it.
+    """
     found = near_duplicates(docs, budget, shingle)
     keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    kept = docs.withColumn("_d", F.md5(F.coalesce("text", F.lit("")))).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "_d"]).drop("_d")
+    return kept.unionByName(docs.where("doc_id IS NULL"))
