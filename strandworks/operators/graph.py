@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the cluster names, which all executors share; a local one only where none is set."""
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint in the folder the cluster names, which all executors share; a local one only where all runs on one machine."""
     sc = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandworks-"))
@@ -26,7 +27,7 @@ def over_blocks(state: DataFrame, reference: DataFrame, size: int, merged) -> Da
         state = merged(state, block)
         block = list(itertools.islice(values, size))
         if block:
-            state = _cut(state)
+            state = cut(state)
     return state
 
 
@@ -36,13 +37,13 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     Each round takes the smallest label around and then jumps to that label's label, so long chains halve.
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
-    both = _cut(both)
-    cur = _cut(nodes.select("id").where("id IS NOT NULL").distinct().withColumn("root", F.col("id")))
+    both = cut(both)
+    cur = cut(nodes.select("id").where("id IS NOT NULL").distinct().withColumn("root", F.col("id")))
     for _ in range(max_rounds):
         near = both.join(cur, both.b == cur.id).groupBy("a").agg(F.min("root").alias("low"))
         step = cur.join(near, cur.id == near.a, "left").select("id", F.least("root", F.coalesce("low", "root")).alias("root"), F.col("root").alias("was"))
         label = step.select(F.col("id").alias("root"), F.col("root").alias("up"))
-        new = _cut(step.join(label, "root", "left").select("id", F.least("root", F.coalesce("up", "root")).alias("root"), "was"))
+        new = cut(step.join(label, "root", "left").select("id", F.least("root", F.coalesce("up", "root")).alias("root"), "was"))
         changed = not new.where("root <> was").isEmpty()
         cur = new.select("id", "root")
         if not changed:
@@ -50,15 +51,50 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     raise RuntimeError("components did not settle")
 
 
-def balanced_folds(sizes: dict[str, int], folds: int, seed: str) -> dict[str, int]:
-    """Groups by size, largest first, then by sha256(seed:group), each to the lightest fold."""
-    load = [0] * folds
-    out = {}
-    for g in sorted(sizes, key=lambda g: (-sizes[g], hashlib.sha256(f"{seed}:{g}".encode()).hexdigest())):
-        k = min(range(folds), key=lambda i: (load[i], i))
-        out[g] = k
-        load[k] += sizes[g]
-    return out
+def _fill(loads: list[int], size: int, n: int) -> list[int]:
+    """How many of n groups of one size each fold takes when each goes to the lightest, ties to the smaller number.
+
+    Fold i takes its j-th when its load is loads[i] + j * size; the n smallest of these (load, fold) are taken.
+    """
+    below = lambda top: [max(0, -(-(top - x) // size)) for x in loads]  # noqa: E731  those of a load under top
+    low, high = min(loads), max(loads) + n * size + 1
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if sum(below(mid)) <= n else (low, mid)
+    took = below(low)
+    left = n - sum(took)
+    for i, x in enumerate(loads):
+        if left and low >= x and (low - x) % size == 0:
+            took[i], left = took[i] + 1, left - 1
+    return took
+
+
+def balanced_folds(df: DataFrame, group: str, folds: int, seed: str, chunk: int = 100_000) -> DataFrame:
+    """(group, size, fold): groups by size, largest first, then by sha256(seed:group), each to the lightest fold; ties to the smaller fold.
+
+    Only the table of (size, groups of that size) is on the driver, at most about the root of twice the rows.
+    Which fold the r-th group of a size gets follows from the loads before it: the j-th that fold i takes
+    stands behind all (load + j * size, fold) that are smaller.
+    """
+    from . import rank
+
+    sizes = df.groupBy(group).agg(F.count("*").alias("size")).withColumn("_h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")), 256))
+    sizes = cut(sizes)
+    loads, plan = [0] * folds, []
+    for size, n in sorted(sizes.groupBy("size").count().collect(), reverse=True):
+        took = _fill(loads, size, n)
+        plan.append((size, list(loads), took))
+        loads = [x + size * k for x, k in zip(loads, took)]
+    spark = df.sparkSession
+    levels = spark.createDataFrame(plan, "size long, loads array<long>, took array<long>")
+    rows = levels.select("size", "loads", F.posexplode("took").alias("fold", "n")).where("n > 0")
+    rows = rows.withColumn("_a", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(chunk)))).repartition("size", "fold", "_a")
+    rows = rows.withColumn("_j", F.explode(F.sequence(F.col("_a"), F.least(F.col("_a") + chunk, F.col("n")) - 1)))
+    key = F.get("loads", F.col("fold")) + F.col("_j") * F.col("size")
+    ahead = F.transform("loads", lambda x, i: F.greatest(F.lit(0), F.ceil((key - x + F.when(i < F.col("fold"), 1).otherwise(0)) / F.col("size"))))
+    rows = rows.select(F.col("size").alias("_size"), "fold", F.aggregate(ahead, F.lit(0).cast("long"), lambda a, x: a + x).alias("_r"))
+    ranked = rank.with_ranks(sizes, {"_rank": F.col("_h_before")}, ["_h"], ["size"])
+    return ranked.join(rows, (F.col("size") == F.col("_size")) & (F.col("_rank") == F.col("_r"))).select(group, "size", F.col("fold").cast("int").alias("fold"))
 
 
 def round_robin_folds(df: DataFrame, stratum: str, key: str, folds: int) -> DataFrame:
@@ -69,3 +105,53 @@ def round_robin_folds(df: DataFrame, stratum: str, key: str, folds: int) -> Data
 def leaks(df: DataFrame, group: str, fold: str) -> DataFrame:
     """Groups that lie in more than one fold."""
     return df.groupBy(group).agg(F.countDistinct(fold).alias("folds")).where("folds > 1")
+
+
+def threshold_components(nodes: DataFrame, pairs: DataFrame, least: float, strict: bool = False) -> DataFrame:
+    """(id, root, group) of nodes (id) linked by pairs (id_a, id_b, ratio) of at least, or above, a ratio; group = sha256 of the root."""
+    near = pairs.where(F.col("ratio") > least if strict else F.col("ratio") >= least)
+    return components(nodes, near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).withColumn("group", F.sha2(F.col("root").cast("string"), 256))
+
+
+def joint_components(nodes: DataFrame, *links: DataFrame) -> DataFrame:
+    """(id, root) under several kinds of links, each (id, key): nodes that share a key of a kind are linked.
+
+    A key's nodes hang on its smallest one, so a key that many share costs its number, not its pairs.
+    """
+    edges = None
+    for link in links:
+        known = link.where("id IS NOT NULL AND key IS NOT NULL")
+        star = known.join(known.groupBy("key").agg(F.min("id").alias("b")), "key").where("id <> b").select(F.col("id").alias("a"), "b")
+        edges = star if edges is None else edges.unionByName(star)
+    return components(nodes, edges)
+
+
+def exposure(members: DataFrame, order: tuple[str, ...] = ("fresh", "unknown", "used")) -> DataFrame:
+    """(root, exposure): the strongest label of a component's members (root, exposure); a label not in the order counts as unknown."""
+    level = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col("exposure")), F.lit(0)), F.lit(order.index("unknown") + 1))
+    return members.groupBy("root").agg(F.max(level).alias("_k")).select("root", F.element_at(F.array(*map(F.lit, order)), F.col("_k").cast("int")).alias("exposure"))
+
+
+def max_to_other_folds(pairs: DataFrame, folds: DataFrame, limit: float) -> DataFrame:
+    """(id, fold, max_ratio, violates): the highest ratio of an id (pairs id_a, id_b, ratio, each pair once) to ids of other folds (id, fold)."""
+    both = pairs.select("id_a", "id_b", "ratio").unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "ratio"))
+    a, b = folds.select(F.col("id").alias("id_a"), F.col("fold").alias("fa")), folds.select(F.col("id").alias("id_b"), F.col("fold").alias("fb"))
+    top = both.join(a, "id_a").join(b, "id_b").where("fa <> fb").groupBy("id_a").agg(F.max("ratio").alias("m"))
+    out = folds.join(top, folds.id == top.id_a, "left").select("id", "fold", F.coalesce("m", F.lit(0.0)).alias("max_ratio"))
+    return out.withColumn("violates", F.col("max_ratio") > limit)
+
+
+def duplicate_links(df: DataFrame, key: list[str], assay: str) -> DataFrame:
+    """Add status: of rows of one export key "same_assay" if their assay is one, "unresolved" if some is missing, else "distinct"; a key's only row is "single"."""
+    w = W.partitionBy(*key)
+    n, known, kinds = F.count("*").over(w), F.count(assay).over(w), F.size(F.collect_set(assay).over(w))
+    return df.withColumn("status", F.when(n == 1, "single").when(known < n, "unresolved").when(kinds == 1, "same_assay").otherwise("distinct"))
+
+
+def resolve_label(df: DataFrame, label: str, exact: DataFrame, species: DataFrame) -> DataFrame:
+    """Add genome and how: by the exact label, else by its species (first two words), else unknown. exact and species: (name, genome)."""
+    first_two = F.substring_index(F.trim(F.regexp_replace(F.col(label), r"\s+", " ")), " ", 2)
+    e, s = exact.select(F.col("name").alias("_e"), F.col("genome").alias("_ge")), species.select(F.col("name").alias("_s"), F.col("genome").alias("_gs"))
+    out = df.join(e, F.col(label) == F.col("_e"), "left").join(s, first_two == F.col("_s"), "left")
+    how = F.when(F.col("_ge").isNotNull(), "exact").when(F.col("_gs").isNotNull(), "species").otherwise("unknown")
+    return out.withColumn("genome", F.coalesce("_ge", "_gs")).withColumn("how", how).drop("_e", "_ge", "_s", "_gs")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -48,13 +49,43 @@ def in_order_of(df: DataFrame, key: str, order: DataFrame, position: str = "posi
     return df.join(order, key).orderBy(position)
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, text: str, least: float, itself: bool = False, id_: str = "id") -> DataFrame:
-    """Pairs (id_a, id_b, ratio) of short texts with 2 LCS / (len a + len b) >= least; self-joins give a pair once, the smaller id first.
+def _tokens(df: DataFrame) -> DataFrame:
+    """(id, s, m) -> (id, m, token): each letter with how often it came before, as a set."""
+    letters = F.array_sort(F.filter(F.split("s", ""), lambda c: c != ""))
+    numbered = df.select("id", "m", letters.alias("c")).select("id", "m", F.transform("c", lambda x, i: F.concat(x, (i - F.array_position("c", x)).cast("string"))).alias("t"))
+    return numbered.select("id", "m", F.explode("t").alias("token"))
+
+
+def _by_rare_letters(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """Candidate pairs (a.id, b.id) that share one of their rarest letters.
+
+    A common subsequence is shared letters, so a ratio is at most twice the shared letters over both
+    lengths; of n letters, all but n * least / (2 - least), and one more, taken rarest first, hold one in common.
+    """
+    ta, tb = _tokens(a), _tokens(b)
+    rare = ta.select("token").unionByName(tb.select("token")).groupBy("token").agg(F.count("*").alias("f"))  # alphabet x length
+
+    def head(t: DataFrame, name: str) -> DataFrame:
+        listed = t.join(rare, "token").groupBy("id", "m").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("l"))
+        n = F.col("m") - F.ceil(F.col("m") * F.lit(least / (2 - least)) - 1e-9) + 1
+        return listed.select(F.col("id").alias(name), F.col("m").alias(f"{name}_m"), F.explode(F.slice("l", 1, n.cast("int"))).alias("_e")).select(name, f"{name}_m", F.col("_e.token").alias("token"))
+
+    hit = head(ta, "x").join(head(tb, "y"), "token").where(2 * F.least("x_m", "y_m") >= F.lit(least) * (F.col("x_m") + F.col("y_m")) - 1e-9)
+    empty = a.where("m = 0").select(F.col("id").alias("x"), F.lit(0).alias("k")).join(b.where("m = 0").select(F.col("id").alias("y"), F.lit(0).alias("k")), "k")
+    return hit.select("x", "y").unionByName(empty.select("x", "y"))
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, text: str, least: float, itself: bool = False, id_: str = "id", measure=None) -> DataFrame:
+    """Pairs (id_a, id_b, ratio) of short texts with a ratio 2 LCS / (len a + len b) >= least; self-joins give a pair once, the smaller id first.
+
+    ``measure``: another column function of two texts that is never above that ratio, such as
+    kernels.identity. Below 0.75 candidates share a rare letter; from 0.75 on they share a segment:
 
     Candidates come from an equi-join, not a product. A pair with that ratio is at most D insertions and
     deletions apart, D following from the shorter length n; so of D + 1 segments of the shorter text one
     stands unchanged in the longer, at most D places off. Shorter texts give their segments, longer ones
-    the substrings in reach, keyed by (n, segment, characters); hits are cut by letter counts, then aligned.
+    the substrings in reach, keyed by (n, segment, characters). Pairs of ids are made distinct before
+    texts are fetched, cut by letter counts, then aligned.
     """
     rows = lambda df: df.select(F.col(id_).alias("id"), F.col(text).alias("s"), F.length(text).alias("m")).where("s IS NOT NULL")
     a, b = rows(left), rows(right)
@@ -76,15 +107,19 @@ def similar_pairs(left: DataFrame, right: DataFrame, text: str, least: float, it
         seg = seg.where(high >= low).withColumn("p", F.explode(F.sequence(low, high)))
         return seg.select(F.col("id").alias("id2"), F.col("s").alias("s2"), key(F.col("n"), F.col("i"), F.substring(F.col("s"), F.col("p") + 1, F.col("len")))).distinct()
 
-    hit = short_side(a).join(long_side(b), "key")
-    if itself:
-        pairs = hit.where("id <> id2").select(F.least("id", "id2").alias("id_a"), F.greatest("id", "id2").alias("id_b"), F.when(F.col("id") < F.col("id2"), F.col("s")).otherwise(F.col("s2")).alias("a"), F.when(F.col("id") < F.col("id2"), F.col("s2")).otherwise(F.col("s")).alias("b"))
+    if least < 0.75:
+        hit = _by_rare_letters(a, b, least)
     else:
-        other = short_side(b).join(long_side(a), "key")
-        pairs = hit.select(F.col("id").alias("id_a"), F.col("id2").alias("id_b"), F.col("s").alias("a"), F.col("s2").alias("b")).unionByName(other.select(F.col("id2").alias("id_a"), F.col("id").alias("id_b"), F.col("s2").alias("a"), F.col("s").alias("b")))
+        hit = short_side(a).select("key", F.col("id").alias("x")).join(long_side(b).select("key", F.col("id2").alias("y")), "key").select("x", "y")
+        if not itself:
+            hit = hit.unionByName(short_side(b).select("key", F.col("id").alias("y")).join(long_side(a).select("key", F.col("id2").alias("x")), "key").select("x", "y"))
+    if itself:
+        hit = hit.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    pairs = hit.distinct().join(a.select(F.col("id").alias("x"), F.col("s").alias("a")), "x").join(b.select(F.col("id").alias("y"), F.col("s").alias("b")), "y")
     total = F.length("a") + F.length("b")
-    pairs = pairs.distinct().where(2 * letter_bound(F.col("a"), F.col("b")) >= F.lit(least) * total - 1e-9)
-    return pairs.withColumn("ratio", kernels.ratio(F.col("a"), F.col("b"))).where(F.col("ratio") >= least).select("id_a", "id_b", "ratio")
+    pairs = pairs.where(2 * letter_bound(F.col("a"), F.col("b")) >= F.lit(least) * total - 1e-9)
+    pairs = pairs.withColumn("ratio", (measure or kernels.ratio)(F.col("a"), F.col("b"))).where(F.col("ratio") >= least)
+    return pairs.select(F.col("x").alias("id_a"), F.col("y").alias("id_b"), "ratio")
 
 
 def letter_bound(a: Column, b: Column) -> Column:
@@ -98,27 +133,181 @@ def letter_bound(a: Column, b: Column) -> Column:
     return total + F.least(rest_a, rest_b)
 
 
-def max_similarity(left: DataFrame, reference: DataFrame, text: str, id_: str, most_rows: int = 50_000) -> DataFrame:
-    """(id, max_ratio) of each left text over all reference texts; the reference is broadcast in blocks of ``most_rows``."""
+class References:
+    """A block of reference texts by length, with letter counts (letters fall into buckets, which keeps bounds safe)."""
+
+    BUCKETS = 48
+
+    def __init__(self, texts: list[str]):
+        self.texts = sorted(texts, key=lambda t: (len(t), t))
+        self.sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.counts = np.stack([self.letters(t) for t in self.texts]) if texts else np.zeros((0, self.BUCKETS), np.int32)
+
+    @classmethod
+    def letters(cls, text: str) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        return np.bincount(codes % cls.BUCKETS, minlength=cls.BUCKETS).astype(np.int32)
+
+    def best(self, text: str, top: float, by_longer: bool, measure, enough: float = float("inf")) -> float:
+        """The highest measure over the texts and ``top``; texts whose bound isn't above the best so far are not aligned."""
+        n = len(text)
+        if not len(self.sizes):
+            return top
+        if not n and not by_longer and self.sizes[0] == 0:
+            return 1.0
+        under = np.maximum(self.sizes, n) if by_longer else (self.sizes + n) / 2
+        short = np.minimum(self.sizes, n) / np.maximum(under, 1)
+        at = np.flatnonzero(short > top)
+        bound = np.minimum(self.counts[at], self.letters(text)).sum(axis=1) / np.maximum(under[at], 1)
+        for k in np.argsort(-bound, kind="stable"):
+            if bound[k] <= top or top >= enough:
+                break
+            top = max(top, measure(text, self.texts[at[k]]))
+        return top
+
+
+def max_similarity(left: DataFrame, reference: DataFrame, text: str, id_: str, most_rows: int = 50_000, local: bool = False) -> DataFrame:
+    """(id, max_ratio) of each left text over all reference texts: by common subsequences, or by local alignments.
+
+    The reference, a stated set, is broadcast in blocks of ``most_rows``. Of a block only texts whose length and
+    letter-count bounds beat the best so far are aligned, the highest bound first.
+    """
     ref = reference.select(text).where(F.col(text).isNotNull()).distinct()
 
     def merged(state: DataFrame, block: list) -> DataFrame:
-        shared = left.sparkSession.sparkContext.broadcast(block)
+        shared = left.sparkSession.sparkContext.broadcast(References(block))
 
         @F.pandas_udf("double")
         def best(texts: pd.Series, tops: pd.Series) -> pd.Series:
-            out = []
-            for t, top in zip(texts, tops):
-                for r in shared.value if t is not None else ():
-                    n = len(t) + len(r)
-                    if n and 2 * min(len(t), len(r)) / n > top:
-                        top = max(top, 2 * kernels.lcs_length(*sorted((t, r), key=len)) / n)
-                    elif not n:
-                        top = 1.0
-                out.append(None if t is None else top)
-            return pd.Series(out, dtype="float64")
+            measure = kernels.local_ratio if local else kernels.lcs_ratio
+            return pd.Series([None if t is None else shared.value.best(t, top, local, measure) for t, top in zip(texts, tops)], dtype="float64")
 
         return state.withColumn("max_ratio", best(F.col(text), F.col("max_ratio")))
 
     state = left.select(id_, text, F.when(F.col(text).isNotNull(), F.lit(0.0)).alias("max_ratio"))
     return over_blocks(state, ref, most_rows, merged).select(id_, "max_ratio")
+
+
+def above(left: DataFrame, reference: DataFrame, text: str, most: float, local: bool = False, most_rows: int = 50_000) -> DataFrame:
+    """(id): left texts with a similarity above ``most`` to some reference text; alignment ends at the first one found."""
+    ref = reference.select(text).where(F.col(text).isNotNull()).distinct()
+
+    def merged(state: DataFrame, block: list) -> DataFrame:
+        shared = left.sparkSession.sparkContext.broadcast(References(block))
+
+        @F.pandas_udf("boolean")
+        def hit(texts: pd.Series, seen: pd.Series) -> pd.Series:
+            measure = kernels.local_ratio if local else kernels.lcs_ratio
+            return pd.Series([bool(s) or t is not None and shared.value.best(t, most, local, measure, np.nextafter(most, 2)) > most for t, s in zip(texts, seen)])
+
+        return state.withColumn("hit", hit(F.col(text), F.col("hit")))
+
+    return over_blocks(left.select("id", text, F.lit(False).alias("hit")), ref, most_rows, merged).where("hit").select("id")
+
+
+def clear_of(left: DataFrame, reference: DataFrame, text: str, id_: str, most: float, local: bool = False) -> DataFrame:
+    """Left rows whose similarity to every reference text is at most ``most``."""
+    near = above(left.select(F.col(id_).alias("id"), text), reference, text, most, local).select(F.col("id").alias("_near"))
+    return left.join(near, F.col(id_) == F.col("_near"), "left_anti")
+
+
+def require_aligned(records: DataFrame, table: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The records, if each has a row of its key in the table with equal columns; else an error that names one."""
+    other = table.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in columns])
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    if bad := records.join(other, F.col(key) == F.col("_k"), "left").where(F.col("_k").isNull() | ~same).take(1):
+        raise ContractError(f"no equal row for {bad[0][key]!r}")
+    return records
+
+
+def scores_for(rows: DataFrame, scores: DataFrame, key: str, score: str, valid: Column) -> DataFrame:
+    """Rows with their score by key; a valid row without one is an error when it is read, others may lack it."""
+    joined = rows.join(scores.select(key, score), key, "left")
+    missing = valid & (F.col(score).isNull() | F.isnan(F.col(score).cast("double")))
+    return joined.withColumn(score, F.when(missing, F.raise_error(F.concat(F.lit("no score for "), F.col(key).cast("string"))).cast("double")).otherwise(F.col(score)))
+
+
+def tensor_cells(measured: DataFrame, cells: DataFrame, on: list[str], value: str, threshold: float = 16.0) -> DataFrame:
+    """Measured rows with median and median absolute deviation of log2 of their cell's values, and the share at most the threshold."""
+    x = F.log2(value)
+    base = cells.groupBy(*on).agg(F.sort_array(F.collect_list(x)).alias("_x"), F.avg((F.col(value) <= threshold).cast("double")).alias("share"))  # a cell has a value a model
+
+    def middle(a: Column) -> Column:
+        n = F.size(a)
+        return (F.get(a, F.floor((n - 1) / 2).cast("int")) + F.get(a, F.floor(n / 2).cast("int"))) / 2
+
+    base = base.withColumn("median", middle(F.col("_x"))).withColumn("mad", middle(F.array_sort(F.transform("_x", lambda v: F.abs(v - F.col("median"))))))
+    return measured.join(base.select(*on, "median", "mad", "share"), on, "left")
+
+
+def missing_pairs(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (id_a, id_b) of either order that the known table has in neither."""
+    order = lambda df: df.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+    return order(wanted).join(order(known), ["id_a", "id_b"], "left_anti")
+
+
+def ratio_bounds_by_key(a: DataFrame, b: DataFrame, key: str, ratios: list[float]) -> DataFrame:
+    """(key, ratio, certain, possible): for each key with both intervals (lower, upper) whether b / a surely, or possibly, reaches each ratio."""
+    both = a.select(key, F.col("lower").alias("al"), F.col("upper").alias("au")).join(b.select(key, F.col("lower").alias("bl"), F.col("upper").alias("bu")), key)
+    grid = both.withColumn("ratio", F.explode(F.array(*map(F.lit, ratios))))
+    return grid.select(key, "ratio", F.coalesce(F.col("bl") >= F.col("ratio") * F.col("au"), F.lit(False)).cast("int").alias("certain"), (F.col("bu").isNull() | F.col("al").isNull() | (F.col("bu") >= F.col("ratio") * F.col("al"))).cast("int").alias("possible"))
+
+
+def unique_match(left: DataFrame, right: DataFrame, on: list[str], id_: str) -> DataFrame:
+    """Left rows with the right id whose keys are all equal (null equals null), where just one is; ``matches`` counts them."""
+    marks = right.groupBy(*[F.col(c).alias(f"_{c}") for c in on]).agg(F.count("*").alias("matches"), F.min(id_).alias("_id"))
+    cond = F.lit(True)
+    for c in on:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = left.join(marks, cond, "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+    return out.withColumn("match", F.when(F.col("matches") == 1, F.col("_id"))).drop("_id", *[f"_{c}" for c in on])
+
+
+def near_values(a: DataFrame, b: DataFrame, on: list[str], value: str, relative: float = 0.01, absolute: float = 0.005) -> DataFrame:
+    """(id_a, id_b): rows of equal keys whose values differ by at most a share of the larger, or absolutely.
+
+    Values go into logarithmic cells twice as wide as the tolerance, so that only neighbouring cells meet.
+    """
+    width = 2 * relative
+    cell = lambda c: F.floor(F.log(F.greatest(F.abs(c), F.lit(absolute / relative))) / width)
+    x = a.select(F.col("id").alias("id_a"), *on, F.col(value).alias("va"), F.explode(F.sequence(cell(F.col(value)) - 1, cell(F.col(value)) + 1)).alias("cell"))
+    y = b.select(F.col("id").alias("id_b"), *on, F.col(value).alias("vb"), cell(F.col(value)).alias("cell"))
+    gap = F.abs(F.col("va") - F.col("vb"))
+    return x.join(y, [*on, "cell"]).where((gap <= absolute) | (gap <= relative * F.greatest(F.abs("va"), F.abs("vb")))).select("id_a", "id_b")
+
+
+def pairs_of_ids(pairs: DataFrame, rows: DataFrame, id_: str) -> DataFrame:
+    """Pairs (id_a, id_b) with both ends' rows as structs left and right; a pair and its reverse are an error, and so is an end without a row."""
+    key = [F.least("id_a", "id_b").alias("lo"), F.greatest("id_a", "id_b").alias("hi")]
+    if bad := pairs.groupBy(*key).count().where("count > 1").take(1):
+        raise ContractError(f"the pair {bad[0].lo}, {bad[0].hi} comes twice")
+    ends = rows.select(F.col(id_).alias("_id"), F.struct(*rows.columns).alias("row"))
+    require_covered(pairs.select(F.col("id_a").alias("_id")).unionByName(pairs.select(F.col("id_b").alias("_id"))), ends, ["_id"])
+    left, right = (ends.select(F.col("_id").alias(i), F.col("row").alias(n)) for i, n in (("id_a", "left"), ("id_b", "right")))
+    return pairs.join(left, "id_a").join(right, "id_b")
+
+
+def overlaps(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(key, n): for each key column how many distinct values stand in both tables; all 0 if they are apart."""
+    side = lambda df, n: df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("v")) for k in keys])).alias("x")).select("x.key", "x.v").where("v IS NOT NULL").distinct().withColumn(n, F.lit(1))
+    both = side(a, "a").join(side(b, "b"), ["key", "v"]).groupBy("key").agg(F.count("*").alias("n"))
+    spine = a.sparkSession.createDataFrame([(k,) for k in keys], "key string")
+    return spine.join(both, "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def pairs_within(df: DataFrame, group: list[str], text: str, least: float, evidence: DataFrame) -> DataFrame:
+    """(id_a, id_b, ratio, known): similar pairs of different texts that share a group; known: the pair is in ``evidence`` (id_a, id_b)."""
+    near = similar_pairs(df, df, text, least, itself=True)
+    ends = lambda i, n: df.select(F.col("id").alias(i), F.struct(*group).alias(f"g{n}"), F.col(text).alias(f"t{n}"))
+    same = near.join(ends("id_a", 1), "id_a").join(ends("id_b", 2), "id_b").where("g1 = g2 AND t1 <> t2")
+    seen = evidence.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct().withColumn("known", F.lit(True))
+    return same.join(seen, ["id_a", "id_b"], "left").select("id_a", "id_b", "ratio", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def changed_edges(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(id_a, id_b, ratio_a, ratio_b): pairs that reach the ratio in one table only; a pair that a table lacks has none there."""
+    both = a.withColumnRenamed("ratio", "ratio_a").join(b.withColumnRenamed("ratio", "ratio_b"), ["id_a", "id_b"], "full")
+    is_edge = lambda c: F.coalesce(F.col(c) >= least, F.lit(False))
+    return both.where(is_edge("ratio_a") != is_edge("ratio_b")).select("id_a", "id_b", "ratio_a", "ratio_b")

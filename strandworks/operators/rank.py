@@ -1,72 +1,129 @@
-"""Ranks that treat ties as data frames do; neither percent_rank nor cume_dist does."""
+"""Ranks that treat ties as data frames do; neither percent_rank nor cume_dist does.
+
+One table of distinct values serves all columns of a kind: (column, group, value, count) is dealt by value
+ranges, each range is summed by itself, and the sums of the ranges before it are added. So a common value is
+one row, and no task orders a whole column or a whole group, whatever its type.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from .graph import cut
 
-BUCKETS = 256
 
+def finite(c: Column, kind: T.DataType | None = None) -> Column:
+    """Neither null, NaN nor infinite."""
+    if kind is not None and not isinstance(kind, (T.FloatType, T.DoubleType)):
+        return c.isNotNull()
+    x = c.cast("double")
+    return c.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 
-def _before(counts: DataFrame, value: str, by: list[str], ascending: bool) -> DataFrame:
-    """Add ``_before``: how many rows have a value ahead. counts: one row (by, value, _n) for each value.
 
-    Numbers without groups are cut at approximate quantiles into BUCKETS ranges, which are summed apart
-    and offset by the sums of the ranges ahead, so that no task orders the whole table.
-    """
-    order = F.col(value).asc() if ascending else F.col(value).desc()
-    own = lambda *keys: F.sum("_n").over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
-    kind = counts.schema[value].dataType
-    if by or not isinstance(kind, T.NumericType) or isinstance(kind, T.DecimalType):
-        return counts.withColumn("_before", own(*by))
-    cuts = counts.agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    if not cuts:
-        return counts.withColumn("_before", own())
-    edges = F.lit(cuts).cast(T.ArrayType(kind))
-    ranged = counts.withColumn("_range", F.size(F.filter(edges, lambda c: c < F.col(value))))
-    sums = ranged.groupBy("_range").agg(F.sum("_n").alias("_sum"))  # at most BUCKETS rows
-    along = W.partitionBy().orderBy(F.col("_range").asc() if ascending else F.col("_range").desc()).rowsBetween(W.unboundedPreceding, 0)
-    sums = sums.select(F.col("_range").alias("_r"), (F.sum("_sum").over(along) - F.col("_sum")).alias("_ahead"))
-    ranged = ranged.withColumn("_own", own("_range")).join(F.broadcast(sums), F.col("_range") == F.col("_r"))
-    return ranged.withColumn("_before", F.col("_own") + F.col("_ahead")).drop("_range", "_r", "_own", "_ahead")
+def _common(kind: T.DataType) -> T.DataType:
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return T.DoubleType()
+    return T.LongType() if isinstance(kind, T.IntegralType) else kind
 
 
-def with_average_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None, ascending: bool = True) -> DataFrame:
-    """Average rank of each row by value, within groups; null and NaN values get none.
+def value_ranks(df: DataFrame, columns: list[str], by: list[str] | None = None) -> dict[str, DataFrame]:
+    """For each column a table (by as _b0.., _v, _before, _same, _total): how many rows of the group have a smaller value, that value, any.
 
-    Counts a value are ranked, not rows, so a common value is one row; each row then gets its value's
-    rank by a join.
+    Null, NaN and infinite values are left out. The columns of one kind are counted in one pass.
     """
     by = by or []
-    ok = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
-    counts = df.where(ok).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    ranks = _before(counts, value, by, ascending).withColumn(out, F.col("_before") + (F.col("_n") + 1) / 2)
-    ranks = ranks.select(*[F.col(c).alias(f"_{c}") for c in [*by, value]], out)
-    cond = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*by, value]]
-    return df.join(ranks, cond, "left").drop(*[f"_{c}" for c in [*by, value]])
+    kinds: dict[str, list[str]] = {}
+    for c in columns:
+        kinds.setdefault(_common(df.schema[c].dataType).simpleString(), []).append(c)
+    out = {}
+    keys = [f"_b{i}" for i in range(len(by))]
+    for kind, names in kinds.items():
+        cells = [F.struct(F.lit(c).alias("c"), F.when(finite(F.col(c), df.schema[c].dataType), F.col(c)).cast(kind).alias("v")) for c in names]
+        long = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.explode(F.array(*cells)).alias("x")).select(*keys, F.col("x.c").alias("_c"), F.col("x.v").alias("_v"))
+        counts = long.where("_v IS NOT NULL").groupBy("_c", *keys, "_v").agg(F.count("*").alias("_same"))
+        ranged = cut(counts.repartitionByRange("_c", *keys, "_v").withColumn("_p", F.spark_partition_id()))
+        sums = ranged.groupBy("_c", *keys, "_p").agg(F.sum("_same").alias("_sum"))  # a row a range and group
+        whole = W.partitionBy("_c", *keys)
+        ahead = whole.orderBy("_p").rowsBetween(W.unboundedPreceding, 0)
+        sums = sums.select("_c", *keys, "_p", (F.sum("_sum").over(ahead) - F.col("_sum")).alias("_ahead"), F.sum("_sum").over(whole).alias("_total"))
+        within = W.partitionBy("_c", *keys, "_p").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+        ranged = ranged.withColumn("_own", F.sum("_same").over(within) - F.col("_same"))
+        on = [ranged[c].eqNullSafe(sums[c]) for c in ("_c", *keys, "_p")]
+        ranks = cut(ranged.join(sums, on).select(ranged["_c"], *[ranged[k] for k in keys], "_v", (F.col("_own") + F.col("_ahead")).alias("_before"), "_same", "_total"))
+        for c in names:
+            out[c] = ranks.where(F.col("_c") == c).drop("_c")
+    return out
+
+
+def with_ranks(df: DataFrame, columns: dict[str, Column], values: dict[str, str] | list[str], by: list[str] | None = None) -> DataFrame:
+    """Add ``columns``, expressions over <value>_before, <value>_same and <value>_total of each value column (null without a rank)."""
+    by = by or []
+    names = list(values)
+    tables = value_ranks(df, names, by)
+    out = df
+    for c in names:
+        t = tables[c].withColumnsRenamed({"_v": f"{c}_v", **{f: f"{c}{f}" for f in ("_before", "_same", "_total")}, **{f"_b{i}": f"{c}_b{i}" for i in range(len(by))}})
+        on = F.col(c).cast(t.schema[f"{c}_v"].dataType) == F.col(f"{c}_v")
+        for i, b in enumerate(by):
+            on = on & F.col(b).eqNullSafe(F.col(f"{c}_b{i}"))
+        out = out.join(t, on, "left").drop(f"{c}_v", *[f"{c}_b{i}" for i in range(len(by))])
+    made = out.withColumns(columns)
+    return made.drop(*[f"{c}{f}" for c in names for f in ("_before", "_same", "_total")])
+
+
+def _average(c: str, ascending: bool = True) -> Column:
+    up = F.col(f"{c}_before") + (F.col(f"{c}_same") + 1) / 2
+    return up if ascending else F.col(f"{c}_total") + 1 - up
+
+
+def _score(c: str, reverse: bool) -> Column:
+    s = F.when(F.col(f"{c}_total") == 1, 1.0).otherwise((_average(c) - 1) / F.nullif(F.col(f"{c}_total") - 1, F.lit(0)))
+    return F.when(F.col(f"{c}_total") > 1, 1.0 - s).otherwise(s) if reverse else s
+
+
+def with_average_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None, ascending: bool = True) -> DataFrame:
+    """Average rank of each row by value, within groups; values that are null or not finite get none."""
+    return with_ranks(df, {out: _average(value, ascending)}, [value], by)
+
+
+def percentile_scores(df: DataFrame, scores: dict[str, tuple[str, bool]], by: list[str] | None = None) -> DataFrame:
+    """Several scores {out: (column, reverse)}: (average rank - 1) / (n - 1), reversed one minus it; 1 for a single value either way."""
+    names = list(dict.fromkeys(c for c, _ in scores.values()))
+    return with_ranks(df, {out: _score(c, reverse) for out, (c, reverse) in scores.items()}, names, by)
 
 
 def percentile_score(df: DataFrame, value: str, out: str, by: list[str] | None = None, reverse: bool = False) -> DataFrame:
-    """(average rank - 1) / (n - 1), 1 for a single value; reversed: one minus it."""
-    by = by or []
-    ranked = with_average_rank(df, value, "_rank", by)
-    totals = ranked.where("_rank IS NOT NULL").groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.count("*").alias("_total"))
-    joined = ranked.join(totals, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left") if by else ranked.crossJoin(F.broadcast(totals))  # one row
-    score = F.when(F.col("_total") == 1, 1.0).otherwise((F.col("_rank") - 1) / F.nullif(F.col("_total") - 1, F.lit(0)))
-    return joined.withColumn(out, F.when(F.col("_rank").isNotNull(), 1.0 - score if reverse else score)).drop("_rank", "_total", *[f"_{c}" for c in by])
+    return percentile_scores(df, {out: (value, reverse)}, by)
 
 
-def pct_rank(df: DataFrame, value: str, out: str, ascending: bool = True) -> DataFrame:
+def pct_rank(df: DataFrame, value: str, out: str, ascending: bool = True, by: list[str] | None = None) -> DataFrame:
     """Average rank over the number of values."""
-    ranked = with_average_rank(df, value, "_rank", None, ascending)
-    total = ranked.agg(F.count("_rank").alias("_total"))
-    return ranked.crossJoin(F.broadcast(total)).withColumn(out, F.col("_rank") / F.col("_total")).drop("_rank", "_total")  # one row
+    return with_ranks(df, {out: _average(value, ascending) / F.col(f"{value}_total")}, [value], by)
 
 
-def min_rank(value: Column, *by: str) -> Column:
+def min_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Rank with ties at their lowest, highest value first."""
-    return F.rank().over(W.partitionBy(*by).orderBy(value.desc()))
+    return with_ranks(df, {out: (F.col(f"{value}_total") - F.col(f"{value}_before") - F.col(f"{value}_same") + 1).cast("long")}, [value], by)
+
+
+def ordinal(df: DataFrame, key: str, out: str) -> DataFrame:
+    """Position, from 0, of each row by a key that no other row has."""
+    return with_ranks(df, {out: F.col(f"{key}_before")}, [key])
+
+
+def configured_score(df: DataFrame, policy: dict, fields: dict[str, str], out: str) -> DataFrame:
+    """The score of the column that a policy names: {"enabled", "adopted", "fallback"}; low values are good."""
+    name = policy.get("adopted", "") if policy.get("enabled", True) else policy.get("fallback", "")
+    if name not in fields:
+        raise ValueError(f"no ranker {name!r}; there are {sorted(fields)}")
+    return percentile_score(df, fields[name], out, reverse=True)
+
+
+def leave_one_out(df: DataFrame, key: str, parts: list[str]) -> DataFrame:
+    """(omitted, winner, score): the best row by the mean of all columns but one, for each omitted column; ties to the smaller key."""
+    grid = df.select(key, F.explode(F.array(*[F.struct(F.lit(o).alias("omitted"), (sum(F.col(c) for c in parts if c != o) / (len(parts) - 1)).alias("score")) for o in parts])).alias("x"))
+    best = grid.groupBy("x.omitted").agg(F.min_by(F.struct(F.col(key), F.col("x.score").alias("score")), F.struct(-F.col("x.score"), F.col(key))).alias("w"))
+    return best.select("omitted", F.col(f"w.{key}").alias("winner"), F.col("w.score").alias("score"))
 
 
 def blend(weights: dict[str, float]) -> Column:

@@ -2,71 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Window as W, functions as F
 
 from ..functions import censor, seq
-from ..operators import aggregate, graph, joins, metrics, rank, resample, select, vectors
+from ..operators import aggregate, graph, joins, metrics, quota, rank, resample, select, vectors
 from ..streaming import events as stream
+from .catalog import AVG_RANK, FLAGSHIP, ORACLES, QUERIES, query, r6
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "select_library_top"
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL."""
-
-    def add(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-        run.__name__, run.__doc__ = f.__name__, f.__doc__
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r6(c):
-    return F.round(c, 6)
-
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-#: The short sequence of a document: its first 40 characters' Latin letters.
-SEQ_SQL = "regexp_replace(lower(substr(text, 1, 40)), '[^a-z]', '', 'g')"
+#: The sequence of a document: all its Latin letters; valid from LOW to HIGH of them.
+SEQ_SQL = "lower(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'))"
+LOW, HIGH = 8, 2000
 
 
 def seq_col(text="text"):
-    return F.regexp_replace(F.lower(F.substring(text, 1, 40)), "[^a-z]", "")
-
-
-AVG_RANK = "(rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0)"
+    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]", ""))
 
 
 @query(f"""
 WITH d AS (SELECT doc_id, source, {SEQ_SQL} AS s FROM documents),
-m AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id) AS nth, length(s) BETWEEN 8 AND 50 AS ok, s IN (SELECT {SEQ_SQL} FROM benchmark) AS known FROM d)
+m AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id) AS nth, length(s) BETWEEN {LOW} AND {HIGH} AS ok, s IN (SELECT {SEQ_SQL} FROM benchmark) AS known FROM d)
 SELECT doc_id, CASE WHEN NOT ok THEN 'invalid' WHEN nth > 1 THEN 'duplicate' WHEN known THEN 'reference_overlap' END AS reason FROM m
 """)
 def reject_all_seen(t):
     docs = t("documents").select("doc_id", seq_col().alias("s"))
-    return select.mark_all_seen(docs, t("benchmark").select(seq_col().alias("s")), "s", "doc_id", seq.alphabet_ok(F.col("s"), 8, 50, LOWER)).select("doc_id", "reason")
+    return select.mark_all_seen(docs, t("benchmark").select(seq_col().alias("s")), "s", "doc_id", seq.alphabet_ok(F.col("s"), LOW, HIGH, LOWER)).select("doc_id", "reason")
 
 
 @query(f"""
 WITH d AS (SELECT doc_id, source, {SEQ_SQL} AS s FROM documents),
-m AS (SELECT *, length(s) BETWEEN 8 AND 50 AS ok, s IN (SELECT {SEQ_SQL} FROM benchmark) AS known FROM d),
+m AS (SELECT *, length(s) BETWEEN {LOW} AND {HIGH} AS ok, s IN (SELECT {SEQ_SQL} FROM benchmark) AS known FROM d),
 n AS (SELECT *, row_number() OVER (PARTITION BY s, ok AND NOT known ORDER BY doc_id) AS nth FROM m),
 r AS (SELECT source, CASE WHEN NOT ok THEN 'invalid' WHEN known THEN 'reference_overlap' WHEN nth > 1 THEN 'duplicate' ELSE 'accepted' END AS reason FROM n)
 SELECT source, reason, count(*) AS n FROM r GROUP BY ALL
 """)
 def reject_accepted_seen_inventory(t):
     docs = t("documents").select("doc_id", "source", seq_col().alias("s"))
-    marked = select.mark_accepted_seen(docs, t("benchmark").select(seq_col().alias("s")), "s", "doc_id", seq.alphabet_ok(F.col("s"), 8, 50, LOWER))
+    marked = select.mark_accepted_seen(docs, t("benchmark").select(seq_col().alias("s")), "s", "doc_id", seq.alphabet_ok(F.col("s"), LOW, HIGH, LOWER))
     return marked.groupBy("source", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -105,7 +79,7 @@ def percentile_score_orders(t):
 
 @query("""
 WITH r AS (SELECT p_partkey, p_brand, p_size, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
-SELECT p_partkey, round(1.0 - CASE WHEN n = 1 THEN 1.0 ELSE (r - 1) / nullif(n - 1, 0) END, 9) AS score FROM r
+SELECT p_partkey, round(CASE WHEN n = 1 THEN 1.0 ELSE 1.0 - (r - 1) / nullif(n - 1, 0) END, 9) AS score FROM r
 """)
 def percentile_score_reversed_by_group(t):
     return rank.percentile_score(t("part").select("p_partkey", "p_brand", "p_size"), "p_size", "score", ["p_brand"], reverse=True).select("p_partkey", F.round("score", 9).alias("score"))
@@ -116,7 +90,8 @@ SELECT p_partkey, round({AVG_RANK.format(v='p_size DESC').replace('PARTITION BY
 """)
 def pct_and_min_rank(t):
     p = rank.pct_rank(t("part").select("p_partkey", "p_size", "p_brand", "p_retailprice"), "p_size", "pct", ascending=False)
-    return p.select("p_partkey", F.round("pct", 9).alias("pct"), rank.min_rank(F.col("p_retailprice"), "p_brand").alias("min_rank"))
+    p = rank.min_rank(p, "p_retailprice", "min_rank", ["p_brand"])
+    return p.select("p_partkey", F.round("pct", 9).alias("pct"), F.col("min_rank").cast("int").alias("min_rank"))
 
 
 @query(f"""
@@ -124,8 +99,7 @@ WITH r AS (SELECT p_partkey, ({AVG_RANK.format(v='p_size')} - 1) / nullif(count(
 SELECT p_partkey, round((0.7 * a + 0.3 * b) / 1.0, 9) AS quality, CASE WHEN a >= 0.5 THEN 1 ELSE 0 END AS upper_half FROM r
 """)
 def consensus_quality(t):
-    p = rank.percentile_score(t("part").select("p_partkey", "p_size", "p_retailprice"), "p_size", "a")
-    p = rank.percentile_score(p, "p_retailprice", "b", reverse=True)
+    p = rank.percentile_scores(t("part").select("p_partkey", "p_size", "p_retailprice"), {"a": ("p_size", False), "b": ("p_retailprice", True)})
     return p.select("p_partkey", F.round(rank.blend({"a": 0.7, "b": 0.3}), 9).alias("quality"), F.when(F.col("a") >= 0.5, 1).otherwise(0).alias("upper_half"))
 
 
@@ -152,7 +126,7 @@ SELECT p_size, (fl + CASE WHEN k <= rest THEN 1 ELSE 0 END)::BIGINT AS quota FRO
 """)
 def largest_remainder_quotas(t):
     counts = t("part").groupBy("p_size").agg(F.count("*").cast("double").alias("w"))
-    return select.largest_remainder(counts, "p_size", "w", 1000)
+    return quota.largest_remainder(counts, "p_size", "w", 1000)
 
 
 @query("SELECT doc_id, CASE WHEN b < 0.70 THEN 'train' WHEN b < 0.85 THEN 'development' ELSE 'holdout' END AS part FROM (SELECT doc_id, ('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 AS b FROM documents)")
@@ -259,14 +233,10 @@ def max_similarity_to_reference(t):
     return joins.max_similarity(whole(t("documents"), "doc_id"), whole(t("benchmark"), "item_id"), "s", "id")
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT ps.l_partkey AS a, qs.l_partkey AS b FROM lineitem ps JOIN lineitem qs ON ps.l_orderkey = qs.l_orderkey AND ps.l_partkey <> qs.l_partkey WHERE ps.l_quantity >= 48 AND qs.l_quantity >= 48),
-n AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_quantity >= 48),
-r(id, seen) AS (SELECT id, id FROM n UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a)
-SELECT id, min(seen) AS root FROM r GROUP BY id
-""")
+@query(None)
 def components_of_orders(t):
-    l = t("lineitem").where("l_quantity >= 48").select("l_orderkey", "l_partkey")
+    """Parts linked by standing in one order, over all rows; the recursion is too slow as SQL, a brute-force test stands for it."""
+    l = t("lineitem").select("l_orderkey", "l_partkey")
     low = l.groupBy("l_orderkey").agg(F.min("l_partkey").alias("b"))  # a star an order spans what all its pairs would
     return graph.components(l.select(F.col("l_partkey").alias("id")), l.join(low, "l_orderkey").select(F.col("l_partkey").alias("a"), "b"))
 
@@ -329,9 +299,12 @@ def spearman_rank(t):
     return metrics.spearman(t("part").select("p_size", "p_retailprice"), "p_size", "p_retailprice").select(r6("spearman").alias("spearman"))
 
 
-@query("SELECT round(avg(abs(l_discount - l_tax)), 6) AS mae, round(sqrt(avg((l_discount - l_tax) * (l_discount - l_tax))), 6) AS rmse, 1.0::DOUBLE AS within1, 1.0::DOUBLE AS within2, round(corr(l_tax, l_discount), 6) AS pearson FROM lineitem")
+@query("""
+SELECT round(avg(abs(d)), 6) AS mae, round(sqrt(avg(d * d)), 6) AS rmse, round(avg((abs(d) <= 1)::INT), 6) AS within1, round(avg((abs(d) <= 2)::INT), 6) AS within2, round(corr(l_quantity, p), 6) AS pearson
+FROM (SELECT l_quantity, l_extendedprice / 1500 AS p, l_extendedprice / 1500 - l_quantity AS d FROM lineitem)
+""")
 def regression_metrics(t):
-    m = metrics.regression(t("lineitem"), "l_tax", "l_discount")
+    m = metrics.regression(t("lineitem").withColumn("p", F.col("l_extendedprice") / 1500), "l_quantity", "p")
     return m.select(*[r6(c).alias(c) for c in m.columns])
 
 
@@ -341,13 +314,13 @@ def pareto_front(t):
 
 
 @query("""
-WITH p AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '>' WHEN 1 THEN '<=' WHEN 2 THEN '' WHEN 3 THEN '≥' ELSE '~' END AS r, round(value, 2) AS v FROM events WHERE value > 0.01)
-SELECT event_id, CASE r WHEN '~' THEN NULL WHEN '' THEN '=' WHEN '≥' THEN '>=' ELSE r END AS relation, CASE WHEN r <> '~' THEN v END AS value,
-CASE WHEN r = '~' THEN NULL WHEN r IN ('', '<=') AND v <= 16 THEN 1 WHEN (r = '' AND v > 16) OR (r = '>' AND v >= 16) OR (r = '≥' AND v > 16) THEN 0 END AS label FROM p
+WITH p AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '>' WHEN 1 THEN '<=' WHEN 2 THEN '' WHEN 3 THEN '≥' ELSE '~' END AS r, round(value, 2) AS v FROM events)
+SELECT event_id, CASE WHEN r = '~' OR v IS NULL OR v <= 0 THEN NULL WHEN r = '' THEN '=' WHEN r = '≥' THEN '>=' ELSE r END AS relation, CASE WHEN r <> '~' AND v > 0 THEN v END AS value,
+CASE WHEN r = '~' OR v IS NULL OR v <= 0 THEN NULL WHEN r IN ('', '<=') AND v <= 16 THEN 1 WHEN (r = '' AND v > 16) OR (r = '>' AND v >= 16) OR (r = '≥' AND v > 16) THEN 0 END AS label FROM p
 """)
 def censored_labels(t):
     sign = F.element_at(F.array(*[F.lit(x) for x in (">", "<=", "", "≥", "~")]), (F.col("event_id") % 5 + 1).cast("int"))
-    e = t("events").where("value > 0.01").select("event_id", F.round("value", 2).alias("v"), censor.parse(F.concat(F.lit(" "), sign, F.lit(" "), F.round("value", 2).cast("decimal(20,2)").cast("string"))).alias("p"))
+    e = t("events").select("event_id", F.round("value", 2).alias("v"), censor.parse(F.concat(F.lit(" "), sign, F.lit(" "), F.round("value", 2).cast("decimal(20,2)").cast("string"))).alias("p"))
     return e.select("event_id", "p.relation", F.col("p.value").alias("value"), censor.label(F.col("p.relation"), F.col("p.value")).alias("label"))
 
 
@@ -433,7 +406,7 @@ def user_sessions(t):
 
 @query(f"""
 WITH d AS (SELECT doc_id, {SEQ_SQL} AS s FROM documents),
-m AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id) AS nth, length(s) BETWEEN 8 AND 50 AS ok, s IN (SELECT {SEQ_SQL} FROM benchmark) AS known FROM d),
+m AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id) AS nth, length(s) BETWEEN {LOW} AND {HIGH} AS ok, s IN (SELECT {SEQ_SQL} FROM benchmark) AS known FROM d),
 a AS (SELECT doc_id, s, length(s)::INT AS n FROM m WHERE ok AND nth = 1 AND NOT known),
 g AS (SELECT doc_id, n, c, count(*) AS k FROM (SELECT doc_id, n, unnest(string_split(s, '')) AS c FROM a) GROUP BY ALL),
 f AS (SELECT doc_id, any_value(n) AS n, round(-sum(k / n::DOUBLE * log2(k / n::DOUBLE)), 9) AS entropy, round(max(k) / any_value(n)::DOUBLE, 9) AS share FROM g GROUP BY doc_id),
@@ -444,10 +417,10 @@ SELECT doc_id, n, score FROM r WHERE k <= 5
 def select_library_top(t):
     """Flagship: mark rejections, features of what is accepted, percentile scores, quota by length."""
     docs = t("documents").select("doc_id", seq_col().alias("s"))
-    marked = select.mark_all_seen(docs, t("benchmark").select(seq_col().alias("s")), "s", "doc_id", seq.alphabet_ok(F.col("s"), 8, 50, LOWER))
+    marked = select.mark_all_seen(docs, t("benchmark").select(seq_col().alias("s")), "s", "doc_id", seq.alphabet_ok(F.col("s"), LOW, HIGH, LOWER))
     s = F.col("s")
     rows = marked.where("reason IS NULL").select("doc_id", F.length(s).alias("n"), F.round(seq.entropy(s, LOWER), 9).alias("entropy"), F.round(seq.max_share(s, LOWER), 9).alias("share"))
-    rows = rank.percentile_score(rank.percentile_score(rows, "entropy", "a"), "share", "b", reverse=True)
+    rows = rank.percentile_scores(graph.cut(rows), {"a": ("entropy", False), "b": ("share", True)})
     rows = rows.select("doc_id", "n", F.round((F.col("a") + F.col("b")) / 2, 9).alias("score"))
     return select.top_per_group(rows, "n", [F.col("score").desc(), F.col("doc_id")], 5)
 

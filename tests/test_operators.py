@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandworks.functions import censor, kernels, seq
-from strandworks.operators import aggregate, graph, joins, rank, resample, select, vectors
+from strandworks.operators import aggregate, graph, greedy, joins, quota, rank, resample, select, vectors
 from strandworks.sources import fasta, tables
 
 
@@ -36,11 +36,68 @@ def test_two_rejection_rules(spark):
 
 def test_quotas(spark):
     w = spark.createDataFrame([(10, 1.0), (11, 1.0), (12, 1.0)], "k int, w double")
-    assert sorted(one(select.largest_remainder(w, "k", "w", 10))) == [(10, 4), (11, 3), (12, 3)]
-    assert select.redistribute({10: 2, 11: 2, 12: 2}, {10: 3, 11: 0, 12: 3}) == ({10: 3, 11: 0, 12: 3}, [(11, 10, 1), (11, 12, 1)])
-    assert select.bounded_quotas({1: 3.0, 2: 1.0}, {1: 2, 2: 5, 3: 4}, 6) == {1: 2, 2: 4, 3: 0}
-    with pytest.raises(ValueError):
-        select.bounded_quotas({1: 1.0}, {1: 1}, 2)
+    assert sorted(one(quota.largest_remainder(w, "k", "w", 10))) == [(10, 4), (11, 3), (12, 3)]
+    seen = spark.createDataFrame([(10,), (11,), (11,)], "k int")
+    assert sorted(one(quota.length_quotas(seen, "k", 31, 10, 12, None))) == [(10, 11), (11, 10), (12, 10)]
+    q = dict(one(quota.length_quotas(seen, "k", 31, 10, 12)))
+    assert q[11] > q[10] > q[12] and sum(q.values()) == 31
+
+
+def fill(size, weights, capacity):
+    """Shares of what is left, cut at the capacity, then units to open keys; by hand, for one group."""
+    got = dict.fromkeys(sorted(capacity), 0)
+    while (left := size - sum(got.values())) > 0:
+        free = [k for k in got if got[k] < capacity[k]]
+        mass = [weights.get(k, 0.0) for k in free]
+        mass = mass if sum(mass) else [float(capacity[k] - got[k]) for k in free]
+        share = [left * m / sum(mass) for m in mass]
+        for k, x in zip(free, share):
+            got[k] += min(int(x), capacity[k] - got[k])
+        left = size - sum(got.values())
+        for x, k in sorted((-(x % 1), k) for k, x in zip(free, share)):
+            if left and got[k] < capacity[k]:
+                got[k], left = got[k] + 1, left - 1
+    return got
+
+
+def test_bounded_quotas_match_their_rule(spark):
+    r = np.random.default_rng(2)
+    rows, want = [], {}
+    for g in range(120):
+        n = int(r.integers(1, 7))
+        cap = {k: int(r.integers(0, 9)) for k in range(n)}
+        weights = {k: float(r.integers(0, 5)) for k in range(n) if r.random() < 0.8}
+        size = int(r.integers(0, sum(cap.values()) + 1))
+        rows += [(g, k, weights.get(k), cap[k], size) for k in cap]
+        want |= {(g, k): n for k, n in fill(size, weights, cap).items()}
+    table = spark.createDataFrame(rows, "g int, k int, w double, c int, n int")
+    assert {(a, b): n for a, b, n in one(quota.bounded_quotas(table, "g", "k", "w", "c", "n"))} == want
+    with pytest.raises(Exception, match="fewer rows"):
+        quota.bounded_quotas(spark.createDataFrame([(1, 1, 1.0, 1, 2)], "g int, k int, w double, c int, n int"), "g", "k", "w", "c", "n").collect()
+
+
+def test_redistribution_and_libraries(spark):
+    t = spark.createDataFrame([(10, 2, 3), (11, 2, 0), (12, 2, 3)], "k int, want int, have int")
+    quotas, moves = quota.redistribute(t, "k", "want", "have")
+    assert sorted(one(quotas)) == [(10, 3), (11, 0), (12, 3)] and sorted(one(moves)) == [(11, 10, 1), (11, 12, 1)]
+    with pytest.raises(Exception, match="fewer rows"):
+        quota.redistribute(spark.createDataFrame([(1, 5, 2)], "k int, want int, have int"), "k", "want", "have")[0].collect()
+    rows = [(i, 10 if i < 6 else 11, i % 3, float(i % 3), float(i % 2)) for i in range(12)]
+    pool = spark.createDataFrame(rows, "raw int, length int, cluster int, p double, e double")
+    q = spark.createDataFrame([(10, 4), (11, 4)], "length int, quota long")
+    order = [F.col("p"), F.col("e"), F.col("raw")]
+    assert sorted(r.raw for r in quota.library(pool, "L0", 8, None, "length", "cluster", order, "raw").collect()) == list(range(8))
+    for v in ("L1", "L2"):
+        got = quota.library(pool, v, 8, q, "length", "cluster", order, "raw").collect()
+        assert sorted(r.length for r in got) == [10] * 4 + [11] * 4 and (v == "L1" or {r.cluster for r in got} == {0, 1, 2})
+
+
+def test_reference_mix(spark):
+    mk = lambda s: spark.createDataFrame([(c, i, 10 if i < 4 else 20, [0, 0, 1, 1, 0, 1][i]) for i, c in enumerate("ABCDEF") if c in s], "s string, raw int, length int, cluster int")
+    reference = spark.createDataFrame([("x", 10, 1), ("y", 20, 1)], "s string, length int, cluster int")
+    for fraction, want in ((1.0, "CDF"), (0.0, "ABE")):
+        got = quota.reference_mix(mk("ABCDEF"), mk("ABE"), reference, "length", "cluster", [F.col("raw")], fraction)
+        assert sorted(r.s for r in got.collect()) == list(want)
 
 
 def test_mix(spark):
@@ -63,6 +120,22 @@ def test_similarities(spark):
     assert [r[0] for r in one(loc.select(kernels.local_similarity(F.col("a"), F.col("b"))))] == [1.0, 0.5, 0.0]
 
 
+@pytest.mark.parametrize("least,measure", [(0.6, None), (0.6, "identity")])
+def test_similar_pairs_by_rare_letters(spark, least, measure):
+    r = np.random.default_rng(2)
+    texts = ["".join(r.choice(list("abcdefgh"), int(r.integers(0, 12)))) for _ in range(90)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s string")
+    of = kernels.lcs_identity if measure else kernels.lcs_ratio
+    got = {(a, b) for a, b, _ in one(joins.similar_pairs(df, df, "s", least, itself=True, measure=kernels.identity if measure else None))}
+    assert got == {(i, j) for i in range(90) for j in range(i + 1, 90) if of(texts[i], texts[j]) >= least and (texts[i] + texts[j] or not measure)}
+    near = {x.id for x in joins.above(df.where("id < 40"), df.where("id >= 70"), "s", 0.5, local=True).collect()}
+    assert near == {i for i in range(40) if any(kernels.local_ratio(texts[i], texts[j]) > 0.5 for j in range(70, 90))}
+    top = dict(one(joins.max_similarity(df.where("id < 40"), df.where("id >= 70"), "s", "id", local=True)))
+    assert all(abs(top[i] - max(kernels.local_ratio(texts[i], texts[j]) for j in range(70, 90))) < 1e-12 for i in range(40))
+    clear = {x.id for x in joins.clear_of(df.where("id < 40"), df.where("id >= 70"), "s", "id", 0.6).collect()}
+    assert clear == {i for i in range(40) if all(kernels.lcs_ratio(texts[i], texts[j]) <= 0.6 for j in range(70, 90))}
+
+
 def test_similar_pairs_match_brute_force(spark):
     r = np.random.default_rng(1)
     texts = ["".join(r.choice(list("abc d"), int(r.integers(0, 14)))) for _ in range(120)]
@@ -93,14 +166,70 @@ def test_components_and_folds(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 59)] + [(70, 80), (80, 90), (5, 5)], "a long, b long")
     got = dict(one(graph.components(nodes, edges)))
     assert all(got[i] == 0 for i in range(60)) and got[70] == got[80] == got[90] == 70 and got[99] == 99
-    folds = graph.balanced_folds({"a": 5, "b": 4, "c": 3, "d": 2}, 2, "s")
-    assert folds["a"] != folds["b"] and sum(v for k, v in {"a": 5, "b": 4, "c": 3, "d": 2}.items() if folds[k] == folds["a"]) == 7
 
 
-def test_greedy():
-    rows = [{"id": i, "cluster": i % 2, "x": x} for i, x in enumerate([0, 1, 10, 11, 20, 30])]
-    taken, failed = select.greedy_diverse(rows, 3, lambda a, b: 1 - abs(a["x"] - b["x"]) / 5, 0.5, per_cluster=2)
-    assert [t["id"] for t in taken] == [0, 2, 5] and failed == {"pairwise": 2, "cluster": 1}
+def test_balanced_folds_match_one_by_one(spark):
+    import hashlib
+
+    r = np.random.default_rng(6)
+    sizes = {f"g{i}": int(n) for i, n in enumerate(r.integers(1, 12, 150))} | {"big": 90}
+    df = spark.createDataFrame([(g,) for g, n in sizes.items() for _ in range(n)], "g string")
+    got = {g: (n, f) for g, n, f in one(graph.balanced_folds(df, "g", 5, "s", chunk=4))}
+    load, want = [0] * 5, {}
+    for g in sorted(sizes, key=lambda g: (-sizes[g], hashlib.sha256(f"s:{g}".encode()).hexdigest())):
+        want[g] = (sizes[g], load.index(min(load)))
+        load[want[g][1]] += sizes[g]
+    assert got == want
+
+
+LETTERS = "ACDEFGHIKLMNPQRSTVWY"
+
+
+def pool(spark, r, n=40):
+    texts = ["".join(r.choice(list(LETTERS[:6]), int(r.integers(8, 14)))) for _ in range(n)]
+    return texts, spark.createDataFrame([(i, t, float(n - i), i % 3) for i, t in enumerate(texts)], "id int, s string, score double, cluster int")
+
+
+def test_diverse_top(spark):
+    r = np.random.default_rng(4)
+    texts, df = pool(spark, r)
+    step = greedy.Step(30, 4, 0.5)
+    got = greedy.diverse_top(df, "id", "s", "score", "id", 6, [greedy.Step(5, 1, 0.1), step], {"hard": F.col("id") == 2, "external": F.col("id") == 0}, "cluster").collect()
+    taken, used = [], {}
+    for i, t in enumerate(texts[:30]):
+        if i in (0, 2) or any(kernels.local_ratio(t, texts[j]) > 0.5 for j in taken) or used.get(i % 3, 0) >= 4:
+            continue
+        taken.append(i)
+        used[i % 3] = used.get(i % 3, 0) + 1
+        if len(taken) == 6:
+            break
+    assert [x.id for x in sorted(got, key=lambda x: x.place)] == taken and {x.step for x in got} == {1} and "external=1" in got[0].failed
+    with pytest.raises(Exception, match="infeasible"):
+        greedy.diverse_top(df, "id", "s", "score", "id", 6, [greedy.Step(3)], {}).collect()
+    one_cluster = spark.createDataFrame([(i, (LETTERS[i] * 8), 1.0 - i / 100, 0) for i in range(12)], "id int, s string, score double, cluster int")
+    ladder = [greedy.Step(12, 5, 0.5), greedy.Step(12, 5, 0.5), greedy.Step(12, 8, 0.5), greedy.Step(12, 8, 0.55)]
+    assert {x.step for x in greedy.diverse_top(one_cluster, "id", "s", "score", "id", 6, ladder, {}, "cluster").collect()} == {2}
+
+
+def test_adopted_top_and_portfolios(spark):
+    df = spark.createDataFrame([("A" * 9, 1, 0.9), ("C" * 9, 2, 0.8), ("D" * 9, 3, 0.7)], "s string, raw int, consensus double").withColumn("id", F.col("raw"))
+    got = greedy.adopted_top(df, df.where("raw > 1").select("s"), "id", "s", "consensus", "raw", 1, 10, {}).collect()
+    assert [x.id for x in got] == [2]
+    hits = spark.createDataFrame([(i, s, float(v)) for s, row in enumerate([(1, 1, 0), (0, 0, 1)]) for i, v in enumerate(row)], "id int, sc int, v double")
+    assert [x.id for x in greedy.portfolio(hits, "id", "sc", "v", 2).orderBy("place").collect()] == [0, 1]
+    assert [x.id for x in greedy.portfolio(hits, "id", "sc", "v", 2, tail=0.1).orderBy("place").collect()] == [0, 2]
+    assert [x.id for x in greedy.portfolio(hits, "id", "sc", "v", 2, groups=hits.select("id", F.when(F.col("id") < 2, "a").otherwise("b").alias("grp")).distinct(), cap=1).orderBy("place").collect()] == [0, 2]
+    r = np.random.default_rng(2)
+    arms = r.random((12, 3))
+    arm_df = spark.createDataFrame([(i, LETTERS[i] * 8, i, *map(float, a), float(r.random())) for i, a in enumerate(arms)], "id int, s string, raw int, a double, b double, c double, consensus double")
+    order, seen, at = [], set(), [sorted(range(12), key=lambda i: -arms[i, k]) for k in range(3)]
+    for t in range(12):
+        pick = next(i for i in at[t % 3] if i not in seen)
+        seen.add(pick)
+        order.append(pick)
+    assert [x.id for x in greedy.interleave(arm_df, "id", ["a", "b", "c"], ["raw", "s"]).orderBy("place").collect()] == order
+    roles = greedy.quota_portfolio(arm_df, "id", "s", ["a", "b", "c"], "consensus", "raw", 5, 0.4, greedy.Step(100), {}).collect()
+    assert {x.id for x in roles if x.role == "specialist"} == set(order[:2]) and len(roles) == 5
 
 
 def test_contracts(spark):
