@@ -20,15 +20,14 @@ def cube(df: DataFrame, row: str, target: str, value: str, threshold: float = 16
     log2 target means; worst3: mean of the three highest; mad: median absolute deviation of log2 values, over all.
     """
     low = (F.col(value) <= threshold).cast("double")
-    targets = df.groupBy(row, target).agg(F.avg(value).alias("_m"), F.avg(low).alias("_s"))
-    rows = targets.groupBy(row).agg(
-        F.avg("_m").alias("broad_mean"), F.avg("_s").alias("vote"), F.percentile(F.log2("_m"), 0.5).alias("median_log2"), F.percentile(F.log2("_m"), 0.9).alias("q90_log2"),
-        F.slice(F.sort_array(F.collect_list(F.log2("_m")), False), 1, 3).alias("_w"),
+    targets = df.groupBy(row, target).agg(F.avg(value).alias("_m"), F.avg(low).alias("_s"), F.collect_list(F.log2(value)).alias("_x"))  # a value a model
+    rows = targets.groupBy(row).agg(F.avg("_m").alias("broad_mean"), F.avg("_s").alias("vote"), F.sort_array(F.collect_list(F.log2("_m"))).alias("_t"), F.sort_array(F.flatten(F.collect_list("_x"))).alias("_v"))
+    worst = F.slice(F.reverse("_t"), 1, 3)
+    mid = tail(F.col("_v"), 0.5)
+    return rows.withColumn("_mid", mid).select(
+        row, "broad_mean", "vote", tail(F.col("_t"), 0.5).alias("median_log2"), tail(F.col("_t"), 0.9).alias("q90_log2"), (F.aggregate(worst, F.lit(0.0), lambda a, x: a + x) / F.size(worst)).alias("worst3_log2"),
+        tail(F.transform("_v", lambda x: F.abs(x - F.col("_mid"))), 0.5).alias("mad_log2"),
     )
-    worst = F.aggregate("_w", F.lit(0.0), lambda a, x: a + x) / F.size("_w")
-    middle = df.groupBy(row).agg(F.percentile(F.log2(value), 0.5).alias("_mid"))
-    mad = df.join(middle, row).groupBy(row).agg(F.percentile(F.abs(F.log2(value) - F.col("_mid")), 0.5).alias("mad_log2"))
-    return rows.withColumn("worst3_log2", worst).drop("_w").join(mad, row)
 
 
 def shares(df: DataFrame, key: str) -> DataFrame:
@@ -105,3 +104,101 @@ def deduplicated_total(df: DataFrame, key: str, cost: str) -> DataFrame:
     """Sum of costs with each key once; ``conflicts`` counts keys of several costs."""
     once = df.groupBy(key).agg(F.min(cost).alias("_lo"), F.max(cost).alias("_hi"))
     return once.agg(F.sum("_lo").alias("total"), F.sum((~F.col("_lo").eqNullSafe(F.col("_hi"))).cast("long")).alias("conflicts"))
+
+
+def five_numbers(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """Mean, population deviation, 10th, 50th and 90th percentile."""
+    p = F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    out = df.groupBy(*(by or [])).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), p.alias("p"))
+    return out.select(*(by or []), "mean", "std", *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
+
+
+def mean_of(values: Column, places: list[int | tuple[int, ...]]) -> Column:
+    """Mean over places (from 0) of an array; a tuple of places counts once, by its smallest value."""
+    terms = [F.least(*[F.get(values, F.lit(i)) for i in p]) if isinstance(p, tuple) else F.get(values, F.lit(p)) for p in places]
+    return sum(terms, F.lit(0.0)) / len(terms)
+
+
+def tail(values: Column, share: float) -> Column:
+    """A quantile of an array, linearly interpolated."""
+    s, at = F.array_sort(values), (F.size(values) - 1) * F.lit(share)
+    low, high = F.get(s, F.floor(at).cast("int")), F.get(s, F.ceil(at).cast("int"))
+    return low + (high - low) * (at - F.floor(at))
+
+
+def two_level_votes(df: DataFrame, row: str, target: str, vote: str, families: DataFrame) -> DataFrame:
+    """(row, mean, worst3): votes averaged over a family's targets (families: target, family), then over families and over the three lowest."""
+    per = df.join(F.broadcast(families), target).groupBy(row, "family").agg(F.avg(vote).alias("v"))  # a small map of targets
+    low = F.slice(F.sort_array(F.collect_list("v")), 1, 3)
+    return per.groupBy(row).agg(F.avg("v").alias("mean"), low.alias("_w")).select(row, "mean", (F.aggregate("_w", F.lit(0.0), lambda a, x: a + x) / F.size("_w")).alias("worst3"))
+
+
+def complete_means(df: DataFrame, key: str, target: str, value: str, targets: list[str]) -> DataFrame:
+    """(key, mean) of keys that have every target; the others are left out."""
+    known = df.where(F.col(target).isin(targets) & F.col(value).isNotNull())
+    return known.groupBy(key).agg(F.avg(value).alias("mean"), F.countDistinct(target).alias("_n")).where(F.col("_n") == len(targets)).drop("_n")
+
+
+def screen_tally(df: DataFrame, run: str, text: str, valid: Column, common: Column) -> DataFrame:
+    """(run, raw, valid, unique, common_valid, common_unique) of generated rows."""
+    ok = F.coalesce(valid, F.lit(False))
+    return df.groupBy(run).agg(
+        F.count("*").alias("raw"), F.count_if(ok).alias("valid"), F.countDistinct(F.when(ok, F.col(text))).alias("unique_valid"),
+        F.count_if(ok & common).alias("common_valid"), F.countDistinct(F.when(ok & common, F.col(text))).alias("common_unique"),
+    )
+
+
+def reference_statistics(df: DataFrame, columns: list[str], at: tuple[float, ...] = (0.005, 0.01, 0.25, 0.5, 0.75, 0.99, 0.995)) -> DataFrame:
+    """(feature, q0, q1, ...) exact quantiles of each column, in one pass."""
+    p = [F.percentile(c, F.array(*map(F.lit, at))).alias(c) for c in columns]
+    long = df.agg(*p).unpivot([], columns, "feature", "q")
+    return long.select("feature", *[F.get("q", F.lit(i)).alias(f"q{i}") for i in range(len(at))])
+
+
+def robust_scores(df: DataFrame, columns: list[str], statistics: DataFrame, clip: float = 10.0, extreme: int = 3) -> DataFrame:
+    """Add ood, the mean absolute robust z, n_extreme, how many columns lie outside q0..q6, and hard_reject (so many or more).
+
+    statistics: reference_statistics of the columns; z is (x - median) over the quartile distance, clipped.
+    """
+    table = statistics.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("q0", "q2", "q3", "q4", "q6")))).alias("_s"))  # one row a feature
+    z = lambda c: F.greatest(F.lit(-clip), F.least(F.lit(clip), (F.col(c) - F.col("_s")[c]["q3"]) / F.greatest(F.col("_s")[c]["q4"] - F.col("_s")[c]["q2"], F.lit(1e-6))))
+    outside = [((F.col(c) < F.col("_s")[c]["q0"]) | (F.col(c) > F.col("_s")[c]["q6"])).cast("int") for c in columns]
+    out = df.crossJoin(F.broadcast(table)).withColumn("ood", sum((F.abs(z(c)) for c in columns), F.lit(0.0)) / len(columns)).withColumn("n_extreme", sum(outside, F.lit(0)))  # one row
+    return out.withColumn("hard_reject", F.col("n_extreme") >= extreme).drop("_s")
+
+
+def cohort_metrics(df: DataFrame, run: str, text: str, value: str, common: Column, known: DataFrame) -> DataFrame:
+    """(run, scope, n, distinct_n, novel, coverage, median): each run as it is and over common rows only; novel: distinct texts that ``known`` lacks."""
+    seen = known.select(F.col(text).alias("_k")).distinct()
+    rows = df.join(seen, F.col(text) == F.col("_k"), "left").withColumn("scope", F.explode(F.when(F.coalesce(common, F.lit(False)), F.array(F.lit("native"), F.lit("common"))).otherwise(F.array(F.lit("native")))))
+    return rows.groupBy(run, "scope").agg(
+        F.count("*").alias("n"), F.countDistinct(text).alias("distinct_n"), F.countDistinct(F.when(F.col("_k").isNull(), F.col(text))).alias("novel"),
+        (F.count(value) / F.count("*")).alias("coverage"), F.percentile(value, 0.5).alias("median"),
+    )
+
+
+def sorted_list(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, values): the distinct values of a key, sorted, as JSON."""
+    return df.groupBy(key).agg(F.to_json(F.array_sort(F.collect_set(value))).alias("values"))
+
+
+def metric_slices(df: DataFrame, slices: list[str], error: str, cohort: Column) -> DataFrame:
+    """(slice, value, cohort, n, mae, rmse, within1) over several grouping columns, for all rows and for a cohort, in one pass."""
+    pick = F.explode(F.array(*[F.struct(F.lit(c).alias("slice"), F.col(c).cast("string").alias("value")) for c in slices]))
+    both = F.when(F.coalesce("_c", F.lit(False)), F.array(F.lit("all"), F.lit("cohort"))).otherwise(F.array(F.lit("all")))
+    long = df.select(pick.alias("s"), cohort.alias("_c"), F.col(error).alias("e")).select("s", "e", F.explode(both).alias("cohort"))
+    return long.groupBy("s.slice", "s.value", "cohort").agg(F.count("e").alias("n"), F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg((F.abs("e") <= 1).cast("double")).alias("within1"))
+
+
+def one_cost_total(df: DataFrame, key: str, cost: str) -> DataFrame:
+    """Sum of costs with each key once; a key of several costs is an error."""
+    once = df.groupBy(key).agg(F.min(cost).alias("_lo"), F.max(cost).alias("_hi"))
+    same = F.when(F.col("_lo").eqNullSafe(F.col("_hi")), F.col("_lo")).otherwise(F.raise_error(F.lit("one key has several costs")).cast("double"))
+    return once.agg(F.sum(same).alias("total"))
+
+
+def retention(df: DataFrame, reasons: str, rules: list[str], by: str, lower: str, upper: str) -> DataFrame:
+    """(removed, by, positives, negatives): the share of sure positives, and of sure negatives, of each group that pass when one rule is left out."""
+    grid = df.withColumn("removed", F.explode(F.array(*[F.lit(r) for r in rules])))
+    passes = (F.size(F.array_except(reasons, F.array("removed"))) == 0).cast("double")
+    return grid.groupBy("removed", by).agg(F.avg(F.when(F.col(lower) == 1, passes)).alias("positives"), F.avg(F.when(F.col(upper) == 0, passes)).alias("negatives"))
