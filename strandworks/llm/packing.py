@@ -33,6 +33,8 @@ from .common import blocks, cut
 CAPACITY, END_TOKEN, NODES = 4096, 1, 2000
 #: Steps of an enumeration that found nothing which count as one filling tried.
 FRUITLESS = 500
+#: Levels of the search, the deepest, whose tables of sums are held at once.
+KEEP = 8
 CACHE_WORDS, CACHE_BYTES = 200_000, 64
 
 Plan = list[tuple[tuple[int, ...], int]]
@@ -132,13 +134,42 @@ def dominated(filling: tuple[int, ...], waste: int, left: dict[int, int], free:
     return False
 
 
-def undominated(counts: np.ndarray, top: int, room: int, most: int) -> Iterator[tuple[tuple[int, ...] | None, int]]:
-    """(lengths, waste) of every undominated filling of ``room`` with at most ``most`` waste, beside one piece ``top``.
+class Space:
+    """What is left beside one piece ``top`` that fits into ``room``: lengths, their numbers, and the sums they make.
+
+    The tables (up to 2 MB) are made when first asked for, from the counts as they stand; ``drop`` lets go of
+    them, and they are made again, from the same counts, when the search comes back.
+    """
+
+    def __init__(self, counts: np.ndarray, top: int, room: int):
+        self.counts, self.top, self.room, self.tables = counts, top, room, None
+
+    def have(self, x: int) -> int:
+        return int(self.counts[x]) - int(x == self.top)
+
+    def get(self) -> tuple[list[int], dict[int, int], int, list[int]]:
+        """(lengths from short to long, number of each, lengths as bits, sums that the so many shortest make)."""
+        if self.tables is None:
+            low = np.flatnonzero(self.counts[: self.room + 1]).tolist()
+            left = dict(zip(low, self.counts[low].tolist()))
+            if self.top in left:
+                left[self.top] -= 1
+            low, full, reach = [x for x in low if left[x]], (1 << (self.room + 1)) - 1, [1]
+            for x in low:
+                reach.append(times_more(reach[-1], x, min(left[x], self.room // x)) & full)
+            self.tables = low, left, sum(1 << x for x in low), reach
+        return self.tables
+
+    def drop(self) -> None:
+        self.tables = None
+
+
+def undominated(space: Space, most: int) -> Iterator[tuple[tuple[int, ...] | None, int]]:
+    """(lengths, waste) of every undominated filling of the space with at most ``most`` waste.
 
-    counts are what is left, ``top`` itself still among it; they are read when the next filling is asked for.
     (None, 0) stands for FRUITLESS steps without a filling.
     """
-    have = lambda x: int(counts[x]) - int(x == top)
+    room, have = space.room, space.have
     if room and have(room) > 0:
         yield (room,), 0  # dominates all others
         return
@@ -146,27 +177,20 @@ def undominated(counts: np.ndarray, top: int, room: int, most: int) -> Iterator[
         b = room - a
         if have(a) > 0 and have(b) > (a == b):
             yield (a, b), 0
-    low = np.flatnonzero(counts[: room + 1]).tolist()
-    left = dict(zip(low, counts[low].tolist()))
-    if top in left:
-        left[top] -= 1
-    low = [x for x in low if left[x]]
-    full, free = (1 << (room + 1)) - 1, sum(1 << x for x in low)
-    reach = [1]  # sums that the so many smallest lengths make
-    for x in low:
-        reach.append(times_more(reach[-1], x, min(left[x], room // x)) & full)
     steps = 0
 
-    def of_sum(j: int, rest: int, taken: tuple[int, ...], sums: int, waste: int) -> Iterator[tuple[int, ...] | None]:
+    def of_sum(j: int, rest: int, taken: tuple[int, ...], sums: int) -> Iterator[tuple[int, ...] | None]:
         """Fillings that add ``rest`` from the j smallest lengths to ``taken``, whose subset sums are ``sums``."""
         nonlocal steps
         if not rest:
             yield taken
             return
-        while j and reach[j] >> rest & 1:
+        while j and space.get()[3][j] >> rest & 1:
             j -= 1
+            low, left, free, reach = space.get()
             x = low[j]
             for m in range(min(left[x], rest // x), 0, -1):
+                low, left, free, reach = space.get()
                 if not reach[j] >> (rest - m * x) & 1:
                     continue
                 steps += 1
@@ -177,15 +201,16 @@ def undominated(counts: np.ndarray, top: int, room: int, most: int) -> Iterator[
                 made = (new & ~sums & free) >> (x + 1) << (x + 1)
                 if made and made & ~sum(1 << y for y in set(taken) if left[y] == taken.count(y)):
                     continue
-                yield from of_sum(j, rest - m * x, (*taken, *(x,) * m), new, waste)
+                del low, left, free, reach
+                yield from of_sum(j, rest - m * x, (*taken, *(x,) * m), new)
 
     for waste in range(min(most, room) + 1):
-        if not reach[-1] >> (room - waste) & 1:
+        if not space.get()[3][-1] >> (room - waste) & 1:
             continue
-        for found in of_sum(len(low), room - waste, (), 1, waste):
+        for found in of_sum(len(space.get()[0]), room - waste, (), 1):
             if found is None:
                 yield None, 0
-            elif not (waste == 0 and len(found) == 2) and not dominated(found, waste, left, free):
+            elif not (waste == 0 and len(found) == 2) and not dominated(found, waste, *space.get()[1:3]):
                 yield found, waste
 
 
@@ -201,12 +226,16 @@ def solve(counts: np.ndarray, cap: int = CAPACITY, nodes: int | None = NODES) ->
     spare, tried, descended = (n_best - 1) * cap - total, 0, False
     path: list[tuple[np.ndarray, np.ndarray, tuple[int, ...], int, int]] = []  # kinds, of each, pattern, times, waste
     stack: list[Iterator] = []
+    spaces: list[Space] = []
     work = counts.copy()
     spent = 0
 
     def choices() -> Iterator[tuple | None]:
         top = int(np.flatnonzero(work)[-1])
-        for filling, waste in undominated(work, top, cap - top, spare - spent):
+        spaces.append(Space(work, top, cap - top))
+        if len(spaces) > KEEP:
+            spaces[-KEEP - 1].drop()
+        for filling, waste in undominated(spaces[-1], spare - spent):
             if filling is None:
                 yield None
                 continue
@@ -226,6 +255,7 @@ def solve(counts: np.ndarray, cap: int = CAPACITY, nodes: int | None = NODES) ->
         step = next(stack[-1], ())
         if step == ():
             stack.pop()
+            spaces.pop()
             if path:
                 undo()
             descended = True

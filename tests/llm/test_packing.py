@@ -75,10 +75,19 @@ def test_every_undominated_filling_is_enumerated():
         every = subsets(items, room)
         want = {s for s in every if not any(o != s and packs(s, o) for o in every)}
         counts = np.bincount([*items, 40], minlength=41)
-        got = [tuple(sorted(f, reverse=True)) for f, _ in P.undominated(counts, 40, room, room) if f is not None]
+        got = [tuple(sorted(f, reverse=True)) for f, _ in P.undominated(P.Space(counts, 40, room), room) if f is not None]
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_a_long_search_holds_few_tables(monkeypatch):
+    """Dropped tables are made again, and the result is that of a search that drops none."""
+    r = np.random.default_rng(9)
+    counts = np.bincount(r.integers(60, 400, 400), minlength=1001)
+    whole = P.solve(counts, 1000, 300)
+    monkeypatch.setattr(P, "KEEP", 1)
+    assert P.solve(counts, 1000, 300) == whole
+
+
 def test_solver_beats_best_fit_where_it_is_not_optimal():
     items = [7, 6, 5, 4, 4, 2, 2] * 30  # 30 x (7+... ) sums to 3 full bins of 10
     counts = np.bincount(items, minlength=11)
