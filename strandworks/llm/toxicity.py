@@ -95,8 +95,44 @@ class Net:
         x = np.concatenate([self.p["word"][rows], np.add.reduceat(g, starts) / n, np.maximum.reduceat(g, starts)], axis=1) if len(rows) else np.zeros((0, 3 * DIM), np.float32)
         return x, x @ self.p["wx"] + self.p["bx"]
 
-    def forward(self, pre: np.ndarray, ids: np.ndarray, keep: bool = False):
-        """Logits of windows; ids index rows of ``pre``, -1 is padding at the end."""
+    def logits(self, pre: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Logits of windows, as ``forward`` gives them, in place; ids index rows of ``pre``, -1 is padding at the end."""
+        n, t, h = len(ids), ids.shape[1], HIDDEN
+        pre = pre if len(pre) else np.zeros((1, 6 * h), np.float32)
+        at = np.ascontiguousarray(np.maximum(ids, 0).T)
+        mask = np.ascontiguousarray((ids >= 0).T.astype(np.float32))[:, :, None]
+        hs = np.zeros((t, n, 2 * h), np.float32)
+        zr, c, g, gc = (np.empty((n, w), np.float32) for w in (2 * h, h, 2 * h, h))
+        z, r = zr[:, :h], zr[:, h:]
+        with np.errstate(over="ignore"):  # exp of a gate that is shut: 1 / inf is 0
+            for side, u, steps in ((0, self.p["uf"], range(t)), (1, self.p["ub"], range(t - 1, -1, -1))):
+                gates, inner = (np.ascontiguousarray(pre[:, side * 3 * h + a : side * 3 * h + b]) for a, b in ((0, 2 * h), (2 * h, 3 * h)))
+                ug, uc = np.ascontiguousarray(u[:, : 2 * h]), np.ascontiguousarray(u[:, 2 * h :])
+                state = np.zeros((n, h), np.float32)
+                for k in steps:
+                    np.take(gates, at[k], axis=0, out=zr, mode="clip")
+                    np.take(inner, at[k], axis=0, out=c, mode="clip")
+                    zr += np.matmul(state, ug, out=g)
+                    np.negative(zr, out=zr)
+                    np.exp(zr, out=zr)
+                    zr += 1
+                    np.reciprocal(zr, out=zr)
+                    c += np.multiply(np.matmul(state, uc, out=gc), r, out=gc)
+                    np.tanh(c, out=c)
+                    c -= state
+                    np.subtract(1, z, out=z)
+                    z *= mask[k]
+                    c *= z
+                    state += c
+                    hs[k, :, side * h : (side + 1) * h] = state
+        a = hs @ self.p["att"]
+        s = np.where(mask[:, :, 0] > 0, np.tanh(a, out=a) @ self.p["va"], -1e9)
+        w = np.exp(s - s.max(axis=0)) * mask[:, :, 0]
+        w = w / np.maximum(w.sum(axis=0), 1e-9)
+        return (w[:, :, None] * (hs @ self.p["out"])[:, :, None]).sum(axis=(0, 2)) + self.p["b0"]
+
+    def forward(self, pre: np.ndarray, ids: np.ndarray):
+        """Logits of windows and what ``gradients`` needs; ids index rows of ``pre``, -1 is padding at the end."""
         n, t, h = len(ids), ids.shape[1], HIDDEN
         mask = (ids >= 0).astype(np.float32)
         safe = np.where(ids >= 0, ids, 0) if len(pre) else np.zeros_like(ids)
@@ -112,8 +148,7 @@ class Net:
                 z, r, gc = zr[:, :h], zr[:, h:], g[:, 2 * h :]
                 c = np.tanh(x[:, 2 * h :] + r * gc)
                 new = state + m * (1 - z) * (c - state)
-                if keep:
-                    tape.append((side, k, state, z, r, gc, c))
+                tape.append((side, k, state, z, r, gc, c))
                 state = new
                 hs[k, :, side * h : (side + 1) * h] = state
         a = np.tanh(hs @ self.p["att"])
@@ -122,12 +157,12 @@ class Net:
         w = w / np.maximum(w.sum(axis=0), 1e-9)
         pooled = (w[:, :, None] * hs).sum(axis=0)
         logit = pooled @ self.p["out"] + self.p["b0"]
-        return (logit, (hs, a, w, pooled, tape, mask)) if keep else logit
+        return logit, (hs, a, w, pooled, tape, mask)
 
     def gradients(self, look, ids: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         h = HIDDEN
         x, pre = self.inputs(look)
-        logit, (hs, a, w, pooled, tape, mask) = self.forward(pre, ids, keep=True)
+        logit, (hs, a, w, pooled, tape, mask) = self.forward(pre, ids)
         d = ((_sigmoid(logit) - label) * weight / weight.sum()).astype(np.float32)
         g = {"out": pooled.T @ d, "b0": np.array([d.sum()], np.float32)}
         dpool = d[:, None] * self.p["out"]
@@ -241,7 +276,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Net | float:
                 s += 0.01 * (v * v - s)
                 net.p[k] -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
         pre = net.inputs(look)[1]
-        scores = np.concatenate([net.forward(pre, _pad([ids[i][a:b] for i, a, b in spans[k : k + SCORE_BATCH]])) for k in range(0, len(spans), SCORE_BATCH)])
+        scores = np.concatenate([net.logits(pre, _pad([ids[i][a:b] for i, a, b in spans[k : k + SCORE_BATCH]])) for k in range(0, len(spans), SCORE_BATCH)])
     top = scores[best]
     net.scale = _logistic(top, labels)
     return net
@@ -285,7 +320,7 @@ class Scorer:
 
         def flush() -> None:
             if spans:
-                np.maximum.at(best, of, self.net.forward(self.rows, _pad(spans)))
+                np.maximum.at(best, of, self.net.logits(self.rows, _pad(spans)))
                 spans.clear()
                 of.clear()
 
