@@ -110,12 +110,12 @@ def value_running(df: DataFrame, value: str, sums: list[str]) -> DataFrame:
     """Add <sum>_up: the sum over all rows of the value and above; values are distinct. By ranges, like the ranks."""
     from .graph import cut
 
-    ranged = cut(df.repartitionByRange(F.col(value).desc()).withColumn("_p", F.spark_partition_id()))
-    parts = ranged.groupBy("_p").agg(*[F.sum(c).alias(f"_s{c}") for c in sums])
-    before = W.partitionBy().orderBy("_p").rowsBetween(W.unboundedPreceding, 0)  # a row a range
-    parts = parts.select(F.col("_p").alias("_q"), *[(F.sum(f"_s{c}").over(before) - F.col(f"_s{c}")).alias(f"_b{c}") for c in sums])
-    own = W.partitionBy("_p").orderBy(F.col(value).desc()).rowsBetween(W.unboundedPreceding, 0)
-    return ranged.join(F.broadcast(parts), F.col("_p") == F.col("_q")).select(*df.columns, *[(F.sum(c).over(own) + F.col(f"_b{c}")).alias(f"{c}_up") for c in sums])
+    ranged = cut(df.repartitionByRange(F.col(value).desc()).withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_s{c}") for c in sums])
+    before = W.partitionBy().orderBy("_part").rowsBetween(W.unboundedPreceding, 0)  # a row a range
+    parts = parts.select(F.col("_part").alias("_part2"), *[(F.sum(f"_s{c}").over(before) - F.col(f"_s{c}")).alias(f"_b{c}") for c in sums])
+    own = W.partitionBy("_part").orderBy(F.col(value).desc()).rowsBetween(W.unboundedPreceding, 0)
+    return ranged.join(F.broadcast(parts), F.col("_part") == F.col("_part2")).select(*df.columns, *[(F.sum(c).over(own) + F.col(f"_b{c}")).alias(f"{c}_up") for c in sums])
 
 
 def precision_bounds(labels: DataFrame, predictions: DataFrame, group: str, key: str, score: str, ks: tuple[int, ...] = (10, 25, 100), share: float = 0.2) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .graph import cut
@@ -26,10 +27,10 @@ def hash_index(n: Column, *parts: Column) -> Column:
 
 
 def cluster_draws(df: DataFrame, cluster: str, sums: dict[str, Column], rounds: int, seed: int) -> DataFrame:
-    """(round, k, cluster, sums): in each round as many clusters as there are, drawn with replacement, and the sums over a cluster's rows.
+    """(round, times, cluster, sums): in each round as many clusters as there are, drawn with replacement, and the sums over a cluster's rows.
 
     Clusters are numbered in order; the j-th draw of a round takes number hash(seed:round:j) modulo how many
-    there are. Draws of one number are counted first, so a cluster stands once a round with its count k.
+    there are. Draws of one number are counted first, so a cluster stands once a round, with how many times.
     """
     from . import rank
 
@@ -37,7 +38,7 @@ def cluster_draws(df: DataFrame, cluster: str, sums: dict[str, Column], rounds:
     numbered = rank.with_ranks(per, {"_i": F.col(f"{cluster}_before"), "_n": F.col(f"{cluster}_total")}, [cluster])
     n = per.count()
     draws = df.sparkSession.range(n).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    counts = draws.select("round", hash_index(F.lit(max(n, 1)), F.lit(seed), F.col("round"), F.col("id")).alias("_d")).groupBy("round", "_d").agg(F.count("*").alias("k"))
+    counts = draws.select("round", hash_index(F.lit(max(n, 1)), F.lit(seed), F.col("round"), F.col("id")).alias("_d")).groupBy("round", "_d").agg(F.count("*").alias("times"))
     return counts.join(numbered, F.col("_d") == F.col("_i")).drop("_d", "_i", "_n")
 
 
@@ -48,14 +49,14 @@ def interval(df: DataFrame, value: str) -> DataFrame:
 def cluster_bootstrap(df: DataFrame, cluster: str, value: str, rounds: int = 100, seed: int = 42) -> DataFrame:
     """Interval of the mean when whole clusters are drawn again, as many as there are."""
     drawn = cluster_draws(df, cluster, {"s": F.sum(value), "n": F.count(value)}, rounds, seed)
-    means = drawn.groupBy("round").agg((F.sum(F.col("k") * F.col("s")) / F.nullif(F.sum(F.col("k") * F.col("n")), F.lit(0))).alias("mean"))
+    means = drawn.groupBy("round").agg((F.sum(F.col("times") * F.col("s")) / F.nullif(F.sum(F.col("times") * F.col("n")), F.lit(0))).alias("mean"))
     return interval(means, "mean")
 
 
 def paired_bootstrap(df: DataFrame, key: str, a: str, b: str, rounds: int = 100, seed: int = 42) -> DataFrame:
     """(low, mid, high, not_worse): rows drawn again, interval of mean(b) - mean(a), and the share of rounds in which b isn't worse (lower)."""
     drawn = cluster_draws(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), key, {"d": F.sum(F.col(b) - F.col(a)), "n": F.count("*")}, rounds, seed)
-    deltas = drawn.groupBy("round").agg((F.sum(F.col("k") * F.col("d")) / F.sum(F.col("k") * F.col("n"))).alias("delta"))
+    deltas = drawn.groupBy("round").agg((F.sum(F.col("times") * F.col("d")) / F.sum(F.col("times") * F.col("n"))).alias("delta"))
     return deltas.agg(F.percentile("delta", 0.025).alias("low"), F.percentile("delta", 0.5).alias("mid"), F.percentile("delta", 0.975).alias("high"), F.avg((F.col("delta") >= 0).cast("double")).alias("not_worse"))
 
 
@@ -70,7 +71,7 @@ def component_delta(df: DataFrame, component: str, species: str, delta: str, rou
     cells = F.map_from_entries(F.collect_list(F.struct(F.col(species), F.struct(F.col("s"), F.col("n")))))
     pre = cut(rows.groupBy(component, species).agg(F.sum(delta).alias("s"), F.count("*").alias("n")))
     drawn = cluster_draws(pre, component, {"cells": cells}, rounds, seed)
-    per = drawn.select("round", "k", F.explode("cells").alias("sp", "c")).groupBy("round", "sp").agg((F.sum(F.col("k") * F.col("c.s")) / F.sum(F.col("k") * F.col("c.n"))).alias("m"))
+    per = drawn.select("round", "times", F.explode("cells").alias("sp", "c")).groupBy("round", "sp").agg((F.sum(F.col("times") * F.col("c.s")) / F.sum(F.col("times") * F.col("c.n"))).alias("m"))
     means = per.groupBy("round").agg(F.avg("m").alias("m"), F.count("*").alias("_k")).crossJoin(F.broadcast(macro)).where("_k = _s")  # one row
     got = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.count("*").alias("rounds"))
     n = pre.select(component).distinct().count()
@@ -108,8 +109,6 @@ def error_trials(df: DataFrame, key: str, mean: str, residuals: list[float], tri
     """
     import math
 
-    import pandas as pd
-
     table = np.sort(np.array(residuals, float))
 
     @F.pandas_udf("double")

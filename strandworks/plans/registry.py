@@ -385,12 +385,6 @@ def violations_report(t):
     return t("nation").select(F.explode(rules).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query(None)
-def cluster_bootstrap_interval(t):
-    """Interval of mean quantity over orders drawn again; its bounds are tested."""
-    return resample.cluster_bootstrap(t("lineitem"), "l_orderkey", "l_quantity", 50)
-
-
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def hourly_events(t):
     return stream.tumbling(t("events"), "ts", "event_type", "value").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
