@@ -23,9 +23,14 @@ def composition(s: Column, letters: str = LETTERS) -> Column:
     return F.transform(F.array(*[count_of(s, c) for c in letters]), lambda n: n / F.nullif(F.length(s), F.lit(0)))
 
 
+def shares_entropy(shares: Column) -> Column:
+    """Shannon entropy in bits of an array of shares."""
+    return F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - F.when(p > 0, p * F.log2(p)).otherwise(0.0))
+
+
 def entropy(s: Column, letters: str = LETTERS) -> Column:
     """Shannon entropy in bits over the letters' shares."""
-    return F.aggregate(composition(s, letters), F.lit(0.0), lambda acc, p: acc - F.when(p > 0, p * F.log2(p)).otherwise(0.0))
+    return shares_entropy(composition(s, letters))
 
 
 def max_share(s: Column, letters: str = LETTERS) -> Column:

@@ -52,11 +52,11 @@ def developability(t):
 
 @query("""
 WITH q AS (SELECT f AS feature, quantile_cont(v, [0.005, 0.01, 0.25, 0.5, 0.75, 0.99, 0.995]) AS q FROM (SELECT 'l_quantity' AS f, l_quantity AS v FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem) GROUP BY f)
-SELECT feature, round(q[1], 4) AS q0, round(q[2], 4) AS q1, round(q[3], 4) AS q2, round(q[4], 4) AS q3, round(q[5], 4) AS q4, round(q[6], 4) AS q5, round(q[7], 4) AS q6 FROM q
+SELECT feature, round(q[1], 3) AS q0, round(q[2], 3) AS q1, round(q[3], 3) AS q2, round(q[4], 3) AS q3, round(q[5], 3) AS q4, round(q[6], 3) AS q5, round(q[7], 3) AS q6 FROM q
 """)
 def reference_statistics(t):
     q = aggregate.reference_statistics(t("lineitem"), ["l_quantity", "l_extendedprice"])
-    return q.select("feature", *[F.round(c, 4).alias(c) for c in q.columns[1:]])
+    return q.select("feature", *[F.round(c, 3).alias(c) for c in q.columns[1:]])
 
 
 @query("""

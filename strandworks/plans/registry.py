@@ -414,8 +414,9 @@ def select_library_top(t):
     docs = t("documents").select("doc_id", seq_col().alias("s"))
     marked = select.mark_all_seen(docs, t("benchmark").select(seq_col().alias("s")), "s", "doc_id", seq.alphabet_ok(F.col("s"), LOW, HIGH, LOWER))
     s = F.col("s")
-    rows = marked.where("reason IS NULL").select("doc_id", F.length(s).alias("n"), F.round(seq.entropy(s, LOWER), 9).alias("entropy"), F.round(seq.max_share(s, LOWER), 9).alias("share"))
-    rows = rank.percentile_scores(graph.cut(rows), {"a": ("entropy", False), "b": ("share", True)})
+    rows = graph.cut(marked.where("reason IS NULL").select("doc_id", F.length(s).alias("n"), seq.composition(s, LOWER).alias("c")))  # texts are read once
+    rows = rows.select("doc_id", "n", F.round(seq.shares_entropy(F.col("c")), 9).alias("entropy"), F.round(F.array_max("c"), 9).alias("share"))
+    rows = rank.percentile_scores(rows, {"a": ("entropy", False), "b": ("share", True)})
     rows = rows.select("doc_id", "n", F.round((F.col("a") + F.col("b")) / 2, 9).alias("score"))
     return select.top_per_group(rows, "n", [F.col("score").desc(), F.col("doc_id")], 5)
 
