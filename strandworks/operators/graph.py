@@ -155,3 +155,25 @@ def resolve_label(df: DataFrame, label: str, exact: DataFrame, species: DataFram
     out = df.join(e, F.col(label) == F.col("_e"), "left").join(s, first_two == F.col("_s"), "left")
     how = F.when(F.col("_ge").isNotNull(), "exact").when(F.col("_gs").isNotNull(), "species").otherwise("unknown")
     return out.withColumn("genome", F.coalesce("_ge", "_gs")).withColumn("how", how).drop("_e", "_ge", "_s", "_gs")
+
+
+def nested_folds(nodes: DataFrame, pairs: DataFrame, papers: DataFrame, threshold: float, outer: int, inner: int, seed: str) -> DataFrame:
+    """(id, root, outer, held, inner): nodes (id) joined by pairs above the threshold and by shared papers (id, key), whole components to balanced folds.
+
+    For each outer fold that is held out, the components left go to inner folds of their own. A pair above
+    the threshold across outer folds is an error.
+    """
+    near = pairs.where(F.col("ratio") > threshold)
+    known = papers.where("key IS NOT NULL")
+    star = known.join(known.groupBy("key").agg(F.min("id").alias("b")), "key").select(F.col("id").alias("a"), "b")
+    joined = cut(components(nodes, near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).unionByName(star)))
+    placed = cut(joined.join(balanced_folds(joined, "root", outer, seed).select("root", F.col("fold").alias("outer")), "root"))
+    leak = max_to_other_folds(near, placed.select("id", F.col("outer").alias("fold")), threshold).where("violates")
+    if not leak.isEmpty():
+        raise RuntimeError("a similar pair crosses outer folds")
+    out = None
+    for k in range(outer):
+        rest = placed.where(F.col("outer") != k)
+        part = rest.join(balanced_folds(rest, "root", inner, seed).select("root", F.col("fold").alias("inner")), "root").withColumn("held", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out.select("id", "root", "outer", "held", "inner")

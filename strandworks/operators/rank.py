@@ -134,3 +134,39 @@ def blend(weights: dict[str, float]) -> Column:
         total = total + F.when(some(c), F.col(c) * w).otherwise(0.0)
         weight = weight + F.when(some(c), F.lit(w)).otherwise(0.0)
     return total / F.nullif(weight, F.lit(0.0))
+
+
+#: Parts of the rankers B0 to B6: (percentile score of a column, weight); a minus before a column's name reverses its score.
+RANKERS = {
+    "B0": {"-broad_mean": 1.0}, "B1": {"-median_log2": 1.0}, "B2": {"vote": 1.0}, "B3": {"success_mean": 1.0}, "B4": {"success_mean": 0.75, "success_tail": 0.25},
+    "B5": {"success_mean": 0.60, "success_tail": 0.20, "mdr": 0.20, "disagreement": -0.15},
+    "B6": {"success_mean": 0.60, "success_tail": 0.20, "mdr": 0.20, "disagreement": -0.15, "physchem_ood": -0.10, "embedding_ood": -0.05},
+}
+
+
+def rankers(df: DataFrame, parts: dict[str, dict[str, float]] = RANKERS) -> DataFrame:
+    """Add a column for each ranker: the weighted sum of percentile scores, all ranked in one pass."""
+    names = list(dict.fromkeys(c for p in parts.values() for c in p))
+    scored = percentile_scores(df, {f"_s{i}": (c.lstrip("-"), c.startswith("-")) for i, c in enumerate(names)})
+    made = {r: sum((F.col(f"_s{names.index(c)}") * w for c, w in p.items()), F.lit(0.0)) for r, p in parts.items()}
+    return scored.withColumns(made).drop(*[f"_s{i}" for i in range(len(names))])
+
+
+def selection_scores(cells: DataFrame, row: str, target: str, value: str, first_half: Column, threshold: float = 16.0) -> DataFrame:
+    """(row, B0, B1, B2, balanced, tail90) of a cube: high is good. balanced: the mean of the votes of two halves of the targets."""
+    from . import aggregate
+
+    low = (F.col(value) <= threshold).cast("double")
+    per = cells.groupBy(row, target).agg(F.avg(low).alias("_v"), F.first(first_half).alias("_h"))
+    votes = per.groupBy(row).agg(F.avg(F.when(F.col("_h"), F.col("_v"))).alias("_a"), F.avg(F.when(~F.col("_h"), F.col("_v"))).alias("_b"))
+    c = aggregate.cube(cells, row, target, value, threshold).join(votes, row)
+    return c.select(row, (-F.col("broad_mean")).alias("B0"), (-F.col("median_log2")).alias("B1"), F.col("vote").alias("B2"), ((F.col("_a") + F.col("_b")) / 2).alias("balanced"), (-F.col("q90_log2")).alias("tail90"))
+
+
+def activity_scores(values: Column, probabilities: Column, other: Column) -> dict[str, Column]:
+    """Scores from arrays of log2 values and of probabilities by target, and another score: negative median, mean, and the average of two."""
+    from . import aggregate
+
+    median = -aggregate.tail(values, 0.5)
+    mean = F.aggregate(probabilities, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(probabilities), F.lit(0))
+    return {"activity": median, "joint": mean, "activity_half": (median + other) / 2}

@@ -68,8 +68,8 @@ def component_delta(df: DataFrame, component: str, species: str, delta: str, rou
     """
     rows = df.where(F.col(delta).isNotNull())
     macro = rows.groupBy(species).agg(F.avg(delta).alias("m")).agg(F.avg("m").alias("macro"), F.count("*").alias("_s"))
-    cells = F.map_from_entries(F.collect_list(F.struct(F.col(species), F.struct(F.col("s"), F.col("n")))))
-    pre = cut(rows.groupBy(component, species).agg(F.sum(delta).alias("s"), F.count("*").alias("n")))
+    cells = F.map_from_entries(F.collect_list(F.struct(F.col(species), F.struct(F.col("_sum").alias("s"), F.col("_rows").alias("n")))))
+    pre = cut(rows.groupBy(component, species).agg(F.sum(delta).alias("_sum"), F.count("*").alias("_rows")))
     drawn = cluster_draws(pre, component, {"cells": cells}, rounds, seed)
     per = drawn.select("round", "times", F.explode("cells").alias("sp", "c")).groupBy("round", "sp").agg((F.sum(F.col("times") * F.col("c.s")) / F.sum(F.col("times") * F.col("c.n"))).alias("m"))
     means = per.groupBy("round").agg(F.avg("m").alias("m"), F.count("*").alias("_k")).crossJoin(F.broadcast(macro)).where("_k = _s")  # one row

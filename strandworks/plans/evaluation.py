@@ -255,3 +255,54 @@ def stand_in_sequences(t):
     s = resample.stand_in_sequences(t("region").sparkSession, {8: 2, 9: 3}, 1)
     ok = s.where(f"sequence RLIKE '^[{''.join(physchem.EISENBERG)}]+$' AND length(sequence) = length")
     return ok.groupBy("length").agg(F.count("*").alias("n")).withColumn("width", 8.0 - F.col("length") % 2)
+
+
+_PCT = "({r} - 1) / (count(*) OVER () - 1)"
+
+
+def _score(column: str) -> str:
+    return _PCT.format(r=AVG_RANK.format(v=column))
+
+
+@query(f"""
+WITH o AS (SELECT o_orderkey, o_totalprice AS a, o_custkey AS b, o_orderkey % 1000 AS c, o_orderkey % 77 AS d FROM orders), s AS (SELECT o_orderkey, {_score('a')} AS a, {_score('b')} AS b, {_score('c')} AS c, {_score('d')} AS d FROM o)
+SELECT o_orderkey, round(1 - a, 6) AS "B0", round(1 - b, 6) AS "B1", round(c, 6) AS "B2", round(d, 6) AS "B3", round(0.75 * d + 0.25 * c, 6) AS "B4", round(0.6 * d + 0.2 * c + 0.2 * a - 0.15 * b, 6) AS "B5", round(0.6 * d + 0.2 * c + 0.2 * a - 0.15 * b - 0.1 * c - 0.05 * d, 6) AS "B6" FROM s
+""")
+def seven_rankers(t):
+    from ..operators import rank
+
+    k = F.col("o_orderkey")
+    o = t("orders").select("o_orderkey", F.col("o_totalprice").alias("broad_mean"), F.col("o_custkey").alias("median_log2"), (k % 1000).alias("vote"), (k % 77).alias("success_mean"), (k % 1000).alias("success_tail"), F.col("o_totalprice").alias("mdr"), F.col("o_custkey").alias("disagreement"), (k % 1000).alias("physchem_ood"), (k % 77).alias("embedding_ood"))
+    return rank.rankers(o).select("o_orderkey", *[r6(f"B{i}").alias(f"B{i}") for i in range(7)])
+
+
+@query("""
+WITH t AS (SELECT l_partkey, l_linenumber AS g, avg(l_quantity) AS m, avg((l_quantity <= 16)::INT) AS v FROM lineitem GROUP BY ALL)
+SELECT l_partkey, round(-avg(m), 6) AS "B0", round(-quantile_cont(log2(m), 0.5), 6) AS "B1", round(avg(v), 6) AS "B2", round((avg(v) FILTER (g <= 3) + avg(v) FILTER (g > 3)) / 2, 6) AS balanced, round(-quantile_cont(log2(m), 0.9), 6) AS tail90 FROM t GROUP BY l_partkey
+""")
+def selection_scores(t):
+    from ..operators import rank
+
+    s = rank.selection_scores(t("lineitem"), "l_partkey", "l_linenumber", "l_quantity", F.col("l_linenumber") <= 3)
+    return s.select("l_partkey", *[r6(c).alias(c) for c in s.columns[1:]])
+
+
+@query("""
+WITH v AS (SELECT vec_id, list_transform(embedding[1:7], lambda x: x::DOUBLE) AS a FROM embeddings) SELECT vec_id, round(-list_sort(a)[4], 6) AS activity, round(list_avg(a), 6) AS joint, round((-list_sort(a)[4] + a[1]) / 2, 6) AS activity_half FROM v
+""")
+def activity_scores(t):
+    from ..operators import rank
+
+    a = F.transform(F.slice("embedding", 1, 7), lambda x: x.cast("double"))
+    v = t("embeddings").select("vec_id", a.alias("a"))
+    return v.select("vec_id", *[r6(c).alias(n) for n, c in rank.activity_scores(F.col("a"), F.col("a"), F.get("a", F.lit(0))).items()])
+
+
+@query(None)
+def nested_folds(t):
+    """Suppliers joined by shared orders' pairs and nations: outer folds and inner ones; tested by hand."""
+    from ..operators import graph
+
+    s = t("supplier").select(F.col("s_suppkey").alias("id"))
+    pairs = s.select(F.col("id").alias("id_a"), (F.col("id") + 1).alias("id_b"), F.lit(0.9).alias("ratio")).where("id_a % 4 = 0").join(s.select(F.col("id").alias("id_b")), "id_b", "left_semi").select("id_a", "id_b", "ratio")
+    return graph.nested_folds(s, pairs, t("supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 97 * 100 + F.col("s_nationkey")).alias("key")), 0.6, 3, 2, "42")

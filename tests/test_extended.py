@@ -229,3 +229,18 @@ def test_streams(spark, tmp_path):
     assert {(r.k, r.n, r.total) for r in spark.table("t").collect()} <= {("a", 2, 2.0), ("b", 1, 9.0), ("a", 1, 2.0)} and spark.table("t").count() >= 2
     assert spark.table("s").count() >= 2 and spark.table("d").count() == 3
     assert stream.distinct_events(df, "ts", ["k", "v"]).count() == 3
+
+
+def test_nested_folds(spark):
+    nodes = spark.range(24)
+    pairs = spark.createDataFrame([(0, 1, 0.9), (2, 3, 0.5), (4, 5, 0.7)], "id_a long, id_b long, ratio double")
+    papers = spark.createDataFrame([(1, "p"), (6, "p"), (7, None), (8, None)], "id long, key string")
+    got = graph.nested_folds(nodes, pairs, papers, 0.6, 3, 2, "s").collect()
+    root = {r.id: r.root for r in got}
+    assert root[0] == root[1] == root[6] == 0 and root[2] == 2 and root[3] == 3 and root[5] == 4 and root[8] == 8
+    outer = {r.id: r.outer for r in got}
+    assert all(len({outer[i] for i in root if root[i] == k}) == 1 for k in set(root.values()))
+    assert all(r.held != r.outer for r in got) and len(got) == 2 * 24
+    for k in range(3):
+        inner = {r.root: r.inner for r in got if r.held == k}
+        assert all(inner[r.root] == r.inner for r in got if r.held == k) and set(inner.values()) == {0, 1}
