@@ -97,8 +97,8 @@ def redistribute(table: DataFrame, key: str, target: str, available: str) -> tup
 
 
 def by_quota(df: DataFrame, quotas: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first ``quota`` rows of each key group, by order; quotas has one row a key group, of a small spine."""
-    ranked = df.join(F.broadcast(quotas), keys).withColumn("_nth", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    """The first ``quota`` rows of each key group, by order; quotas has one row a key group."""
+    ranked = df.join(quotas, keys).withColumn("_nth", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     return ranked.where("_nth <= quota").drop("_nth", "quota")
 
 

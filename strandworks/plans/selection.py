@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from ..functions import kernels, text
 from ..operators import aggregate, graph, greedy, joins, measure, quota, rank, select
@@ -36,14 +36,10 @@ def bounded_quotas_by_size(t):
 @query(None)
 def redistributed_quotas(t):
     """Quotas of eight a size, moved to where parts are; tested by hand."""
-    have = t("part").groupBy("p_size").agg(F.least(F.count("*"), 3 * F.col("p_size")).alias("have")).withColumn("want", F.least(F.lit(8), F.sum("have").over(_all()) / F.count("*").over(_all())).cast("long"))
-    return quota.redistribute(have, "p_size", "want", "have")[0]
-
-
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()  # sizes, a small spine
+    have = t("part").groupBy("p_size").agg(F.least(F.count("*"), 3 * F.col("p_size")).alias("have"))
+    spine = W.partitionBy()  # sizes, few
+    mean = F.sum("have").over(spine) / F.count("*").over(spine)
+    return quota.redistribute(have.withColumn("want", F.least(F.lit(8), mean).cast("long")), "p_size", "want", "have")[0]
 
 
 @query(None)
@@ -252,7 +248,7 @@ def leaking_groups(t):
 
 
 @query("""
-WITH e AS (SELECT 'v' || vec_id AS t, label FROM embeddings) SELECT c_custkey AS id, (c_nationkey + 1) % 3 <> 1 AS training, (c_nationkey + 1) % 3 = 1 AS validation FROM customer
+SELECT c_custkey AS id, (c_nationkey + 1) % 3 <> 1 AS training, (c_nationkey + 1) % 3 = 1 AS validation FROM customer
 """)
 def held_fold_masks(t):
     c = t("customer").select(F.col("c_custkey").alias("id"), "c_nationkey", ((F.col("c_nationkey") + 1) % 3).alias("fold"))

@@ -25,7 +25,7 @@ def read_fasta(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
     splits = rows.groupBy("file", "_block").agg(F.min("_id").alias("_low"), F.count("*").alias("_n"), F.min_by("_opens", "_id").alias("_first"))  # a row a split
     splits = splits.withColumn("_base", F.sum("_n").over(W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n"))
     splits = splits.select(F.col("file").alias("_f"), F.col("_block").alias("_b"), "_low", "_base", "_first")
-    rows = rows.join(F.broadcast(splits), (F.col("file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
+    rows = rows.join(splits, (F.col("file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
     loose = (F.col("_block") == 0) & (F.col("_id") == F.col("_low")) & ~F.col("_first")
     rows = rows.select("file", (F.col("_id") - F.col("_low") + F.col("_base")).alias("idx"), "header", "sequence", loose.alias("_loose"))
     if strict:
