@@ -106,7 +106,7 @@ class Net:
         z, r = zr[:, :h], zr[:, h:]
         with np.errstate(over="ignore"):  # exp of a gate that is shut: 1 / inf is 0
             for side, u, steps in ((0, self.p["uf"], range(t)), (1, self.p["ub"], range(t - 1, -1, -1))):
-                gates, inner = (np.ascontiguousarray(pre[:, side * 3 * h + a : side * 3 * h + b]) for a, b in ((0, 2 * h), (2 * h, 3 * h)))
+                gates, inner = (np.ascontiguousarray(pre[:, side * 3 * h + a : side * 3 * h + b], np.float32) for a, b in ((0, 2 * h), (2 * h, 3 * h)))
                 ug, uc = np.ascontiguousarray(u[:, : 2 * h]), np.ascontiguousarray(u[:, 2 * h :])
                 state = np.zeros((n, h), np.float32)
                 for k in steps:
@@ -202,7 +202,7 @@ class Net:
         return g
 
     def table(self, words: list[str]) -> np.ndarray:
-        return self.inputs(self.lookup(words))[1] if words else np.zeros((0, 6 * HIDDEN), np.float32)
+        return self.inputs(self.lookup(words))[1].astype(np.float32) if words else np.zeros((0, 6 * HIDDEN), np.float32)
 
 
 def _pad(spans: list[np.ndarray]) -> np.ndarray:
