@@ -7,9 +7,9 @@ class and id apart), the share of the page's words in the smallest one and wheth
 element stands in that one: a form or a "with-sidebar" around a whole page is no furniture. A decision tree
 (Gini splits) is fitted to the blocks of the small labelled pages ``PAGES``.
 
-Scripts, styles, templates, the head and comments give no text; a script's string isn't markup. The head
-ends at the first element of a body, foreign elements (svg, math) at a self-closing slash or at a block
-element. Character references are decoded once; white space within a block becomes one space; blocks are
+Scripts, styles, templates, the head and comments give no text; a script's string isn't markup. A silent
+element that has an end tag of its own is passed over up to there, whatever stands in it. The head ends at
+the first element of a body, foreign elements (svg, math) without an end tag at a block element. Character references are decoded once; white space within a block becomes one space; blocks are
 trimmed and joined by two newlines. Unclosed tags are closed by the tags that end them, stray end tags are
 ignored, a quote that is never closed ends at the next ``>``, and a tag cut off by the end of the page is
 dropped. Each character of a page is scanned a bounded number of times.
@@ -53,6 +53,9 @@ ATTRIBUTE = re.compile(r"=?[^\s/>=]*")
 EQUALS = re.compile(r"\s*=\s*")
 BARE = re.compile(r"[^\s>]*")
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
+#: Silent elements whose content is parsed as elements.
+HOLDS = SILENT - RAW - {"head"}
+HOLD_TAG = re.compile(rf"<(/?)({'|'.join(sorted(HOLDS))})(?=[\s/>])[^>]*>", re.I)
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[A-Za-z]+")
 ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside", "search": "form"}
@@ -180,6 +183,19 @@ def tag_at(page: str, at: int, last: dict[str, int]) -> tuple[str, dict[str, str
                 found.setdefault(key, value)
 
 
+def ends_of(page: str) -> dict[int, int]:
+    """Where silent elements end, by where they begin; those that are never closed are left out."""
+    found, begun = {}, {}
+    for m in HOLD_TAG.finditer(page):
+        open_ = begun.setdefault(m[2].lower(), [])
+        if not m[1]:
+            if not m[0].endswith("/>"):
+                open_.append(m.start())
+        elif open_:
+            found[open_.pop()] = m.end()
+    return found
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks with text, in page order."""
     out: list[Block] = []
@@ -193,6 +209,7 @@ def blocks(page: str) -> list[Block]:
     last = {q: page.rfind(q) for q in "\"'"}
     counts: dict[str, int] = {}
     endless: set[str] = set()  # raw elements with no end tag further on
+    ends = ends_of(page)
 
     def say(s: str) -> None:
         nonlocal linked
@@ -247,6 +264,11 @@ def blocks(page: str) -> list[Block]:
         if not NAME.match(page, at + ending):
             say("<")
             continue
+        if lt in ends:
+            if NAME.match(page, at)[0].lower() in ("select", "object", "iframe", "canvas"):
+                say(" ")
+            at = ends[lt]
+            continue
         got = tag_at(page, at + ending, last)
         if got is None:
             at = len(page)
@@ -270,7 +292,7 @@ def blocks(page: str) -> list[Block]:
                     pop_to(foreign)
             close()
             if name in ENDS_P and counts.get("p"):
-                while stack and stack[-1][0] != "p" and stack[-1][0] not in BLOCKS:
+                while stack and stack[-1][0] != "p" and stack[-1][0] not in BLOCKS and stack[-1][0] not in HOLDS:
                     pop()
                 if stack and stack[-1][0] == "p":
                     pop()

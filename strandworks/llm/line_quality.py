@@ -60,7 +60,7 @@ def repeats(word_lists: list[list[bytes]], width: int = 8) -> np.ndarray:
     while span < width:
         ids = np.unique(ids, return_inverse=True)[1]
         nxt = np.full(len(ids), -1, np.int64)
-        nxt[: len(ids) - span] = ids[span:]
+        nxt[: max(0, len(ids) - span)] = ids[span:]
         ids = ids * (ids.max() + 2) + nxt + 1
         span *= 2
     starts = np.flatnonzero(at + width <= sizes[doc])

@@ -56,6 +56,19 @@ def test_wrappers_heads_and_foreign_elements():
     assert H.main_text("<head>First body words<p>and more of them</p>").startswith("First body words")
 
 
+def test_silent_elements_stay_silent():
+    for inside in ("<select><option>France<option>Spain</select>", "<noscript><div>Please enable scripts</div> now</noscript>", "<template><div>row<p>cell</div><template>x</template>y</template>", "<object><p>No plug-in</p></object>", "<svg><title>t</title><foreignObject><div>label</div></foreignObject><text>rest</text></svg>", "<canvas><table><tr><td>no canvas</table></canvas>", "<math><mi>x</mi><p>y</p>z</math>"):
+        for page in (f"<article><h1>Head</h1><p>Some words of the {inside}article stand here.<p>Short.</article>", f"<head>{inside}<title>t</title></head><article><h1>Head</h1><p>Some words of the article stand here.</p><p>Short.</article>"):
+            got = H.main_text(page)
+            assert got == "Head\n\nSome words of the article stand here.\n\nShort.", (page, got)
+    assert H.main_text("<article><p>One<select><option>Two</article>") == "One"
+    assert H.main_text(f"<svg><path><article>{BODY}</article>").endswith("Short.")
+    began = time.time()
+    for t in ("<svg>" * 50_000 + "</svg>", "<select><template>" * 30_000, "</svg>" * 50_000, "<p><object>" * 30_000 + "</object>" * 30_000, "<svg a='" * 50_000):
+        H.main_text("<article>" + t)
+    assert time.time() - began < 60
+
+
 def test_time_of_attributes_is_linear():
     began = time.time()
     for t in ("<a " * 100_000 + '"', "<a b=\"" * 50_000 + "'", "<script/>" * 40_000, "<svg/>" * 50_000, "<a b='" * 50_000 + '"' * 50_000, "<head>x" * 40_000, "<form><form>" * 50_000 + "<p>a" * 50_000):
@@ -63,6 +76,9 @@ def test_time_of_attributes_is_linear():
     assert time.time() - began < 60
 
 
+MUTE = ("select", "noscript", "svg", "template")
+
+
 def plain(page):
     """Main text of a page of well-formed elements, by another parser: words outside furniture, nothing learned."""
     from html.parser import HTMLParser
@@ -78,17 +94,22 @@ def plain(page):
             self.text = []
 
         def handle_starttag(self, tag, attrs):
-            if tag in ("p", "div", "nav", "article", "h1", "footer", "aside", "section", "ul", "li", "table", "td", "tr", "style", "script"):
+            if any(t in MUTE for t, _ in self.open) or tag in MUTE:
+                self.open.append((tag, ""))
+            elif tag in ("p", "div", "nav", "article", "h1", "footer", "aside", "section", "ul", "li", "table", "td", "tr", "style", "script", *MUTE):
                 self.cut()
                 self.open.append((tag, dict(attrs).get("class") or ""))
 
         def handle_endtag(self, tag):
-            if self.open and self.open[-1][0] == tag:
+            if any(t in MUTE for t, _ in self.open):
+                while self.open.pop()[0] != tag:
+                    pass
+            elif self.open and self.open[-1][0] == tag:
                 self.cut()
                 self.open.pop()
 
         def handle_data(self, data):
-            if not any(t in ("nav", "footer", "aside", "style", "script") or c in ("ad", "comments", "cookie-notice") for t, c in self.open):
+            if not any(t in ("nav", "footer", "aside", "style", "script", *MUTE) or c in ("ad", "comments", "cookie-notice") for t, c in self.open):
                 self.text.append(data)
 
     r = Reader()
@@ -104,7 +125,7 @@ def test_matches_plain_reading_of_random_pages():
     say = lambda n: " ".join(r.choice(["ah", "be &amp; co", "tion&eacute;", "3 &lt; 4", "<b>no</b>", "wo<i>rd</i>"]) for _ in range(n))
     links = lambda n: "".join(f"<li><a href=/{i}>{say(1)}</a></li>" for i in range(n))
     for _ in range(300):
-        body = "".join(r.choice(["<p>{}</p>", "<div>{}</div>", "<ul><li>{}</li></ul>", "<section><p>{}</p></section>", "<table><tr><td>{}</td></tr></table>"]).format(say(r.choice([1, 3, 9, 30, 80]))) for _ in range(r.randint(1, 9)))
+        body = "".join(r.choice(["<p>{}</p>", "<p>{} <select><option>no<option>nor</select></p>", "<p><noscript><div>no</div> nor</noscript>{}</p>", "<div><svg><p>no</p>nor</svg>{}</div>", "<p>{}<template><div>no<p>nor</div></template></p>", "<div>{}</div>", "<ul><li>{}</li></ul>", "<section><p>{}</p></section>", "<table><tr><td>{}</td></tr></table>"]).format(say(r.choice([1, 3, 9, 30, 80]))) for _ in range(r.randint(1, 9)))
         inside = r.choice(["", f"<div class=ad>{say(6)}</div>", f"<aside><p>{say(5)}</p></aside>", f"<section class=comments><p>{say(9)}</p></section>"])
         page = r.choice([f"<style>p{{}}</style><script>var t='</p>';</script>", ""]) + f"<nav><ul>{links(r.randint(2, 7))}</ul></nav><!-- <p>no</p> -->" + r.choice(["", f"<div class=ad>{say(4)}</div>", f"<div class=cookie-notice>{say(12)}</div>"])
         page += f"<article><h1>{say(4)}</h1>{body}{say(1)}<p>{say(40)}</p>{inside}</article><footer>{say(7)}</footer>"

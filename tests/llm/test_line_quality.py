@@ -13,6 +13,10 @@ def test_repeats_match_brute_force():
     lists = [[r.choice([b"a", b"b", b"c"]) for _ in range(r.randint(0, 60))] for _ in range(80)] + [[b"x"] * 20, [], [b"q"] * 8, [b"q"] * 9]
     assert L.repeats(lists).tolist() == [brute_repeats(w) for w in lists]
     assert L.repeats([[]]).tolist() == [0]
+    for n in range(10):
+        for words in ([b"w"] * n, [b"%d" % i for i in range(n)]):
+            assert L.repeats([words]).tolist() == [brute_repeats(words)]
+            assert L.repeats([[], words, []]).tolist() == [0, brute_repeats(words), 0]
 
 
 def brute(rows, min_docs):
@@ -83,3 +87,9 @@ def test_rows_of_one_document_count_once(spark):
     rows = [(7, " ".join(word() for _ in range(30)) + "\n" + line, "h") for _ in range(25)] + [(None, " ".join(word() for _ in range(30)) + "\n" + line, "h") for _ in range(25)]
     got = L.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert len(got) == 50 and all(g.kept and g.n_removed_lines == 0 for g in got)
+
+
+def test_a_partition_of_few_words(spark):
+    rows = [(n, " ".join("abcdefghi"[:n]), "h") for n in range(10)]
+    got = L.judge(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(10, "doc_id")).collect()
+    assert {g.doc_id: g.n_words for g in got} == {n: n for n in range(10)} and not any(g.kept for g in got)
