@@ -12,6 +12,7 @@ from .queries_07 import ORACLE_7, op7_rp_forest
 from .queries_08 import op8_toxicity
 from .queries_09 import op9_pii
 from .queries_10 import ORACLE_10, op10_chat_format
+from .queries_13 import op13_sharding
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_chat_format": op10_chat_format,
+    "op13_sharding": op13_sharding,
 }
 ORACLES = {
     "op1_quality_rules": ORACLE_1,

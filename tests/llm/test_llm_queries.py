@@ -24,6 +24,7 @@ COLUMNS = {
     "op8_toxicity": ("documents", "doc_id bigint, held_out boolean, score double, predicted int"),
     "op9_pii": ("documents", "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"),
     "op10_chat_format": (None, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"),
+    "op13_sharding": ("documents", "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int"),
 }
 
 
