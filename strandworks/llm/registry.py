@@ -12,6 +12,7 @@ from .queries_07 import ORACLE_7, op7_rp_forest
 from .queries_08 import op8_toxicity
 from .queries_09 import op9_pii
 from .queries_10 import ORACLE_10, op10_chat_format
+from .queries_11 import ORACLE_11, op11_source_divergence
 from .queries_13 import op13_sharding
 
 QUERIES = {
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_chat_format": op10_chat_format,
+    "op11_source_divergence": op11_source_divergence,
     "op13_sharding": op13_sharding,
 }
 ORACLES = {
@@ -32,4 +34,5 @@ ORACLES = {
     "op5_warc": ORACLE_5,
     "op7_rp_forest": ORACLE_7,
     "op10_chat_format": ORACLE_10,
+    "op11_source_divergence": ORACLE_11,
 }
