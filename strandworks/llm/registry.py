@@ -13,6 +13,7 @@ from .queries_08 import op8_toxicity
 from .queries_09 import op9_pii
 from .queries_10 import ORACLE_10, op10_chat_format
 from .queries_11 import ORACLE_11, op11_source_divergence
+from .queries_12 import ORACLE_12, op12_hard_negatives
 from .queries_13 import op13_sharding
 
 QUERIES = {
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_chat_format": op10_chat_format,
     "op11_source_divergence": op11_source_divergence,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_sharding": op13_sharding,
 }
 ORACLES = {
@@ -35,4 +37,5 @@ ORACLES = {
     "op7_rp_forest": ORACLE_7,
     "op10_chat_format": ORACLE_10,
     "op11_source_divergence": ORACLE_11,
+    "op12_hard_negatives": ORACLE_12,
 }
