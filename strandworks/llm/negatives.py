@@ -3,8 +3,8 @@
 Candidates and anchors are each parted by a tree of hyperplanes that is fitted to a bounded sample (at most
 ``SAMPLE`` rows) and applied to every row, so that a leaf has about ``BLOCK`` candidates or ``GROUP``
 anchors; larger leaves are split by a hash of the id. Within a leaf's block a task builds the rest of the
-tree: by label first, then by halves along the line between two far points, down to ``LEAF`` rows. Each
-node has a ball, a centre and a radius, around its rows.
+tree: by label first, then by halves along the line between two far points, down to ``LEAF`` candidates or
+``ANCHOR_LEAF`` anchors. Each node has a ball, a centre and a radius, around its rows.
 
 For two balls the inner products lie in <ca, cb> -/+ (|ca| rb + |cb| ra + ra rb). A pair of an anchor node
 and a candidate node is dropped when that interval holds nothing that any anchor of the node still wants,
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .common import cut, drop_cut
 
-BLOCK, GROUP, LEAF, SAMPLE, TOP_BYTES = 512, 128, 32, 8192, 32_000_000
+BLOCK, GROUP, LEAF, ANCHOR_LEAF, SAMPLE, TOP_BYTES = 512, 128, 32, 8, 8192, 32_000_000
 FACTOR, ANCHORS, POSITIVES, DEPTH = 256, 100, 5, 5
 LOW, WHOLE = 80, 100  # a negative has at least LOW / WHOLE of the positive's score
 
@@ -322,7 +322,7 @@ def searched(blocks: DataFrame, visiting: DataFrame, parts: int, same: bool, dep
             bid, bx = bid[b.order], bx[b.order]
             for g in groups.select(["group", "n", "body", "ranges"]).to_pylist():
                 aid, alabel, ax = unbody(g["body"], g["n"])
-                a = Tree(ax, alabel)
+                a = Tree(ax, alabel, ANCHOR_LEAF)
                 wanted = Wanted([[(r["low"], r["high"]) for r in g["ranges"][i] or ()] for i in a.order], depth)
                 for k, i in enumerate(a.order):
                     wanted.floor(k, [-np.inf if r["floor"] is None else r["floor"] for r in g["ranges"][i] or ()])
