@@ -7,7 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from ..functions import censor, seq
 from ..operators import aggregate, graph, joins, metrics, quota, rank, resample, select, vectors
 from ..streaming import events as stream
-from . import evaluation, features, measurements, selection  # noqa: F401  they register theirs
+from . import evaluation, features, fits, measurements, selection  # noqa: F401  they register theirs
 from .catalog import AVG_RANK, FLAGSHIP, ORACLES, QUERIES, query, r6
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
