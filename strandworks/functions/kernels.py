@@ -1,10 +1,12 @@
-"""Arrow-batched kernels for pairs of short strings: common subsequences and local alignments."""
+"""Arrow-batched kernels for pairs of short strings: common subsequences; alignments are in align."""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F, types as T
 
+from . import align
+
 
 def lcs_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, bit-parallel over a's positions."""
@@ -20,7 +22,7 @@ def lcs_length(a: str, b: str) -> int:
 
 
 def local_score(a: str, b: str) -> int:
-    """Best local alignment: match 1, mismatch -1, gap -1."""
+    """Best local alignment of one pair: match 1, mismatch -1, gap -1; of many pairs: align.local_scores()."""
     before, best = [0] * (len(b) + 1), 0
     for x in a:
         row = [0]
@@ -44,58 +46,11 @@ def lcs_identity(a: str, b: str) -> float:
     return lcs_length(*sorted((a, b), key=len)) / max(len(a), len(b), 1)
 
 
-def global_alignment(a: str, b: str, score, opening: float, extension: float) -> tuple[int, int]:
-    """(equal letters, columns) of a best global alignment with affine gaps; score(x, y) of two letters.
-
-    A gap of n costs opening + (n - 1) * extension. Of equal scores, more equal letters, then fewer columns.
-    """
-    low = (-1e30, 0, 0)
-    add = lambda s, points, same: (s[0] + points, s[1] + same, s[2] - 1)  # noqa: E731  columns are negative, so that fewer is more
-    m = [(0.0, 0, 0)] + [low] * len(b)
-    x = [low] * (len(b) + 1)  # ends with a letter of a against a gap
-    y = [low] + [(-opening - (j - 1) * extension, 0, -j) for j in range(1, len(b) + 1)]
-    for i, p in enumerate(a, 1):
-        m2, x2, y2 = [low], [(-opening - (i - 1) * extension, 0, -i)], [low]
-        for j, q in enumerate(b, 1):
-            best = max(m[j - 1], x[j - 1], y[j - 1])
-            m2.append(add(best, score(p, q), p == q))
-            x2.append(max(add(m[j], -opening, 0), add(x[j], -extension, 0), add(y[j], -opening, 0)))
-            y2.append(max(add(m2[j - 1], -opening, 0), add(y2[j - 1], -extension, 0), add(x2[j - 1], -opening, 0)))
-        m, x, y = m2, x2, y2
-    best = max(m[-1], x[-1], y[-1])
-    return best[1], -best[2]
-
-
-def global_identity(a: str, b: str, score, opening: float = 5.0, extension: float = 1.0) -> float:
-    """Equal letters over the columns of a global alignment of the two strings in lexical order."""
-    same, columns = global_alignment(*sorted((a, b)), score, opening, extension)
-    return same / columns if columns else 1.0
-
-
-def homologous(a: str, b: str, least: float = 0.8) -> bool:
-    """Identity and coverage of at least 0.8 under match 2, mismatch -1, gaps -2 and -0.5 a further letter."""
-    if not a or not b or min(len(a), len(b)) < least * max(len(a), len(b)):
-        return False
-    same, columns = global_alignment(a, b, lambda x, y: 2.0 if x == y else -1.0, 2.0, 0.5)
-    aligned = len(a) + len(b) - columns
-    return same >= least * columns and aligned >= least * max(len(a), len(b))
-
-
-@F.pandas_udf(T.BooleanType())
-def homology(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else homologous(x, y) for x, y in zip(a, b)], dtype="boolean")
-
-
 @F.pandas_udf(T.LongType())
 def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else lcs_length(x, y) for x, y in zip(a, b)], dtype="Int64")
 
 
-@F.pandas_udf(T.LongType())
-def local_alignment(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else local_score(x, y) for x, y in zip(a, b)], dtype="Int64")
-
-
 def ratio(a, b):
     """Indel similarity 2 LCS / (len a + len b); 1 for two empty strings."""
     total = F.length(a) + F.length(b)
@@ -108,4 +63,4 @@ def identity(a, b):
 
 
 def local_similarity(a, b):
-    return F.greatest(local_alignment(a, b), F.lit(0)) / F.nullif(F.greatest(F.length(a), F.length(b)), F.lit(0))
+    return align.local_score(a, b) / F.nullif(F.greatest(F.length(a), F.length(b)), F.lit(0))

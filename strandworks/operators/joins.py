@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import kernels
+from ..functions import align, kernels
 from .graph import over_blocks
 
 
@@ -122,6 +122,16 @@ def similar_pairs(left: DataFrame, right: DataFrame, text: str, least: float, it
     return pairs.select(F.col("x").alias("id_a"), F.col("y").alias("id_b"), "ratio")
 
 
+def aligned_pairs(df: DataFrame, text: str, id_: str, least: float = 0.8, homologous: bool = False) -> DataFrame:
+    """Edges (id_a, id_b, ratio) of a table to itself by alignment, not by common letters alone.
+
+    Global identity (BLOSUM45) of at least ``least``; or homology: identity and coverage of 0.8, with a ratio of 1.
+    Either needs a common subsequence of that share of the longer text, so candidates are those of similar_pairs().
+    """
+    measure = align.homologous_identity if homologous else align.global_identity
+    return similar_pairs(df, df, text, 0.8 if homologous else least, itself=True, id_=id_, measure=measure)
+
+
 def letter_bound(a: Column, b: Column) -> Column:
     """Upper bound of a common subsequence: shared ASCII letters by count, other characters freely."""
     total = F.lit(0)
@@ -159,13 +169,22 @@ class References:
         short = np.minimum(self.sizes, n) / np.maximum(under, 1)
         at = np.flatnonzero(short > top)
         bound = np.minimum(self.counts[at], self.letters(text)).sum(axis=1) / np.maximum(under[at], 1)
-        for k in np.argsort(-bound, kind="stable"):
-            if bound[k] <= top or top >= enough:
-                break
-            top = max(top, measure(text, self.texts[at[k]]))
+        order, done, size = np.argsort(-bound, kind="stable"), 0, 4
+        while done < len(order) and bound[order[done]] > top and top < enough:
+            some = order[done : done + size]
+            top = max(top, *measure(text, [self.texts[k] for k in at[some[bound[some] > top]]]))
+            done, size = done + size, min(2 * size, 512)  # the first few mostly settle it
         return top
 
 
+def _local_ratios(text: str, others: list[str]) -> list[float]:
+    return (align.local_scores([text] * len(others), others) / np.maximum([max(len(text), len(o)) for o in others], 1)).tolist()
+
+
+def _lcs_ratios(text: str, others: list[str]) -> list[float]:
+    return [kernels.lcs_ratio(text, o) for o in others]
+
+
 def max_similarity(left: DataFrame, reference: DataFrame, text: str, id_: str, most_rows: int = 50_000, local: bool = False) -> DataFrame:
     """(id, max_ratio) of each left text over all reference texts: by common subsequences, or by local alignments.
 
@@ -179,7 +198,7 @@ def max_similarity(left: DataFrame, reference: DataFrame, text: str, id_: str, m
 
         @F.pandas_udf("double")
         def best(texts: pd.Series, tops: pd.Series) -> pd.Series:
-            measure = kernels.local_ratio if local else kernels.lcs_ratio
+            measure = _local_ratios if local else _lcs_ratios
             return pd.Series([None if t is None else shared.value.best(t, top, local, measure) for t, top in zip(texts, tops)], dtype="float64")
 
         return state.withColumn("max_ratio", best(F.col(text), F.col("max_ratio")))
@@ -197,7 +216,7 @@ def above(left: DataFrame, reference: DataFrame, text: str, most: float, local:
 
         @F.pandas_udf("boolean")
         def hit(texts: pd.Series, seen: pd.Series) -> pd.Series:
-            measure = kernels.local_ratio if local else kernels.lcs_ratio
+            measure = _local_ratios if local else _lcs_ratios
             return pd.Series([bool(s) or t is not None and shared.value.best(t, most, local, measure, np.nextafter(most, 2)) > most for t, s in zip(texts, seen)])
 
         return state.withColumn("hit", hit(F.col(text), F.col("hit")))

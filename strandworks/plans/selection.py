@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..functions import kernels, text
+from ..functions import align, kernels, text
 from ..operators import aggregate, graph, greedy, joins, measure, quota, rank, select
 from .catalog import AVG_RANK, query, r6
 
@@ -127,51 +127,128 @@ def configured_score(t):
     return s.select("p_partkey", F.round("score", 9).alias("score"))
 
 
+NAMES = "SELECT p_name AS s, min(p_partkey) AS id FROM part GROUP BY p_name"
+KINDS = "SELECT DISTINCT lower(p_type) || ' ' || split_part(p_name, ' ', 2) AS s FROM part"
+
+
+def _names(t):
+    return t("part").groupBy(F.col("p_name").alias("s")).agg(F.min("p_partkey").alias("id"))
+
+
+def _kinds(t):
+    """A second set of whole texts."""
+    return t("part").select(F.concat_ws(" ", F.lower("p_type"), F.split_part("p_name", F.lit(" "), F.lit(2))).alias("s")).distinct()
+
+
 @query(f"""
-WITH p AS (SELECT p_name AS s, min(p_partkey) AS id FROM part GROUP BY p_name), w AS (SELECT string_split(s, ' ')[1] AS s, min(id) AS id FROM p GROUP BY 1)
+WITH w AS ({NAMES})
 SELECT a.id AS id_a, b.id AS id_b, round({LCS.format(a='a.s', b='b.s')} / greatest(length(a.s), length(b.s))::DOUBLE, 9) AS ratio FROM w a JOIN w b ON a.id < b.id WHERE {LCS.format(a='a.s', b='b.s')} / greatest(length(a.s), length(b.s))::DOUBLE >= 0.6
 """)
 def identity_pairs(t):
-    return joins.similar_pairs(_words(t), _words(t), "s", 0.6, itself=True, measure=kernels.identity).withColumn("ratio", F.round("ratio", 9))
+    return joins.similar_pairs(_names(t), _names(t), "s", 0.6, itself=True, measure=kernels.identity).withColumn("ratio", F.round("ratio", 9))
 
 
-def _words(t):
-    return t("part").groupBy(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("s")).agg(F.min("p_partkey").alias("id"))
+@query(f"""
+WITH RECURSIVE w AS ({NAMES}),
+e AS (SELECT a.id AS a, b.id AS b FROM w a JOIN w b ON a.id <> b.id WHERE {LCS.format(a='a.s', b='b.s')} / greatest(length(a.s), length(b.s))::DOUBLE >= 0.8), r(id, seen) AS (SELECT id, id FROM w UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a)
+SELECT id, min(seen) AS root, sha256(min(seen)::VARCHAR) AS "group" FROM r GROUP BY id
+""")
+def threshold_components(t):
+    pairs = joins.similar_pairs(_names(t), _names(t), "s", 0.8, itself=True, measure=kernels.identity)
+    return graph.threshold_components(_names(t).select("id"), pairs, 0.8)
+
+
+def alignment_sql(score: str, opening: float, extension: float) -> str:
+    """SQL of all pairs of names, aligned letter by letter of the first: tables ``q`` of pairs and ``aligned`` with equal letters and columns.
+
+    One whole number holds score, equal letters and columns, in this order of weight; lists hold a row of each of the three tables.
+    """
+    new, more, low = int(2 * opening) * align.ROOM + 1, int(2 * extension) * align.ROOM + 1, align.LOW
+    points = f"({score}) * {align.ROOM} + (a[i + 1] = b[j])::BIGINT * {align.SAME} - 1"
+    return f"""
+q AS (SELECT x.id AS id_a, y.id AS id_b, upper(least(x.s, y.s)) AS a, upper(greatest(x.s, y.s)) AS b FROM ({NAMES}) x JOIN ({NAMES}) y ON x.id < y.id),
+dp AS (
+  SELECT id_a, id_b, a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE {low} END) AS m, list_transform(range(0, length(b) + 1), lambda j: {low}::BIGINT) AS x,
+    list_transform(range(0, length(b) + 1), lambda j: CASE WHEN j = 0 THEN {low} ELSE -{new} - (j - 1) * {more} END) AS y FROM q
+  UNION ALL
+  SELECT id_a, id_b, a, b, i + 1, m, x, list_transform(range(0, length(b) + 1), lambda j: CASE WHEN j = 0 THEN {low} ELSE list_max(list_transform(range(0, j), lambda k: greatest(m[k + 1], x[k + 1]) - {new} - (j - 1 - k) * {more})) END)
+  FROM (
+    SELECT id_a, id_b, a, b, i, list_transform(range(0, length(b) + 1), lambda j: CASE WHEN j = 0 THEN {low} ELSE greatest(m[j], x[j], y[j]) + {points} END) AS m,
+      list_transform(range(0, length(b) + 1), lambda j: greatest(m[j + 1] - {new}, x[j + 1] - {more}, y[j + 1] - {new})) AS x
+    FROM dp WHERE i < length(a)
+  )
+),
+ended AS (SELECT id_a, id_b, a, b, ((greatest(m[-1], x[-1], y[-1]) + {align.ROOM // 2}) % {align.ROOM} + {align.ROOM}) % {align.ROOM} - {align.ROOM // 2} AS rest FROM dp WHERE i = length(a)),
+aligned AS (SELECT id_a, id_b, a, b, ceil(rest / {align.SAME}.0)::BIGINT AS same, ceil(rest / {align.SAME}.0)::BIGINT * {align.SAME} - rest AS columns FROM ended)"""
+
+
+_TABLE = "[" + ", ".join(str(2 * v) for row in align.blosum45().tolist() for v in row) + "]"
+_PLACE = "(CASE strpos('" + align.LETTERS + "', {c}) WHEN 0 THEN " + str(len(align.LETTERS)) + " ELSE strpos('" + align.LETTERS + "', {c}) - 1 END)"
+BLOSUM_SQL = alignment_sql(f"{_TABLE}[{_PLACE.format(c='a[i + 1]')} * {len(align.LETTERS) + 1} + {_PLACE.format(c='b[j]')} + 1]", 5, 1)
+PLAIN_SQL = alignment_sql("CASE WHEN a[i + 1] = b[j] THEN 4 ELSE -2 END", 2, 0.5)
+
+
+@query(f"WITH RECURSIVE {BLOSUM_SQL} SELECT id_a, id_b, round(same / columns::DOUBLE, 9) AS ratio FROM aligned WHERE same / columns::DOUBLE >= 0.5")
+def alignment_edges(t):
+    """Pairs of whole names with a global identity of at least a half."""
+    return joins.aligned_pairs(_names(t).withColumn("s", F.upper("s")), "s", "id", 0.5).withColumn("ratio", F.round("ratio", 9))
 
 
 @query(f"""
-WITH RECURSIVE w AS (SELECT string_split(p_name, ' ')[1] AS s, min(p_partkey) AS id FROM part GROUP BY 1),
-e AS (SELECT a.id AS a, b.id AS b FROM w a JOIN w b ON a.id <> b.id WHERE {LCS.format(a='a.s', b='b.s')} / greatest(length(a.s), length(b.s))::DOUBLE >= 0.6), r(id, seen) AS (SELECT id, id FROM w UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a)
+WITH RECURSIVE {PLAIN_SQL}, w AS ({NAMES}),
+h AS (SELECT id_a, id_b FROM aligned WHERE same >= 0.8 * columns AND length(a) + length(b) - columns >= 0.8 * greatest(length(a), length(b))), e AS (SELECT id_a AS a, id_b AS b FROM h UNION SELECT id_b, id_a FROM h),
+r(id, seen) AS (SELECT id, id FROM w UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a)
 SELECT id, min(seen) AS root, sha256(min(seen)::VARCHAR) AS "group" FROM r GROUP BY id
 """)
-def threshold_components(t):
-    pairs = joins.similar_pairs(_words(t), _words(t), "s", 0.6, itself=True, measure=kernels.identity)
-    return graph.threshold_components(_words(t).select("id"), pairs, 0.6)
+def homology_components(t):
+    """Components of whole names by the homology test."""
+    names = _names(t).withColumn("s", F.upper("s"))
+    return graph.threshold_components(names.select("id"), joins.aligned_pairs(names, "s", "id", homologous=True), 0.8)
 
 
 @query(f"""
-WITH w AS (SELECT string_split(p_name, ' ')[1] AS s, min(p_partkey) AS id FROM part GROUP BY 1), r AS (SELECT DISTINCT string_split(p_name, ' ')[2] AS s FROM part WHERE len(string_split(p_name, ' ')) > 1)
+WITH RECURSIVE {BLOSUM_SQL}, w AS ({NAMES}), e AS (SELECT id_a AS a, id_b AS b FROM aligned WHERE same / columns::DOUBLE > 0.6 UNION SELECT id_b, id_a FROM aligned WHERE same / columns::DOUBLE > 0.6),
+r(id, seen) AS (SELECT id, id FROM w UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a)
+SELECT id, min(seen) AS root, sha256(min(seen)::VARCHAR) AS "group" FROM r GROUP BY id
+""")
+def strict_identity_components(t):
+    """Components of whole names with a global identity above 0.6."""
+    names = _names(t).withColumn("s", F.upper("s"))
+    return graph.threshold_components(names.select("id"), joins.aligned_pairs(names, "s", "id", 0.6), 0.6, strict=True)
+
+
+@query(f"""
+WITH w AS ({NAMES}), r AS ({KINDS})
 SELECT w.id, round(max(2 * {LCS.format(a='w.s', b='r.s')} / (length(w.s) + length(r.s))::DOUBLE), 9) AS max_ratio FROM w, r GROUP BY w.id
 """)
 def max_similarity_of_words(t):
-    ref = t("part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("s")).where("s <> ''")
-    return joins.max_similarity(_words(t), ref, "s", "id").withColumn("max_ratio", F.round("max_ratio", 9))
+    """Of each whole name, the highest ratio to a second set of texts."""
+    return joins.max_similarity(_names(t), _kinds(t), "s", "id").withColumn("max_ratio", F.round("max_ratio", 9))
 
 
 @query(f"""
-WITH w AS (SELECT string_split(p_name, ' ')[1] AS s, min(p_partkey) AS id FROM part GROUP BY 1), r AS (SELECT DISTINCT string_split(p_name, ' ')[2] AS s FROM part WHERE len(string_split(p_name, ' ')) > 1)
-SELECT id FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE 2 * {LCS.format(a='w.s', b='r.s')} / (length(w.s) + length(r.s))::DOUBLE > 0.7)
+WITH w AS ({NAMES}), r AS ({KINDS})
+SELECT id FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE 2 * {LCS.format(a='w.s', b='r.s')} / (length(w.s) + length(r.s))::DOUBLE > 0.72)
 """)
 def clear_of_reference(t):
-    ref = t("part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("s")).where("s <> ''")
-    return joins.clear_of(_words(t), ref, "s", "id", 0.7).select("id")
+    return joins.clear_of(_names(t), _kinds(t), "s", "id", 0.72).select("id")
 
 
-@query(None)
+@query(f"""
+WITH RECURSIVE w AS ({NAMES}), r AS ({KINDS}), h AS (
+  SELECT w.id, w.s AS a, r.s AS b, 0 AS i, list_transform(range(0, length(r.s) + 1), lambda j: 0) AS row, 0 AS best FROM w, r
+  UNION ALL
+  SELECT id, a, b, i + 1, full_row, greatest(best, list_max(full_row))
+  FROM (
+    SELECT id, a, b, i, best, list_transform(range(0, length(b) + 1), lambda j: list_max(list_transform(range(0, j + 1), lambda k: open_[k + 1] - (j - k)))) AS full_row
+    FROM (SELECT *, list_transform(range(0, length(b) + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE greatest(0, row[j] + CASE WHEN a[i + 1] = b[j] THEN 1 ELSE -1 END, row[j + 1] - 1) END) AS open_ FROM h WHERE i < length(a))
+  )
+)
+SELECT id, round(max(best / greatest(length(a), length(b))::DOUBLE), 9) AS max_ratio FROM h WHERE i = length(a) GROUP BY id
+""")
 def max_local_alignment(t):
-    """Highest local similarity of words to words; tested by brute force."""
-    ref = t("part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("s")).where("s <> ''")
-    return joins.max_similarity(_words(t), ref, "s", "id", local=True)
+    """Of each whole name, the highest local similarity to a second set of texts."""
+    return joins.max_similarity(_names(t), _kinds(t), "s", "id", local=True).withColumn("max_ratio", F.round("max_ratio", 9))
 
 
 @query("""

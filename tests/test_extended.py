@@ -48,31 +48,6 @@ def test_text_functions(spark):
     assert w[0] == w[1]
 
 
-def test_alignments():
-    plain = lambda x, y: 1.0 if x == y else -1.0
-    assert kernels.global_alignment("ACDE", "ACDE", plain, 5, 1) == (4, 4) and kernels.global_alignment("ACDE", "ACE", plain, 1, 0.5) == (3, 4)
-    assert kernels.global_alignment("", "AC", plain, 5, 1) == (0, 2) and kernels.homologous("ACDEFGHIKL", "ACDEFGHIKV") and not kernels.homologous("ACDEFGHIKL", "ACDE")
-    r = np.random.default_rng(1)
-
-    def best(a, b, state=0):  # every alignment, by recursion
-        if not a and not b:
-            return 0.0
-        out = []
-        if a and b:
-            out.append(plain(a[0], b[0]) + best(a[1:], b[1:]))
-        if a:
-            out.append(-(0.5 if state == 1 else 2) + best(a[1:], b, 1))
-        if b:
-            out.append(-(0.5 if state == 2 else 2) + best(a, b[1:], 2))
-        return max(out)
-
-    for _ in range(40):
-        a, b = ("".join(r.choice(list("AC"), r.integers(0, 5))) for _ in range(2))
-        same, columns = kernels.global_alignment(a, b, plain, 2, 0.5)
-        assert columns >= max(len(a), len(b)) and same <= min(len(a), len(b))
-        assert best(a, b) <= same and (a != b or same == len(a))
-
-
 def test_scales_and_identities(spark):
     df = spark.createDataFrame([("ACAC", "CACA"), ("", "A")], "a string, b string")
     got = rows(df.select(seq.scale_mean(F.col("a"), {"A": 2.0}), seq.overlap_bound(F.col("a"), F.col("b"), "AC"), kernels.identity(F.col("a"), F.col("b"))))
