@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import regress
+from ..functions import seq
+from ..operators import compare, regress
 from .catalog import query, r6
 
 STEPS, ALPHA = 20, 0.05
@@ -51,3 +52,89 @@ def censored_normal_fit(t):
     fit = regress.fit_intervals(rows, ["l_quantity", "l_discount"], "low", "high", head="l_linestatus", loss="normal", alpha=ALPHA, steps=STEPS, rate=0.1)
     got = regress.predict(rows, fit, "l_linestatus", deviation="sd")
     return got.groupBy("l_linestatus").agg(r6(F.avg("predicted")).alias("mean"), r6(F.avg("sd")).alias("sd"), F.count("*").alias("n"))
+
+
+#: Vectors of odd labels are compared with those of even ones.
+SETS = "v AS (SELECT vec_id, label % 2 AS s, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL), d AS (SELECT a.vec_id AS a, b.vec_id AS b, a.s AS sa, b.s AS sb, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id)"
+
+
+def _sets(t):
+    v = t("embeddings")
+    return v.where("label % 2 = 1"), v.where("label % 2 = 0")
+
+
+@query(f"""
+WITH {SETS}, r AS (SELECT a, d AS radius FROM d WHERE sa = sb QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 5),
+c AS (SELECT d.a, d.sa, max((d.d <= r.radius)::INT) AS inside FROM d JOIN r ON d.b = r.a WHERE sa <> sb GROUP BY d.a, d.sa)
+SELECT round(avg(inside) FILTER (sa = 1), 9) AS precision, round(avg(inside) FILTER (sa = 0), 9) AS recall FROM c
+""")
+def set_coverage(t):
+    """Precision and recall of the vectors of odd labels against those of even labels."""
+    got = compare.coverage(*_sets(t), "vec_id", "embedding")
+    return got.select(*[F.round(c, 9).alias(c) for c in got.columns])
+
+
+@query(f"""
+WITH {SETS}, r AS (SELECT a, min(d) AS radius FROM d WHERE sa = 0 AND sb = 0 GROUP BY a), n AS (SELECT a, d, b FROM d WHERE sa = 1 AND sb = 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 1)
+SELECT round(avg((d > radius)::INT), 9) AS authenticity FROM n JOIN r ON n.b = r.a
+""")
+def authentic_share(t):
+    return compare.authenticity(*_sets(t), "vec_id", "embedding").select(F.round("authenticity", 9).alias("authenticity"))
+
+
+FEATURES, BANDWIDTH = 16, 0.7
+_W = "[" + ", ".join("[" + ", ".join(map(repr, column)) + "]" for column in compare.fourier_weights(64, FEATURES, BANDWIDTH, 42).T.tolist()) + "]"
+
+
+@query(f"""
+WITH z AS (SELECT list_transform({_W}, lambda w: list_inner_product(w, embedding::DOUBLE[])) AS z FROM embeddings WHERE embedding IS NOT NULL),
+f AS (SELECT list_concat(list_transform(z, lambda x: cos(x)), list_transform(z, lambda x: sin(x))) AS f FROM z)
+SELECT round(count(*) * {FEATURES * FEATURES} / sum(list_inner_product(a.f, b.f) ** 2), 6) AS modes FROM f a, f b
+""")
+def kernel_modes(t):
+    """How many modes all vectors have; in SQL over all pairs of rows."""
+    modes = compare.kernel_entropy(t("embeddings"), "embedding", 64, BANDWIDTH, FEATURES)
+    return t("embeddings").limit(1).select(F.round(F.lit(modes), 6).alias("modes"))
+
+
+#: Net charge and mean hydropathy of a name's letters.
+_COUNT = "(length(p_name) - length(replace(p_name, '{c}', '')))"
+CHARGE_SQL = f"{_COUNT.format(c='k')} + {_COUNT.format(c='r')} - {_COUNT.format(c='d')} - {_COUNT.format(c='e')}"
+GRAVY_SQL = "list_sum(list_filter(list_transform(string_split(upper(p_name), ''), lambda c: map_extract(MAP {" + ", ".join(f"'{c}': {v}" for c, v in seq.HYDROPATHY.items()) + "}, c)[1]), lambda x: x IS NOT NULL)) / length(p_name)"
+_KL = "(SELECT round(sum(p / sp * ln((p / sp) / (q / sq))), 9) FROM (SELECT p, q, sum(p) OVER () AS sp, sum(q) OVER () AS sq FROM (SELECT 1.0 + count(*) FILTER (own = 1) AS p, 1.0 + count(*) FILTER (own = 0) AS q FROM s WHERE {v} IS NOT NULL GROUP BY floor({v} / {w})))) AS {n}"
+
+
+@query(f"""
+WITH s AS (SELECT p_size % 2 AS own, length(p_name) AS l, {CHARGE_SQL} AS c, {GRAVY_SQL} AS g FROM part)
+SELECT {_KL.format(v='l', w='1.0', n='length_kl')}, {_KL.format(v='c', w='1.0', n='charge_kl')}, {_KL.format(v='round(g, 6)', w='0.25', n='gravy_kl')}
+""")
+def histogram_divergences(t):
+    """Length, charge and hydropathy of names of odd sizes against those of even sizes."""
+    own, other = (t("part").where(f"p_size % 2 = {k}") for k in (1, 0))
+    values = {"length_kl": (F.length("p_name"), 1.0), "charge_kl": (F.expr(CHARGE_SQL), 1.0), "gravy_kl": (F.round(seq.scale_mean(F.upper("p_name"), seq.HYDROPATHY), 6), 0.25)}
+    parts = [compare.histogram_kl(own, other, v, w).select(F.round("kl", 9).alias(n)) for n, (v, w) in values.items()]
+    return parts[0].crossJoin(parts[1]).crossJoin(parts[2])  # one row each
+
+
+@query("""
+WITH r AS (SELECT p_name AS t, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS n FROM part), d AS (SELECT r.t, (i + 1 + ('0x' || substr(sha256('42:' || i || ':' || j), 1, 15))::BIGINT % (n - 1)) % n AS o FROM r, range(5) g(j))
+SELECT round(avg(levenshtein(d.t, r.t) / greatest(length(d.t), length(r.t))::DOUBLE), 9) AS diversity FROM d JOIN r ON d.o = r.i
+""")
+def name_diversity(t):
+    return compare.diversity(t("part"), "p_partkey", "p_name").select(F.round("diversity", 9).alias("diversity"))
+
+
+@query("""
+WITH c AS (SELECT doc_id, lang, floor(ln(1 + length(text)) / 0.25)::BIGINT AS x, floor(ln(1 + length(text) - length(regexp_replace(text, '[0-9]', '', 'g'))) / 0.25)::BIGINT AS y, ('0x' || substr(sha256(doc_id::VARCHAR), 1, 15))::BIGINT % 5 AS fold FROM documents WHERE text IS NOT NULL),
+ref AS (SELECT x, y, fold, count(*) AS n FROM c WHERE lang = 'en' GROUP BY ALL), own AS (SELECT x, y, count(*) AS n FROM c WHERE lang <> 'en' GROUP BY ALL),
+asked AS (SELECT x, y, t, sum(cal) AS cal, sum(new) AS new FROM (SELECT x, y, fold AS t, n AS cal, 0 AS new FROM ref UNION ALL SELECT x, y, t, 0, n FROM own, range(5) g(t)) GROUP BY ALL),
+den AS (SELECT a.x, a.y, a.t, a.cal, a.new, round(coalesce(sum(r.n * exp(-((a.x - r.x) ** 2 + (a.y - r.y) ** 2) * 0.0625 / 0.5)), 0), 9) AS d FROM asked a LEFT JOIN ref r ON r.fold <> a.t AND abs(a.x - r.x) <= 8 AND abs(a.y - r.y) <= 8 GROUP BY ALL),
+p AS (SELECT a.t, sum(a.new * (1 + (SELECT coalesce(sum(b.cal), 0) FROM den b WHERE b.t = a.t AND b.d <= a.d)) / (1 + (SELECT sum(b.cal) FROM den b WHERE b.t = a.t))) / sum(a.new) AS p FROM den a GROUP BY a.t)
+SELECT round(avg(p), 9) AS conformity FROM p
+""")
+def length_conformity(t):
+    """Conformal p-values of other languages' documents by length and digits, under a density of the English ones."""
+    digits = F.length("text") - F.length(F.regexp_replace("text", "[0-9]", ""))
+    rows = t("documents").where("text IS NOT NULL").select("doc_id", "lang", F.log1p(F.length("text").cast("double")).alias("a"), F.log1p(digits.cast("double")).alias("b"))
+    got = compare.conformity(rows.where("lang <> 'en'"), rows.where("lang = 'en'"), "doc_id", ["a", "b"], 0.25, 0.5, reach=8)
+    return got.select(F.round("conformity", 9).alias("conformity"))
