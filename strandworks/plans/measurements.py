@@ -6,7 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import censor, text
 from ..operators import aggregate, contracts, joins, measure, vectors
-from ..sources import tables
+from ..sources import documents, tables
 from .catalog import query, r6
 
 
@@ -224,6 +224,39 @@ def cell_replay(t):
     return measure.grid_values(grid, cells).groupBy("replay").agg(F.count("*").alias("n"))
 
 
+@query("""
+WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part), c AS (
+  SELECT p_brand AS tbl, 2 * (i - 1) AS row, 0 AS col, p_partkey::VARCHAR AS text FROM p UNION ALL SELECT p_brand, 2 * (i - 1) + 1, 0, p_partkey::VARCHAR FROM p
+  UNION ALL SELECT p_brand, 2 * (i - 1), unnest([1, 2]), p_name FROM p UNION ALL SELECT p_brand, 2 * (i - 1) + 1, 1, p_size::VARCHAR FROM p UNION ALL SELECT p_brand, 2 * (i - 1) + 1, 2, CASE WHEN p_size % 3 = 0 THEN '> 8' ELSE p_type END FROM p)
+SELECT tbl, "row"::INT AS "row", col, text FROM c
+""")
+def document_cells(t):
+    """An XML article for each brand, made from its parts with cells over rows and columns, read back cell by cell."""
+    return documents.grids(_articles(t), "file").select("tbl", "row", "col", "text")
+
+
+def _articles(t):
+    """(file, content): a part is two table rows, its key over both, its name over two columns."""
+    limit = F.when(F.col("p_size") % 3 == 0, "> 8").otherwise(F.col("p_type"))
+    cell = lambda c, more="": F.concat(F.lit(f"<td{more}>"), F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit(">"), F.lit("&gt;")), F.lit("</td>"))
+    rows = F.concat(F.lit("<tr>"), cell(F.col("p_partkey").cast("string"), ' rowspan="2"'), cell(F.col("p_name"), ' colspan="2"'), F.lit("</tr><tr>"), cell(F.col("p_size").cast("string")), cell(limit), F.lit("</tr>"))
+    body = t("part").groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", rows.alias("r")))), lambda x: x["r"]), "").alias("rows"))
+    xml = F.concat(F.lit('<article><table-wrap id="'), "p_brand", F.lit('"><table>'), "rows", F.lit("</table></table-wrap></article>"))
+    return body.select(F.concat("p_brand", F.lit(".xml")).alias("file"), xml.cast("binary").alias("content"))
+
+
+@query("""
+WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part)
+SELECT p_brand AS tbl, (2 * i - 1)::INT AS "row", CASE WHEN p_size % 3 <> 0 THEN 'changed_text' WHEN p_size % 2 = 0 THEN 'ok' ELSE 'changed_value' END AS replay FROM p
+""")
+def replayed_documents(t):
+    """Registered values checked against the cells of the documents that they were taken from."""
+    grid = documents.grids(_articles(t), "file")
+    place = W.partitionBy("p_brand").orderBy("p_partkey")
+    told = t("part").select(F.concat("p_brand", F.lit(".xml")).alias("file"), F.col("p_brand").alias("tbl"), (2 * F.row_number().over(place) - 1).alias("row"), F.lit(2).alias("col"), F.lit("> 8").alias("cell_text"), F.when(F.col("p_size") % 2 == 0, 8.0).otherwise(9.0).alias("value"))
+    return measure.grid_values(grid, told).select("tbl", "row", "replay")
+
+
 @query("""
 SELECT p_partkey, x.target, x.prediction, x.supported, CASE WHEN x.supported THEN '' ELSE 'no_supported_head' END AS fallback_reason FROM part, LATERAL (SELECT unnest([{target: 'a', prediction: CASE WHEN p_size > 20 THEN p_size::DOUBLE ELSE p_retailprice END, supported: p_size > 20}, {target: 'b', prediction: p_retailprice, supported: true}]) AS x)
 """)
