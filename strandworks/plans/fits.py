@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import seq
-from ..operators import compare, regress
+from ..operators import compare, regress, ridge
 from .catalog import query, r6
 
 STEPS, ALPHA = 20, 0.05
@@ -138,3 +138,24 @@ def length_conformity(t):
     rows = t("documents").where("text IS NOT NULL").select("doc_id", "lang", F.log1p(F.length("text").cast("double")).alias("a"), F.log1p(digits.cast("double")).alias("b"))
     got = compare.conformity(rows.where("lang <> 'en'"), rows.where("lang = 'en'"), "doc_id", ["a", "b"], 0.25, 0.5, reach=8)
     return got.select(F.round("conformity", 9).alias("conformity"))
+
+
+PENALTIES = [1.0, 300.0, 30000.0]
+
+
+@query(f"""
+WITH r AS (SELECT l_orderkey % 4 AS f, l_returnflag AS h, l_quantity AS a, l_discount AS b, l_extendedprice AS y FROM lineitem),
+g AS (SELECT f, h, count(*) AS n, sum(a) AS sa, sum(b) AS sb, sum(y) AS sy, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS yb FROM r GROUP BY f, h),
+s AS (SELECT o, i, h, sum(n) AS n, sum(sa) / sum(n) AS ma, sum(sb) / sum(n) AS mb, sum(sy) / sum(n) AS my, sum(aa) AS aa, sum(ab) AS ab, sum(bb) AS bb, sum(ay) AS ay, sum(yb) AS yb FROM g, range(4) x(o), range(4) y(i) WHERE f <> o AND f <> i GROUP BY o, i, h),
+z AS (SELECT *, sqrt(aa / n - ma * ma) AS da, sqrt(bb / n - mb * mb) AS db FROM s),
+e AS (SELECT o, i, h, p, ma, mb, my, da, db, (aa - n * ma * ma) / (da * da) + p AS zaa, (bb - n * mb * mb) / (db * db) + p AS zbb, (ab - n * ma * mb) / (da * db) AS zab, (ay - n * ma * my) / da AS zay, (yb - n * mb * my) / db AS zby FROM z, (SELECT unnest({PENALTIES}) AS p)),
+m AS (SELECT o, i, h, p, (zay * zbb - zby * zab) / (zaa * zbb - zab * zab) / da AS wa, (zby * zaa - zay * zab) / (zaa * zbb - zab * zab) / db AS wb, my - wa * ma - wb * mb AS c FROM e),
+q AS (SELECT o, p, f, avg(mae) AS mae FROM (SELECT m.o, m.p, r.f, r.h, avg(abs(y - (a * wa + b * wb + c))) AS mae FROM r JOIN m ON m.i = r.f AND m.h = r.h AND m.o <> m.i GROUP BY ALL) GROUP BY o, p, f),
+best AS (SELECT o, p FROM (SELECT o, p, avg(mae) AS mae FROM q GROUP BY o, p) QUALIFY row_number() OVER (PARTITION BY o ORDER BY mae, p) = 1)
+SELECT o::INT AS outer_fold, p::DOUBLE AS penalty, round(avg(mae), 6) AS macro_mae FROM (SELECT o, p, r.h, avg(abs(y - (a * wa + b * wb + c))) AS mae FROM best JOIN m USING (o, p) JOIN r ON m.i = m.o AND r.f = m.o AND r.h = m.h GROUP BY ALL) GROUP BY o, p
+""")
+def nested_ridge(t):
+    """Prices by a head for each return flag; each outer fold is scored once, by the penalty that its inner folds chose."""
+    rows = t("lineitem").select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("key"), (F.col("l_orderkey") % 4).alias("fold"), "l_returnflag", "l_quantity", "l_discount", "l_extendedprice")
+    report, _ = ridge.nested_ridge(rows, "key", ["l_quantity", "l_discount"], "l_extendedprice", "fold", "l_returnflag", PENALTIES)
+    return report.select(F.col("outer").alias("outer_fold"), "penalty", r6("macro_mae").alias("macro_mae"))
