@@ -92,10 +92,10 @@ def to_value(x: Column) -> Column:
 
 
 def trapezoid(x: Column, zero_low: float | None, full_low: float | None, full_high: float | None, zero_high: float | None) -> Column:
-    """100 on the plateau, straight lines down to 0 at its feet; a side that is None has no slope."""
+    """100 on the plateau, straight lines down to 0 at its feet; a side that is None has no slope; null stays null."""
     rise = F.lit(100.0) if full_low is None else 100 * (x - zero_low) / (full_low - zero_low)
     fall = F.lit(100.0) if full_high is None else 100 * (zero_high - x) / (zero_high - full_high)
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), rise, fall))
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), rise, fall)))  # both pass nulls over
 
 
 def level(flags: list[Column], high: int) -> Column:
@@ -108,7 +108,7 @@ def points(by: Column, table: dict[str, float]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), by)
 
 
-# Fixed values of the developability rules: hydrophobic letters and letters where chains are cut, a slope's
+# Fixed values of the developability rules, here and in the conditions and points below: hydrophobic letters and letters where chains are cut, a slope's
 # four corners (score 0, 100, 100, 0) for each plain sub-score, the points of classes, the weights of sections.
 HYDROPHOBIC, CUT = "AVILMFWYC", "KRFWYLM"
 SLOPES = {
@@ -133,11 +133,24 @@ def synthesis_difficulty(s: Column, hydrophobic: Column) -> Column:
     return sum((F.when(c, p).otherwise(0) for c, p in rules), F.lit(0))
 
 
-def developability(df, text: str):
+def instability(s: Column, weights: dict[str, float]) -> Column:
+    """Ten over the length times the sum of a table's weights of neighbouring letters; pairs that the table lacks count 1.
+
+    The table, letter pair -> weight, is the caller's: it has some 400 values.
+    """
+    table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else F.create_map().cast("map<string,double>")
+    pairs = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.coalesce(F.try_element_at(table, F.substring(s, i, 2)), F.lit(1.0)))
+    return F.when(F.length(s) >= 2, F.lit(10.0) / F.length(s) * F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x))
+
+
+def developability(df, text: str, weights: dict[str, float] | None = None):
     """The rows with the features, risks, sections, score, class and the list of reasons of the hard filter.
 
-    ``instability`` is a column of the rows (an index whose table isn't stated here); null leaves its rules out.
+    ``weights``: the table of instability(), which makes the column of that name; without it the rows' own
+    column counts. A section is the mean of its parts that are known; a null index leaves its parts and rules out.
     """
+    if weights is not None:
+        df = df.withColumn("instability", instability(F.col(text), weights))
     s = F.col(text)
     out = df.select("*", *[c.alias(k) for k, c in features(s).items()]).withColumn("hydrophobic", sum((seq.count_of(s, c) for c in HYDROPHOBIC), F.lit(0)) / F.length(s))
     f = F.col
@@ -161,8 +174,8 @@ def developability(df, text: str):
     }
     for section, slopes in SLOPES.items():
         parts = [trapezoid(f(c), *corners) for c, corners in slopes.items()] + more[section]
-        known = [F.coalesce(p, F.lit(100.0)) for p in parts]
-        out = out.withColumn(section, sum(known, F.lit(0.0)) / len(known))
+        known = F.array_compact(F.array(*parts))
+        out = out.withColumn(section, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(known), F.lit(0)))
     score = sum((f(c) * w for c, w in WEIGHTS.items()), F.lit(0.0))
     reasons = F.array_compact(F.array(
         F.when(f("aggregation") == "High", "high_aggregation_risk"), F.when(f("hemolysis") == "High", "high_hemolysis_risk"), F.when(f("difficulty") >= 8, "spps_difficulty_at_least_8"),

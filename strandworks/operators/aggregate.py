@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .rank import beside_quantiles, quantiles
+
 
 def summary(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Ten numbers: count, mean, population deviation, minimum, five exact percentiles, maximum."""
-    p = F.percentile(value, F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    out = df.groupBy(*(by or [])).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), p.alias("p"), F.max(value).alias("max"))
+    out = df.groupBy(*(by or [])).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    out = beside_quantiles(out, df, value, (0.05, 0.25, 0.5, 0.75, 0.95), by)
     names = ("p05", "p25", "p50", "p75", "p95")
-    return out.select(*(by or []), "n", "mean", "std", "min", *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(names)], "max")
+    return out.select(*(by or []), "n", "mean", "std", "min", *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)], "max")
 
 
 def cube(df: DataFrame, row: str, target: str, value: str, threshold: float = 16.0) -> DataFrame:
@@ -108,9 +110,9 @@ def deduplicated_total(df: DataFrame, key: str, cost: str) -> DataFrame:
 
 def five_numbers(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Mean, population deviation, 10th, 50th and 90th percentile."""
-    p = F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    out = df.groupBy(*(by or [])).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), p.alias("p"))
-    return out.select(*(by or []), "mean", "std", *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
+    out = df.groupBy(*(by or [])).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    out = beside_quantiles(out, df, value, (0.1, 0.5, 0.9), by)
+    return out.select(*(by or []), "mean", "std", *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
 
 
 def mean_of(values: Column, places: list[int | tuple[int, ...]]) -> Column:
@@ -149,10 +151,12 @@ def screen_tally(df: DataFrame, run: str, text: str, valid: Column, common: Colu
 
 
 def reference_statistics(df: DataFrame, columns: list[str], at: tuple[float, ...] = (0.005, 0.01, 0.25, 0.5, 0.75, 0.99, 0.995)) -> DataFrame:
-    """(feature, q0, q1, ...) exact quantiles of each column, in one pass."""
-    p = [F.percentile(c, F.array(*map(F.lit, at))).alias(c) for c in columns]
-    long = df.agg(*p).unpivot([], columns, "feature", "q")
-    return long.select("feature", *[F.get("q", F.lit(i)).alias(f"q{i}") for i in range(len(at))])
+    """(feature, q0, q1, ...) exact quantiles of each column, columns of a kind counted in one pass."""
+    out = None
+    for c, q in quantiles(df, columns, at).items():
+        row = q.select(F.lit(c).alias("feature"), *[F.get("q", F.lit(i)).alias(f"q{i}") for i in range(len(at))])
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def robust_scores(df: DataFrame, columns: list[str], statistics: DataFrame, clip: float = 10.0, extreme: int = 3) -> DataFrame:
@@ -171,10 +175,11 @@ def cohort_metrics(df: DataFrame, run: str, text: str, value: str, common: Colum
     """(run, scope, n, distinct_n, novel, coverage, median): each run as it is and over common rows only; novel: distinct texts that ``known`` lacks."""
     seen = known.select(F.col(text).alias("_k")).distinct()
     rows = df.join(seen, F.col(text) == F.col("_k"), "left").withColumn("scope", F.explode(F.when(F.coalesce(common, F.lit(False)), F.array(F.lit("native"), F.lit("common"))).otherwise(F.array(F.lit("native")))))
-    return rows.groupBy(run, "scope").agg(
+    out = rows.groupBy(run, "scope").agg(
         F.count("*").alias("n"), F.countDistinct(text).alias("distinct_n"), F.countDistinct(F.when(F.col("_k").isNull(), F.col(text))).alias("novel"),
-        (F.count(value) / F.count("*")).alias("coverage"), F.percentile(value, 0.5).alias("median"),
+        (F.count(value) / F.count("*")).alias("coverage"),
     )
+    return beside_quantiles(out, rows, value, (0.5,), [run, "scope"]).withColumn("median", F.get("_q", F.lit(0))).drop("_q")
 
 
 def sorted_list(df: DataFrame, key: str, value: str) -> DataFrame:

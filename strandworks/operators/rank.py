@@ -55,20 +55,55 @@ def value_ranks(df: DataFrame, columns: list[str], by: list[str] | None = None)
     return out
 
 
+def quantiles(df: DataFrame, columns: list[str], at: tuple[float, ...], by: list[str] | None = None) -> dict[str, DataFrame]:
+    """For each column a table (by as _b0.., q): its quantiles within groups, linearly interpolated, from the counts of distinct values.
+
+    No task holds a column or a group. Null, NaN and infinite values are left out; a group without values has no row.
+    """
+    keys = [f"_b{i}" for i in range(len(by or []))]
+    out = {}
+    for c, ranks in value_ranks(df, columns, by).items():
+        def value(place: Column) -> Column:
+            return F.max(F.when((F.col("_before") <= place) & (place < F.col("_before") + F.col("_same")), F.col("_v").cast("double")))  # noqa: B023
+
+        cells = []
+        for q in at:
+            place = F.lit(float(q)) * (F.col("_total") - 1)
+            cells += [value(F.floor(place)), value(F.ceil(place)), F.max(place - F.floor(place))]
+        got = ranks.groupBy(*keys).agg(*[x.alias(f"_x{i}") for i, x in enumerate(cells)])
+        part = [F.col(f"_x{3 * i}") + (F.col(f"_x{3 * i + 1}") - F.col(f"_x{3 * i}")) * F.col(f"_x{3 * i + 2}") for i in range(len(at))]
+        out[c] = got.select(*keys, F.array(*part).alias("q"))
+    return out
+
+
+def beside_quantiles(table: DataFrame, df: DataFrame, column: str, at: tuple[float, ...], by: list[str] | None = None) -> DataFrame:
+    """A table of groups (``by``) with the column's quantiles in ``_q``, null without values."""
+    q = quantiles(df, [column], at, by)[column].withColumnRenamed("q", "_q")
+    if not by:
+        return table.crossJoin(q) if not q.isEmpty() else table.withColumn("_q", F.lit(None).cast("array<double>"))  # one row each
+    on = [F.col(b).eqNullSafe(F.col(f"_b{i}")) for i, b in enumerate(by)]
+    return table.join(q, on, "left").drop(*[f"_b{i}" for i in range(len(by))])
+
+
 def with_ranks(df: DataFrame, columns: dict[str, Column], values: dict[str, str] | list[str], by: list[str] | None = None) -> DataFrame:
     """Add ``columns``, expressions over <value>_before, <value>_same and <value>_total of each value column (null without a rank)."""
     by = by or []
     names = list(values)
     tables = value_ranks(df, names, by)
-    out = df
+    taken = {f"{c}{f}" for c in names for f in ("_before", "_same", "_total", "_v")} & set(df.columns)
+    aside = {c: f"_own{i}_{c}" for i, c in enumerate(sorted(taken))}  # columns of the rows that have the names of ranks
+    out = df.withColumnsRenamed(aside)
+    names, columns, by = [aside.get(c, c) for c in names], columns, [aside.get(b, b) for b in by]
+    if any(c in aside for c in list(values)):
+        raise ValueError(f"{sorted(set(values) & set(aside))}: a column is named like another one's rank")
     for c in names:
         t = tables[c].withColumnsRenamed({"_v": f"{c}_v", **{f: f"{c}{f}" for f in ("_before", "_same", "_total")}, **{f"_b{i}": f"{c}_b{i}" for i in range(len(by))}})
         on = F.col(c).cast(t.schema[f"{c}_v"].dataType) == F.col(f"{c}_v")
         for i, b in enumerate(by):
             on = on & F.col(b).eqNullSafe(F.col(f"{c}_b{i}"))
         out = out.join(t, on, "left").drop(f"{c}_v", *[f"{c}_b{i}" for i in range(len(by))])
-    made = out.withColumns(columns)
-    return made.drop(*[f"{c}{f}" for c in names for f in ("_before", "_same", "_total")])
+    made = out.withColumns(columns).drop(*[f"{c}{f}" for c in names for f in ("_before", "_same", "_total")])
+    return made.withColumnsRenamed({v: k for k, v in aside.items()})
 
 
 def _average(c: str, ascending: bool = True) -> Column:

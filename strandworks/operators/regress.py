@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .graph import cut
-from .rank import value_ranks
+from .rank import quantiles
 
 RATE, BETA_1, BETA_2, TINY = 0.02, 0.9, 0.999, 1e-8  # fixed values: the usual settings of Adam
 
@@ -53,14 +53,8 @@ class Fit:
 
 def median(df: DataFrame, column: str) -> float | None:
     """The exact median, from the counts of distinct values dealt by ranges."""
-    ranks = value_ranks(df, [column])[column]
-    n = ranks.select("_total").first()
-    if n is None:
-        return None
-    low, high = (n[0] - 1) // 2, n[0] // 2
-    got = {r["_v"]: (r["_before"], r["_same"]) for r in ranks.where(f"_before <= {high} AND _before + _same > {low}").collect()}  # one or two values
-    at = lambda k: next(v for v, (b, s) in got.items() if b <= k < b + s)
-    return (at(low) + at(high)) / 2
+    got = quantiles(df, [column], (0.5,))[column].first()
+    return got["q"][0] if got and got["q"][0] is not None else None
 
 
 def log_cdf(z: np.ndarray) -> np.ndarray:

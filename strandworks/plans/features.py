@@ -45,7 +45,7 @@ def feature_vector(t):
 
 @query(None)
 def developability(t):
-    """Scores, classes and hard-filter reasons of part names; compared with values worked out by hand."""
+    """Scores, classes and hard-filter reasons of part names; the sections are tested against a plain form."""
     d = physchem.developability(parts(t).where("length(s) >= 2").withColumn("instability", F.lit(None).cast("double")), "s")
     return d.select("p_partkey", r6("developability").alias("score"), "class", F.array_join("reasons", ",").alias("reasons"), "aggregation", "hemolysis", "proteolysis", "difficulty", r6("isoelectric_point").alias("isoelectric_point"))
 
