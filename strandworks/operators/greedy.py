@@ -1,7 +1,7 @@
 """Selections that depend on what was selected before: diverse heads with limits, ladders, portfolios.
 
-Spark sorts, cuts the head (a parameter) and finds the similarities to references; only the head's rows, and
-for portfolios a candidates x scenarios table of stated size, go through one task, which takes them in turn.
+Spark sorts, cuts the head (a parameter) and finds the similarities to references; only the head's rows go
+through one task, which takes them in turn. Portfolios take one pass over their keys for each pick.
 """
 
 from __future__ import annotations
@@ -9,10 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import kernels
 from . import joins, rank
+from .graph import cut
 
 
 @dataclass(frozen=True)
@@ -150,31 +151,45 @@ def portfolio(hits: DataFrame, key: str, scenario: str, value: str, k: int, tail
     """(key, place): k keys, one after another, that raise the mean of the scenarios' running totals most, or of their lowest ceil(tail * n).
 
     hits: (key, scenario, value), complete; ties to the smaller key; at most ``cap`` keys of a group (key,
-    grp). The keys x scenarios table of a bounded pool is held by one task.
+    grp). Each pick is one pass over the keys' vectors: tasks return their best key, the best of these is
+    taken. So the pool may have any size; a scenario's total and the keys taken are on the driver.
     """
-    rows = hits.select(F.col(key).alias("key"), F.col(scenario).cast("string").alias("scenario"), F.col(value).cast("double").alias("v"))
-    of = groups.select(F.col(key).alias("key"), F.col("grp").cast("string").alias("grp")) if groups is not None else rows.select("key", F.lit("").alias("grp")).distinct()
-
-    def choose(_: tuple, long: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        wide = long.pivot(index="key", columns="scenario", values="v").sort_index()
-        if wide.isna().to_numpy().any():
-            raise ValueError("every key needs a value in every scenario")
-        score, grp = wide.to_numpy(), long.drop_duplicates("key").set_index("key")["grp"].reindex(wide.index).to_numpy()
-        open_, total, used, out = np.ones(len(score), bool), np.zeros(score.shape[1]), {}, []
-        worst = score.shape[1] if tail is None else max(1, int(np.ceil(tail * score.shape[1] - 1e-12)))
-        for _ in range(k):
-            if not open_.any():
-                raise ValueError("too few keys under the cap")
-            gain = np.sort(score + total, axis=1)[:, :worst].mean(axis=1)
-            i = int(np.flatnonzero(open_)[np.argmax(gain[open_])])
-            open_[i], total = False, total + score[i]
-            used[grp[i]] = used.get(grp[i], 0) + 1
-            if cap is not None and used[grp[i]] >= cap:
-                open_ &= grp != grp[i]
-            out.append(i)
-        return pd.DataFrame({"key": wide.index[out], "place": range(1, k + 1)})
-
-    kind = hits.schema[key].dataType.simpleString()
-    return rows.join(of, "key").groupBy(F.lit(1).alias("_g")).applyInPandas(choose, f"key {kind}, place int").withColumnRenamed("key", key)
+    import numpy as np
+    import pyarrow as pa
+
+    kind = hits.schema[key].dataType
+    x = F.struct(F.col(scenario).cast("string").alias("s"), F.col(value).cast("double").alias("v"))
+    wide = hits.groupBy(F.col(key).alias("key")).agg(F.array_sort(F.collect_list(x)).alias("x"))  # a value a scenario
+    of = groups.select(F.col(key).alias("_k"), F.col("grp").cast("string").alias("grp")).dropDuplicates(["_k"]) if groups is not None else None
+    wide = wide.join(of, F.col("key") == F.col("_k"), "left").drop("_k") if of is not None else wide.withColumn("grp", F.lit(None).cast("string"))
+    wide = cut(wide.select("key", "grp", F.transform("x", lambda r: r["s"]).alias("names"), F.transform("x", lambda r: r["v"]).alias("v")))
+    first = wide.select("names").first()
+    n = len(first["names"]) if first else 0
+    if first and not wide.where(~F.col("names").eqNullSafe(F.array(*map(F.lit, first["names"]))) | F.exists("v", lambda a: a.isNull() | F.isnan(a))).isEmpty():
+        raise ValueError("every key needs a value in every scenario")
+    worst = n if tail is None else max(1, int(np.ceil(tail * n - 1e-12)))
+    total, taken, used = np.zeros(n), [], {}
+
+    def best(rows: DataFrame, now: np.ndarray) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                v = batch.column("v").flatten().to_numpy().reshape(-1, n)
+                gain = np.sort(v + now, axis=1)[:, :worst].mean(axis=1)
+                top = np.flatnonzero(gain == gain.max())  # ties too: which key is smaller is Spark's to say
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(top)) for c in ("key", "grp", "v")), pa.array(gain[top])], names=["key", "grp", "v", "gain"])
+
+        return rows.select("key", "grp", "v").mapInArrow(run, T.StructType([T.StructField("key", kind), T.StructField("grp", T.StringType()), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("gain", T.DoubleType())]))
+
+    for _ in range(k):
+        full = [g for g, c in used.items() if cap is not None and c >= cap]
+        rows = wide.where(~F.col("key").isin(taken)) if taken else wide
+        if full:
+            rows = rows.where(~F.coalesce("grp", F.lit("")).isin(full))
+        got = best(rows, total).orderBy(F.desc("gain"), "key").limit(1).collect()
+        if not got:
+            raise ValueError("too few keys under the cap")
+        taken.append(got[0]["key"])
+        total = total + np.array(got[0]["v"])
+        used[got[0]["grp"] or ""] = used.get(got[0]["grp"] or "", 0) + 1
+    out = T.StructType([T.StructField(key, kind), T.StructField("place", T.IntegerType())])
+    return hits.sparkSession.createDataFrame([(v, p + 1) for p, v in enumerate(taken)], out)  # k rows

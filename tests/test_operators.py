@@ -211,6 +211,30 @@ def test_diverse_top(spark):
     assert {x.step for x in greedy.diverse_top(one_cluster, "id", "s", "score", "id", 6, ladder, {}, "cluster").collect()} == {2}
 
 
+def test_portfolio_matches_one_by_one(spark):
+    r = np.random.default_rng(8)
+    score = np.round(r.random((60, 7)), 1)  # ties
+    score[5] = score[4]
+    groups = {i: f"g{i % 9}" for i in range(60)}
+    hits = spark.createDataFrame([(i, f"s{j}", float(score[i, j])) for i in range(60) for j in range(7)], "id int, sc string, v double").repartition(6)
+    of = spark.createDataFrame(list(groups.items()), "id int, grp string")
+    for tail, cap in ((None, None), (0.3, None), (0.3, 1), (None, 2)):
+        total, want, used = np.zeros(7), [], {}
+        worst = 7 if tail is None else 3
+        for _ in range(6):
+            open_ = [i for i in range(60) if i not in want and (cap is None or used.get(groups[i], 0) < cap)]
+            best = max(open_, key=lambda i: (np.sort(score[i] + total)[:worst].mean(), -i))
+            want.append(best)
+            total = total + score[best]
+            used[groups[best]] = used.get(groups[best], 0) + 1
+        got = greedy.portfolio(hits, "id", "sc", "v", 6, tail=tail, groups=of if cap else None, cap=cap).orderBy("place").collect()
+        assert [x.id for x in got] == want
+    with pytest.raises(ValueError, match="every scenario"):
+        greedy.portfolio(hits.where("id <> 3 OR sc <> 's1'"), "id", "sc", "v", 2)
+    with pytest.raises(ValueError, match="too few"):
+        greedy.portfolio(hits, "id", "sc", "v", 12, groups=of, cap=1)
+
+
 def test_adopted_top_and_portfolios(spark):
     df = spark.createDataFrame([("A" * 9, 1, 0.9), ("C" * 9, 2, 0.8), ("D" * 9, 3, 0.7)], "s string, raw int, consensus double").withColumn("id", F.col("raw"))
     got = greedy.adopted_top(df, df.where("raw > 1").select("s"), "id", "s", "consensus", "raw", 1, 10, {}).collect()
