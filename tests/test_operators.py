@@ -1,5 +1,7 @@
 """Small cases worked out by hand."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -43,21 +45,23 @@ def test_quotas(spark):
     assert q[11] > q[10] > q[12] and sum(q.values()) == 31
 
 
-def fill(size, weights, capacity):
-    """Shares of what is left, cut at the capacity, then units to open keys; by hand, for one group."""
-    got = dict.fromkeys(sorted(capacity), 0)
-    while (left := size - sum(got.values())) > 0:
-        free = [k for k in got if got[k] < capacity[k]]
-        mass = [weights.get(k, 0.0) for k in free]
-        mass = mass if sum(mass) else [float(capacity[k] - got[k]) for k in free]
-        share = [left * m / sum(mass) for m in mass]
-        for k, x in zip(free, share):
-            got[k] += min(int(x), capacity[k] - got[k])
-        left = size - sum(got.values())
-        for x, k in sorted((-(x % 1), k) for k, x in zip(free, share)):
-            if left and got[k] < capacity[k]:
-                got[k], left = got[k] + 1, left - 1
-    return got
+def unit_by_unit(size, weights, room):
+    """Quotas by dealing: units go, one at a time, to the key furthest behind its due, never beyond the next whole number above it.
+
+    Dues are shares of the units left, by weight or, where no open key has any, by room; they are set anew
+    once no key may take another unit.
+    """
+    held, due, dealt = Counter(), {}, Counter()
+    may = lambda k: held[k] < room[k] and dealt[k] <= due[k] // 1
+    for left in range(size, 0, -1):
+        if not any(map(may, due)):
+            by = {k: weights.get(k, 0.0) for k in room if held[k] < room[k]}
+            by = by if any(by.values()) else {k: float(room[k] - held[k]) for k in by}
+            due, dealt = {k: left * w / sum(by.values()) for k, w in by.items()}, Counter()
+        unit = min(filter(may, due), key=lambda k: (dealt[k] - due[k], k))
+        held[unit] += 1
+        dealt[unit] += 1
+    return {k: held[k] for k in room}
 
 
 def test_bounded_quotas_match_their_rule(spark):
@@ -69,7 +73,7 @@ def test_bounded_quotas_match_their_rule(spark):
         weights = {k: float(r.integers(0, 5)) for k in range(n) if r.random() < 0.8}
         size = int(r.integers(0, sum(cap.values()) + 1))
         rows += [(g, k, weights.get(k), cap[k], size) for k in cap]
-        want |= {(g, k): n for k, n in fill(size, weights, cap).items()}
+        want |= {(g, k): n for k, n in unit_by_unit(size, weights, cap).items()}
     table = spark.createDataFrame(rows, "g int, k int, w double, c int, n int")
     assert {(a, b): n for a, b, n in one(quota.bounded_quotas(table, "g", "k", "w", "c", "n"))} == want
     with pytest.raises(Exception, match="fewer rows"):
