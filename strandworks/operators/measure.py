@@ -1,4 +1,7 @@
-"""Measurement tables: gates, masks, normalisers to one observation schema, labels by molecule, exposure, exports."""
+"""Measurement tables: gates, masks, normalisers to one observation schema, labels by molecule, exposure, exports.
+
+Fixed values: the names of reasons and states that these functions return, which readers of their tables expect.
+"""
 
 from __future__ import annotations
 

@@ -171,7 +171,7 @@ def blend(weights: dict[str, float]) -> Column:
     return total / F.nullif(weight, F.lit(0.0))
 
 
-#: Parts of the rankers B0 to B6: (percentile score of a column, weight); a minus before a column's name reverses its score.
+#: Parts of the rankers B0 to B6: (percentile score of a column, weight); a minus before a column's name reverses its score.
 RANKERS = {
     "B0": {"-broad_mean": 1.0}, "B1": {"-median_log2": 1.0}, "B2": {"vote": 1.0}, "B3": {"success_mean": 1.0}, "B4": {"success_mean": 0.75, "success_tail": 0.25},
     "B5": {"success_mean": 0.60, "success_tail": 0.20, "mdr": 0.20, "disagreement": -0.15},
