@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import seq
 from ..operators import compare, regress, ridge
+from ..operators.graph import cut
+from ..sources import bundles
 from .catalog import query, r6
 
 STEPS, ALPHA = 20, 0.05
@@ -159,3 +161,26 @@ def nested_ridge(t):
     rows = t("lineitem").select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("key"), (F.col("l_orderkey") % 4).alias("fold"), "l_returnflag", "l_quantity", "l_discount", "l_extendedprice")
     report, _ = ridge.nested_ridge(rows, "key", ["l_quantity", "l_discount"], "l_extendedprice", "fold", "l_returnflag", PENALTIES)
     return report.select(F.col("outer").alias("outer_fold"), "penalty", r6("macro_mae").alias("macro_mae"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, label, label % 2 AS v, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+s AS (SELECT v, i, avg(x) AS m, stddev_pop(x) AS d FROM e GROUP BY ALL), c AS (SELECT v, label, i, avg((x - m) / d) AS c FROM e JOIN s USING (v, i) GROUP BY ALL),
+n AS (SELECT label, sum(c * c) / 2 AS half FROM c GROUP BY label), z AS (SELECT vec_id, v, i, (x - m) / d AS x FROM e JOIN s USING (v, i)),
+h AS (SELECT vec_id, c.label, sum(x * c) - any_value(half) AS score FROM z JOIN c USING (v, i) JOIN n ON n.label = c.label GROUP BY vec_id, c.label)
+SELECT vec_id, 'class ' || label AS name, round(score, 6) AS score FROM h WHERE label > 1 UNION ALL SELECT vec_id, 'shifted ' || label, round(score + 1, 6) FROM h
+""")
+def bundle_scores(t):
+    """Heads of nearest centroids, a bundle for even and one for odd labels, checked and applied to the rows that name them."""
+    rows = t("embeddings").where("embedding IS NOT NULL AND label IS NOT NULL").withColumn("version", F.col("label") % 2)
+    x = rows.select("version", "label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    scales = x.groupBy("version", "i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("d"))
+    means = x.groupBy("version", "label", "i").agg(F.avg("x").alias("c")).join(scales, ["version", "i"])
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("i", c.alias("c")))), lambda v: v["c"])
+    coef = means.groupBy("version", "label").agg(in_order((F.col("c") - F.col("m")) / F.col("d")).alias("c"))
+    half = F.aggregate("c", F.lit(0.0), lambda a, v: a - v * v / 2)
+    head, member = F.concat(F.lit("class "), F.col("label").cast("string")), F.concat(F.lit("shifted "), F.col("label").cast("string"))
+    heads = coef.groupBy("version").agg(F.collect_list(F.struct(head.alias("name"), F.col("c").alias("coef"), half.alias("intercept"), (F.col("label") > 1).alias("supported"))).alias("heads"), F.collect_list(F.struct(member.alias("name"), head.alias("head"), F.lit(1.0).alias("offset"), F.lit(True).alias("supported"))).alias("members"))
+    made = scales.groupBy("version").agg(in_order(F.col("m")).alias("mean"), in_order(F.col("d")).alias("scale")).join(heads, "version").withColumn("dataset", F.sha2(F.to_json("heads"), 256))
+    scored = bundles.score(rows, bundles.checked(cut(bundles.packed(made))), "version", "embedding")
+    return scored.select("vec_id", F.explode("scores").alias("name", "score")).where("score IS NOT NULL").withColumn("score", r6("score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import align, kernels, text
-from ..operators import aggregate, graph, greedy, joins, measure, quota, rank, select
+from ..operators import aggregate, graph, greedy, joins, measure, prefix, quota, rank, select
 from .catalog import AVG_RANK, query, r6
 
 LCS = """list_reduce(list_prepend([0] || list_transform(range(1, length({b}) + 1), lambda i: 0), list_transform(range(1, length({a}) + 1), lambda i: [i])), lambda row, p:
@@ -345,3 +345,64 @@ def cohort_metrics(t):
     p = t("part")
     m = aggregate.cohort_metrics(p, "p_brand", "p_name", "p_retailprice", F.col("p_size") < 25, p.where("p_size > 40"))
     return m.withColumnRenamed("p_brand", "run").withColumn("median", r6("median"))
+
+
+#: Local alignment of every two names, scores by letter of the first; ``near`` has the similarity of each pair.
+NEAR = f"""
+g AS (SELECT id, p.s, v FROM ({NAMES}) p JOIN (SELECT p_name AS s, min(p_retailprice) AS v FROM part GROUP BY 1) USING (s)),
+h AS (
+  SELECT x.id AS id_a, y.id AS id_b, x.s AS a, y.s AS b, 0 AS i, list_transform(range(0, length(y.s) + 1), lambda j: 0) AS row, 0 AS best FROM g x JOIN g y ON x.id < y.id
+  UNION ALL
+  SELECT id_a, id_b, a, b, i + 1, full_row, greatest(best, list_max(full_row))
+  FROM (
+    SELECT id_a, id_b, a, b, i, best, list_transform(range(0, length(b) + 1), lambda j: list_max(list_transform(range(0, j + 1), lambda k: open_[k + 1] - (j - k)))) AS full_row
+    FROM (SELECT *, list_transform(range(0, length(b) + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE greatest(0, row[j] + CASE WHEN a[i + 1] = b[j] THEN 1 ELSE -1 END, row[j + 1] - 1) END) AS open_ FROM h WHERE i < length(a))
+  )
+),
+near AS (SELECT id_a, id_b, best / greatest(length(a), length(b))::DOUBLE AS ratio FROM h WHERE i = length(a))"""
+
+
+def _priced_names(t):
+    return t("part").groupBy(F.col("p_name").alias("s")).agg(F.min("p_partkey").alias("id"), F.min("p_retailprice").alias("v"))
+
+
+@query(f"""
+WITH w AS ({NAMES}), r AS ({KINDS})
+SELECT id, row_number() OVER (ORDER BY s DESC) AS place FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE 2 * {LCS.format(a='w.s', b='r.s')} / (length(w.s) + length(r.s))::DOUBLE > 0.72) ORDER BY s DESC LIMIT 10
+""")
+def first_clear_names(t):
+    """The first ten whole names, from the last in the alphabet, that are clear of a second set of texts."""
+    got = prefix.clear_first(_names(t), "id", "s", [("s", False)], _kinds(t), 0.72, 10, first=8)
+    return got.select("id", F.row_number().over(W.orderBy(F.desc("s"))).cast("long").alias("place"))  # ten rows
+
+
+@query(f"""
+WITH RECURSIVE {NEAR},
+o AS (SELECT id, v, row_number() OVER (ORDER BY v, id) AS n, coalesce((SELECT list(CASE WHEN id_a = id THEN id_b ELSE id_a END) FROM near WHERE (id_a = id OR id_b = id) AND ratio > 0.4), []) AS close FROM g WHERE id % 5 > 0),
+p AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS taken UNION ALL SELECT o.n, CASE WHEN len(taken) = 6 OR len(list_intersect(taken, close)) > 0 THEN taken ELSE list_append(taken, o.id) END FROM p JOIN o ON o.n = p.n + 1)
+SELECT id, place, v <= 905 AS within FROM (SELECT unnest(taken) AS id, generate_subscripts(taken, 1) AS place FROM (SELECT taken FROM p ORDER BY n DESC LIMIT 1)) JOIN g USING (id)
+""")
+def starter_names(t):
+    """Six whole names by price, no two alike above 0.4; every fifth part is a known reference, so its own name is not taken."""
+    names = _priced_names(t)
+    fifth = names.where("id % 5 = 0")
+    got = prefix.starter_top(names, "id", "s", "v", fifth.limit(0), fifth, 6, known_max=0.999, within=905.0, first=8)
+    return got.select("id", F.col("place").cast("long").alias("place"), "within")
+
+
+@query(f"""
+WITH RECURSIVE {NEAR},
+o AS (SELECT id, row_number() OVER (ORDER BY v DESC, id) AS n, coalesce((SELECT list(CASE WHEN id_a = id THEN id_b ELSE id_a END) FROM near WHERE (id_a = id OR id_b = id) AND ratio > 0.5), []) AS close,
+  id IN (SELECT p_partkey FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1 HAVING avg(l_discount) <= 0.051) AS good FROM g),
+p AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS taken UNION ALL SELECT o.n, CASE WHEN NOT good OR len(taken) = 4 OR len(list_intersect(taken, close)) > 0 THEN taken ELSE list_append(taken, o.id) END FROM p JOIN o ON o.n = p.n + 1)
+SELECT unnest(taken) AS id, generate_subscripts(taken, 1) AS place FROM (SELECT taken FROM p ORDER BY n DESC LIMIT 1)
+""")
+def screened_names(t):
+    """Four whole names from the highest price, no two alike above 0.5, screened by the mean discount of their lines."""
+
+    def screen(part):
+        lines = t("lineitem").join(part.select(F.col("id").alias("l_partkey")), "l_partkey")
+        return lines.groupBy(F.col("l_partkey").alias("id")).agg((F.avg("l_discount") > 0.051).alias("rejected"))
+
+    got = prefix.screened_top(_priced_names(t), "id", "s", "v", "id", screen, 4, [greedy.Step(2000, pairwise=0.5)], {}, first=16)
+    return got.select("id", F.col("place").cast("long").alias("place"))
