@@ -267,6 +267,33 @@ def missing_pairs(wanted: DataFrame, known: DataFrame) -> DataFrame:
     return order(wanted).join(order(known), ["id_a", "id_b"], "left_anti")
 
 
+def extended_matrix(texts: DataFrame, known: DataFrame, id_: str, text: str, measure=align.global_identity, block: int = 2048) -> DataFrame:
+    """(id_a, id_b, ratio), id_a below id_b: every cell of a table's matrix, from known cells where there are some, else by the measure.
+
+    Ids and texts are unique; known cells (id_a, id_b, ratio) are of rows of the table, finite and the same in both
+    orders, those of the diagonal 1; a measured value outside [0, 1] is an error. Rows meet by pairs of blocks of
+    about ``block`` rows, so a task holds block^2 cells; the diagonal, which is 1, is left out.
+    """
+    require_unique(texts, [id_], "texts")
+    require_unique(texts, [text], "texts")
+    cells = known.groupBy(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).agg(F.min("ratio").alias("ratio"), F.max("ratio").alias("_top"), F.count("ratio").alias("_n"), F.count("*").alias("_m"))
+    sound = (F.col("_n") == F.col("_m")) & (F.abs(F.col("_top") - F.col("ratio")) <= 1e-8) & ~F.isnan("_top") & ~F.col("_top").isin(float("inf"), float("-inf")) & ((F.col("id_a") != F.col("id_b")) | (F.abs(F.col("ratio") - 1) <= 1e-8))
+    if bad := cells.where(~F.coalesce(sound, F.lit(False))).take(1):
+        raise ContractError(f"known cell ({bad[0].id_a!r}, {bad[0].id_b!r}) isn't one finite value")
+    require_covered(cells.select(F.explode(F.array("id_a", "id_b")).alias(id_)).distinct(), texts.select(id_), [id_])
+    count = max(1, -(-texts.count() // block))
+    own = texts.select(F.col(id_).alias("id"), F.col(text).alias("s"), F.pmod(F.xxhash64(id_), F.lit(count)).cast("int").alias("k"))
+    others = F.sequence(F.lit(0), F.lit(count - 1))
+    left = own.select(F.col("id").alias("x"), F.col("s").alias("a"), F.col("k").alias("ka"), F.explode(others).alias("kb"))
+    right = own.select(F.col("id").alias("y"), F.col("s").alias("b"), F.explode(others).alias("ka"), F.col("k").alias("kb"))
+    wanted = left.join(right, ["ka", "kb"]).where("x < y")
+    missing = wanted.join(cells.select(F.col("id_a").alias("x"), F.col("id_b").alias("y")), ["x", "y"], "left_anti")
+    measured = missing.select(F.col("x").alias("id_a"), F.col("y").alias("id_b"), measure(F.col("a"), F.col("b")).alias("ratio"))
+    fraction = F.coalesce(F.col("ratio").between(0, 1), F.lit(False))
+    measured = measured.withColumn("ratio", F.when(fraction, F.col("ratio")).otherwise(F.raise_error(F.lit("an identity isn't a fraction")).cast("double")))
+    return cells.where("id_a <> id_b").select("id_a", "id_b", F.col("ratio").cast("double")).unionByName(measured)
+
+
 def ratio_bounds_by_key(a: DataFrame, b: DataFrame, key: str, ratios: list[float]) -> DataFrame:
     """(key, ratio, certain, possible): for each key with both intervals (lower, upper) whether b / a surely, or possibly, reaches each ratio."""
     both = a.select(key, F.col("lower").alias("al"), F.col("upper").alias("au")).join(b.select(key, F.col("lower").alias("bl"), F.col("upper").alias("bu")), key)

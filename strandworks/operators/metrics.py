@@ -212,3 +212,25 @@ def grouped_calibration(df: DataFrame, group: str, features: list[str], label: s
         part = calibrate(placed.where(F.col("fold") != k), features, label, apply_to=placed.where(F.col("fold") == k)).select(key, "fold", "probability", label)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def adopted_variant(df: DataFrame, label: str, key: str, base: str, variants: list[str]) -> DataFrame:
+    """(variant, brier, spearman_by_key, adopted): of out-of-fold probability columns, which may stand in for the base.
+
+    Eligible is a variant whose Brier score is below the base's and whose rank correlation of mean labels and mean
+    probabilities by key isn't below the base's (0 where it has none); the one of the least Brier score is adopted,
+    ties to the first given; none if none is eligible. Rows with a null label, key or probability count nowhere.
+    """
+    names = [base, *variants]
+    rows = df.select(label, key, *names).dropna()
+    y = F.col(label).cast("double")
+    scores = rows.agg(*[F.avg((F.col(c) - y) ** 2).alias(c) for c in names]).first()
+    means = rows.groupBy(key).agg(F.avg(y).alias("_y"), *[F.avg(c).alias(c) for c in names])
+    average = lambda c: F.col(f"{c}_before") + (F.col(f"{c}_same") + 1) / 2
+    ranked = with_ranks(means, {f"_r{c}": average(c) for c in ["_y", *names]}, ["_y", *names])
+    flat = lambda c: F.min(c) == F.max(c)
+    got = ranked.agg(*[F.when(~flat("_r_y") & ~flat(f"_r{c}"), F.corr("_r_y", f"_r{c}")).alias(c) for c in names]).first()
+    corr = {c: got[c] or 0.0 for c in names}
+    eligible = [c for c in variants if scores[c] is not None and scores[c] < scores[base] and corr[c] >= corr[base]]
+    best = min(eligible, key=lambda c: scores[c], default=None)
+    return df.sparkSession.createDataFrame([(c, scores[c], corr[c], c == best) for c in names], "variant string, brier double, spearman_by_key double, adopted boolean")  # a row a variant

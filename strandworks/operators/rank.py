@@ -161,6 +161,24 @@ def leave_one_out(df: DataFrame, key: str, parts: list[str]) -> DataFrame:
     return best.select("omitted", F.col(f"w.{key}").alias("winner"), F.col("w.score").alias("score"))
 
 
+def consensus_rank(df: DataFrame, votes: str, predictions: dict[str, int], out: str) -> DataFrame:
+    """The mean of percentile scores: of the votes, high values good, and of each array column's mean, low values good.
+
+    predictions: {array column: its size}. A row without votes, or with an array of another size or with values
+    that are null or not finite, is an error.
+    """
+    if not predictions:
+        raise ValueError("no predictions")
+    sound = finite(F.col(votes))
+    for c, n in predictions.items():
+        sound = sound & (F.size(c) == n) & F.forall(F.col(c), lambda v: v.isNotNull() & finite(v))
+    own = {f"_mean{i}": F.aggregate(F.col(c), F.lit(0.0), lambda a, v: a + v.cast("double")) / n for i, (c, n) in enumerate(predictions.items())}
+    checked = df.withColumn("_votes", F.when(F.coalesce(sound, F.lit(False)), F.col(votes).cast("double")).otherwise(F.raise_error(F.lit("votes and predictions must be complete")).cast("double"))).withColumns(own)
+    names = {"_p": ("_votes", False)} | {f"_p{i}": (f"_mean{i}", True) for i in range(len(predictions))}
+    scored = percentile_scores(checked, names)
+    return scored.withColumn(out, sum(F.col(c) for c in names) / len(names)).select(*df.columns, out)
+
+
 def blend(weights: dict[str, float]) -> Column:
     """Weighted mean of the columns that have a value, over the weights of those; null if none has."""
     some = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))

@@ -89,6 +89,37 @@ def random_panels(df: DataFrame, key: str, values: list[str], size: int, n: int,
     return F.broadcast(index).join(placed, F.col("position") == F.col("_at")).groupBy("draw").agg(*[F.avg(v).alias(f"{v}_mean") for v in values])
 
 
+#: How panel_metrics() makes a number of a column: the last two are null where a row of the draw has no value.
+PANEL_KINDS = {
+    "mean": lambda c: F.avg(c.cast("double")),
+    "median": lambda c: F.median(c.cast("double")),
+    "distinct": lambda c: F.count_distinct(c).cast("double"),
+    "mean_of_all": lambda c: F.when(F.count(c) == F.count("*"), F.avg(c.cast("double"))),
+    "median_of_all": lambda c: F.when(F.count(c) == F.count("*"), F.median(c.cast("double"))),
+}
+
+
+def panel_metrics(df: DataFrame, key: str, metrics: dict[str, tuple[Column, str]], size: int, n: int, seed: int = 42) -> DataFrame:
+    """(draw, a column a metric): n draws of ``size`` rows without replacement, NumPy's by position in key order; metrics: {name: (column, kind)}."""
+    from . import rank
+
+    total = df.count()
+    if not 0 < size <= total or n < 1:
+        raise ValueError(f"{n} draws of {size} of {total} rows")
+    placed = rank.ordinal(df.select(key, *[c.alias(f"_v{i}") for i, (c, _) in enumerate(metrics.values())]), key, "_at")
+    drawn = placed.join(F.broadcast(draws(df.sparkSession, total, size, n, seed)), F.col("_at") == F.col("position"))  # n * size positions, parameters
+    return drawn.groupBy("draw").agg(*[PANEL_KINDS[kind](F.col(f"_v{i}")).alias(name) for i, (name, (_, kind)) in enumerate(metrics.items())])
+
+
+def panel_summary(panels: DataFrame, metrics: list[str]) -> DataFrame:
+    """(metric, ten numbers) over the draws, of those metrics that every draw has."""
+    from .aggregate import summary
+
+    long = panels.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x")).select("x.*")
+    whole = long.groupBy("metric").agg((F.count("value") == F.count("*")).alias("_whole")).where("_whole").select(F.col("metric").alias("_m"))
+    return summary(long.join(F.broadcast(whole), F.col("metric") == F.col("_m"), "left_semi"), "value", ["metric"])  # a row a metric
+
+
 def seeded_panels(df: DataFrame, key: str, values: list[str], size: int, seeds: range) -> DataFrame:
     """As random_panels, one draw a seed."""
     total, rows = df.count(), []

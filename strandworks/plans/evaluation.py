@@ -229,6 +229,35 @@ def random_panels(t):
     return aggregate.summary(p, "p_retailprice_mean").select("n", r6("mean").alias("mean"), r6("p50").alias("p50"))
 
 
+@query(None)
+def random_panel_metrics(t):
+    """Ten numbers of each of seven metrics over a hundred panels of 25 parts; compared with NumPy in the tests."""
+    brand = F.substring("p_brand", 7, 1)
+    metrics = {
+        "mean_price": (F.col("p_retailprice"), "mean"), "median_price": (F.col("p_retailprice"), "median"), "large": (F.col("p_size") > 25, "mean"), "brands": (F.col("p_brand"), "distinct"),
+        "all_sized": (F.col("p_size"), "mean_of_all"), "median_size": (F.col("p_size"), "median_of_all"), "first_brands": (F.when(brand == "1", F.col("p_size")), "mean_of_all"),
+    }
+    panels = resample.panel_metrics(t("part"), "p_partkey", metrics, 25, 100)
+    s = resample.panel_summary(panels, list(metrics))
+    return s.select("metric", "n", *[r6(c).alias(c) for c in ("mean", "std", "min", "p50", "max")])
+
+
+@query(f"""
+WITH r AS (SELECT l_suppkey AS k, (l_returnflag = 'R')::INT AS y, l_quantity / 64.0::DOUBLE AS c0, round(l_discount * 100)::DOUBLE / 16 AS c1, 0.5::DOUBLE - round(l_tax * 100)::DOUBLE / 32 AS c2, 0.25::DOUBLE + round(l_discount * 100)::DOUBLE / 64 AS c3 FROM lineitem),
+v AS (SELECT 'c' || i AS variant, k, y, [c0, c1, c2, c3][i + 1] AS p FROM r, range(4) t(i)), m AS (SELECT variant, k, avg(y) AS y, avg(p) AS p FROM v GROUP BY ALL),
+a AS (SELECT variant, (rank() OVER (PARTITION BY variant ORDER BY y) + (count(*) OVER (PARTITION BY variant, y) - 1) / 2.0) AS ry, (rank() OVER (PARTITION BY variant ORDER BY p) + (count(*) OVER (PARTITION BY variant, p) - 1) / 2.0) AS rp FROM m),
+s AS (SELECT variant, b, c FROM (SELECT variant, avg((p - y) ** 2) AS b FROM v GROUP BY 1) JOIN (SELECT variant, coalesce(corr(ry, rp), 0) AS c FROM a GROUP BY 1) USING (variant)),
+e AS (SELECT variant FROM s WHERE variant <> 'c0' AND b < (SELECT b FROM s WHERE variant = 'c0') AND c >= (SELECT c FROM s WHERE variant = 'c0') ORDER BY b LIMIT 1)
+SELECT variant, round(b, 6) AS brier, round(c, 6) AS spearman_by_key, variant IN (SELECT variant FROM e) AS adopted FROM s
+""")
+def adopted_calibration(t):
+    """Which of three probabilities of a return may stand in for a plain one."""
+    cents = lambda c: F.round(F.col(c) * 100)
+    l = t("lineitem").select("l_suppkey", (F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_quantity") / 64).alias("c0"), (cents("l_discount") / 16).alias("c1"), (0.5 - cents("l_tax") / 32).alias("c2"), (0.25 + cents("l_discount") / 64).alias("c3"))
+    got = metrics.adopted_variant(l, "y", "l_suppkey", "c0", ["c1", "c2", "c3"])
+    return got.select("variant", r6("brier").alias("brier"), r6("spearman_by_key").alias("spearman_by_key"), "adopted")
+
+
 @query(None)
 def scenario_expectations(t):
     """Hits of ten suppliers drawn at random in a line-number scenario; limits are tested."""

@@ -194,6 +194,15 @@ def alignment_edges(t):
     return joins.aligned_pairs(_names(t).withColumn("s", F.upper("s")), "s", "id", 0.5).withColumn("ratio", F.round("ratio", 9))
 
 
+@query(f"WITH RECURSIVE {BLOSUM_SQL} SELECT id_a, id_b, round(CASE WHEN id_a % 2 = 0 AND id_b % 2 = 0 THEN 1.0 / (1 + id_b - id_a) ELSE same / columns::DOUBLE END, 9) AS ratio FROM aligned")
+def extended_matrix(t):
+    """All cells of the whole names' identity matrix, those of even parts known before."""
+    names = _names(t).withColumn("s", F.upper("s"))
+    even = names.where("id % 2 = 0").select("id")
+    known = even.select(F.col("id").alias("id_a")).join(even.select(F.col("id").alias("id_b")), F.col("id_a") > F.col("id_b")).withColumn("ratio", 1 / (1 + F.col("id_a") - F.col("id_b")))
+    return joins.extended_matrix(names, known, "id", "s").withColumn("ratio", F.round("ratio", 9))
+
+
 @query(f"""
 WITH RECURSIVE {PLAIN_SQL}, w AS ({NAMES}),
 h AS (SELECT id_a, id_b FROM aligned WHERE same >= 0.8 * columns AND length(a) + length(b) - columns >= 0.8 * greatest(length(a), length(b))), e AS (SELECT id_a AS a, id_b AS b FROM h UNION SELECT id_b, id_a FROM h),
@@ -406,3 +415,15 @@ def screened_names(t):
 
     got = prefix.screened_top(_priced_names(t), "id", "s", "v", "id", screen, 4, [greedy.Step(2000, pairwise=0.5)], {}, first=16)
     return got.select("id", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""
+WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS v0, {", ".join(f"list_sum(embedding[{7 * i - 5}:{7 * i + 1}]::DOUBLE[]) / 7 AS v{i}" for i in range(1, 6))} FROM embeddings),
+r AS (SELECT vec_id, count(*) OVER () AS n, {", ".join(f"{AVG_RANK.format(v=f'v{i}')} AS r{i}" for i in range(6))} FROM e)
+SELECT vec_id, round(((r0 - 1) + {" + ".join(f"(n - r{i})" for i in range(1, 6))}) / (n - 1) / 6.0, 9) AS score FROM r
+""")
+def consensus_of_six(t):
+    """The mean of six percentile scores: a vote's and those of five predictors of seven numbers."""
+    parts = {f"p{i}": F.slice("embedding", 7 * i - 5, 7) for i in range(1, 6)}
+    rows = t("embeddings").select("vec_id", F.get("embedding", F.lit(0)).alias("vote"), *[c.alias(n) for n, c in parts.items()])
+    return rank.consensus_rank(rows, "vote", dict.fromkeys(parts, 7), "score").select("vec_id", F.round("score", 9).alias("score"))
