@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import seq
-from ..operators import compare, regress, ridge
+from ..operators import compare, minibatch, regress, ridge
 from ..operators.graph import cut
 from ..sources import bundles
 from .catalog import query, r6
@@ -184,3 +184,11 @@ def bundle_scores(t):
     made = scales.groupBy("version").agg(in_order(F.col("m")).alias("mean"), in_order(F.col("d")).alias("scale")).join(heads, "version").withColumn("dataset", F.sha2(F.to_json("heads"), 256))
     scored = bundles.score(rows, bundles.checked(cut(bundles.packed(made))), "version", "embedding")
     return scored.select("vec_id", F.explode("scores").alias("name", "score")).where("score IS NOT NULL").withColumn("score", r6("score"))
+
+
+@query(None)
+def minibatch_clusters(t):
+    """Rows and mean label of mini-batch clusters of all vectors; distances, starts and repeats are tested."""
+    e = t("embeddings")
+    fit = minibatch.fit(e, "vec_id", "embedding", 8, starts=10, steps=10, batch=512)
+    return minibatch.predict(e, "embedding", fit).groupBy("cluster").agg(F.count("*").alias("n"), r6(F.avg("label")).alias("mean_label"))
