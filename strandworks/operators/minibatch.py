@@ -1,7 +1,7 @@
 """k-means by mini-batches: several starts fitted side by side on hash-drawn batches, the one of least inertia over all rows kept.
 
 A fit reads the table twice: once to draw its batches (``steps * batch`` rows, which is what it learns from) and
-once for the inertia of every start. Each step goes over one batch for all starts; a centre moves to the mean of
+once for the inertia of every start; keys are unique, since rows are drawn by them. Each step goes over one batch for all starts; a centre moves to the mean of
 all rows that it was given so far. Vectors that are null, of another length than the first drawn one, or hold null
 or non-finite values take no part and get no cluster. Ties go to the lower centre; equal tables give equal fits.
 """

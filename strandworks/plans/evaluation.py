@@ -139,12 +139,12 @@ def species_votes(t):
 
 
 @query("""
-WITH r AS (SELECT 'l_returnflag' AS slice, l_returnflag AS value, l_discount - l_tax AS e, l_quantity > 25 AS c FROM lineitem UNION ALL SELECT 'l_linestatus', l_linestatus, l_discount - l_tax, l_quantity > 25 FROM lineitem), s AS (SELECT *, 'all' AS cohort FROM r UNION ALL SELECT *, 'cohort' FROM r WHERE c)
-SELECT slice, value, cohort, count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, 1.0::DOUBLE AS within1 FROM s GROUP BY ALL
+WITH r AS (SELECT 'l_returnflag' AS slice, l_returnflag AS value, (l_discount - l_tax) * 30 AS e, l_quantity > 25 AS c FROM lineitem UNION ALL SELECT 'l_linestatus', l_linestatus, (l_discount - l_tax) * 30, l_quantity > 25 FROM lineitem), s AS (SELECT *, 'all' AS cohort FROM r UNION ALL SELECT *, 'cohort' FROM r WHERE c)
+SELECT slice, value, cohort, count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(avg((abs(e) <= 1)::INT), 6) AS within1 FROM s GROUP BY ALL
 """)
 def metric_slices(t):
-    m = aggregate.metric_slices(t("lineitem").withColumn("e", F.col("l_discount") - F.col("l_tax")), ["l_returnflag", "l_linestatus"], "e", F.col("l_quantity") > 25)
-    return m.select("slice", "value", "cohort", "n", r6("mae").alias("mae"), r6("rmse").alias("rmse"), "within1")
+    m = aggregate.metric_slices(t("lineitem").withColumn("e", (F.col("l_discount") - F.col("l_tax")) * 30), ["l_returnflag", "l_linestatus"], "e", F.col("l_quantity") > 25)
+    return m.select("slice", "value", "cohort", "n", r6("mae").alias("mae"), r6("rmse").alias("rmse"), r6("within1").alias("within1"))
 
 
 @query("""

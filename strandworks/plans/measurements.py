@@ -188,12 +188,18 @@ def exposure_inventory(t):
     return measure.exposure_of(c, "c_custkey", t("orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), c.where("c_acctbal > 0")).select("c_custkey", "exposure")
 
 
-@query("SELECT 'training' AS part, count(*) AS n, 4 AS columns FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT 'inference', count(*), 2 FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'scoring', count(*), 3 FROM documents WHERE doc_id % 3 = 0")
+@query("""
+WITH p AS (SELECT 'training' AS part, doc_id, text, lang, source FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT 'inference', doc_id, text, NULL, NULL FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'scoring', doc_id, NULL, lang, source FROM documents WHERE doc_id % 3 = 0)
+SELECT part, CASE part WHEN 'training' THEN 'doc_id,text,lang,source' WHEN 'inference' THEN 'doc_id,text' ELSE 'doc_id,lang,source' END AS columns, count(*) AS n, sum(doc_id)::BIGINT AS ids, sum(length(text))::BIGINT AS chars, count(DISTINCT (lang, source)) FILTER (lang IS NOT NULL OR source IS NOT NULL) AS labels FROM p GROUP BY part
+""")
 def isolated_exports(t):
+    """What each export holds: held-out inputs have no label, held-out labels no input, and the parts share no row."""
     d = t("documents").withColumn("part", F.when(F.col("doc_id") % 3 == 0, "holdout").otherwise("train"))
     out = None
     for name, df in measure.isolated_exports(d, "part", "doc_id", ["text"], ["lang", "source"]).items():
-        row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n", F.lit(len(df.columns)).alias("columns"))
+        chars = F.sum(F.length("text")) if "text" in df.columns else F.lit(None).cast("long")
+        kinds = F.count_distinct(F.when(F.col("lang").isNotNull() | F.col("source").isNotNull(), F.struct("lang", "source"))) if "lang" in df.columns else F.lit(0).cast("long")
+        row = df.agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"), chars.alias("chars"), kinds.alias("labels")).select(F.lit(name).alias("part"), F.lit(",".join(df.columns)).alias("columns"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -207,11 +213,11 @@ def applied_evidence(t):
 
 @query("""
 WITH r AS (SELECT event_id, value AS v, event_id % 4 AS k FROM events) SELECT reason, count(*) AS n FROM (
-SELECT 'unknown_relation' AS reason FROM r WHERE k = 1 UNION ALL SELECT 'value_without_relation' FROM r WHERE k = 2 AND v IS NOT NULL UNION ALL SELECT 'value_not_positive' FROM r WHERE v <= 0 UNION ALL SELECT 'relation_without_value' FROM r WHERE k <> 2 AND v IS NULL UNION ALL SELECT 'inverted_bounds' FROM r WHERE k = 3 UNION ALL SELECT 'exact_with_open_bounds' FROM r WHERE k = 0 AND false) GROUP BY reason
+SELECT 'unknown_relation' AS reason FROM r WHERE k = 1 UNION ALL SELECT 'value_without_relation' FROM r WHERE k = 2 AND v IS NOT NULL UNION ALL SELECT 'value_not_positive' FROM r WHERE v <= 0 UNION ALL SELECT 'relation_without_value' FROM r WHERE k <> 2 AND v IS NULL UNION ALL SELECT 'inverted_bounds' FROM r WHERE k = 3 UNION ALL SELECT 'exact_with_open_bounds' FROM r WHERE event_id % 8 = 0 UNION ALL SELECT 'percent_out_of_range' FROM r WHERE event_id % 130 > 100) GROUP BY reason
 """)
 def observation_issues(t):
     k = F.col("event_id") % 4
-    o = t("events").select(F.col("event_id").alias("observation_id"), F.when(k == 1, "~").when(k != 2, F.when(k == 0, "=").otherwise("<")).alias("relation"), F.col("value").alias("value_um"), F.when(k == 3, 2.0).otherwise(1.0).alias("lower"), F.lit(1.0).alias("upper"), F.lit(None).cast("int").alias("active"), F.lit(5.0).alias("percent"))
+    o = t("events").select(F.col("event_id").alias("observation_id"), F.when(k == 1, "~").when(k != 2, F.when(k == 0, "=").otherwise("<")).alias("relation"), F.col("value").alias("value_um"), F.when(k == 3, 2.0).otherwise(1.0).alias("lower"), F.when(F.col("event_id") % 8 == 0, 3.0).otherwise(1.0).alias("upper"), F.lit(None).cast("int").alias("active"), (F.col("event_id") % 130).cast("double").alias("percent"))
     return measure.observation_issues(o).groupBy("reason").agg(F.count("*").alias("n"))
 
 

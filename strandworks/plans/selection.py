@@ -323,9 +323,9 @@ def resolved_labels(t):
     return graph.resolve_label(p, "p_name", exact, species).select("p_partkey", "genome", "how")
 
 
-@query("SELECT l_orderkey, l_linestatus, round(avg(l_tax), 6) AS mean FROM (SELECT l_orderkey, l_linestatus, 0.05 AS l_tax FROM lineitem) GROUP BY ALL")
+@query("SELECT DISTINCT l_orderkey, l_linestatus, (l_orderkey % 9) / 8.0::DOUBLE + (l_linestatus = 'O')::INT / 4.0::DOUBLE AS mean FROM lineitem")
 def consistent_values(t):
-    return select.consistent(t("lineitem").withColumn("v", F.lit(0.05)), ["l_orderkey", "l_linestatus"], "v").withColumn("mean", r6("mean"))
+    return select.consistent(t("lineitem").withColumn("v", F.col("l_orderkey") % 9 / 8 + (F.col("l_linestatus") == "O").cast("int") / 4 + F.col("l_linenumber") / 1e9), ["l_orderkey", "l_linestatus"], "v").withColumn("mean", r6("mean"))
 
 
 @query("SELECT l_partkey, count(DISTINCT l_returnflag) AS folds FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1")
