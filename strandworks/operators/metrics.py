@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .rank import with_average_rank, with_ranks
+from .rank import finite, with_average_rank, with_ranks
 
 
 def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -23,10 +23,15 @@ def precision_at(df: DataFrame, score: str, label: str, key: str, k: int) -> Dat
 
 
 def top_fraction(df: DataFrame, group: str, score: str, label: str, key: str, fraction: float = 0.2) -> DataFrame:
-    """Mean label of each group's ceil(fraction n) lowest scores."""
-    w = W.partitionBy(group)
-    marked = df.withColumn("_n", F.row_number().over(w.orderBy(score, key))).withColumn("_all", F.count("*").over(w))
-    return marked.where(F.col("_n") <= F.ceil(F.lit(fraction) * F.col("_all"))).groupBy(group).agg(F.avg(label).alias("top_mean"))
+    """Mean label of each group's ceil(fraction n) lowest scores, ties to the lower key; n counts rows with a finite score and a key.
+
+    Places are counted by ranges of (score, key), so no task holds a group.
+    """
+    placed = with_ranks(
+        df.select(group, F.col(label).alias("_y"), F.when(finite(F.col(score)) & F.col(key).isNotNull(), F.struct(F.col(score).cast("double").alias("s"), F.col(key).alias("k"))).alias("_o")),
+        {"_n": F.col("_o_before"), "_all": F.col("_o_total")}, ["_o"], [group],
+    )
+    return placed.where(F.col("_n") < F.ceil(F.lit(fraction) * F.col("_all"))).groupBy(group).agg(F.avg("_y").alias("top_mean"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -132,8 +137,10 @@ def precision_bounds(labels: DataFrame, predictions: DataFrame, group: str, key:
     wanted = F.array(*[F.struct(F.lit(f"p_at_{k}").alias("metric"), F.lit(k).cast("long").alias("k")) for k in ks], F.struct(F.lit("top20pct").alias("metric"), F.ceil(F.col("available") * share).alias("k")))
     base = base.withColumn("w", F.explode(wanted)).select(group, "available", "predicted", "prevalence", "w.metric", "w.k")
     placed = rank.with_ranks(rows.where("_o IS NOT NULL").withColumn("_g", F.col(group)), {"_place": F.col("_o_before") + 1}, ["_o"], [group])
-    top = base.join(placed.select(F.col(group).alias("_gg"), "_place", "lower", "upper"), (F.col(group) == F.col("_gg")) & (F.col("_place") <= F.col("k")), "left")
-    got = top.groupBy(group, "metric", "k", "available", "predicted", "prevalence").agg(F.avg(F.when(F.col("lower") == F.col("upper"), F.col("lower"))).alias("_p"))
+    # an inner join, whose side of a few rows a group can be sent to the rows, then means summed before the shuffle
+    few = base.select(F.col(group).alias("_gg"), F.col("metric").alias("_m"), "k")
+    top = placed.join(few, (F.col(group) == F.col("_gg")) & (F.col("_place") <= F.col("k"))).groupBy("_gg", "_m").agg(F.avg(F.when(F.col("lower") == F.col("upper"), F.col("lower"))).alias("_p"))
+    got = base.join(top, (F.col(group) == F.col("_gg")) & (F.col("metric") == F.col("_m")), "left")
     precision = F.when(F.col("predicted") >= F.col("k"), F.col("_p"))
     return got.select(group, "metric", "k", "available", "predicted", precision.alias("precision"), "prevalence", (precision / F.nullif(F.col("prevalence"), F.lit(0.0))).alias("enrichment"))
 

@@ -288,7 +288,7 @@ WITH s AS (SELECT l.*, row_number() OVER (PARTITION BY l_linestatus ORDER BY l_e
 SELECT l_linestatus, round(avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END), 9) AS top_mean FROM s WHERE n <= ceil(0.2 * c) GROUP BY l_linestatus
 """)
 def top_fraction_precision(t):
-    l = t("lineitem").select("l_linestatus", F.struct("l_extendedprice", "l_orderkey", "l_linenumber").alias("x"), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("y")).withColumn("k", F.lit(0))
+    l = t("lineitem").select("l_linestatus", F.col("l_extendedprice").alias("x"), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("y"), F.struct("l_orderkey", "l_linenumber").alias("k"))
     return metrics.top_fraction(l, "l_linestatus", "x", "y", "k").select("l_linestatus", F.round("top_mean", 9).alias("top_mean"))
 
 

@@ -86,3 +86,13 @@ def test_adoption_rule(spark):
     assert got["wrong"].spearman_by_key == pytest.approx(-got["base"].spearman_by_key)
     assert not any(r.adopted for r in metrics.adopted_variant(df, "y", "g", "good", ["mild", "wrong"]).collect())
     assert [r.brier for r in metrics.adopted_variant(df.limit(0), "y", "g", "base", ["mild"]).collect()] == [None, None]
+
+
+def test_top_fraction_by_ranges(spark):
+    nan = float("nan")
+    rows = [("a", float(k // 3), k % 2, k) for k in range(11)] + [("b", 1.0, 1, 5), ("b", 1.0, 0, 4), ("b", None, 0, 1), ("b", nan, 0, 2), ("c", nan, 1, 1), (None, 2.0, 1, 1)]
+    df = spark.createDataFrame(rows, "g string, s double, y int, k long")
+    got = {r.g: r.top_mean for r in metrics.top_fraction(df, "g", "s", "y", "k", 0.25).collect()}
+    a = [y for _, _, y, _ in sorted(rows[:11], key=lambda r: (r[1], r[3]))[:3]]
+    assert got == {"a": pytest.approx(np.mean(a)), "b": 0.0, None: 1.0}  # no score: no place; no group is a group
+    assert metrics.top_fraction(df.limit(0), "g", "s", "y", "k").count() == 0
