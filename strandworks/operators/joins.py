@@ -75,11 +75,12 @@ def _by_rare_letters(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     return hit.select("x", "y").unionByName(empty.select("x", "y"))
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, text: str, least: float, itself: bool = False, id_: str = "id", measure=None) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame, text: str, least: float, itself: bool = False, id_: str = "id", measure=None, within: list[str] | None = None) -> DataFrame:
     """Pairs (id_a, id_b, ratio) of short texts with a ratio 2 LCS / (len a + len b) >= least; self-joins give a pair once, the smaller id first.
 
     ``measure``: another column function of two texts that is never above that ratio, such as
-    kernels.identity. Below 0.75 candidates share a rare letter; from 0.75 on they share a segment:
+    kernels.identity. ``within``: columns that both ends share; from 0.75 on they are part of the candidates' key,
+    below it they are compared before any alignment. Below 0.75 candidates share a rare letter; from 0.75 on they share a segment:
 
     Candidates come from an equi-join, not a product. A pair with that ratio is at most D insertions and
     deletions apart, D following from the shorter length n; so of D + 1 segments of the shorter text one
@@ -87,12 +88,13 @@ def similar_pairs(left: DataFrame, right: DataFrame, text: str, least: float, it
     the substrings in reach, keyed by (n, segment, characters). Pairs of ids are made distinct before
     texts are fetched, cut by letter counts, then aligned.
     """
-    rows = lambda df: df.select(F.col(id_).alias("id"), F.col(text).alias("s"), F.length(text).alias("m")).where("s IS NOT NULL")
+    of = F.struct(*within) if within else F.lit(0)
+    rows = lambda df: df.select(F.col(id_).alias("id"), F.col(text).alias("s"), F.length(text).alias("m"), of.alias("g")).where("s IS NOT NULL")
     a, b = rows(left), rows(right)
     wide = 2.0 / least - 1.0  # longer <= wide * shorter
     reach = lambda n: F.floor(F.lit((1.0 - least) * (1.0 + wide)) * n + 1e-9).cast("int")
     place = lambda n, k, i: F.floor(i * n / k).cast("int")  # noqa: E731  where segment i of k begins, from 0
-    key = lambda n, i, c: F.xxhash64(n, i, c).alias("key")
+    key = lambda n, i, c: F.xxhash64(n, i, c, "g").alias("key")
 
     def short_side(df: DataFrame) -> DataFrame:
         seg = df.withColumn("k", reach(F.col("m")) + 1).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
@@ -115,7 +117,8 @@ def similar_pairs(left: DataFrame, right: DataFrame, text: str, least: float, it
             hit = hit.unionByName(short_side(b).select("key", F.col("id").alias("y")).join(long_side(a).select("key", F.col("id2").alias("x")), "key").select("x", "y"))
     if itself:
         hit = hit.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    pairs = hit.distinct().join(a.select(F.col("id").alias("x"), F.col("s").alias("a")), "x").join(b.select(F.col("id").alias("y"), F.col("s").alias("b")), "y")
+    pairs = hit.distinct().join(a.select(F.col("id").alias("x"), F.col("s").alias("a"), F.col("g").alias("ga")), "x").join(b.select(F.col("id").alias("y"), F.col("s").alias("b"), F.col("g").alias("gb")), "y")
+    pairs = pairs.where("ga = gb") if within else pairs
     total = F.length("a") + F.length("b")
     pairs = pairs.where(2 * letter_bound(F.col("a"), F.col("b")) >= F.lit(least) * total - 1e-9)
     pairs = pairs.withColumn("ratio", (measure or kernels.ratio)(F.col("a"), F.col("b"))).where(F.col("ratio") >= least)
@@ -345,9 +348,9 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 def pairs_within(df: DataFrame, group: list[str], text: str, least: float, evidence: DataFrame) -> DataFrame:
     """(id_a, id_b, ratio, known): similar pairs of different texts that share a group; known: the pair is in ``evidence`` (id_a, id_b)."""
-    near = similar_pairs(df, df, text, least, itself=True)
-    ends = lambda i, n: df.select(F.col("id").alias(i), F.struct(*group).alias(f"g{n}"), F.col(text).alias(f"t{n}"))
-    same = near.join(ends("id_a", 1), "id_a").join(ends("id_b", 2), "id_b").where("g1 = g2 AND t1 <> t2")
+    near = similar_pairs(df, df, text, least, itself=True, within=group)
+    ends = lambda i, n: df.select(F.col("id").alias(i), F.col(text).alias(f"t{n}"))
+    same = near.where("ratio < 1").join(ends("id_a", 1), "id_a").join(ends("id_b", 2), "id_b").where("t1 <> t2")
     seen = evidence.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct().withColumn("known", F.lit(True))
     return same.join(seen, ["id_a", "id_b"], "left").select("id_a", "id_b", "ratio", F.coalesce("known", F.lit(False)).alias("known"))
 

@@ -158,6 +158,19 @@ def threshold_components(t):
     return graph.threshold_components(_names(t).select("id"), pairs, 0.8)
 
 
+@query(f"""
+WITH w AS ({NAMES})
+SELECT a.id AS id_a, b.id AS id_b, round(2 * {LCS.format(a='a.s', b='b.s')} / (length(a.s) + length(b.s))::DOUBLE, 9) AS ratio, (a.id + b.id) % 3 = 0 AS known
+FROM w a JOIN w b ON a.id < b.id AND a.id % 2 = b.id % 2 WHERE 2 * {LCS.format(a='a.s', b='b.s')} / (length(a.s) + length(b.s))::DOUBLE >= 0.8
+""")
+def pairs_within_groups(t):
+    """Alike names of one group (odd or even), and whether evidence names the pair."""
+    names = _names(t).withColumn("odd", F.col("id") % 2)
+    ends = names.select(F.col("id").alias("id_a"), F.col("odd").alias("o")), names.select(F.col("id").alias("id_b"), F.col("odd").alias("o"))
+    evidence = ends[0].join(ends[1], "o").where("id_a > id_b AND (id_a + id_b) % 3 = 0")
+    return joins.pairs_within(names, ["odd"], "s", 0.8, evidence).withColumn("ratio", F.round("ratio", 9))
+
+
 def alignment_sql(score: str, opening: float, extension: float) -> str:
     """SQL of all pairs of names, aligned letter by letter of the first: tables ``q`` of pairs and ``aligned`` with equal letters and columns.
 
