@@ -312,7 +312,8 @@ def searched(blocks: DataFrame, visiting: DataFrame, parts: int, same: bool, dep
     """(group, at, list, score, id): of each block, the first ``depth`` rows of each list of each anchor, scored exactly."""
     bunches = blocks.select("width", F.col("leaf").alias("to"), "part", "n", "body").withColumn("bunch", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     spread = blocks.select("width", F.col("leaf").alias("to"), (F.col("part") + 0).alias("part"))
-    going = visiting.join(spread, ["width", "to"])  # an anchor group visits all blocks of a leaf
+    # an anchor group visits all blocks of a leaf; what visits has bodies, grows with groups times leaves and is never broadcast
+    going = visiting.join(F.broadcast(spread), ["width", "to"])
 
     def meet(here: pa.Table, groups: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], [], []]

@@ -76,3 +76,22 @@ def test_intervals_hold_all_products():
     for i, (s, e, *_) in enumerate(a.nodes):
         for j, (t, f, *_) in enumerate(b.nodes):
             assert low[i, j] <= p[s:e, t:f].min() and p[s:e, t:f].max() <= high[i, j]
+
+
+def test_anchor_bodies_are_never_broadcast(spark, monkeypatch):
+    """What visits the leaves holds a body for each group and leaf: it must not be the side of a join that goes through the driver."""
+    plans, searched = [], N.searched
+
+    def watched(*args):
+        out = searched(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(N, "searched", watched)
+    r = np.random.default_rng(5)
+    rows = [(i, r.normal(size=8).tolist(), int(i % 4)) for i in range(3000)]
+    N.hard_negatives(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), anchors=500, block=512, group=8).count()
+    assert len(plans) == 3
+    for plan in plans:
+        visits = [line for line in plan.splitlines() if "Join [width" in line]
+        assert visits and not any("BuildLeft" in line for line in visits)
