@@ -342,3 +342,20 @@ def test_similarity_to_reference_reads_whole_texts(spark, tmp_path):
     got = {r.id: r.max_ratio for r in QUERIES["max_similarity_to_reference"](spark, str(tmp_path)).collect()}
     want = {i: max(2 * kernels.lcs_length(d, r) / (len(d) + len(r)) for _, r in refs) for i, d in docs if d}
     assert got == want | {3: None} and got[1] < 0.5
+
+
+def test_max_similarity_is_dealt_over_all_cores(spark, tmp_path):
+    """A small file is one task, and a text against a reference set is much work: its rows must not stay in one task."""
+    texts = spark.createDataFrame([(i, "abc" * (i % 5) + "d" * (i % 3)) for i in range(200)], "id long, s string").coalesce(1)
+    got = joins.max_similarity(texts, spark.createDataFrame([(1, "abcd"), (2, "dd")], "id long, s string"), "s", "id")
+    assert got.withColumn("p", F.spark_partition_id()).groupBy("p").count().count() > 1
+
+
+def test_subsequences_with_many_texts_at_once():
+    import random
+
+    r = random.Random(3)
+    for alphabet in ("ab", "abc\0", "aé😀"):
+        some = lambda n, a=alphabet: "".join(r.choice(a) for _ in range(r.randrange(n)))
+        text, others = some(80), [some(99) for _ in range(7)]
+        assert kernels.lcs_lengths(text, others) == [kernels.lcs_length(text, o) for o in others]
