@@ -359,3 +359,19 @@ def test_subsequences_with_many_texts_at_once():
         some = lambda n, a=alphabet: "".join(r.choice(a) for _ in range(r.randrange(n)))
         text, others = some(80), [some(99) for _ in range(7)]
         assert kernels.lcs_lengths(text, others) == [kernels.lcs_length(text, o) for o in others]
+
+
+def test_size_estimates_do_not_grow_with_the_rounds(spark):
+    """A cut has the size of its files; a plan's estimate, which joins multiply, had thousands of digits after a few rounds."""
+    n = spark.range(200).select("id")
+    got = graph.components(n, n.selectExpr("id AS a", "id + 1 AS b").where("b < 200"))
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1e9
+    assert {r["root"] for r in got.collect()} == {0}
+
+
+def test_places_of_balanced_folds_are_never_broadcast(spark):
+    """There are as many as groups, though the plan rates them by their few levels."""
+    got = graph.balanced_folds(spark.range(500).selectExpr("id AS g"), "g", 3, "42")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    joins_ = [line for line in plan.splitlines() if "Join [" in line and "_size#" in line]
+    assert joins_ and all("SortMergeJoin" in line for line in joins_)
