@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from ..operators.graph import spread
 from . import seq
 
 # Eisenberg's consensus hydrophobicity, a Boman-style solubility scale, average masses of free
@@ -33,38 +34,46 @@ def _constant(letter: Column, default: float, own: dict[str, float]) -> Column:
     return F.coalesce(F.try_element_at(table, letter), F.lit(default))
 
 
-def charge_at(s: Column, ph: Column) -> Column:
-    """Net charge: each group's share that is charged at that acidity."""
+def charge_at(s: Column, ph: Column, counts: dict[str, Column] | None = None) -> Column:
+    """Net charge: each group's share that is charged at that acidity; ``counts``: numbers of letters that are known."""
+    number = lambda c: counts[c] if counts else seq.count_of(s, c)
     plus = lambda pk: 1 / (1 + F.pow(F.lit(10.0), ph - pk))
     minus = lambda pk: 1 / (1 + F.pow(F.lit(10.0), pk - ph))
     total = plus(_constant(F.substring(s, 1, 1), N_END, N_END_OF)) - minus(_constant(F.substring(s, -1, 1), C_END, C_END_OF))
     for c, pk in POSITIVE.items():
-        total = total + seq.count_of(s, c) * plus(F.lit(pk))
+        total = total + number(c) * plus(F.lit(pk))
     for c, pk in NEGATIVE.items():
-        total = total - seq.count_of(s, c) * minus(F.lit(pk))
+        total = total - number(c) * minus(F.lit(pk))
     return total
 
 
-def isoelectric_point(s: Column) -> Column:
+def isoelectric_point(s: Column, counts: dict[str, Column] | None = None) -> Column:
     """The acidity at which the charge vanishes, by halving [4.05, 12] from 7.775 on to a width of 0.0001."""
     state = lambda lo, hi, ph: F.struct(lo.alias("lo"), hi.alias("hi"), ph.alias("ph"))
 
     def halve(a: Column, _: Column) -> Column:
-        up = charge_at(s, a["ph"]) > 0
-        lo, hi = F.when(up, a["ph"]).otherwise(a["lo"]), F.when(up, a["hi"]).otherwise(a["ph"])
-        return F.when(a["hi"] - a["lo"] > 0.0001, state(lo, hi, (lo + hi) / 2)).otherwise(a)
+        def step(up: Column) -> Column:
+            lo, hi = F.when(up, a["ph"]).otherwise(a["lo"]), F.when(up, a["hi"]).otherwise(a["ph"])
+            return state(lo, hi, (lo + hi) / 2)
+
+        # over one value, so that the charge is worked out once a step and not wherever it is named
+        return F.when(a["hi"] - a["lo"] > 0.0001, F.get(F.transform(F.array(charge_at(s, a["ph"], counts) > 0), step), F.lit(0))).otherwise(a)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(20)), state(F.lit(4.05), F.lit(12.0), F.lit(7.775)), halve, lambda a: a["ph"])
 
 
-def features(s: Column) -> dict[str, Column]:
-    """The thirteen features by name; for valid sequences (a null or other text gives nulls)."""
-    s = F.when(s.rlike(f"^[{seq.LETTERS}]+$"), s)
+def valid(s: Column) -> Column:
+    return F.when(s.rlike(f"^[{seq.LETTERS}]+$"), s)
+
+
+def features(s: Column, checked: bool = False, counts: dict[str, Column] | None = None) -> dict[str, Column]:
+    """The thirteen features by name; for valid sequences (a null or other text gives nulls). ``checked``: s is valid() already."""
+    s = s if checked else valid(s)
     n = F.length(s)
     charge = charge_at(s, F.lit(7.4))
     aromatic = sum((seq.count_of(s, c) for c in "FWY"), F.lit(0))
     values = (
-        n.cast("double"), charge, charge / n, _sum(s, seq.HYDROPATHY) / n, seq.moment(s, EISENBERG), aromatic / n, _sum(s, BOMAN) / n, isoelectric_point(s),
+        n.cast("double"), charge, charge / n, _sum(s, seq.HYDROPATHY) / n, seq.moment(s, EISENBERG), aromatic / n, _sum(s, BOMAN) / n, isoelectric_point(s, counts),
         _sum(s, MASS) - (n - 1) * WATER, seq.entropy(s), seq.longest_run(s).cast("double"), seq.max_share(s), seq.count_of(s, "C").cast("double"),
     )
     return dict(zip(FEATURES, values))
@@ -151,8 +160,12 @@ def developability(df, text: str, weights: dict[str, float] | None = None):
     """
     if weights is not None:
         df = df.withColumn("instability", instability(F.col(text), weights))
+    # the valid text and its charged letters' numbers are columns, worked out once a row; much work follows, which a small file would leave to one task
+    charged = {c: f"_n{c}" for c in (*POSITIVE, *NEGATIVE)}
+    known = spread(df.withColumns({"_valid": valid(F.col(text)), **{n: seq.count_of(valid(F.col(text)), c) for c, n in charged.items()}}))
     s = F.col(text)
-    out = df.select("*", *[c.alias(k) for k, c in features(s).items()]).withColumn("hydrophobic", sum((seq.count_of(s, c) for c in HYDROPHOBIC), F.lit(0)) / F.length(s))
+    made = features(F.col("_valid"), True, {c: F.col(n) for c, n in charged.items()})
+    out = known.select(*df.columns, *[c.alias(k) for k, c in made.items()]).withColumn("hydrophobic", sum((seq.count_of(s, c) for c in HYDROPHOBIC), F.lit(0)) / F.length(s))
     f = F.col
     unstable = lambda x: F.coalesce(f("instability") > x, F.lit(False))
     clean = F.array_max(F.transform(F.split(F.regexp_replace(s, "(?<=.)P", "K"), f"[{CUT}]"), F.length))

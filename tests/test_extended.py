@@ -58,6 +58,15 @@ def plain_sections(s, x, instability):
     }
 
 
+def test_developability_is_dealt_over_all_cores(spark):
+    """A small file is one task; the scores of its rows are much work and must not stay in it."""
+    df = spark.createDataFrame([("ACDKRFWYLMH"[: 3 + i % 8], None) for i in range(200)], "s string, instability double").coalesce(1)
+    got = physchem.developability(df, "s").select("s", "isoelectric_point", F.spark_partition_id().alias("p")).collect()
+    assert len({r.p for r in got}) > 1
+    plain = {r.s: r.x for r in df.select("s", physchem.isoelectric_point(F.col("s")).alias("x")).collect()}
+    assert all(r.isoelectric_point == plain[r.s] for r in got)
+
+
 def test_developability_sections(spark):
     texts = ["GIGKFLHSAKKFGKAFVGEIMNS", "CCCILVILVIWWWW", "AK", "RRWQWRMKKLG", "DEDEDEDEDE", "NGNSDPQGHHHMMW", "KKKKKKKKKKKKKKKKKKKKKKKKKKKKKKKKKKKK"]
     rows_ = [(s, v) for s in texts for v in (None, 20.0, 47.0, 80.0)]
