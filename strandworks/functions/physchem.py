@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..operators.graph import spread
 from . import seq
 
 # Eisenberg's consensus hydrophobicity, a Boman-style solubility scale, average masses of free
@@ -160,9 +159,9 @@ def developability(df, text: str, weights: dict[str, float] | None = None):
     """
     if weights is not None:
         df = df.withColumn("instability", instability(F.col(text), weights))
-    # the valid text and its charged letters' numbers are columns, worked out once a row; much work follows, which a small file would leave to one task
+    # the valid text and its charged letters' numbers are columns, worked out once a row
     charged = {c: f"_n{c}" for c in (*POSITIVE, *NEGATIVE)}
-    known = spread(df.withColumns({"_valid": valid(F.col(text)), **{n: seq.count_of(valid(F.col(text)), c) for c, n in charged.items()}}))
+    known = df.withColumns({"_valid": valid(F.col(text)), **{n: seq.count_of(valid(F.col(text)), c) for c, n in charged.items()}})
     s = F.col(text)
     made = features(F.col("_valid"), True, {c: F.col(n) for c, n in charged.items()})
     out = known.select(*df.columns, *[c.alias(k) for k, c in made.items()]).withColumn("hydrophobic", sum((seq.count_of(s, c) for c in HYDROPHOBIC), F.lit(0)) / F.length(s))

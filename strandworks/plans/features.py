@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import physchem, seq, text
 from ..operators import aggregate, measure
+from ..operators.graph import spread
 from .catalog import query, r6
 
 #: Part names as sequences: the letters of the twenty-letter alphabet that they hold.
@@ -46,7 +47,7 @@ def feature_vector(t):
 @query(None)
 def developability(t):
     """Scores, classes and hard-filter reasons of part names; the sections are tested against a plain form."""
-    d = physchem.developability(parts(t).where("length(s) >= 2").withColumn("instability", F.lit(None).cast("double")), "s")
+    d = physchem.developability(spread(parts(t).where("length(s) >= 2")).withColumn("instability", F.lit(None).cast("double")), "s")
     return d.select("p_partkey", r6("developability").alias("score"), "class", F.array_join("reasons", ",").alias("reasons"), "aggregation", "hemolysis", "proteolysis", "difficulty", r6("isoelectric_point").alias("isoelectric_point"))
 
 

@@ -58,13 +58,13 @@ def plain_sections(s, x, instability):
     }
 
 
-def test_developability_is_dealt_over_all_cores(spark):
+def test_developability_is_dealt_over_all_cores(spark, tmp_path):
     """A small file is one task; the scores of its rows are much work and must not stay in it."""
-    df = spark.createDataFrame([("ACDKRFWYLMH"[: 3 + i % 8], None) for i in range(200)], "s string, instability double").coalesce(1)
-    got = physchem.developability(df, "s").select("s", "isoelectric_point", F.spark_partition_id().alias("p")).collect()
-    assert len({r.p for r in got}) > 1
-    plain = {r.s: r.x for r in df.select("s", physchem.isoelectric_point(F.col("s")).alias("x")).collect()}
-    assert all(r.isoelectric_point == plain[r.s] for r in got)
+    from strandworks.plans.registry import QUERIES
+
+    spark.createDataFrame([(i, "acdkrfwylmh"[: 3 + i % 8]) for i in range(200)], "p_partkey long, p_name string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = QUERIES["developability"](spark, str(tmp_path)).withColumn("p", F.spark_partition_id()).collect()
+    assert len({r.p for r in got}) > 1 and len(got) == 200
 
 
 def test_developability_sections(spark):
