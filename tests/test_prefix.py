@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandworks.functions import kernels
-from strandworks.operators import greedy, prefix
+from strandworks.operators import greedy, joins, prefix
 
 RNG = np.random.default_rng(11)
 WORDS = ["".join(RNG.choice(list("ACDE"), RNG.integers(3, 9))) for _ in range(60)]
@@ -86,3 +86,12 @@ def test_screened_equals_a_walk_and_asks_for_few(spark, table):
     fails = lambda key, _: key % 3 == 0 or key % 5 == 0 or key % 2 == 0 or ROWS[key][2] > 10
     assert [r.id for r in got.orderBy("place").collect()] == walk(in_order(ROWS, False), 4, 0.7, fails)
     assert len(asked) == len(set(asked)) < len(ROWS)
+
+
+def test_references_are_met_by_the_rows_given_only(spark):
+    """The alignment isn't moved below the groups, to every row that they were made of."""
+    names = spark.range(1000).selectExpr("id % 5 AS g", "concat('AC', id % 5) AS s").groupBy("s").agg(F.min("g").alias("id"))
+    got = joins.above(names, spark.createDataFrame([("AC3",)], "s string"), "s", 0.9, local=True)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Aggregate") and "ArrowEvalPython" not in plan[plan.index("Aggregate") :]
+    assert [r.id for r in got.collect()] == [3]
