@@ -1,8 +1,8 @@
 """Regressors of censored values: fitted by full gradients that Spark sums, over bounds instead of points.
 
 A row has a lower and an upper bound; a null bound is open, equal bounds are an exact value. Each step's
-gradient is summed over Arrow blocks in tasks and then by Spark: what reaches the driver is one number for
-each weight. Rows of a group weigh one together, however many they are.
+gradient is summed in columns, or over Arrow blocks in tasks where it takes the normal distribution function.
+What reaches the driver is one number for each weight. Rows of a group weigh one together, however many they are.
 
 Two losses: the squared distance to the interval (``hinge``), with one linear head; and the negative log
 probability of the interval under a normal distribution (``normal``), with a linear mean and a scale of
@@ -100,7 +100,7 @@ def hinge_loss(value: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np
 
 
 def _prepared(df: DataFrame, features: list[str], lower: str, upper: str, group: str | None, head: str | None) -> tuple[DataFrame, list[float], list[float], list[str]]:
-    """(head, x, low, high, weight), standardised and checked; the means and scales; the heads."""
+    """(head by number, x0.., low, high, weight), standardised and checked; the means and scales; the heads."""
     bad = lambda c: F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))
     count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     checks = {
@@ -118,19 +118,36 @@ def _prepared(df: DataFrame, features: list[str], lower: str, upper: str, group:
             raise ValueError(f"{got[1 + k]} {name}")
     values = got[1 + len(checks) :]
     mean, scale = list(values[0::2]), [s or 1.0 for s in values[1::2]]
-    x = F.array(*[(F.col(c).cast("double") - m) / s for c, m, s in zip(features, mean, scale)])
+    x = [((F.col(c).cast("double") - m) / s).alias(f"x{i}") for i, (c, m, s) in enumerate(zip(features, mean, scale))]
+    names = [f"x{i}" for i in range(len(features))]
+    # a head has weights of its own: few. Rows carry its number, so that no step handles strings or lists
+    heads = [r[0] for r in df.select(F.col(head).cast("string").alias("head")).distinct().collect()] if head else [""]
+    if None in heads:
+        raise ValueError("rows without a head")
+    heads.sort()
+    of = F.create_map(*[F.lit(v) for k, h in enumerate(heads) for v in (h, k)])[F.col(head).cast("string")] if head else F.lit(0)
     rows = df.select(
-        (F.col(head).cast("string") if head else F.lit("")).alias("head"), (F.col(group) if group else F.monotonically_increasing_id()).alias("group"), x.alias("x"),
+        of.alias("head"), (F.col(group) if group else F.monotonically_increasing_id()).alias("group"), *x,
         F.coalesce(F.col(lower).cast("double"), F.lit(float("-inf"))).alias("low"), F.coalesce(F.col(upper).cast("double"), F.lit(float("inf"))).alias("high"),
     )
     if group:
         sizes = rows.groupBy("group").agg(F.count("*").alias("n"))
-        rows = rows.join(sizes, rows["group"].eqNullSafe(sizes["group"])).select("head", "x", "low", "high", (1.0 / F.col("n")).alias("weight"))
+        rows = rows.join(sizes, rows["group"].eqNullSafe(sizes["group"])).select("head", *names, "low", "high", (1.0 / F.col("n")).alias("weight"))
     else:
-        rows = rows.select("head", "x", "low", "high", F.lit(1.0).alias("weight"))
-    rows = cut(rows)
-    heads = sorted(r[0] for r in rows.select("head").distinct().collect())  # a head has weights of its own: few
-    return rows, mean, scale, heads
+        rows = rows.select("head", *names, "low", "high", F.lit(1.0).alias("weight"))
+    return cut(rows), mean, scale, heads
+
+
+def _in_columns(rows: DataFrame, now: np.ndarray, d: int) -> DataFrame:
+    """(i, s): sums of the squared distances' gradient by place of the weight, then of the loss, in columns: no row goes to Python."""
+    heads, per = now.shape
+    weight = lambda k: F.array(*[F.lit(float(v)) for v in now[:, k]])[F.col("head")] if heads > 1 else F.lit(float(now[0, k]))
+    rows = rows.withColumn("v", sum((F.col(f"x{i}") * weight(i) for i in range(d)), weight(d)))
+    under, over = F.greatest(F.col("low") - F.col("v"), F.lit(0.0)), F.greatest(F.col("v") - F.col("high"), F.lit(0.0))
+    rows = rows.withColumn("by", 2 * F.col("weight") * (over - under)).withColumn("loss", F.col("weight") * (under * under + over * over))
+    cells = [*[F.sum(F.col("by") * F.col(f"x{i}")) for i in range(d)], F.sum("by"), F.sum("loss")]
+    sums = rows.groupBy("head").agg(F.array(*cells).alias("s")).select("head", F.posexplode("s").alias("k", "s"))
+    return sums.select(F.when(F.col("k") < per, F.col("head") * per + F.col("k")).otherwise(heads * per).cast("long").alias("i"), "s")
 
 
 def fit_intervals(df: DataFrame, features: list[str], lower: str, upper: str, group: str | None = None, head: str | None = None, loss: str = "hinge", alpha: float = 0.01, steps: int = 200, rate: float = RATE, floor: float = 0.05) -> Fit:
@@ -146,36 +163,40 @@ def fit_intervals(df: DataFrame, features: list[str], lower: str, upper: str, gr
     total = rows.agg(F.sum("weight")).first()[0]
     size = len(heads) * (d + 1) * (1 + two)  # each head: coefficients, intercept; and the same of its scale
     at = {h: k * (d + 1) * (1 + two) for k, h in enumerate(heads)}
+    starts = list(at.values())
     w = np.zeros(size)
     for h in heads:
         w[at[h] + d] = start
 
     def gradient(now: np.ndarray) -> np.ndarray:
         """The sums over all rows: of the gradient, then of the loss."""
+        if not two:
+            return totals(_in_columns(rows, now.reshape(len(heads), -1), d))
         shared = rows.sparkSession.sparkContext.broadcast(now)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(size + 1)
             for batch in batches:
-                x = np.column_stack([batch.column("x").flatten().to_numpy().reshape(-1, d), np.ones(batch.num_rows)])
+                x = np.column_stack([*(batch.column(f"x{i}").to_numpy() for i in range(d)), np.ones(batch.num_rows)])
                 low, high, weight = (batch.column(c).to_numpy() for c in ("low", "high", "weight"))
-                place = np.array([at[h] for h in batch.column("head").to_pylist()])
-                for k in np.unique(place).tolist():
-                    own = place == k
+                place = batch.column("head").to_numpy()
+                for h, k in enumerate(starts):
+                    own = place == h if len(starts) > 1 else slice(None)
+                    if not len(weight[own]):
+                        continue
                     xs, v = x[own], x[own] @ shared.value[k : k + d + 1]
-                    if two:
-                        z = xs @ shared.value[k + d + 1 : k + 2 * d + 2]
-                        each, by_mean, by_scale = normal_loss(v, np.logaddexp(z, 0) + floor, low[own], high[own])
-                        sums[k + d + 1 : k + 2 * d + 2] += xs.T @ (weight[own] * by_scale / (1 + np.exp(-z)))
-                    else:
-                        each, by_mean = hinge_loss(v, low[own], high[own])
+                    z = xs @ shared.value[k + d + 1 : k + 2 * d + 2]
+                    each, by_mean, by_scale = normal_loss(v, np.logaddexp(z, 0) + floor, low[own], high[own])
+                    sums[k + d + 1 : k + 2 * d + 2] += xs.T @ (weight[own] * by_scale / (1 + np.exp(-z)))
                     sums[k : k + d + 1] += xs.T @ (weight[own] * by_mean)
                     sums[-1] += weight[own] @ each
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(sums)], names=["i", "s"])
 
-        got = rows.mapInArrow(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()  # a number a weight
+        return totals(rows.mapInArrow(run, "i long, s double"))
+
+    def totals(sums: DataFrame) -> np.ndarray:
         out = np.zeros(size + 1)
-        for r in got:
+        for r in sums.groupBy("i").agg(F.sum("s").alias("s")).collect():  # a number a weight
             out[r["i"]] = r["s"]
         return out / total
 

@@ -107,3 +107,28 @@ def test_exact_median(spark):
     for values in ([3.0], [1.0, 2.0], [5.0, 1.0, 1.0, 9.0], [2.0] * 7, [None, 4.0, 8.0]):
         df = spark.createDataFrame([(v,) for v in values], "v double")
         assert R.median(df, "v") == float(np.median([v for v in values if v is not None]))
+
+
+def test_steps_read_numbers_only(spark):
+    x, _, low, high, group = rows_of()
+    rows, _, _, heads = R._prepared(frame(spark, x, low, high, group), ["a", "b", "c"], "low", "high", "grp", "head")
+    assert heads == ["h1", "h2"] and [k for _, k in rows.dtypes] == ["int"] + ["double"] * 6
+    with pytest.raises(ValueError, match="without a head"):
+        R.fit_intervals(frame(spark, x, low, high, group).selectExpr("a", "low", "high", "nullif(head, 'h1') AS head"), ["a"], "low", "high", head="head", steps=1)
+
+
+def test_columns_give_what_the_plain_loss_gives(spark):
+    """Gradient and loss of one step by head, of squared distances."""
+    x, _, low, high, group = rows_of()
+    rows, _, _, _ = R._prepared(frame(spark, x, low, high, group), ["a", "b", "c"], "low", "high", "grp", "head")
+    table, now, want = rows.toPandas(), np.random.default_rng(2).normal(size=(2, 4)), np.zeros(9)
+    for h in range(2):
+        own = table[table["head"] == h]
+        z = np.column_stack([own[["x0", "x1", "x2"]], np.ones(len(own))])
+        each, by = R.hinge_loss(z @ now[h], own.low.to_numpy(), own.high.to_numpy())
+        want[4 * h : 4 * h + 4] = z.T @ (own.weight * by)
+        want[-1] += (own.weight * each).sum()
+    summed = R._in_columns(rows, now, 3)
+    assert "MapInArrow" not in summed._jdf.queryExecution().toString()
+    got = {r.i: r.s for r in summed.groupBy("i").sum("s").toDF("i", "s").collect()}
+    assert np.allclose([got[i] for i in range(9)], want, rtol=1e-9)
