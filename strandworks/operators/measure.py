@@ -65,9 +65,19 @@ def regime_masks(df: DataFrame, regime: str, peptide_fold: int | None, genome_fo
     return df.withColumn("training", F.coalesce(train, F.lit(False))).withColumn("validation", F.coalesce(held, F.lit(False)))
 
 
+#: The most names that are sent to all tasks; a longer table is joined by a shuffle.
+FEW = 100_000
+
+
 def canonical_names(df: DataFrame, name: str, aliases: DataFrame, out: str) -> DataFrame:
-    """Add the canonical name by a table (alias, canonical); null for names that are in none."""
+    """Add the canonical name by a table (alias, canonical); null for names that are in none.
+
+    A table of at most ``FEW`` names, which is counted, goes to the rows: a shuffle by name would put all rows of
+    a common name in one task.
+    """
     a = aliases.select(F.col("alias").alias("_alias"), F.col("canonical").alias(out))
+    if a.limit(FEW + 1).count() <= FEW:
+        a = F.broadcast(a)
     return df.join(a, F.col(name) == F.col("_alias"), "left").drop("_alias")
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandworks.functions import censor, kernels, seq
-from strandworks.operators import aggregate, graph, greedy, joins, quota, rank, resample, select, vectors
+from strandworks.operators import aggregate, graph, greedy, joins, measure, quota, rank, resample, select, vectors
 from strandworks.sources import fasta, tables
 
 
@@ -375,3 +375,19 @@ def test_places_of_balanced_folds_are_never_broadcast(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     joins_ = [line for line in plan.splitlines() if "Join [" in line and "_size#" in line]
     assert joins_ and all("SortMergeJoin" in line for line in joins_)
+
+
+def test_common_names_stay_with_their_rows(spark, monkeypatch):
+    """Few aliases go to the rows, so that a name that all rows have isn't one task; many are joined by a shuffle, with the same rows."""
+    rows = spark.range(50).selectExpr("id", "IF(id % 7 = 0, CAST(NULL AS string), concat('n', id % 2)) AS name")
+    aliases = spark.createDataFrame([("n0", "N")], "alias string, canonical string")
+    want = {i: "N" if i % 7 and i % 2 == 0 else None for i in range(50)}
+    for few, sent in ((measure.FEW, True), (0, False)):
+        monkeypatch.setattr(measure, "FEW", few)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        try:
+            got = measure.canonical_names(rows, "name", aliases, "known")
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan) == sent and {r.id: r.known for r in got.collect()} == want
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
