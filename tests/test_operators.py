@@ -391,3 +391,10 @@ def test_common_names_stay_with_their_rows(spark, monkeypatch):
             assert ("BroadcastHashJoin" in plan) == sent and {r.id: r.known for r in got.collect()} == want
         finally:
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pairs_are_made_by_tasks_of_bounded_rows(spark):
+    df = spark.range(1000).selectExpr("id % 50 AS k", "id")
+    dealt = graph.dealt(df, "k", rows=100)
+    assert dealt.rdd.getNumPartitions() == 10 and sorted(r.id for r in dealt.collect()) == list(range(1000))
+    assert graph.dealt(df, "k").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
