@@ -20,6 +20,23 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .graph import cut
 
 LEAF, SAMPLE, MOST = 2048, 8192, 4096
+#: Leaves of a table whose rows may go to all of them, rows of the largest leaf, and rows that visit a leaf at once.
+FEW, LARGEST, BUNCH = 16, 131_072, 65_536
+
+
+def _numbers(df: DataFrame, vector: str):
+    """Vectors of floats stay floats while they travel; tasks work in double precision."""
+    single = isinstance(df.schema[vector].dataType, T.ArrayType) and isinstance(df.schema[vector].dataType.elementType, T.FloatType)
+    return F.col(vector) if single else F.col(vector).cast("array<double>")
+
+
+def _slices(x: np.ndarray, y: np.ndarray) -> range:
+    """Starts of slices of x, so long that a slice's table against y has some 500,000 cells."""
+    return range(0, len(x), _slice(y))
+
+
+def _slice(y: np.ndarray) -> int:
+    return max(1, min(256, 524_288 // max(1, len(y))))
 
 
 class Leaves:
@@ -77,10 +94,12 @@ class Index:
     def __init__(self, reference: DataFrame, key: str, vector: str, radius: str | None = None, leaf: int = LEAF):
         spark = reference.sparkSession
         self.kind = reference.schema[key].dataType
-        rows = reference.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x"), (F.col(radius) if radius else F.lit(0.0)).cast("double").alias("r")).where("id IS NOT NULL AND x IS NOT NULL AND r IS NOT NULL")
+        rows = reference.select(F.col(key).alias("id"), _numbers(reference, vector).alias("x"), (F.col(radius) if radius else F.lit(0.0)).cast("double").alias("r")).where("id IS NOT NULL AND x IS NOT NULL AND r IS NOT NULL")
         widths = rows.groupBy(F.size("x").alias("w")).count().orderBy(F.desc("count"), "w").first()
         self.width, n = (widths["w"], widths["count"]) if widths else (0, 0)
         self.rows = rows = rows.where(F.size("x") == self.width)
+        # a row that visits all leaves is copied to each: their number must not grow with the table
+        leaf = max(leaf, min(LARGEST, -(-n // FEW))) if leaf == LEAF else leaf
         share = max(1, n // SAMPLE)
         picked = rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(share)) == 0).select("x").limit(SAMPLE).toArrow()
         self.leaves = Leaves(matrix(picked.column("x").combine_chunks(), self.width) if picked.num_rows else np.zeros((0, self.width)), n, leaf)
@@ -137,7 +156,7 @@ class Index:
     def bunches(self, rows: DataFrame) -> int:
         if not hasattr(self, "_rows"):
             self._rows = rows.count()
-        return max(1, -(-self._rows // (8 * LEAF)))
+        return max(1, -(-self._rows // BUNCH))
 
     def met(self, going: DataFrame, rows: DataFrame, work, schema: T.StructType) -> DataFrame:
         """``work(visitors, here)`` for each leaf's part and bunch of visitors."""
@@ -147,7 +166,7 @@ class Index:
 
 
 def _rows(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
-    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x"))
+    rows = df.select(F.col(key).alias("id"), _numbers(df, vector).alias("x"))
     return rows.where(F.col("id").isNotNull() & F.col("x").isNotNull() & (F.size("x") == width))
 
 
@@ -166,9 +185,9 @@ def nearest(df: DataFrame, reference: DataFrame, key: str, vector: str, k: int =
             order = sorted(range(len(refs)), key=lambda j: refs[j])
             place = np.empty(len(refs), np.int64)
             place[order] = np.arange(len(refs))
-            for at in range(0, len(x), 256):
-                d = apart(x[at : at + 256], y)
-                scale = (x[at : at + 256] ** 2).sum(axis=1)[:, None] + (y * y).sum(axis=1)
+            for at in _slices(x, y):
+                d = apart(x[at : at + _slice(y)], y)
+                scale = (x[at : at + _slice(y)] ** 2).sum(axis=1)[:, None] + (y * y).sum(axis=1)
                 for i, row in enumerate(d):
                     if not itself:
                         row = np.where(refs == ids[at + i], np.inf, row)
@@ -209,14 +228,14 @@ def covered(df: DataFrame, balls: DataFrame, key: str, vector: str, radius: str,
         if visitors.num_rows and here.num_rows:
             x, y = (matrix(t.column(c).combine_chunks(), width) for t, c in ((visitors, "x"), (here, "y")))
             r = here.column("r").to_numpy()
-            for at in range(0, len(x), 256):
-                own = x[at : at + 256]
+            for at in _slices(x, y):
+                own = x[at : at + _slice(y)]
                 d = apart(own, y)
                 room = 1e-12 * ((own * own).sum(axis=1)[:, None] + (y * y).sum(axis=1))
                 inside = d <= r * r - room
                 i, j = np.nonzero(~inside & (d <= r * r + room))
                 inside[i, j] = exact(own[i], y[j]) <= r[j]
-                total[at : at + 256] = inside.sum(axis=1)
+                total[at : at + len(own)] = inside.sum(axis=1)
         return pa.table({"id": visitors.column("id") if visitors.num_rows else pa.array([], _arrow(schema["id"].dataType)), "n": pa.array(total)})
 
     counts = index.met(index.going(rows, False, None), rows, work, schema).groupBy("id").agg(F.sum("n").alias("n"))

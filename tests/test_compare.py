@@ -94,3 +94,12 @@ def test_divergence_diversity_and_conformity(spark):
     off = spark.createDataFrame([(i, float(v) + 9) for i, v in enumerate(r.normal(size=400))], "id long, x double")
     score = lambda d: compare.conformity(d, base, "id", ["x"], 0.1, 0.3).first()[0]
     assert abs(score(like) - 0.5) < 0.06 and score(off) < 0.01
+
+
+def test_copies_of_a_row_do_not_grow_with_the_table(spark, monkeypatch):
+    """Leaves grow with the table once it has many, and vectors of floats travel as floats."""
+    monkeypatch.setattr(neighbours, "LEAF", 16)
+    x = np.random.default_rng(3).normal(size=(1000, 4))
+    df = frame(spark, x).withColumn("v", F.col("v").cast("array<float>"))
+    index = neighbours.Index(df, "id", "v", leaf=16)
+    assert len(index.stats) <= 2 * neighbours.FEW and dict(index.rows.dtypes)["x"] == "array<float>"
