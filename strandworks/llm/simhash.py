@@ -20,7 +20,7 @@ the component of their copies (null if none has an id). An empty table gives no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -126,12 +126,18 @@ def merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return labels
 
 
-def walk(fp: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, pairs: int = CHUNK_PAIRS) -> np.ndarray:
+def walk(fp: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int | np.ndarray, pairs: int = CHUNK_PAIRS, near: Callable | None = None, labels: np.ndarray | None = None) -> np.ndarray:
     """Labels of the groups that links within ``budget`` bits make in each subtree.
 
     fp (unsigned) is sorted within each [start, end); label = the position of the group's first row.
+    A budget by bit bounds the errors spent from the top bit down to it. ``near(x, y)`` decides on pairs of
+    rows in place of the bits of fp. Given ``labels`` hold groups known before: pairs of nodes that lie in
+    one of them are not walked.
     """
-    labels = np.arange(len(fp))
+    allowed = np.broadcast_to(budget, 64)
+    near = near or (lambda x, y: np.bitwise_count(fp[x] ^ fp[y]) <= budget)
+    runs = None if labels is None else np.concatenate([[0], np.cumsum(labels[1:] != labels[:-1])])
+    labels = np.arange(len(fp)) if labels is None else labels
     empty = np.zeros(len(starts), np.int8)
     stack = [(63, starts, ends, starts, ends, empty)]
     ones: dict[int, np.ndarray] = {}
@@ -144,12 +150,21 @@ def walk(fp: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, pair
         leaf = (a1 - a0 == 1) & (b1 - b0 == 1)
         if leaf.any():
             x, y = a0[leaf], b0[leaf]
-            near = (x != y) & (labels[x] != labels[y])
-            x, y = x[near], y[near]
-            near = np.bitwise_count(fp[x] ^ fp[y]) <= budget
-            labels = merge(labels, x[near], y[near])
+            apart = (x != y) & (labels[x] != labels[y])
+            x, y = x[apart], y[apart]
+            linked = near(x, y)
+            labels = merge(labels, x[linked], y[linked])
             a0, a1, b0, b1, err = (z[~leaf] for z in (a0, a1, b0, b1, err))
-        if not len(a0) or bit < 0:
+        if runs is not None and len(a0):
+            apart = (runs[a0] != runs[a1 - 1]) | (runs[b0] != runs[b1 - 1]) | (labels[a0] != labels[b0])
+            a0, a1, b0, b1, err = (z[apart] for z in (a0, a1, b0, b1, err))
+        if bit < 0:  # rows of equal fp, where fp is only a part of what near() compares
+            for x, y0, y1 in ((x, y0, y1) for x0, x1, y0, y1 in zip(a0, a1, b0, b1) for x in range(x0, x1)):
+                y = y0 + np.flatnonzero(labels[y0:y1] != labels[x])
+                y = y[near(np.full(len(y), x), y)]
+                labels = merge(labels, np.full(len(y), x), y)
+            continue
+        if not len(a0):
             continue
         if bit not in ones:
             ones[bit] = np.concatenate([[0], np.cumsum((fp >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)])
@@ -158,7 +173,7 @@ def walk(fp: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, pair
         same = a0 == b0
         nxt = []
         for x0, x1, y0, y1, cost, use in ((a0, am, b0, bm, 0, None), (am, a1, bm, b1, 0, None), (a0, am, bm, b1, 1, None), (am, a1, b0, bm, 1, ~same)):
-            ok = (x1 > x0) & (y1 > y0) & (err + cost <= budget)
+            ok = (x1 > x0) & (y1 > y0) & (err + cost <= allowed[bit])
             if use is not None:
                 ok &= use
             ok &= ~((x0 == y0) & (x1 - x0 == 1))
@@ -167,12 +182,32 @@ def walk(fp: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, pair
     return labels
 
 
+def whole_buckets(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[pa.Table]:
+    """Sorted batches as tables of about CHUNK_ROWS rows that hold whole buckets, a bucket being a run of equal ``names``."""
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = [batch.column(c) for c in names]
+        if n >= CHUNK_ROWS:  # ends at the first change of bucket
+            last = [held[-1].column(c)[-1] for c in names]
+            at = next((i for i in range(batch.num_rows) if [k[i] for k in key] != last), batch.num_rows)
+            if at == batch.num_rows:
+                held.append(batch)
+                continue
+            yield pa.Table.from_batches([*held, batch.slice(0, at)])
+            held, n, batch = [], 0, batch.slice(at)
+        held.append(batch)
+        n += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def local_edges(rows: DataFrame, budget: int) -> DataFrame:
     """Bucketed rows -> edges (src, dst) between ids, one for each row that joins a local group."""
     rows = rows.repartition("path", "val").sortWithinPartitions("path", "val")
 
-    def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(parts)
+    def flush(t: pa.Table) -> pa.RecordBatch:
         path = t.column("path").to_pandas().astype("category").cat.codes.to_numpy()
         val, fp, ids = (t.column(n).to_numpy() for n in ("val", "fp", "id"))
         fp = fp.view(np.uint64)
@@ -186,24 +221,8 @@ def local_edges(rows: DataFrame, budget: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(ids[joined]), pa.array(ids[labels[joined]])], names=["src", "dst"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            path, val = batch.column("path"), batch.column("val")
-            if n >= CHUNK_ROWS:  # flush at the first change of bucket
-                keys = (held[-1].column("path")[-1], held[-1].column("val")[-1])
-                at = next((i for i in range(batch.num_rows) if (path[i], val[i]) != keys), batch.num_rows)
-                held.append(batch.slice(0, at))
-                if at < batch.num_rows:
-                    yield flush(held)
-                    held, n, batch = [], 0, batch.slice(at)
-                else:
-                    continue
-            held.append(batch)
-            n += batch.num_rows
-        if held:
-            yield flush(held)
+        for t in whole_buckets(batches, "path", "val"):
+            yield flush(t)
 
     return rows.mapInArrow(run, "src long, dst long")
 

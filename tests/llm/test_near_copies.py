@@ -81,3 +81,47 @@ def test_overlaps_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(N, "STARS", 0)
     monkeypatch.setattr(N, "within_groups", lambda live, found, least, f=N.within_groups: f(live, found, least, 4))
     assert sorted(x.doc_id for x in N.representatives(docs).collect()) == want
+
+
+def test_tries_meet_links(spark):
+    """Sets of similarity 0.8 and little more meet in the tries, others don't; a large group of near copies is one."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    draw = lambda n: r.integers(0, 2**64, n, dtype=np.uint64)
+    rows, pairs = [], []
+    for k in range(400):
+        n = int(r.integers(9, 300))
+        both, apart = draw(8 * n), draw(2 * n)
+        half = int(r.integers(0, len(apart) + 1))
+        for i, own in ((2 * k, apart[:half]), (2 * k + 1, apart[half:])):
+            rows.append((i, np.concatenate([both, own])))
+        pairs.append((2 * k, 2 * k + 1))
+    body = draw(200)
+    rows += [(10_000 + k, np.concatenate([body, draw(int(r.integers(0, 9)))])) for k in range(300)]
+    data = spark.createDataFrame([(i, bytearray(N.simhash(x).tobytes())) for i, x in rows], "id long, bits binary")
+    group = {}
+    for x in N.met(N.spread(data)).collect():
+        group.setdefault(x.key, set()).add(x.id)
+    assert all(min(g) == key for key, g in group.items())
+    together = {(key, i) for key, g in group.items() for i in g if i < 10_000 and i != key}
+    assert together <= set(pairs) and len(together) >= 398
+    assert {i for key, g in group.items() if key >= 10_000 for i in g} == set(range(10_000, 10_300))
+
+
+def test_walk_by_bit_and_equal_words():
+    import numpy as np
+
+    from strandworks.llm.simhash import walk
+
+    r = np.random.default_rng(6)
+    heads = r.integers(0, 2**64, 60, dtype=np.uint64)
+    fp = np.sort(np.concatenate([heads, heads, heads ^ np.uint64(1), heads ^ (np.uint64(1) << r.integers(0, 64, 60, dtype=np.uint64))]))
+    more = r.integers(0, 2, len(fp))  # what near() compares beside fp
+    near = lambda x, y: (more[x] == more[y]) & (np.bitwise_count(fp[x] ^ fp[y]) <= 2)
+    ends = np.array([0]), np.array([len(fp)])
+    got = walk(fp, *ends, N.ALLOWED, near=near, labels=np.arange(len(fp)))
+    x, y = np.triu_indices(len(fp), 1)
+    want = N.merge(np.arange(len(fp)), x[near(x, y)], y[near(x, y)])
+    assert len(set(want)) < len(fp) - 60 and np.array_equal(got, want)
+    assert len(N.ALLOWED) == 64 and N.ALLOWED[63] == 1 and N.ALLOWED[0] == 15
