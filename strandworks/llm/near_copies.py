@@ -36,6 +36,8 @@ from .common import blocks, connected_components, cut, drop_cut
 from .simhash import merge, walk, whole_buckets
 
 SHINGLE, LEAST, STARS, BLOCK = 5, 0.8, 2, 512
+#: Ids that are sent to the texts, some 60 to 100 bytes each in an executor; more of them meet the texts in a shuffle.
+SENT = 2_000_000
 WORDS, KEY, FAR = 16, 12, 68
 TABLES = WORDS * (64 // KEY)
 _P = float(np.arccos(8 / 9) / np.pi)  # the share of bits that differ at J = 0.8
@@ -222,8 +224,9 @@ def links(docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame,
     classes = cut(compared.groupBy("same").agg(F.min("id").alias("id"), F.first("bits").alias("bits")), "classes")
     drop_cut(found)
     live = cut(met(spread(classes)), "live")
-    wanted = docs.join(live.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    found = cut(sets(_compared(wanted, several)), "sets")
+    linked = cut(live.select(F.col("id").alias("doc_id")).distinct(), "linked")
+    found = cut(sets(_compared(docs.join(_sent(linked), "doc_id", "left_semi"), several)), "sets")
+    drop_cut(linked)
     edges = cut(live.select(F.col("id").alias("src"), F.col("id").alias("dst")).limit(0), "edges")
     roots = connected_components(edges)
     for turn in range(STARS + 1):
@@ -247,9 +250,14 @@ def links(docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame,
     return several, classes.select("id", "same"), roots
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """Ids, from a cut, for a join with texts: broadcast up to a counted limit, so that the texts stay where they are."""
+    return F.broadcast(ids) if ids.limit(SENT + 1).count() <= SENT else ids
+
+
 def _compared(docs: DataFrame, several: DataFrame) -> DataFrame:
     """Rows of ids that stand once, and of others those of the text compared."""
-    known = docs.join(several.select(F.col("id").alias("_id"), F.col("first").alias("_first")), F.col("doc_id") == F.col("_id"), "left")
+    known = docs.join(_sent(several.select(F.col("id").alias("_id"), F.col("first").alias("_first"))), F.col("doc_id") == F.col("_id"), "left")
     return known.where(F.col("_first").isNull() | (digest() == F.col("_first"))).drop("_id", "_first")
 
 
@@ -257,8 +265,11 @@ def representatives(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The documents of the smallest id of each component, once each; documents of a null id all stay."""
     several, classes, roots = links(docs, least)
     heads = classes.join(roots, classes.id == roots.node, "left").where("root IS NULL OR root = id").select(F.col("id").alias("_head"))
-    several = several.select(F.col("id").alias("_id"), F.col("first").alias("_first"))
-    once = docs.where("doc_id IS NOT NULL").join(several, F.col("doc_id") == F.col("_id"), "left_anti").join(heads, F.col("doc_id") == F.col("_head"), "left_semi")
+    known = docs.where("doc_id IS NOT NULL")
+    copies = known.select("doc_id").distinct().join(heads, F.col("doc_id") == F.col("_head"), "left_anti")
+    aside = cut(copies.union(several.select("id")).distinct(), "aside")
+    once = known.join(_sent(aside), "doc_id", "left_anti")
+    several = _sent(several.select(F.col("id").alias("_id"), F.col("first").alias("_first")))
     again = docs.join(several, F.col("doc_id") == F.col("_id")).withColumn("_d", digest()).join(heads, F.col("doc_id") == F.col("_head"), "left")
     again = again.where("_head IS NOT NULL OR _d <> _first").drop("_id", "_first", "_head").dropDuplicates(["doc_id", "_d"]).drop("_d")
     return once.unionByName(again).unionByName(docs.where("doc_id IS NULL"))

@@ -68,6 +68,29 @@ def test_other_texts_of_an_id_stay(spark):
         assert any(x in (t, t + " end") for _, x in got)
 
 
+def test_texts_stay_where_they_are(spark, monkeypatch):
+    """Few ids go to the texts whatever Spark guesses of their size; more than SENT meet them in a shuffle, with the same rows left."""
+    r = random.Random(12)
+    texts = planted(r, lambda: "".join(r.choice("abcdefgh") for _ in range(5)))[:60]
+    rows = [*enumerate(texts), (None, texts[0]), (3, texts[3]), (3, texts[9]), (4, texts[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plan = lambda d: d._jdf.queryExecution().sparkPlan().toString()
+    plans, sets = [], N.sets
+    monkeypatch.setattr(N, "sets", lambda d: plans.append(plan(d)) or sets(d))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = N.representatives(docs)
+        left = sorted(got.collect(), key=str)
+        assert "SortMergeJoin" not in plans[0] and "BroadcastHashJoin" in plans[0]
+        once = plan(got).split("\n")
+        assert any("BroadcastHashJoin" in x and "LeftAnti" in x for x in once) and not any("SortMergeJoin" in x and ("LeftAnti" in x or "LeftSemi" in x) for x in once)
+        monkeypatch.setattr(N, "SENT", 0)
+        assert sorted(N.representatives(docs).collect(), key=str) == left and "SortMergeJoin" in plans[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_overlaps_and_blocks(spark, monkeypatch):
     r = random.Random(3)
     import numpy as np
