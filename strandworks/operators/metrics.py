@@ -106,7 +106,9 @@ def binary(df: DataFrame, p: str, label: str, key: str | None = None) -> DataFra
     ap = ahead.agg((F.sum(F.col("_y") * F.col("_y_up") / F.col("_n_up")) / F.nullif(F.sum("_y"), F.lit(0.0))).alias("auprc"))
     out = plain.crossJoin(auroc(rows, p, label)).crossJoin(ap)  # one row each
     if key:
-        means = rows.groupBy(key).agg(F.avg(F.col(label).cast("double")).alias("_a"), F.avg(p).alias("_b"))
+        from .graph import cut
+
+        means = cut(rows.groupBy(key).agg(F.avg(F.col(label).cast("double")).alias("_a"), F.avg(p).alias("_b")))  # ranks are joined by value: a mean worked out again may differ in its last bit
         out = out.crossJoin(spearman(means, "_a", "_b").select(F.coalesce("spearman", F.lit(0.0)).alias("spearman_by_key")))
     return out
 
@@ -228,11 +230,13 @@ def adopted_variant(df: DataFrame, label: str, key: str, base: str, variants: li
     probabilities by key isn't below the base's (0 where it has none); the one of the least Brier score is adopted,
     ties to the first given; none if none is eligible. Rows with a null label, key or probability count nowhere.
     """
+    from .graph import cut
+
     names = [base, *variants]
     rows = df.select(label, key, *names).dropna()
     y = F.col(label).cast("double")
     scores = rows.agg(*[F.avg((F.col(c) - y) ** 2).alias(c) for c in names]).first()
-    means = rows.groupBy(key).agg(F.avg(y).alias("_y"), *[F.avg(c).alias(c) for c in names])
+    means = cut(rows.groupBy(key).agg(F.avg(y).alias("_y"), *[F.avg(c).alias(c) for c in names]))  # ranks are joined by value, as in binary()
     average = lambda c: F.col(f"{c}_before") + (F.col(f"{c}_same") + 1) / 2
     ranked = with_ranks(means, {f"_r{c}": average(c) for c in ["_y", *names]}, ["_y", *names])
     flat = lambda c: F.min(c) == F.max(c)

@@ -88,6 +88,20 @@ def test_adoption_rule(spark):
     assert [r.brier for r in metrics.adopted_variant(df.limit(0), "y", "g", "base", ["mild"]).collect()] == [None, None]
 
 
+def test_rank_correlation_of_means_summed_in_any_order(spark):
+    """The last bits of a mean differ from one evaluation to the next, as they do with the order of a shuffle's blocks."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    noise = F.udf(lambda p: p + random.random() * 1e-9, "double").asNondeterministic()
+    rows = [("abcd"[k % 4], 0.2 * (k % 4) + 0.01 * (k // 4), int((k // 4) < 2 * (k % 4))) for k in range(40)]
+    df = spark.createDataFrame(rows, "g string, p double, y int").withColumn("p", noise("p"))
+    assert round(metrics.binary(df, "p", "y", "g").first().spearman_by_key, 6) == 1.0
+    got = metrics.adopted_variant(df.withColumnRenamed("p", "base"), "y", "g", "base", []).first()
+    assert round(got.spearman_by_key, 6) == 1.0
+
+
 def test_top_fraction_by_ranges(spark):
     nan = float("nan")
     rows = [("a", float(k // 3), k % 2, k) for k in range(11)] + [("b", 1.0, 1, 5), ("b", 1.0, 0, 4), ("b", None, 0, 1), ("b", nan, 0, 2), ("c", nan, 1, 1), (None, 2.0, 1, 1)]
