@@ -369,6 +369,13 @@ def test_size_estimates_do_not_grow_with_the_rounds(spark):
     assert {r["root"] for r in got.collect()} == {0}
 
 
+def test_components_settle_whatever_the_order_of_ids(spark):
+    """0, 150, 149, .., 1 in a row: all but 0 first agree on 1, whose label must then fall at once, not a neighbour a round."""
+    n = spark.range(151)
+    edges = n.selectExpr("id AS a", "IF(id = 0, 150, id - 1) AS b").where("b > 0")
+    assert {r.root for r in graph.components(n, edges).collect()} == {0}
+
+
 def test_places_of_balanced_folds_are_never_broadcast(spark):
     """There are as many as groups, though the plan rates them by their few levels."""
     got = graph.balanced_folds(spark.range(500).selectExpr("id AS g"), "g", 3, "42")
