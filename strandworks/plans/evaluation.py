@@ -329,9 +329,12 @@ def activity_scores(t):
 
 @query(None)
 def nested_folds(t):
-    """Suppliers joined by shared orders' pairs and nations: outer folds and inner ones; tested by hand."""
+    """Suppliers joined by the orders that they share, as a share of the fewer orders of the two, and by nations: outer folds and inner ones; tested by hand."""
     from ..operators import graph
 
     s = t("supplier").select(F.col("s_suppkey").alias("id"))
-    pairs = s.select(F.col("id").alias("id_a"), (F.col("id") + 1).alias("id_b"), F.lit(0.9).alias("ratio")).where("id_a % 4 = 0").join(s.select(F.col("id").alias("id_b")), "id_b", "left_semi").select("id_a", "id_b", "ratio")
-    return graph.nested_folds(s, pairs, t("supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 97 * 100 + F.col("s_nationkey")).alias("key")), 0.6, 3, 2, "42")
+    sold = t("lineitem").select("l_orderkey", F.col("l_suppkey").alias("id")).distinct()
+    of = sold.groupBy("id").agg(F.count("*").alias("n"))
+    both = sold.withColumnRenamed("id", "id_a").join(sold.withColumnRenamed("id", "id_b"), "l_orderkey").where("id_a < id_b").groupBy("id_a", "id_b").agg(F.count("*").alias("n"))
+    pairs = both.join(of.select(F.col("id").alias("id_a"), F.col("n").alias("na")), "id_a").join(of.select(F.col("id").alias("id_b"), F.col("n").alias("nb")), "id_b").select("id_a", "id_b", (F.col("n") / F.least("na", "nb")).alias("ratio"))
+    return graph.nested_folds(s.distinct(), pairs, t("supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 97 * 100 + F.col("s_nationkey")).alias("key")), 0.6, 3, 2, "42")

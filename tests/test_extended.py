@@ -280,3 +280,50 @@ def test_nested_folds(spark):
     for k in range(3):
         inner = {r.root: r.inner for r in got if r.held == k}
         assert all(inner[r.root] == r.inner for r in got if r.held == k) and set(inner.values()) == {0, 1}
+
+
+def test_nested_folds_link_by_known_papers_and_part_what_there_is(spark):
+    """A paper of an unknown id still links the known ones; fewer groups than folds: only folds that exist are held, a group alone has no fold."""
+    papers = spark.createDataFrame([(-5, "p"), (1, "p"), (2, "p"), (3, "q")], "id long, key string")
+    none = spark.createDataFrame([], "id_a long, id_b long, ratio double")
+    got = graph.nested_folds(spark.range(1, 4), none, papers, 0.6, 3, 2, "s").collect()
+    assert {tuple(r) for r in got} == {(3, 3, 1, 0, -1), (1, 1, 0, 1, -1), (2, 1, 0, 1, -1)}
+    got = graph.nested_folds(spark.range(1, 3), none, papers, 0.6, 3, 2, "s").collect()
+    assert {tuple(r) for r in got} == {(1, 1, -1, None, None), (2, 1, -1, None, None)}
+
+
+def test_nested_folds_check_their_input(spark):
+    papers = spark.createDataFrame([], "id long, key string")
+    for ratio in (float("nan"), None, 1.5, -0.1):
+        with pytest.raises(ValueError, match="ratios"):
+            graph.nested_folds(spark.range(9), spark.createDataFrame([(0, 1, ratio)], "id_a long, id_b long, ratio double"), papers, 0.6, 3, 2, "s")
+    with pytest.raises(ValueError, match="repeat"):
+        graph.nested_folds(spark.range(9).unionByName(spark.range(1)), spark.createDataFrame([], "id_a long, id_b long, ratio double"), papers, 0.6, 3, 2, "s")
+
+
+def test_nested_folds_audit_papers_and_inner_folds(spark, monkeypatch):
+    none = spark.createDataFrame([], "id_a long, id_b long, ratio double")
+    shared = spark.range(9).selectExpr("id", "'p' AS key")
+    chain = spark.range(8).selectExpr("id AS id_a", "id + 1 AS id_b", "0.9D AS ratio")
+    whole, fair = graph.components, graph.balanced_folds
+    monkeypatch.setattr(graph, "components", lambda nodes, edges: whole(nodes, edges.limit(0)))
+    with pytest.raises(RuntimeError, match="a paper crosses folds"):
+        graph.nested_folds(spark.range(9), none, shared, 0.6, 3, 2, "s")
+    with pytest.raises(RuntimeError, match="a similar pair crosses folds"):
+        graph.nested_folds(spark.range(9), chain, shared.limit(0), 0.6, 3, 2, "s")
+    monkeypatch.setattr(graph, "components", whole)
+    both = lambda df, group, folds, seed: fair(df, group, folds, seed) if folds == 3 else df.select(group).distinct().crossJoin(spark.range(2).selectExpr("CAST(id AS int) AS fold"))
+    monkeypatch.setattr(graph, "balanced_folds", both)
+    with pytest.raises(RuntimeError, match="a component crosses folds"):
+        graph.nested_folds(spark.range(9), none, shared.limit(0), 0.6, 3, 2, "s")
+
+
+def test_nested_folds_measure_their_pairs(spark, tmp_path):
+    """Suppliers that share most of their orders are one component; those with none or few in common aren't, whatever their numbers."""
+    from strandworks.plans.registry import QUERIES
+
+    spark.range(9).selectExpr("id AS s_suppkey", "CAST(id AS int) AS s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    sold = [(o, s) for o in range(4) for s in (1, 2)] + [(4, 1), (5, 0), (6, 4), (7, 5), (7, 4), (8, 4)]
+    spark.createDataFrame(sold, "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.id: r.root for r in QUERIES["nested_folds"](spark, str(tmp_path)).collect()}
+    assert got == {i: {2: 1, 5: 4}.get(i, i) for i in range(9)}
