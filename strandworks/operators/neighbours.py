@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .graph import cut
@@ -30,13 +31,82 @@ def _numbers(df: DataFrame, vector: str):
     return F.col(vector) if single else F.col(vector).cast("array<double>")
 
 
-def _slices(x: np.ndarray, y: np.ndarray) -> range:
-    """Starts of slices of x, so long that a slice's table against y has some 500,000 cells."""
-    return range(0, len(x), _slice(y))
-
-
-def _slice(y: np.ndarray) -> int:
-    return max(1, min(256, 524_288 // max(1, len(y))))
+class Tiles:
+    """Tables of the squared distances of some rows of x to some of y, each less a number of the row of y: small enough for a core's cache.
+
+    One product of matrices gives a table whole, in single precision where the numbers' size allows it. ``room``
+    is twice what rounding may add or take for a row of x; what lies that near to a limit is worked out exactly.
+    """
+
+    X, Y = 256, 2048
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, less: np.ndarray):
+        with np.errstate(over="ignore", invalid="ignore"):
+            xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+            most = yy.max() + less.max()
+            kind = np.float32 if 1e-20 < xx.max() + most < 1e30 else np.float64
+            self.x = np.column_stack([x, xx, np.ones(len(x))]).astype(kind)
+            self.y = np.column_stack([-2 * y, np.ones(len(y)), yy - less]).astype(kind)
+            self.room = (2 * (x.shape[1] + 8) * np.finfo(kind).eps * (xx + most)).astype(kind)
+
+    def table(self, i: int, j: int) -> np.ndarray:
+        with np.errstate(over="ignore", invalid="ignore"):
+            return self.x[i : i + self.X] @ self.y[j : j + self.Y].T
+
+
+def _places(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the marks; numpy's nonzero of a matrix takes longer than the matrix product."""
+    return np.divmod(np.flatnonzero(marks), marks.shape[1])
+
+
+def _exact_pairs(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.concatenate([exact(x[i[a : a + 65_536]], y[j[a : a + 65_536]]) for a in range(0, len(i), 65_536)]) if len(i) else np.zeros(0)
+
+
+def first_neighbours(x: np.ndarray, y: np.ndarray, k: int, bound: np.ndarray, own: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, d): of each row of x the k nearest rows of y not beyond its bound, of equal ones the first; ``own``: pairs that don't count, by row of x."""
+    tiles, out, none = Tiles(x, y, np.zeros(1)), [], (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    for at in range(0, len(x), tiles.X):
+        rows = x[at : at + tiles.X]
+        limit, room = bound[at : at + tiles.X] ** 2 * (1 + 1e-12), tiles.room[at : at + tiles.X]
+        a, b = np.searchsorted(own[0], [at, at + tiles.X])
+        row, place = own[0][a:b] - at, own[1][a:b]
+        best, new, n = none, [], 0
+        for to in range(0, len(y), tiles.Y):
+            s = tiles.table(at, to)
+            here = (place >= to) & (place < to + tiles.Y)
+            s[row[here], place[here] - to] = np.inf
+            if np.isinf(limit).any() and s.shape[1] >= k:
+                limit = np.fmin(limit, np.partition(s, k - 1, axis=1)[:, k - 1])
+            i, j = _places(s <= (limit + room)[:, None].astype(s.dtype))
+            some = np.isfinite(s[i, j])
+            new.append((i[some], j[some] + to))
+            n += len(new[-1][0])
+            if n > 65_536 or to + tiles.Y >= len(y):
+                i, j = (np.concatenate(c) for c in zip(*new))
+                i, j, d = (np.concatenate(c) for c in zip(best, (i, j, _exact_pairs(rows, y, i, j))))
+                order = np.lexsort((j, d, i))
+                i, j, d = i[order], j[order], d[order]
+                nth = np.arange(len(i)) - np.searchsorted(i, i)
+                limit[i[nth == k - 1]] = np.fmin(limit[i[nth == k - 1]], d[nth == k - 1] ** 2 * (1 + 1e-12))
+                best, new, n = tuple(c[nth < k] for c in (i, j, d)), [], 0
+        out.append((best[0] + at, *best[1:]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else none
+
+
+def balls_around(x: np.ndarray, y: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """In how many balls (y, r) each row of x lies."""
+    tiles, total = Tiles(x, y, r * r), np.zeros(len(x), np.int64)
+    for at in range(0, len(x), tiles.X):
+        rows, room = x[at : at + tiles.X], tiles.room[at : at + tiles.X]
+        for to in range(0, len(y), tiles.Y):
+            s = tiles.table(at, to)
+            i, j = _places(s <= room[:, None])
+            inside = s[i, j] <= -room[i]
+            edge = np.flatnonzero(~inside)
+            inside[edge] = _exact_pairs(rows, y, i[edge], j[edge] + to) <= r[j[edge] + to]
+            total[at : at + len(rows)] += np.bincount(i[inside], minlength=len(rows))
+    return total
 
 
 class Leaves:
@@ -178,27 +248,21 @@ def nearest(df: DataFrame, reference: DataFrame, key: str, vector: str, k: int =
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("d", T.DoubleType()), T.StructField("ref", kind)])
 
     def work(visitors: pa.Table, here: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+        i = j = np.zeros(0, np.int64)
+        d = np.zeros(0)
         if visitors.num_rows and here.num_rows:
+            here = here.take(pc.sort_indices(here.column("ref")))
             x, y = (matrix(t.column(c).combine_chunks(), width) for t, c in ((visitors, "x"), (here, "y")))
-            ids, refs = visitors.column("id").to_pylist(), np.array(here.column("ref").to_pylist(), dtype=object)
-            order = sorted(range(len(refs)), key=lambda j: refs[j])
-            place = np.empty(len(refs), np.int64)
-            place[order] = np.arange(len(refs))
-            for at in _slices(x, y):
-                d = apart(x[at : at + _slice(y)], y)
-                scale = (x[at : at + _slice(y)] ** 2).sum(axis=1)[:, None] + (y * y).sum(axis=1)
-                for i, row in enumerate(d):
-                    if not itself:
-                        row = np.where(refs == ids[at + i], np.inf, row)
-                    m = min(k, len(row))
-                    limit = np.partition(row, m - 1)[m - 1]
-                    some = np.flatnonzero((row <= limit + 1e-12 * scale[i].max()) & np.isfinite(row))  # all that may be among them
-                    far = exact(y[some], x[at + i])
-                    for j in np.lexsort((place[some], far))[:k]:
-                        for c, v in zip(out, (ids[at + i], float(far[j]), refs[some[j]])):
-                            c.append(v)
-        return pa.table({"id": pa.array(out[0], _arrow(schema["id"].dataType)), "d": pa.array(out[1], pa.float64()), "ref": pa.array(out[2], _arrow(kind))})
+            bound = visitors.column("bound").to_numpy() if "bound" in visitors.column_names else np.full(len(x), np.inf)
+            own: list[tuple[int, int]] = []
+            if not itself:
+                same: dict = {}
+                for at, ref in enumerate(here.column("ref").to_pylist()):
+                    same.setdefault(ref, []).append(at)
+                own = [(row, at) for row, id_ in enumerate(visitors.column("id").to_pylist()) for at in same.get(id_, ())]
+            i, j, d = first_neighbours(x, y, k, bound, tuple(np.array(own, np.int64).reshape(-1, 2).T))
+        ids, refs = (t.column(c).combine_chunks().take(pa.array(n)) if t.num_rows else pa.array([], _arrow(kind_)) for t, c, n, kind_ in ((visitors, "id", i, schema["id"].dataType), (here, "ref", j, kind)))
+        return pa.table({"id": ids, "d": pa.array(d), "ref": refs})
 
     def best(found: DataFrame) -> DataFrame:
         return found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", F.col("ref").alias("id")))), 1, k).alias("near"))
@@ -227,15 +291,7 @@ def covered(df: DataFrame, balls: DataFrame, key: str, vector: str, radius: str,
         total = np.zeros(visitors.num_rows, np.int64)
         if visitors.num_rows and here.num_rows:
             x, y = (matrix(t.column(c).combine_chunks(), width) for t, c in ((visitors, "x"), (here, "y")))
-            r = here.column("r").to_numpy()
-            for at in _slices(x, y):
-                own = x[at : at + _slice(y)]
-                d = apart(own, y)
-                room = 1e-12 * ((own * own).sum(axis=1)[:, None] + (y * y).sum(axis=1))
-                inside = d <= r * r - room
-                i, j = np.nonzero(~inside & (d <= r * r + room))
-                inside[i, j] = exact(own[i], y[j]) <= r[j]
-                total[at : at + len(own)] = inside.sum(axis=1)
+            total = balls_around(x, y, here.column("r").to_numpy())
         return pa.table({"id": visitors.column("id") if visitors.num_rows else pa.array([], _arrow(schema["id"].dataType)), "n": pa.array(total)})
 
     counts = index.met(index.going(rows, False, None), rows, work, schema).groupBy("id").agg(F.sum("n").alias("n"))

@@ -103,3 +103,40 @@ def test_copies_of_a_row_do_not_grow_with_the_table(spark, monkeypatch):
     df = frame(spark, x).withColumn("v", F.col("v").cast("array<float>"))
     index = neighbours.Index(df, "id", "v", leaf=16)
     assert len(index.stats) <= 2 * neighbours.FEW and dict(index.rows.dtypes)["x"] == "array<float>"
+
+
+@pytest.mark.parametrize("kind", ["numbers", "grid", "equal", "small", "large"])
+def test_tiles_give_what_all_distances_give(kind):
+    """First neighbours and balls from single-precision tables, borders and ties included, over more than one tile each way."""
+    r = np.random.default_rng(5)
+    draw = {"grid": lambda n: r.integers(0, 4, (n, 3)).astype(float), "equal": lambda n: np.ones((n, 2))}.get(kind, lambda n: r.normal(size=(n, 6)) * {"small": 1e-15, "large": 1e20}.get(kind, 1.0))
+    x = draw(300)
+    y = np.concatenate([draw(2500), x])
+    d = np.array([neighbours.exact(y, row) for row in x])
+    radius = np.resize(np.sort(d, axis=1)[:, 5], len(y))
+    assert (neighbours.balls_around(x, y, radius) == (d <= radius).sum(axis=1)).all()
+    own = np.arange(300), np.arange(300) + 2500
+    d[own] = np.inf
+    want = np.argsort(d, axis=1, kind="stable")[:, :5]
+    for bound in (np.full(300, np.inf), np.take_along_axis(d, want, 1)[:, 4]):
+        i, j, got = neighbours.first_neighbours(x, y, 5, bound, own)
+        assert (i == np.repeat(np.arange(300), 5)).all() and (j.reshape(300, 5) == want).all() and (got.reshape(300, 5) == np.take_along_axis(d, want, 1)).all()
+
+
+def test_coverage_works_out_the_radii_once(spark, monkeypatch):
+    """The index of the balls reads them three times; behind them stand all pairs."""
+    made, whole = spark.sparkContext.accumulator(0), compare.radii
+
+    def counted(*args):
+        def run(batches):
+            for b in batches:
+                made.add(b.num_rows)
+                yield b
+
+        df = whole(*args)
+        return df.mapInArrow(run, df.schema)
+
+    monkeypatch.setattr(compare, "radii", counted)
+    r = np.random.default_rng(6)
+    got = compare.coverage(frame(spark, r.normal(size=(40, 3))), frame(spark, r.normal(size=(50, 3))), "id", "v").first()
+    assert 0 <= got.precision <= 1 and made.value == 90
